@@ -7,15 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import interpolation
+from . import interpolation, pieces, quality, token_counts, warc
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score_documents(C.table(spark, sf_dir, "documents"))
 
 
+def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(C.table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(C.table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+
+
+def op7_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(C.table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_quality_forest": op2_quality_forest,
+    "op4_token_counts": op4_token_counts,
+    "op6_sentencepiece_viterbi": op6_sentencepiece_viterbi,
+    "op7_warc_source": op7_warc_source,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # A record's type follows from the smallest page of its payload; the digest is of the UTF-8 bytes.
+    "op7_warc_source": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
+        FROM f""",
+}
