@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
-from . import interpolation, pieces, quality, token_counts, warc
+from . import decontaminate, interpolation, line_dedup, near_dedup, pieces, quality, secrets, token_counts, warc
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +19,18 @@ def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
 
+def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(C.table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(C.table(spark, sf_dir, "documents"))
 
 
+def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
 def op6_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(C.table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
@@ -30,12 +39,25 @@ def op7_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(C.table(spark, sf_dir, "pages"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(C.table(spark, sf_dir, "documents"))
+
+
+def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(C.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_quality_forest": op2_quality_forest,
+    "op3_secret_links": op3_secret_links,
     "op4_token_counts": op4_token_counts,
+    "op5_bm25_decontamination": op5_bm25_decontamination,
     "op6_sentencepiece_viterbi": op6_sentencepiece_viterbi,
     "op7_warc_source": op7_warc_source,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_line_winnowing": op10_line_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -47,4 +69,18 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
         FROM f""",
+    # A window of three lines that begins earlier too takes its lines with it.
+    "op10_line_winnowing": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+        l AS (SELECT doc_id, unnest(raw) AS line, unnest(range(1, len(raw) + 1)) AS i FROM d),
+        f AS (SELECT doc_id, i, line, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM l),
+        n AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f WHERE t <> ''),
+        w AS (SELECT doc_id, k, t || chr(10) || lead(t, 1) OVER o || chr(10) || lead(t, 2) OVER o AS w FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+        r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) > 1 AS again FROM w WHERE w IS NOT NULL),
+        g AS (SELECT DISTINCT doc_id, k + j AS k FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE again),
+        x AS (SELECT f.doc_id, f.i, f.line, n.k IS NOT NULL AS full_line, g.k IS NOT NULL AS gone
+              FROM f LEFT JOIN n ON n.doc_id = f.doc_id AND n.i = f.i LEFT JOIN g ON g.doc_id = n.doc_id AND g.k = n.k)
+        SELECT doc_id, CAST(count(*) FILTER (full_line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM x GROUP BY doc_id""",
 }
