@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, interpolation, line_dedup, near_dedup, pieces, quality, secrets, token_counts, warc
+from . import decontaminate, interpolation, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, token_counts, warc
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(C.table(spark, sf_dir, "pages"))
 
 
+def op8_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(C.table(spark, sf_dir, "documents"), keep_text=False).drop("removed", "kept_text")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(C.table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bm25_decontamination": op5_bm25_decontamination,
     "op6_sentencepiece_viterbi": op6_sentencepiece_viterbi,
     "op7_warc_source": op7_warc_source,
+    "op8_fm_index_repeats": op8_fm_index_repeats,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_line_winnowing": op10_line_winnowing,
 }
