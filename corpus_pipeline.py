@@ -1,8 +1,57 @@
-"""The corpus pipeline (under construction)."""
+"""Documents to training tokens: quality rules, line dedup, near-dedup, decontamination, SentencePiece pieces.
 
-STAGES: list = []
+Each stage takes what its predecessor kept, written as Parquet and read again; all but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillstone.llm import common as C
+from quillstone.llm import decontaminate, line_dedup, near_dedup, pieces, quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the isolation forest reject go."""
+    return quality.keep_good(docs, C.table(spark, sf_dir, "labels"))
+
+
+def line_winnowing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines that an earlier document has go; so does a document that has no other line."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold the question and the answer of a test item go."""
+    return decontaminate.without_leaks(docs, C.table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, and whether decoding them gives its text."""
+    return pieces.encode_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_winnowing", line_winnowing),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece_ids", sentencepiece_ids),
+]
+
+#: The forest and the search for pieces aren't expressible in SQL; tests compare run() with a plain model.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is written and read again."""
+    docs = C.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = C.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
