@@ -83,6 +83,7 @@ def _common_boundary(text: bytes, left: np.ndarray, right: np.ndarray, start: in
 
 def count_in_chunks(model: Model, text: bytes, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES) -> int:
     """Tokens of the whole text; at no time is more encoded than a chunk, or the stretch that has no boundary."""
+    text = text.replace(SPACE.encode(), b" ")  # the library takes the mark itself for a space
     total, spliced, start = 0, -1, 0  # a piece that ends at 0 is the space put in front
     stop = _at_character(text, chunk_bytes)
     left = model.ends(text, start, stop)
