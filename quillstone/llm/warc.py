@@ -13,6 +13,7 @@ executor left behind is never read.
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import re
 import struct
@@ -259,7 +260,7 @@ class WarcReader(DataSourceReader):
         fs, _ = _file_system(self.path)
         for path in partition.paths:
             with fs.open_input_file(path) as f:
-                for row in rows_of(f, self.wanted):
+                for row in rows_of(io.BufferedReader(f, 1 << 18), self.wanted):
                     rows.append(row)
                     size += 200 + (len(row[columns.index("payload")] or b"") if self.wanted.block else 0)
                     if size > 4 << 20:
