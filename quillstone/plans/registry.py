@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillstone.plans import retrieval
+
 FLAGSHIP = "hybrid_rrf"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = {**retrieval.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL}
