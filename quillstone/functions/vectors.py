@@ -30,7 +30,7 @@ def bucket(word: Column, buckets: int = BUCKETS) -> Column:
 
 def hashed_counts(text: Column, buckets: int = BUCKETS) -> Column:
     """How many words of the text in lower case fall in each bucket."""
-    own = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), bucket)
+    own = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: bucket(w, buckets))
     lists = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(own, lambda x: x == b)).cast("double"))
     return lists
 
