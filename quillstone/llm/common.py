@@ -121,15 +121,24 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _joined(left: np.ndarray, right: np.ndarray, back: int) -> np.ndarray:
+    """Hash of what the left values name, back places earlier, and what the right ones name."""
+    moved = np.zeros_like(left)
+    moved[back:] = left[: max(0, len(left) - back)]
+    return scramble(moved * np.uint64(_MIX) + right)
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n values that end at each place; the first n-1 places hold rubbish."""
-    out = h.copy()
-    for back in range(1, n):
-        moved = np.zeros_like(h)
-        moved[back:] = h[:-back]
-        step = back * _MIX % 2**64
-        out = out + scramble(moved + np.uint64(step)) * np.uint64(step | 1)
-    return scramble(out)
+    """Hash of the n values that end at each place, by doubling; the first n-1 places hold rubbish."""
+    out, length, power, size = None, 0, h, 1
+    while True:
+        if n & size:
+            out = power if out is None else _joined(power, out, length)
+            length += size
+        if length == n:
+            return scramble(out + np.uint64(n))
+        power = _joined(power, power, size)
+        size *= 2
 
 
 _PACK = zstandard.ZstdCompressor(level=1)

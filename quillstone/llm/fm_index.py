@@ -15,7 +15,7 @@ END, SEPARATOR, FIRST = 0, 1, 2
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Where the suffixes begin, in the order of their first depth values; equal ones in the order of the text."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank, kind="stable") if depth <= 1 else np.zeros(0, np.int64)
     step = 1
     while step < depth:
         behind = np.zeros_like(rank)

@@ -38,7 +38,7 @@ WIDTH = 20
 SEED = 8
 BLOCK_BYTES = 4 << 20
 #: Bytes of text for one shard, of which most has no repeated fingerprint.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 5 << 20
 #: Segments from which on a fingerprint's windows are sent one by one.
 FREQUENT = 100_000
 _NULL_ID = -(2**63)
@@ -78,6 +78,19 @@ def _to_blocks(block_bytes: int):
     return run
 
 
+def _least(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of each span of values and the first place that has it, by spans of doubled length."""
+    least, at, size = values, np.arange(len(values), dtype=np.int32), 1
+    while size < span:
+        step = min(size, span - size)
+        right = least[step:]
+        left = least[: len(right)]
+        other = right < left
+        least, at = np.where(other, right, left), np.where(other, at[step:], at[: len(right)])
+        size += step
+    return least, at
+
+
 class _Block:
     """The documents of a block in order, their words on end, and their segments."""
 
@@ -107,13 +120,8 @@ class _Block:
         if n <= 0:
             return
         seeds = C.grams(h, seed)[seed - 1 :]
-        least, place = seeds[:n].copy(), np.zeros(n, np.int8)
-        for k in range(1, width - seed + 1):
-            other = seeds[k : k + n]
-            np.putmask(place, other < least, k)
-            np.minimum(least, other, out=least)
+        least, at = _least(seeds, width - seed + 1)
         valid = doc[width - 1 :] == doc[:n]
-        at = np.arange(n) + place
         begins = valid.copy()
         begins[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
         #: The first window of each segment, and how many it has.
