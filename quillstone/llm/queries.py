@@ -44,7 +44,7 @@ def op8_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(C.table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(C.table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,27 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
         FROM f""",
+    # A window of twenty words that begins earlier too takes its words with it.
+    "op8_fm_index_repeats": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS k FROM d WHERE len(ws) >= 20),
+        r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(ws[k:k + 19], ' ') ORDER BY doc_id, k) > 1 AS again FROM s),
+        g AS (SELECT DISTINCT doc_id, k + j AS k FROM r, (SELECT unnest(range(0, 20)) AS j) WHERE again),
+        w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
+        x AS (SELECT w.doc_id, w.word, w.k, g.k IS NOT NULL AS gone FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.k = w.k)
+        SELECT d.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+        FROM d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id""",
+    # All links by shared shingles, and what each document reaches.
+    "op9_near_duplicates": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY x, y),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+        r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reached)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
     # A window of three lines that begins earlier too takes its lines with it.
     "op10_line_winnowing": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
