@@ -10,7 +10,7 @@ but the first go, as far as they are equal.
 
 Each place and window is sent once by its hash, and what is frequent is summed before it is sent; no
 pairs of places are made. What a later join meets in one key is split by Spark, as both of its sides
-are exchanges.
+are exchanges. Joins are of one kind at every size: no side is broadcast while it is still small.
 """
 
 from __future__ import annotations
@@ -29,14 +29,14 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANK))
 
 
-def _hashes(salt: str) -> Column:
-    """A hash of each line that isn't blank."""
-    lines = F.filter(F.transform(F.split(F.col("text"), "\n", -1), _trimmed), lambda x: x != "")
-    return F.transform(lines, lambda x: F.xxhash64(F.lit(salt), x))
+def _lines(text: Column) -> Column:
+    """Of each line that isn't blank, two hashes and its number from 1."""
+    numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(_trimmed(x).alias("t"), (i + 1).alias("n")))
+    return F.transform(F.filter(numbered, lambda x: x["t"] != ""), lambda x: F.struct(F.xxhash64(F.lit("a"), x["t"]).alias("a"), F.xxhash64(F.lit("b"), x["t"]).alias("b"), x["n"].alias("n")))
 
 
 def _windows(run: int) -> Column:
-    """Where the windows of the hashes h begin, from 1."""
+    """Where the windows of the lines h begin, from 1."""
     return F.when(F.size("h") >= run, F.sequence(F.lit(1), F.size("h") - F.lit(run - 1)))
 
 
@@ -49,44 +49,52 @@ def _fingerprints(docs: DataFrame, run: int) -> DataFrame:
     """The places of window minima, one row each."""
 
     def place(i: Column) -> Column:
-        own = F.slice("h", i, run)
+        own = F.slice("h", i, run)["a"]
         return i + F.array_position(own, F.array_min(own)).cast("int") - 1
 
-    places = docs.select(_hashes("a").alias("h")).select("h", F.array_distinct(F.transform(_windows(run), place)).alias("places"))
-    return places.select(F.explode(F.transform("places", lambda p: F.get("h", p - 1))).alias("fingerprint"))
+    places = docs.select(_lines(F.col("text")).alias("h")).select("h", F.explode(F.array_distinct(F.transform(_windows(run), place))).alias("place"))
+    return places.select(F.get("h", F.col("place") - 1)["a"].alias("fingerprint"))
 
 
 def _extended(docs: DataFrame, run: int) -> DataFrame:
-    """All windows: fingerprint, two hashes of all of the lines, and position."""
-    rows = docs.select("doc_id", "text_hash", _hashes("a").alias("h"), _hashes("b").alias("other"))
-    window = lambda i: F.struct(F.array_min(F.slice("h", i, run)).alias("fingerprint"), F.xxhash64(F.slice("h", i, run)).alias("w1"), F.xxhash64(F.slice("other", i, run)).alias("w2"), i.alias("at"))
+    """All windows: fingerprint, two hashes of all of the lines, where it begins among them, and the lines' numbers."""
+    rows = docs.select("doc_id", "text_hash", _lines(F.col("text")).alias("h"))
+
+    def window(i: Column) -> Column:
+        own = F.slice("h", i, run)
+        return F.struct(F.array_min(own["a"]).alias("fingerprint"), F.xxhash64(own["a"]).alias("w1"), F.xxhash64(own["b"]).alias("w2"), i.alias("at"), own["n"].alias("lines"))
+
     return rows.select("doc_id", "text_hash", F.explode(F.transform(_windows(run), window)).alias("w")).select("doc_id", "text_hash", "w.*")
 
 
 def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, text_hash and the line (from 1, blank ones not counted) at which each window begins that also begins earlier."""
+    """doc_id, text_hash and the numbers of the lines (from 1) of each window that also begins earlier."""
     docs = _keyed(docs)
     repeated = C.materialize(_fingerprints(docs, run).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "fingerprints")
-    near = C.materialize(_extended(docs, run).join(repeated, "fingerprint").drop("fingerprint"), "line-windows")
+    near = C.materialize(_extended(docs, run).join(repeated.hint("merge"), "fingerprint").drop("fingerprint"), "line-windows")
     position = F.struct("doc_id", "text_hash", "at")
     firsts = near.groupBy("w1", "w2").agg(F.min(position).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
     firsts = C.materialize(firsts, "first-windows")
-    return near.join(firsts, ["w1", "w2"]).where(position > F.col("first")).select("doc_id", "text_hash", "at")
+    return near.join(firsts.hint("merge"), ["w1", "w2"]).where(position > F.col("first")).select("doc_id", "text_hash", "lines")
 
 
 def _cleaned(docs: DataFrame, run: int) -> DataFrame:
-    """row (the whole row of docs), n_lines, n_removed and the text that is left, of every row."""
-    gone = repeated_windows(docs, run).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at"))
-    gone = C.materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "at"), "repeated-lines")
-    rows = docs.select(F.struct("*").alias("row")).withColumn("text", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
-    rows = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
-    rows = rows.withColumn("lines", F.split("text", "\n", -1))
-    rows = rows.withColumn("full", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: _trimmed(F.get("lines", i - 1)) != ""))
-    removed = F.array_distinct(F.flatten(F.transform("at", lambda a: F.transform(F.sequence(a, a + F.lit(run - 1)), lambda i: F.get("full", i - 1)))))
-    rows = rows.withColumn("removed", F.coalesce(removed, F.array().cast("array<int>")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("removed")), lambda i: F.get("lines", i - 1))
-    left = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.select("row", F.size("full").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), left.alias("kept_text"))
+    """rest (the row but for its text), lines, n_lines, n_removed and the text that is left, null if it was, of every row.
+
+    Lines are cut before the join and put together after it: above it they are a column that is there, which no
+    plan computes again for each of them.
+    """
+    removed = F.array_distinct(F.flatten(F.collect_list("lines")))
+    gone = repeated_windows(docs, run).groupBy("doc_id", "text_hash").agg(removed.alias("removed"))
+    gone = C.materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "removed"), "repeated-lines")
+    text = F.col("text").cast("string")
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
+    rows = docs.select(rest.alias("rest"), F.split(text, "\n", -1).alias("lines"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_hash"))
+    rows = rows.join(gone.hint("merge"), F.col("rest.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left")
+    full = F.coalesce(F.size(F.filter("lines", lambda x: _trimmed(x) != "")), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("lines")), "removed"), lambda i: F.get("lines", i - 1))
+    left = F.array_join(F.when(F.col("removed").isNull(), F.col("lines")).otherwise(kept), "\n")
+    return rows.select("rest", full.cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), left.alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -98,12 +106,11 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     its result. A null text is empty and has no lines. An empty table gives no rows. Columns other than
     doc_id and text are not read.
     """
-    return _cleaned(docs.select("doc_id", "text"), run).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", "kept_text")
+    return _cleaned(docs.select("doc_id", "text"), run).select(F.col("rest.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", F.coalesce("kept_text", F.lit("")).alias("kept_text"))
 
 
 def without_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with what is left as text and its length as n_chars; a document that loses all of its lines goes."""
     rows = _cleaned(docs, run).where("n_removed = 0 OR n_removed < n_lines")
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return rows.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("rest").getField(c).alias(c) for c in docs.columns))
