@@ -109,10 +109,14 @@ def password_ok(password: Column) -> Column:
     return (F.length(password) >= 10) & F.rlike(password, F.lit("[A-Za-z]")) & F.rlike(password, F.lit("[0-9]"))
 
 
+# The providers that a model can name.
+PROVIDERS = ("openrouter", "hf")
+
+
 def model_ref(ref: Column, default: str = "hf") -> Column:
-    """provider:model as a struct; a bare name has the default provider."""
-    has = F.instr(ref, ":") > 0
-    return F.struct(F.when(has, F.substring_index(ref, ":", 1)).otherwise(F.lit(default)).alias("provider"), F.when(has, F.regexp_replace(ref, "^[^:]*:", "")).otherwise(ref).alias("model"))
+    """provider:model as a struct; a name without a known provider in front has the default one."""
+    named = F.rlike(ref, F.lit(f"^({'|'.join(PROVIDERS)}):"))
+    return F.struct(F.when(named, F.substring_index(ref, ":", 1)).otherwise(F.lit(default)).alias("provider"), F.when(named, F.regexp_replace(ref, "^[^:]*:", "")).otherwise(ref).alias("model"))
 
 
 def rounded(x: Column, digits: int) -> Column:

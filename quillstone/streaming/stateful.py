@@ -23,8 +23,8 @@ def throttle(recent: list[float], at: float, success: bool, attempts: int = ATTE
     return [] if success else [*recent, at], True
 
 
-def throttle_stream(attempts: DataFrame) -> DataFrame:
-    """user_id, at, allowed of a stream of attempts (user_id long, at double, success boolean). State goes when a user has been silent."""
+def throttle_stream(attempts: DataFrame, late: str = "1 minute") -> DataFrame:
+    """user_id, at, allowed of a stream of attempts (user_id long, ts timestamp, success boolean). A user's state goes when event time has passed it by."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,10 +36,11 @@ def throttle_stream(attempts: DataFrame) -> DataFrame:
             recent, allowed = throttle(recent, r.at, r.success)
             rows.append((key[0], r.at, allowed))
         state.update((recent,))
-        state.setTimeoutDuration(int(SECONDS * 1000))
+        state.setTimeoutTimestamp(int(max(1000 * (rows[-1][1] + SECONDS), state.getCurrentWatermarkMs() + 1)))
         yield pd.DataFrame(rows, columns=["user_id", "at", "allowed"])
 
-    return attempts.groupBy("user_id").applyInPandasWithState(run, "user_id long, at double, allowed boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = attempts.withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1e6)
+    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, at double, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_table(attempts: DataFrame, n: int = ATTEMPTS, seconds: float = SECONDS) -> DataFrame:

@@ -30,7 +30,7 @@ def test_text(spark):
     assert one(spark, ["x" * 61, "word " * 30, " a \n b ", "", None, "y" * 60], T.title) == ["x" * 60 + "…", ("word " * 12).strip() + "…", "a b", "New chat", "New chat", "y" * 60]
     assert one(spark, ["itâ€™s", "plain"], T.repair) == ["it’s", "plain"]
     assert one(spark, [" yes", "No.", "maybe", ""], T.verdict) == [True, False, None, None]
-    assert one(spark, ["hf:a/b:c", "model"], lambda c: T.model_ref(c)["model"]) == ["a/b:c", "model"]
+    assert one(spark, ["hf:a/b:c", "model", "a/b:fast", "openrouter:x"], lambda c: T.model_ref(c)["model"]) == ["a/b:c", "model", "a/b:fast", "x"]
     assert one(spark, ["abcdefghi1", "abcdefghij", "short1"], T.password_ok) == [True, False, False]
     assert one(spark, ["  \n", "x", None], T.is_blank) == [True, False, True]
     assert one(spark, [2.675, 1.005, -0.00005], lambda c: T.rounded(c, 2), "double") == [2.68, 1.01, 0.0]
@@ -225,16 +225,16 @@ def test_throttle_table(spark):
 
 
 def test_throttle_stream(spark, tmp_path):
-    rows = [(1, float(k), False) for k in range(10)] + [(2, 5.0, False)]
-    schema = "user_id long, at double, success boolean"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = [(1, 1e9 + k, False) for k in range(10)] + [(2, 1e9, False)]
+    schema = "user_id long, ts timestamp, success boolean"
+    spark.createDataFrame(rows, "user_id long, at double, success boolean").select("user_id", F.timestamp_seconds("at").alias("ts"), "success").coalesce(1).write.parquet(str(tmp_path / "in"))
     query = S.throttle_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("throttled").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     try:
         assert query.awaitTermination(60)
     finally:
         query.stop()
     got = {(r.user_id, r.at): r.allowed for r in spark.table("throttled").collect()}
-    assert got == {**{(1, float(k)): k < 8 for k in range(10)}, (2, 5.0): True}
+    assert got == {**{(1, 1e9 + k): k < 8 for k in range(10)}, (2, 1e9): True}
 
 
 def test_cooldowns(spark):
@@ -245,3 +245,49 @@ def test_cooldowns(spark):
     cooldowns = spark.createDataFrame([("m", 110.5, True)], "model string, until double, credit boolean")
     served = spark.createDataFrame([("z", 4)], "model string, served long")
     assert sorted(tuple(r) for r in R.model_status(chain, cooldowns, served, 100.0).collect()) == [("m", 1, "exhausted", 10, 0), ("z", 2, "ready", 0, 4)]
+
+
+def test_experiment(spark):
+    from quillstone.operators import experiment as E
+
+    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense")
+    rng = random.Random(8)
+    topics = ["river water flows under the old bridge", "stars shine over the dark desert", "bread is baked in a stone oven"]
+    pages = lambda k: [(1, "SECTION A\n" + " ".join(f"Here {topics[k % 3]} number{rng.randrange(50)}." for _ in range(12)))]
+    docs = spark.createDataFrame([(k, pages(k)) for k in range(6)], "doc_id long, pages array<struct<number:int,text:string>>")
+    questions = spark.createDataFrame([(1, topics[0], "The " + topics[0] + ".", None), (2, topics[1], None, ["Section A"])], "qid long, question string, expected_answer string, relevant_sections array<string>")
+    configs = E.sweep(base, "final_k", [1, 2, 4]) + [base.with_axis("chunking_strategy", "nonsense"), base.with_axis("noise_pct", 0.67), base.with_axis("reranker_model", "terms")]
+    got = {(r.run_id, r.qid): r for r in E.run_all(configs, docs, questions).collect()}
+    assert got["chunking_strategy=nonsense", None].error and len(got) == 11
+    recall = [got[f"final_k={k}", 1].recall_at_k for k in (1, 2, 4)]
+    assert recall == sorted(recall) and got["final_k=4", 1].relevance_source == "silver" and got["final_k=4", 2].relevance_source == "gold"
+    for r in got.values():
+        assert all(getattr(r, m) is None or -1e-9 <= getattr(r, m) <= 1 + 1e-9 for m in ("recall_at_k", "precision_at_k", "ndcg_at_k", "mrr", "context_precision", "faithfulness", "answer_relevance", "keyword_f1", "composite"))
+    assert got["final_k=4", 2].keyword_f1 is None and got["final_k=4", 1].keyword_f1 > 0 and got["noise_pct=0.67", 1].diversity > got["final_k=4", 1].diversity
+    with pytest.raises(ValueError):
+        base.with_axis("label", "x")
+    assert E.RunConfig.parse('{"final_k": 3, "unknown": 1}') == E.RunConfig(final_k=3) and base.fingerprint() == E.RunConfig.parse('{"chunk_target_tokens": 40, "chunk_overlap_tokens": 10, "chunk_min_tokens": 5, "retrieval_mode": "dense", "label": "x"}').fingerprint()
+    assert E.RunConfig(embed_model="org/m", llm_model_id="hf:q").auto_label() == "fixed750_emb-m_hybrid_rrf_rr-none_k8_llm-q_noise0"
+
+
+def test_models(spark):
+    from quillstone.functions import models
+
+    # local functions travel with the plan; a module of tests isn't on the workers
+    def embedder():
+        return lambda texts: [[3.0, 4.0] for _ in texts]
+
+    def scorer():
+        return lambda q, p: [len(a) + len(b) for a, b in zip(q, p, strict=True)]
+
+    def failing():
+        def run(prompts):
+            raise RuntimeError("no model here")
+
+        return run
+
+    rows = spark.createDataFrame([("a b", "b c"), (None, "x")], "q string, p string")
+    assert [r[0] for r in rows.select(models.shared_terms(F.col("q"), F.col("p"))).collect()] == [0.5, 0.0]
+    got = rows.select(models.embed(F.col("p"), embedder).alias("v"), models.score(F.col("q"), F.col("p"), scorer).alias("s"), models.generate(F.col("p"), failing).alias("g")).collect()
+    assert [list(r.v) for r in got] == [[0.6, 0.8], [0.6, 0.8]] and [r.s for r in got] == [6.0, 1.0] and got[0].g.error == "no model here" and got[0].g.answer is None
+    assert rows.select(models.embed_text(F.col("p"), "intfloat/e5-small", True)).first()[0] == "query: b c"
