@@ -105,6 +105,11 @@ def verdict(answer: Column) -> Column:
     return F.when(head == "Y", True).when(head == "N", False)
 
 
+def email_key(email: Column) -> Column:
+    """What two addresses must have in common to be one."""
+    return F.lower(strip(email))
+
+
 def password_ok(password: Column) -> Column:
     return (F.length(password) >= 10) & F.rlike(password, F.lit("[A-Za-z]")) & F.rlike(password, F.lit("[0-9]"))
 

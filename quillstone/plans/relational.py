@@ -99,13 +99,37 @@ def soonest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooldowns.agg(F.min_by("model", "until").alias("model"), F.count("*").alias("n"))
 
 
-def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each language, its five longest documents as passages of a prompt."""
     docs = table(spark, sf_dir, "documents")
     w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     top = docs.select("lang", "doc_id", "source", "text", "n_chars", F.row_number().over(w).alias("rank")).where("rank <= 5")
-    passages = top.select(F.col("lang").alias("qid"), "rank", F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt")).alias("filename"), (F.col("doc_id") % 4).alias("page_start"), (F.col("doc_id") % 4 + F.col("doc_id") % 2).alias("page_end"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("section"), F.substring("text", 1, 200).alias("text"))
-    return R.prompt(passages, "chat")
+    return top.select(F.col("lang").alias("qid"), "rank", F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt")).alias("filename"), (F.col("doc_id") % 4).alias("page_start"), (F.col("doc_id") % 4 + F.col("doc_id") % 2).alias("page_end"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("section"), F.substring("text", 1, 200).alias("text"))
+
+
+def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.prompt(_passages(spark, sf_dir), "chat")
+
+
+def eval_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.prompt(_passages(spark, sf_dir).withColumn("section", F.lit(None).cast("string")), "eval")
+
+
+def email_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written in other ways, as addresses, and how many each key has."""
+    names = table(spark, sf_dir, "customer").select(F.explode(F.array(F.concat(F.lit(" "), "c_name"), F.upper("c_name"), F.concat("c_name", F.lit("\t")))).alias("email"))
+    return names.groupBy(T.email_key(F.col("email")).alias("email")).agg(F.count("*").alias("n"))
+
+
+def password_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).otherwise(F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.password_ok(words).alias("ok"))
+
+
+def model_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.when(F.col("p_partkey") % 3 == 0, "openrouter:").when(F.col("p_partkey") % 3 == 1, "hf:").otherwise("")
+    parts = table(spark, sf_dir, "part").select("p_partkey", T.model_ref(F.concat(prefix, F.col("p_brand"), F.lit(":fast"))).alias("ref"))
+    return parts.select("p_partkey", "ref.provider", "ref.model")
 
 
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +181,7 @@ def owned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     owned_ids, orphan_chunks, delete_survivors, valid_sessions, latest_upsert, chat_list, chat_titles, recent_history, sanitized_history, scope_json, title_fill, model_status, soonest_model, prompt_blocks,
+    eval_prompt, email_keys, password_rule, model_refs,
     mojibake_repair, credit_error_flag, judge_verdicts, dataset_counts, stream_frames, stream_concat, csv_export, owned_totals,
 )}
 
@@ -192,6 +217,13 @@ ORACLE_SQL = {
         b AS (SELECT lang, rank, '[' || rank || '] doc' || doc_id || '.txt ' || CASE WHEN doc_id % 2 = 0 THEN 'p.' || doc_id % 4 ELSE 'pp.' || doc_id % 4 || '-' || (doc_id % 4 + doc_id % 2) END
               || CASE WHEN doc_id % 3 > 0 THEN ' — ' || source ELSE '' END || chr(10) || left(text, 200) AS block FROM t)
         SELECT lang AS qid, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY lang""",
+    "eval_prompt": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5),
+        b AS (SELECT lang, rank, '[' || rank || '] doc' || doc_id || '.txt p.' || doc_id % 4 || '-' || (doc_id % 4 + doc_id % 2) || chr(10) || left(text, 200) AS block FROM t)
+        SELECT lang AS qid, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY lang""",
+    "email_keys": "SELECT lower(c_name) AS email, 3 * count(*) AS n FROM customer GROUP BY lower(c_name)",
+    "password_rule": """WITH w AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE CAST(c_custkey AS VARCHAR) END AS w FROM customer)
+        SELECT c_custkey, length(w) >= 10 AND regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9]') AS ok FROM w""",
+    "model_refs": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'openrouter' ELSE 'hf' END AS provider, p_brand || ':fast' AS model FROM part",
     "mojibake_repair": "SELECT doc_id, md5('“' || text || '” – it’s') AS repaired FROM documents",
     "credit_error_flag": "SELECT event_id, event_id % 7 = 0 OR value > 20 AS credit FROM events",
     "judge_verdicts": f"SELECT conv_id, turn, CASE upper(left(trim(text, {_WS}), 1)) WHEN 'Y' THEN true WHEN 'N' THEN false END AS verdict FROM conversations",
