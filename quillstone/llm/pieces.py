@@ -4,7 +4,7 @@ The best segmentation is the one whose pieces have the largest sum of scores. A
 marked is cut where no piece reaches across: before a space mark that follows another character,
 and around line breaks and tabs, which no longer piece holds. What lies between, here called a word,
 is solved once for all its copies in a worker. Words of equal length advance together: at each end
-position the hashes of all substrings are looked up in the sorted hashes of the pieces, and the
+position the hashes of all substrings are looked up in the sorted hashes of the pieces of that length, and the
 maximum over the begins is kept with a pointer back. Characters that no piece holds become their bytes.
 
 Of equal sums the one with the longest last piece is kept, then the longest before it, and so on.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -40,37 +39,40 @@ RANK_OFFSET = 100
 
 _BASE = 0x2545F4914F6CDD1D
 _LOST = -1e18
+#: Bits of the table that says which hashes may be a piece's.
+_BITS = 16
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())])
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, round_trip boolean"
 
 
 class Pieces:
-    """Pieces with scores, ready for the search."""
+    """Pieces with scores, ready for the search. Spaces stand for space marks in here."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]) -> None:
         """pieces: id and score of each; byte_ids: the ids that stand for the 256 bytes."""
-        self.pieces, self.byte_ids = pieces, byte_ids
+        self.pieces = {p.replace(SPACE, " "): x for p, x in pieces.items()}
+        self.byte_ids = byte_ids
         self.longest = max(map(len, pieces), default=1)
         #: A character that no piece holds costs more than any piece.
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
-        longer = {c for p in pieces if len(p) > 1 for c in p}
-        if any(SPACE in p.lstrip(SPACE) for p in pieces) or longer & {"\n", "\t"}:
+        longer = {c for p in self.pieces if len(p) > 1 for c in p}
+        if any(" " in p.lstrip(" ") for p in self.pieces) or longer & {"\n", "\t"}:
             self.cut = re.compile(r".+", re.S)  # a piece may reach across: the text is one word
         else:
-            self.cut = re.compile(f"[\n\t]|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
+            self.cut = re.compile(r"[\n\t]| *[^ \n\t]+| +")
         self.powers = np.array([pow(_BASE, i, 2**64) for i in range(LONGEST_TOGETHER + 1)], np.uint64)
-        texts = list(pieces)
-        keys = np.array([self._hash(p) for p in texts], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array([pieces[p][0] for p in texts], np.int32)[order]
-        self.scores = np.array([pieces[p][1] for p in texts])[order]
-        if len(np.unique(keys)) < len(keys):
-            raise ValueError("two pieces have one hash")
-        #: Most substrings are no piece: a bit for the low bits of each key says so at once.
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.text_of: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        #: By length: the sorted hashes of the pieces, their ids and scores, and a bit for the high bits of each hash.
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in range(1, min(self.longest, LONGEST_TOGETHER) + 1):
+            own = sorted((self._hash(p), *x) for p, x in self.pieces.items() if len(p) == length)
+            keys = np.array([k for k, _, _ in own], np.uint64)
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two pieces have one hash")
+            maybe = np.zeros(1 << _BITS, bool)
+            maybe[keys >> np.uint64(64 - _BITS)] = True
+            self.keys[length] = keys, np.array([i for _, i, _ in own], np.int32), np.array([s for _, _, s in own]), maybe
+        self.text_of: dict[int, bytes] = {i: p.encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -88,41 +90,59 @@ class Pieces:
         return cls({sp.id_to_piece(i): (i, s) for i, s in zip(usual, scores, strict=True)}, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
     @staticmethod
-    def _mix(h: np.ndarray, length: int) -> np.ndarray:
-        return C.scramble(h + np.uint64(length))
-
-    def _hash(self, piece: str) -> int:
+    def _hash(piece: str) -> int:
         h = 0
         for c in piece:
             h = (h * _BASE + ord(c) + 1) % 2**64
-        return int(self._mix(np.array([h], np.uint64), len(piece))[0])
+        return h
 
     def _solve(self, words: list[str]) -> list[list[int]]:
         """Ids of words of one length."""
         length = len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length).astype(np.uint64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length)
+        chars = np.ascontiguousarray(chars.T).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((length + 1, len(words)), np.uint64)
         for j in range(length):
-            prefix[j + 1] = prefix[j] * np.uint64(_BASE) + chars[:, j] + np.uint64(1)
+            prefix[j + 1] = prefix[j] * np.uint64(_BASE) + chars[j]
         best = np.full((length + 1, len(words)), _LOST)
         best[0] = 0
         back = np.zeros((length + 1, len(words)), np.int32)
         piece = np.full((length + 1, len(words)), -1, np.int32)
         for j in range(1, length + 1):
             for i in range(max(0, j - self.longest), j):  # the longest first: it wins a tie
-                key = self._mix(prefix[j] - prefix[i] * self.powers[j - i], j - i)
-                at = np.flatnonzero(self.maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                keys, ids, scores, maybe = self.keys[j - i]
+                key = prefix[j] - prefix[i] * self.powers[j - i]
+                at = np.flatnonzero(maybe[key >> np.uint64(64 - _BITS)])
                 if len(at):
-                    place = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-                    hit = self.keys[place] == key[at]
+                    own = key[at]
+                    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    hit = keys[place] == own
                     at, place = at[hit], place[hit]
-                    total = best[i, at] + self.scores[place]
+                    total = best[i, at] + scores[place]
                     more = total > best[j, at]
                     at, place = at[more], place[more]
-                    best[j, at], back[j, at], piece[j, at] = total[more], i, self.ids[place]
-            worse = best[j] < best[j - 1] + self.unknown
-            best[j, worse], back[j, worse], piece[j, worse] = best[j - 1, worse] + self.unknown, j - 1, -1
-        return [self._follow(w, back[:, k].tolist(), piece[:, k].tolist()) for k, w in enumerate(words)]
+                    best[j, at], back[j, at], piece[j, at] = total[more], i, ids[place]
+            worse = np.flatnonzero(best[j] < best[j - 1] + self.unknown)
+            if len(worse):
+                best[j, worse], back[j, worse], piece[j, worse] = best[j - 1, worse] + self.unknown, j - 1, -1
+        return self._paths(words, back, piece)
+
+    def _paths(self, words: list[str], back: np.ndarray, piece: np.ndarray) -> list[list[int]]:
+        """Follow the pointers of all words together; a step of each word is a column."""
+        row = np.arange(len(words))
+        at = np.full(len(words), len(words[0]))
+        steps = []
+        while at.any():
+            steps.append(np.where(at > 0, piece[at, row], -2))
+            at = np.where(at > 0, back[at, row], 0)
+        path = np.stack(steps[::-1], axis=1)
+        used = path != -2
+        edges = np.concatenate(([0], np.cumsum(used.sum(axis=1)))).tolist()
+        flat = path[used].tolist()
+        out = [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        for k in np.flatnonzero((path == -1).any(axis=1)).tolist():
+            out[k] = self._follow(words[k], back[:, k].tolist(), piece[:, k].tolist())
+        return out
 
     def _follow(self, word: str, back: list[int], piece: list[int]) -> list[int]:
         out: list[int] = []
@@ -161,7 +181,8 @@ class Pieces:
         return found
 
     def words(self, text: str) -> list[str]:
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """The words of a text with the space put in front; a space mark in it is a space, as in the library."""
+        return self.cut.findall(" " + (text.replace(SPACE, " ") if SPACE in text else text)) if text else []
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids, without the space that encoding put in front."""
@@ -173,16 +194,31 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.flat, self.edge = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [self.pieces.words(t) for t in texts]
         new = set(chain.from_iterable(cut))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        new.difference_update(self.known)
-        self.known |= self.pieces.solve(new)
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in cut]
+        if len(self.slot) + len(new) > REMEMBERED:
+            self._forget()
+        new.difference_update(self.slot)
+        if new:
+            found = self.pieces.solve(new)
+            self.slot |= zip(found, range(len(self.slot), len(self.slot) + len(found)), strict=True)
+            sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
+            self.edge = np.concatenate((self.edge, self.edge[-1] + np.cumsum(sizes)))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found.values()), np.int32, int(sizes.sum()))))
+        out = []
+        for words in cut:
+            slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+            start, n = self.edge[slots], self.edge[slots + 1] - self.edge[slots]
+            out.append(self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -201,9 +237,14 @@ def _encode(name: str, keep_ids: bool):
         for data in batches:
             texts = [t or b"" for t in data.column("text").to_pylist()]
             ids = encoder.encode([t.decode() for t in texts])
-            digests = [hashlib.sha256(array("i", x).tobytes()).hexdigest() for x in ids]
-            same = [encoder.pieces.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-            yield C.batch(_ENCODED, data.column("doc_id"), [len(x) for x in ids], ids if keep_ids else [None] * len(ids), digests, same)
+            digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
+            same = [encoder.pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
+            sizes = [len(x) for x in ids]
+            if keep_ids:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            else:
+                lists = pa.nulls(len(ids), pa.list_(pa.int32()))
+            yield C.batch(_ENCODED, data.column("doc_id"), sizes, lists, digests, same)
 
     return run
 
@@ -211,7 +252,7 @@ def _encode(name: str, keep_ids: bool):
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256 (of the ids as little-endian 32-bit numbers) and round_trip of every row.
 
-    round_trip says that decoding the ids gives the very text. A null or empty text has no tokens; a null
+    round_trip says that decoding the ids gives the very text, which fails only for texts that hold the space mark itself. A null or empty text has no tokens; a null
     id stays null; equal rows and repeated ids are encoded each on their own; an empty table gives no
     rows. Columns other than doc_id and text are not read. No row moves between tasks.
     """
