@@ -8,8 +8,10 @@ their similarity. Documents with equal sets are one class from here on.
 Bands of 4 bins are buckets. In each bucket one class is the centre, and only edges from the centre to
 the others become candidates, so a bucket of n classes gives n-1 of them. Candidates that the bins rule out by a wide margin
 are dropped; the others are confirmed on the full sets. Buckets that still hold several components get
-other centres in further rounds, small ones all their pairs, so that links which miss the first
-centre are found.
+other centres in further rounds, small ones all their pairs. In the buckets that are mixed even then all
+pairs between components are compared: a bucket is dealt into parts of a bounded size, and each two parts
+that hold several components meet in a tile. So every two classes that share a bucket are compared or linked
+by others.
 
 Nothing is collected. A centre with many members is confirmed in slices; a class with many documents is
 summed before it is sent, and joined by exchanges that Spark can split.
@@ -18,6 +20,7 @@ summed before it is sent, and joined by exchanges that Spark can split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,16 @@ LEAST_AGREED = 0.55
 SMALL_BUCKET = 8
 #: Members that are confirmed against one copy of a centre.
 SLICE = 500
+#: Rounds of centres; what they leave mixed is compared in tiles.
 ROUNDS = 3
+#: Classes, and shingles, in a part of a large mixed bucket, about.
+PART, PART_SHINGLES = 250, 1 << 20
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("bins", pa.binary())])
 _SETS = pa.schema([("centre", pa.int64()), ("slice", pa.int64()), ("class", pa.int64()), ("is_centre", pa.bool_()), ("shingles", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LIKELY = pa.schema([("tile", pa.int64()), ("class", pa.int64()), ("root", pa.int64()), ("part", pa.int64())])
+_TILES = pa.schema([*_LIKELY, ("shingles", pa.binary())])
 
 
 def _borrowed(attempts: int = 64) -> np.ndarray:
@@ -126,8 +134,8 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield C.batch(_LINKS, kept.column("centre"), kept.column("member"))
 
 
-def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of a class, once for each centre that it is compared with, and once a slice where it is the centre."""
+def _send_sets(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of a class, once for each of the places that it is sent to: the schema without the set."""
     for data in batches:
         sets = shingle_sets(data.column("text").to_pylist())
         rows = []
@@ -136,12 +144,12 @@ def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, packed = _class(s) if len(s) else None, C.pack_sorted(s)
             for t in to:
                 if own == t["class"]:
-                    rows.append((t["centre"], t["slice"], own, t["is_centre"], packed))
+                    rows.append((*(t[c] for c in schema.names[:-1]), packed))
                     size += len(packed)
-            if size > 8 << 20:
-                yield from C.arrow(_SETS, rows).to_batches()
-                rows, size = [], 0
-        yield from C.arrow(_SETS, rows).to_batches()
+                if size > 8 << 20:
+                    yield from C.arrow(schema, rows).to_batches()
+                    rows, size = [], 0
+        yield from C.arrow(schema, rows).to_batches()
 
 
 def _confirm(group: pa.Table) -> pa.Table:
@@ -157,6 +165,15 @@ def _confirm(group: pa.Table) -> pa.Table:
     return C.arrow(_LINKS, links)
 
 
+def _wanted(docs: DataFrame, classes: DataFrame, sent: DataFrame, many: bool) -> DataFrame:
+    """A text of each class, and all places that its set is sent to."""
+    wanted = sent.join(classes.select("class", "doc_id", "text_hash"), "class")
+    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("to").alias("to"))
+    wanted = C.materialize(wanted.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "to"), "wanted")
+    wanted = wanted.hint("merge") if many else wanted  # the first round moves all texts at every size alike
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("own_id")) & (docs["text_hash"] == F.col("own_hash"))).select("text", "to")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, many: bool) -> DataFrame:
     """The candidates (a: centre, b: member) that are links on their full sets. many: their number grows with the input."""
     bins = classes.select("class", "n_shingles", "bins")
@@ -167,12 +184,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, many:
     slices = C.materialize(slices, "slices")
     members = likely.join(slices, "a").select(F.col("b").alias("class"), F.struct(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"), F.lit(False).alias("is_centre"), F.col("b").alias("class")).alias("to"))
     centres = slices.select(F.col("a").alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).select("class", F.struct(F.col("class").alias("centre"), "slice", F.lit(True).alias("is_centre"), F.col("class").alias("class")).alias("to"))
-    wanted = members.unionByName(centres).join(classes.select("class", "doc_id", "text_hash"), "class")
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("to").alias("to"))
-    wanted = C.materialize(wanted.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "to"), "wanted")
-    wanted = wanted.hint("merge") if many else wanted  # the first round moves all texts at every size alike
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("own_id")) & (docs["text_hash"] == F.col("own_hash"))).select("text", "to")
-    sets = rows.mapInArrow(_send_sets, "centre long, slice long, class long, is_centre boolean, shingles binary")
+    rows = _wanted(docs, classes, members.unionByName(centres), many)
+    sets = rows.mapInArrow(partial(_send_sets, _SETS), "centre long, slice long, class long, is_centre boolean, shingles binary")
     return sets.groupBy("centre", "slice").applyInArrow(_confirm, "a long, b long")
 
 
@@ -192,6 +205,88 @@ def _small_pairs(buckets: DataFrame) -> DataFrame:
     return own.select(F.explode(pair).alias("p")).select("p.a", "p.b")
 
 
+def _mixed(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """(band, class, root) of the buckets that hold several components and at least so many classes."""
+    rooted = members.join(roots, members["class"] == roots["node"], "left").select("band", "class", F.coalesce("root", "class").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n >= {least}").select("band")
+    return C.materialize(rooted.join(C.materialize(mixed, "mixed"), "band"), "mixed-buckets")
+
+
+def _tiles(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes of each two parts that meet. The largest component of a bucket has parts of its own, which don't meet one another."""
+    own = C.materialize(mixed.join(classes.select("class", "n_shingles"), "class"), "mixed-classes")
+    sizes = C.materialize(own.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "mixed-components")
+    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    sizes = sizes.join(largest, "band").groupBy("band", "largest")
+    is_largest = F.col("root") == F.col("largest")
+    parts = lambda which: F.ceil(F.greatest(F.sum(F.when(which, F.col("n"))) / PART, F.sum(F.when(which, F.col("shingles"))) / PART_SHINGLES)).cast("long")
+    sizes = C.materialize(sizes.agg(parts(is_largest).alias("own_parts"), parts(~is_largest).alias("parts")), "parts")
+    part = F.when(is_largest, F.col("parts") + F.pmod(F.xxhash64("class"), F.col("own_parts"))).otherwise(F.pmod(F.xxhash64("class"), F.col("parts")))
+    dealt = own.join(sizes, "band").withColumn("part", part)
+    last = F.col("parts") - 1 + F.when(is_largest, F.lit(0)).otherwise(F.col("own_parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    tile = F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.select(tile.alias("tile"), "band", "class", "root", "part", "n_shingles").join(classes.select("class", "bands", "bins"), "class")
+
+
+def _likely_in_tile(group: pa.Table) -> pa.Table:
+    """The classes that sizes and bins don't rule out as links with another component's. A pair counts in the first bucket that it shares."""
+    band, n, root, part = (np.array(group.column(c), np.int64) for c in ("band", "n_shingles", "root", "part"))
+    bands = np.array(group.column("bands").to_pylist(), np.int64)
+    bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)
+    two = part.min() < part.max()
+    likely = np.zeros(len(n), bool)
+    for k in range(len(n) - 1):
+        x = slice(k + 1, None)
+        ok = (root[x] != root[k]) & (100 * np.minimum(n[x], n[k]) >= PERCENT * np.maximum(n[x], n[k]))
+        if two:
+            ok &= part[x] != part[k]
+        at = k + 1 + np.flatnonzero(ok)
+        at = at[bands[k][(bands[at] == bands[k]).argmax(axis=1)] == band[k]]
+        at = at[((bins[at] == bins[k]).mean(axis=1) >= LEAST_AGREED) | (np.minimum(n[at], n[k]) < BINS // 2)]
+        likely[at] = True
+        likely[k] |= len(at) > 0
+    return group.select(_LIKELY.names).filter(pa.array(likely))
+
+
+def _linked_in_tile(group: pa.Table) -> pa.Table:
+    """Links on full sets between components; those between classes that others in the tile link are left out."""
+    rows = {c: (r, p, C.unpack_sorted(s)) for c, r, p, s in zip(*(group.column(c).to_pylist() for c in ("class", "root", "part", "shingles")), strict=True)}
+    names, sets = list(rows), [s for _, _, s in rows.values()]
+    root, part = (np.array([r[k] for r in rows.values()], np.int64) for k in (0, 1))
+    n = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    two = part.min() < part.max()
+    held = np.zeros(len(ids), bool)
+    links = []
+    for k in range(len(n) - 1):
+        ok = (root != root[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])) & (np.arange(len(n)) > k)
+        if two:
+            ok &= part != part[k]
+        if not ok.any():
+            continue
+        own = ids[starts[k] : starts[k] + n[k]]
+        held[own] = True
+        rest = slice(starts[k] + n[k], None)
+        both = np.bincount(owner[rest][held[ids[rest]]], minlength=len(n))
+        held[own] = False
+        for j in np.flatnonzero(ok & (100 * both >= PERCENT * (n + n[k] - both))):
+            if root[j] != root[k]:
+                links.append((names[k], names[j]))
+                root[root == root[j]] = root[k]
+    return C.arrow(_LINKS, links)
+
+
+def _links_in_tiles(docs: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Links between the components of each bucket, as many as tie what belongs together."""
+    likely = _tiles(mixed, classes).groupBy("tile").applyInArrow(_likely_in_tile, "tile long, class long, root long, part long")
+    likely = C.materialize(likely, "likely")
+    rows = _wanted(docs, classes, likely.select("class", F.struct("tile", "class", "root", "part").alias("to")), False)
+    sets = rows.mapInArrow(partial(_send_sets, _TILES), "tile long, class long, root long, part long, shingles binary")
+    return sets.groupBy("tile").applyInArrow(_linked_in_tile, "a long, b long").distinct()
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n_shingles, class) of every row, and (class, component_id, keeper, n_links) of every class."""
     C.bounded_batches(docs.sparkSession)
@@ -208,9 +303,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = C.materialize(_confirmed(rows, classes, tested, True), "links")
     roots = C.materialize(components(links), "roots")
     for round_ in range(1, ROUNDS):
-        rooted = members.join(roots, members["class"] == roots["node"], "left").select("band", "class", F.coalesce("root", "class").alias("root"))
-        mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2").select("band")
-        mixed = C.materialize(rooted.join(C.materialize(mixed, "mixed"), "band"), "mixed-buckets")
+        mixed = _mixed(members, roots, 3)
         more = _other_centres(mixed, round_)
         if round_ == 1:
             more = more.unionByName(_small_pairs(mixed))
@@ -225,6 +318,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         links = links.unionByName(found)
         roots = C.materialize(components(links), "roots")
+    mixed = _mixed(members, roots, SMALL_BUCKET + 1)  # of smaller buckets round 1 had all pairs
+    if not mixed.isEmpty():
+        links = links.unionByName(C.materialize(_links_in_tiles(rows, classes, mixed), "links"))
+        roots = C.materialize(components(links), "roots")
 
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("links"))
     own = classes.select("class", "least").join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))

@@ -485,6 +485,21 @@ def test_many_near_copies(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows)
 
 
+def test_near_copies_linked_by_their_original_alone(spark):
+    """Copies are linked with their original, but not with one another, and no smallest hash singles it out."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+    rows = [(5000, " ".join(base))]
+    for i in range(1000):
+        copy = list(base)
+        for k in range(8):
+            copy[k * 37 + rng.randrange(5, 33)] = f"c{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows)
+    assert sum(r.kept for r in got) == 1
+
+
 def test_densified_bins_estimate_similarity():
     rng = np.random.default_rng(1)
     for size in (12, 60, 400):
