@@ -35,7 +35,7 @@ from . import common as C
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved.
 THRESHOLD = 0.6
-#: Share of the trigrams of the question, and of the answer, that the passage must hold.
+#: Share of the trigrams of the question, and of the answer, that the passage must hold; of bigrams or words where these are short.
 OVERLAP = 0.5
 PASSAGE_WORDS = 128
 BLOCK_ITEMS = 16
@@ -69,14 +69,16 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return whole[: len(whole) - n], whole[len(whole) - n :]
 
 
-def overlap(part: list[str], passage: set[tuple[str, ...]], words: set[str]) -> float:
-    """Share of the part's trigrams that a passage holds; of its words, if it has less than three."""
+def overlap(part: list[str], passage: list[str]) -> float:
+    """Share of the part's trigrams that a passage holds; of its bigrams below eight words, of its words below five.
+
+    One changed word takes three trigrams or two bigrams: so it leaves half at least of each part of two words and more.
+    """
     if not part:
         return 1.0
-    if len(part) < 3:
-        return sum(w in words for w in part) / len(part)
-    own = set(zip(part, part[1:], part[2:], strict=False))
-    return len(own & passage) / len(own)
+    n = 3 if len(part) >= 8 else 2 if len(part) >= 5 else 1
+    own, held = (set(zip(*(words[k:] for k in range(n)), strict=False)) for words in (part, passage))
+    return len(own & held) / len(own)
 
 
 @dataclass(frozen=True)
@@ -195,8 +197,7 @@ class Index:
         for p, i, score, k in zip(passages.tolist(), items.tolist(), scores.tolist(), owner.tolist(), strict=True):
             first = p * half - starts[k]
             own = words[k][first : first + 2 * half]
-            trigrams, single = set(zip(own, own[1:], own[2:], strict=False)), set(own)
-            question, answer = (overlap(part, trigrams, single) for part in self.parts[i])
+            question, answer = (overlap(part, own) for part in self.parts[i])
             if question >= least_overlap and answer >= least_overlap:
                 m = Match(self.items[i], score, question, answer, first)
                 if (k, i) not in best or (m.score, -m.first_word) > (best[k, i].score, -best[k, i].first_word):

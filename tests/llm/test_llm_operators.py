@@ -276,6 +276,18 @@ def test_wand_finds_all_above_threshold():
             assert got == want
 
 
+def test_one_changed_word_in_a_short_answer():
+    question = "which of the old harbour towers was rebuilt by the masons after the great winter storm of that year"
+    for n in range(5, 9):
+        answer = [f"answer{k}" for k in range(n)]
+        index = decontaminate.Index([(1, f"{question}? {' '.join(answer)}.")])
+        assert len(index.parts[0][1]) == n
+        for k in range(n):
+            changed = [*answer[:k], "other", *answer[k + 1 :]]
+            assert [m.item_id for m in index.search([f"{question}? {' '.join(changed)}."])[0]] == [1], (n, k)
+        assert index.search([f"{question}? {' '.join(f'x{k}' for k in range(n))}."]) == [[]]
+
+
 def test_leaks(spark, docs, empty):
     items = [(1, "What is the largest moon of the planet Saturn and who found it? It is Titan, found by Huygens in 1655."), (2, "Name the author of the tale of the white whale. Herman Melville wrote it in the nineteenth century."), (None, "no id"), (3, None), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
