@@ -9,7 +9,10 @@ is at most one row for each pair of block and range that shares a hash.
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
+import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable
@@ -41,35 +44,51 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in a session without one, as in tests, a local one."""
+    """The folder that driver and executors share. Only a local session, as in tests, may go without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/quillstone-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="quillstone-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/quillstone-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Parquet tables in the shared folder: computed once, lineage cut, safe from lost executors; deleted when no plan reads them."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads."""
+        for df, path in self.tables:
+            if any(df is t for t in tables):
+                _delete(self.spark, path)
+        self.tables = [(df, path) for df, path in self.tables if not any(df is t for t in tables)]
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Delete all tables but those that a result still reads."""
+        self.drop(*(df for df, _ in self.tables if not any(df is t for t in tables)))
 
 
 def discard_all(spark: SparkSession) -> None:
-    """Delete all tables that this application has materialized."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete all tables that this application has written to the shared folder, those of results too."""
+    _delete(spark, shared_dir(spark))
 
 
 def documents(docs: DataFrame) -> DataFrame:

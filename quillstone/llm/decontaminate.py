@@ -12,7 +12,9 @@ passages at once: items lie in blocks; for each word a block has the maximum of
  3. The items of the blocks left are scored exactly.
 
 An item that is retrieved counts only if both its question and its answer overlap with the passage.
-The index is sent to all tasks; it is cut into shards of a bounded size, which are searched in turn.
+Document frequencies, number and lengths of items are counted once, over all items. The index is cut into shards of a
+bounded size, and a bounded number of shards is sent to all tasks and searched in one pass over the documents; the
+result is the same however items are cut.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +45,8 @@ PASSAGE_WORDS = 128
 BLOCK_ITEMS = 16
 #: What the frequent words may add to an item, as a share of its score.
 FREQUENT_SHARE = 0.35
-#: Bytes of items in a shard of the index, about.
-SHARD_BYTES = 4 << 20
+#: Bytes of items in a shard of the index, about, and shards that are searched in one pass.
+SHARD_BYTES, PASS_SHARDS = 4 << 20, 4
 
 _WORD = re.compile(r"\w+")
 _MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
@@ -90,24 +94,39 @@ class Match:
     first_word: int
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: how many have words, their mean and longest length, and how many of them hold each word (of a shard)."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]]) -> Statistics:
+        own = [w for _, t in items if (w := words_of(t))]
+        return cls(len(own), sum(map(len, own)) / max(1, len(own)), max(map(len, own), default=0), Counter(w for words in own for w in set(words)))
+
+
 class Index:
-    """A shard of items: block-max postings, and each item's parts."""
+    """A shard of items: block-max postings, and each item's parts. Without statistics its items are all there are."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS) -> None:
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS, statistics: Statistics | None = None) -> None:
+        about = statistics or Statistics.of(items)
         found = [(i, Counter(w), len(w), t) for i, t in items if (w := words_of(t))]
         found.sort(key=lambda x: (x[2], x[0]))  # items of like length and impact share blocks
         self.threshold = threshold
         self.items = [i for i, *_ in found]
         self.parts = [question_and_answer(t) for *_, t in found]
-        self.passage_words = max(passage_words, 2 * max((n for _, _, n, _ in found), default=0))
+        self.passage_words = max(passage_words, 2 * about.longest)
         self.blocks = math.ceil(len(found) / BLOCK_ITEMS)
-        df = Counter(w for _, tf, _, _ in found for w in tf)
-        mean = sum(n for _, _, n, _ in found) / max(1, len(found))
+        df = {w: about.df[w] for _, tf, _, _ in found for w in tf}
         self.vocabulary = {w: k for k, w in enumerate(sorted(df, key=lambda w: (-df[w], w)))}
         words, item, impact = [], [], []
         for k, (_, tf, n, _) in enumerate(found):
-            own = {w: math.log1p((len(found) - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for w, f in tf.items()}
-            whole = sum(own.values())
+            own = {w: math.log1p((about.n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / about.mean)) for w, f in tf.items()}
+            whole = math.fsum(own.values())
             words += [self.vocabulary[w] for w in own]
             item += [k] * len(own)
             impact += [x / whole for x in own.values()]
@@ -173,7 +192,7 @@ class Index:
         pair, index = np.unique(passage[ok] * len(self.items) + item[ok], return_inverse=True)
         score = np.bincount(index, self.impact[at][ok], len(pair))
         reached = score >= self.threshold - 1e-9
-        return pair[reached] // len(self.items), pair[reached] % len(self.items), score[reached]
+        return pair[reached] // len(self.items), pair[reached] % len(self.items), np.round(score[reached], 9)
 
     def search(self, texts: list[str | None], least_overlap: float = OVERLAP) -> list[list[Match]]:
         """For each text, the items that it leaks: of each the passage with the highest score."""
@@ -207,51 +226,88 @@ class Index:
         return out
 
 
-def shards(items: DataFrame, threshold: float, passage_words: int, shard_bytes: int) -> Iterator[Index]:
-    """Indexes over all items, one at a time, of a bounded size each. Statistics are a shard's own."""
-    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's distinct words with the number of all of its words; items without words give no row."""
+    schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])
+    for data in batches:
+        own = [words_of(t) for t in data.column("text").to_pylist()]
+        yield C.batch(schema, data.column("shard"), [len(w) for w in own], [sorted(set(w)) for w in own])
+
+
+def shards(items: DataFrame, threshold: float, passage_words: int, shard_bytes: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes over all items, one at a time, of a bounded size each, with the statistics of all items; whether it is the last."""
+    scratch = C.Scratch(items.sparkSession)
+    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     n = C.block_count(*rows.agg(F.sum(F.octet_length("text")), F.count("*")).first(), shard_bytes)
+    rows = scratch.keep(rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
+    terms = scratch.keep(rows.mapInArrow(_terms, "shard long, n long, words array<string>").where("n > 0"), "item-terms")
+    whole = terms.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    words = terms.select("shard", F.explode("words").alias("word"))
+    df = words.groupBy("shard", "word").agg(F.count("*").alias("own"))
+    df = scratch.keep(df.join(df.groupBy("word").agg(F.sum("own").alias("df")), "word").select("shard", "word", "df"), "item-df")
     for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in own], threshold, passage_words)
+        own = rows.where(F.col("shard") == k).orderBy("item_id", "text").collect()
+        counts = {r["word"]: r["df"] for r in df.where(F.col("shard") == k).collect()}
+        yield Index([(r["item_id"], r["text"]) for r in own], threshold, passage_words, Statistics(whole["n"], whole["mean"] or 0.0, whole["longest"] or 0, counts)), k == n - 1
+    scratch.drop_but()
+
+
+def _passes(spark: SparkSession, found: Iterator[tuple[Index, bool]], search: Callable[[list[Broadcast]], DataFrame], most: int = PASS_SHARDS) -> Iterator[DataFrame]:
+    """search() with a bounded number of shards at a time. What is found by all but the last pass is written, and its shards are released."""
+    scratch, sent = C.Scratch(spark), []
+    for index, last in found:
+        sent.append(spark.sparkContext.broadcast(index))
+        if last:
+            yield search(sent)
+        elif len(sent) == most:
+            yield scratch.keep(search(sent), "searched")
+            for b in sent:
+                b.destroy()
+            sent = []
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least_overlap: float = OVERLAP, passage_words: int = PASSAGE_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row for each document and test item that it leaks: doc_id, item_id, score, overlaps, and the passage's first word.
 
     Words are runs of letters, digits and underscores in lower case. Documents and items without words, null
-    ones too, match nothing; items without an id are left out; equal rows and repeated ids are searched each
-    on their own. Empty tables give no rows. Other columns are not read. Documents don't move.
+    ones too, match nothing; items without an id are left out; equal documents, null ids and repeated ids are searched
+    each on their own, equal items count once; of passages of a document with equal scores the first is named. Empty
+    tables give no rows. Texts of any length are searched whole. Other columns are not read. Documents don't move.
     """
-    spark = docs.sparkSession
-    C.bounded_batches(spark)
-    out = None
-    for index in shards(items, threshold, passage_words, shard_bytes):
-        sent = spark.sparkContext.broadcast(index)
+    C.bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def search(sent: list[Broadcast]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for data in batches:
-                ids = data.column("doc_id").to_pylist()
-                found = sent.value.search(data.column("text").to_pylist(), least_overlap)
-                rows = [(ids[k], m.item_id, m.score, m.question_overlap, m.answer_overlap, m.first_word) for k, own in enumerate(found) for m in own]
-                yield from C.arrow(_MATCHES, rows).to_batches()
+                ids, own = data.column("doc_id").to_pylist(), data.column("text").to_pylist()
+                for index in sent:
+                    found = index.value.search(own, least_overlap)
+                    yield from C.arrow(_MATCHES, [(ids[k], m.item_id, m.score, m.question_overlap, m.answer_overlap, m.first_word) for k, ms in enumerate(found) for m in ms]).to_batches()
+
+        return texts.mapInArrow(run, MATCH_SCHEMA)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MATCH_SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, _passes(docs.sparkSession, shards(items, threshold, passage_words, shard_bytes), search))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least_overlap: float = OVERLAP, passage_words: int = PASSAGE_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns."""
-    spark = docs.sparkSession
-    C.bounded_batches(spark)
+    """The rows of docs that leak no item, with all their columns: those for which find_leaks has no row.
+
+    Documents without words, null ones too, stay; equal rows and repeated ids are judged each on their own; without
+    items all stay; an empty table gives no rows. Columns may have any names.
+    """
+    C.bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for index in shards(items, threshold, passage_words, shard_bytes):
-        sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def search(sent: list[Broadcast]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for data in batches:
-                yield data.filter(pa.array([not m for m in sent.value.search(data.column(at).to_pylist(), least_overlap)], pa.bool_()))
+                for index in sent:
+                    data = data.filter(pa.array([not m for m in index.value.search(data.column(at).to_pylist(), least_overlap)], pa.bool_()))
+                yield data
+
+        return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    for left in _passes(docs.sparkSession, shards(items, threshold, passage_words, shard_bytes), search):
+        docs = left
     return docs

@@ -6,15 +6,15 @@ the attempt picks (optimal densification), so two documents agree in a bin with
 their similarity. Documents with equal sets are one class from here on.
 
 Bands of 4 bins are buckets. In each bucket one class is the centre, and only edges from the centre to
-the others become candidates, so a bucket of n classes gives n-1 of them. Candidates that the bins rule out by a wide margin
-are dropped; the others are confirmed on the full sets. Buckets that still hold several components get
+the others become candidates, so a bucket of n classes gives n-1 of them. Candidates that sizes and bins prove not to be
+links are dropped; the others are confirmed on the full sets. Buckets that still hold several components get
 other centres in further rounds, small ones all their pairs. In the buckets that are mixed even then all
 pairs between components are compared: a bucket is dealt into parts of a bounded size, and each two parts
 that hold several components meet in a tile. So every two classes that share a bucket are compared or linked
 by others.
 
-Nothing is collected. A centre with many members is confirmed in slices; a class with many documents is
-summed before it is sent, and joined by exchanges that Spark can split.
+Nothing is collected. Rows are numbered once, when they are written; a class is compared by the set of one of its rows,
+so copies are never sent. A centre with many members is confirmed in slices of a bounded number of members and shingles.
 """
 
 from __future__ import annotations
@@ -35,20 +35,21 @@ SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BINS, ROWS = 128, 4
-#: A pair whose bins agree in a smaller share can't reach the similarity but by a deviation of five times the standard one.
-LEAST_AGREED = 0.55
 #: Buckets of so many classes get all their pairs in the second round.
 SMALL_BUCKET = 8
-#: Members that are confirmed against one copy of a centre.
-SLICE = 500
+#: Members, and their shingles, that are confirmed against one copy of a centre, about.
+SLICE, SLICE_SHINGLES = 500, 2 << 20
 #: Rounds of centres; what they leave mixed is compared in tiles.
 ROUNDS = 3
 #: Classes, and shingles, in a part of a large mixed bucket, about.
 PART, PART_SHINGLES = 250, 1 << 20
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("bins", pa.binary())])
+_NAMES = [("n", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("row_hash", pa.int64())]
+_FEATURES = pa.schema([*_NAMES, ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("bins", pa.binary())])
+_SKETCH = np.dtype([("bins", "<u2", BINS), ("filled", "u1", BINS // 8)])
 _SETS = pa.schema([("centre", pa.int64()), ("slice", pa.int64()), ("class", pa.int64()), ("is_centre", pa.bool_()), ("shingles", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_SIZED = pa.schema([*_LINKS, ("n", pa.int64())])
 _LIKELY = pa.schema([("tile", pa.int64()), ("class", pa.int64()), ("root", pa.int64()), ("part", pa.int64())])
 _TILES = pa.schema([*_LIKELY, ("shingles", pa.binary())])
 
@@ -74,8 +75,8 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-def bins_of(sets: list[np.ndarray]) -> np.ndarray:
-    """The densified bins of sets that aren't empty, one row each."""
+def bins_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The densified bins of sets that aren't empty, one row each, and which of them the set itself fills."""
     bins = np.full((len(sets), BINS), np.iinfo(np.uint64).max, np.uint64)
     filled = np.zeros((len(sets), BINS), bool)
     if sets:
@@ -89,7 +90,7 @@ def bins_of(sets: list[np.ndarray]) -> np.ndarray:
     for attempt in range(len(_BORROWED)):
         r, b = np.nonzero(~filled)
         if not len(r):
-            return out
+            return out, own
         source = _BORROWED[attempt][b]
         found = own[r, source]
         out[r[found], b[found]] = bins[r[found], source[found]]
@@ -98,7 +99,7 @@ def bins_of(sets: list[np.ndarray]) -> np.ndarray:
         full = np.flatnonzero(own[r])
         for b in np.flatnonzero(~filled[r]):
             out[r, b] = bins[r, full[np.searchsorted(full, b) % len(full)]]
-    return out
+    return out, own
 
 
 def _class(s: np.ndarray) -> int:
@@ -110,28 +111,42 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for data in batches:
         sets = shingle_sets(data.column("text").to_pylist())
         full = [k for k, s in enumerate(sets) if len(s)]
-        bins = bins_of([sets[k] for k in full])
+        bins, filled = bins_of([sets[k] for k in full])
         bands = np.zeros((len(full), BINS // ROWS), np.uint64) + salt
         for k in range(ROWS):
             bands = C.scramble(bands * np.uint64(0x9E3779B97F4A7C15) + bins[:, k::ROWS])
-        low = (C.scramble(bins) & np.uint64(0xFFFF)).astype(np.uint16)
+        sketch = np.zeros(len(full), _SKETCH)
+        sketch["bins"], sketch["filled"] = C.scramble(bins) & np.uint64(0xFFFF), np.packbits(filled, axis=1)
         at = {k: i for i, k in enumerate(full)}
         yield C.batch(
-            _FEATURES, data.column("doc_id"), data.column("text_hash"), [len(s) for s in sets], [_class(s) if len(s) else None for s in sets],
-            [bands[at[k]].view(np.int64) if k in at else None for k in range(len(sets))], [low[at[k]].tobytes() if k in at else None for k in range(len(sets))],
+            _FEATURES, *(data.column(c) for c, _ in _NAMES), [len(s) for s in sets], [_class(s) if len(s) else None for s in sets],
+            [bands[at[k]].view(np.int64) if k in at else None for k in range(len(sets))], [sketch[at[k]].tobytes() if k in at else None for k in range(len(sets))],
         )
 
 
+def _sketches(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(column.to_pylist()), _SKETCH)
+    return rows["bins"], np.unpackbits(rows["filled"], axis=1).astype(bool)
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Pairs of sets that can be links, by their sizes and sketches; what is ruled out is none for certain.
+
+    A bin that one set alone fills, or that has other smallest hashes in both, holds a shingle that is in
+    one set only; a link has at most (100 - PERCENT) / (100 + PERCENT) times the sum of both sizes of these.
+    """
+    apart = ((x[1] | y[1]) & ((x[1] != y[1]) | (x[0] != y[0]))).sum(axis=1)
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (n + m))
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates that sizes and bins don't rule out. The bins of short documents decide nothing."""
+    """Candidates that may be links, with the member's size."""
     for data in batches:
         n, m = (np.array(data.column(c), np.int64) for c in ("n_centre", "n_member"))
-        ok = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
         if data.num_rows:
-            x, y = (np.frombuffer(b"".join(data.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("bins_centre", "bins_member"))
-            ok &= ((x == y).mean(axis=1) >= LEAST_AGREED) | (np.minimum(n, m) < BINS // 2)
-        kept = data.filter(pa.array(ok))
-        yield C.batch(_LINKS, kept.column("centre"), kept.column("member"))
+            ok = _may_link(n, m, _sketches(data.column("bins_centre")), _sketches(data.column("bins_member")))
+            kept = data.filter(pa.array(ok))
+            yield C.batch(_SIZED, kept.column("centre"), kept.column("member"), kept.column("n_member"))
 
 
 def _send_sets(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,62 +180,65 @@ def _confirm(group: pa.Table) -> pa.Table:
     return C.arrow(_LINKS, links)
 
 
-def _wanted(docs: DataFrame, classes: DataFrame, sent: DataFrame, many: bool) -> DataFrame:
-    """A text of each class, and all places that its set is sent to."""
-    wanted = sent.join(classes.select("class", "doc_id", "text_hash"), "class")
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("to").alias("to"))
-    wanted = C.materialize(wanted.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "to"), "wanted")
-    wanted = wanted.hint("merge") if many else wanted  # the first round moves all texts at every size alike
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("own_id")) & (docs["text_hash"] == F.col("own_hash"))).select("text", "to")
+def _wanted(rows: DataFrame, classes: DataFrame, sent: DataFrame, many: bool, scratch: C.Scratch) -> DataFrame:
+    """A text of each class, and all places that its set is sent to.
 
+    many: their number grows with the input. Then both sides are exchanged by row number, at every size alike: a plan
+    that sends the few of a small input to all tasks would say nothing of a large one.
+    """
+    wanted = sent.join(classes.select("class", F.col("least.n").alias("wanted_n")), "class")
+    wanted = scratch.keep(wanted.groupBy("wanted_n").agg(F.collect_list("to").alias("to")), "wanted")
+    wanted = wanted.hint("merge") if many else wanted
+    return rows.select("n", F.col("row.text").cast("binary").alias("text")).join(wanted, F.col("n") == F.col("wanted_n")).select("text", "to")
 
-def _confirmed(docs: DataFrame, classes: DataFrame, candidates: DataFrame, many: bool) -> DataFrame:
+
+def _confirmed(rows: DataFrame, classes: DataFrame, candidates: DataFrame, many: bool, scratch: C.Scratch) -> DataFrame:
     """The candidates (a: centre, b: member) that are links on their full sets. many: their number grows with the input."""
     bins = classes.select("class", "n_shingles", "bins")
     side = lambda name, key: bins.select(F.col("class").alias(key), F.col("n_shingles").alias(f"n_{name}"), F.col("bins").alias(f"bins_{name}"))
     pairs = candidates.select(F.col("a").alias("centre"), F.col("b").alias("member")).join(side("centre", "centre"), "centre").join(side("member", "member"), "member")
-    likely = C.materialize(pairs.mapInArrow(_agree, "a long, b long"), "likely")
-    slices = likely.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("long").alias("slices"))
-    slices = C.materialize(slices, "slices")
+    likely = scratch.keep(pairs.mapInArrow(_agree, "a long, b long, n long"), "likely")
+    n_slices = F.ceil(F.greatest(F.count("*") / SLICE, F.sum("n") / SLICE_SHINGLES)).cast("long")
+    slices = scratch.keep(likely.groupBy("a").agg(n_slices.alias("slices")), "slices")
     members = likely.join(slices, "a").select(F.col("b").alias("class"), F.struct(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"), F.lit(False).alias("is_centre"), F.col("b").alias("class")).alias("to"))
     centres = slices.select(F.col("a").alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).select("class", F.struct(F.col("class").alias("centre"), "slice", F.lit(True).alias("is_centre"), F.col("class").alias("class")).alias("to"))
-    rows = _wanted(docs, classes, members.unionByName(centres), many)
-    sets = rows.mapInArrow(partial(_send_sets, _SETS), "centre long, slice long, class long, is_centre boolean, shingles binary")
+    found = _wanted(rows, classes, members.unionByName(centres), many, scratch)
+    sets = found.mapInArrow(partial(_send_sets, _SETS), "centre long, slice long, class long, is_centre boolean, shingles binary")
     return sets.groupBy("centre", "slice").applyInArrow(_confirm, "a long, b long")
 
 
-def _other_centres(mixed: DataFrame, round_: int) -> DataFrame:
+def _other_centres(mixed: DataFrame, round_: int, scratch: C.Scratch) -> DataFrame:
     """In each bucket (band, class, root), edges from another centre to the classes of other components."""
     key = F.xxhash64(F.lit(round_), F.col("class"))
     centre = mixed.groupBy("band").agg(F.min(key).alias("key"))
     centre = mixed.select("band", key.alias("key"), F.col("class").alias("a"), F.col("root").alias("centre_root")).join(centre, ["band", "key"]).drop("key")
-    return mixed.join(C.materialize(centre, "centres"), "band").where("root <> centre_root").select("a", F.col("class").alias("b"))
+    return mixed.join(scratch.keep(centre, "centres"), "band").where("root <> centre_root").select("a", F.col("class").alias("b"))
 
 
-def _small_pairs(buckets: DataFrame) -> DataFrame:
+def _small_pairs(buckets: DataFrame, scratch: C.Scratch) -> DataFrame:
     """All pairs between components within small buckets: no bucket gives more than a fixed number."""
     lists = buckets.groupBy("band").agg(F.count("*").alias("n")).where(f"n BETWEEN 3 AND {SMALL_BUCKET}").select("band")
-    own = buckets.join(C.materialize(lists, "small-buckets"), "band").groupBy("band").agg(F.array_sort(F.collect_list(F.struct("class", "root"))).alias("own"))
+    own = buckets.join(scratch.keep(lists, "small-buckets"), "band").groupBy("band").agg(F.array_sort(F.collect_list(F.struct("class", "root"))).alias("own"))
     pair = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: (y["class"] > x["class"]) & (y["root"] != x["root"])), lambda y: F.struct(x["class"].alias("a"), y["class"].alias("b")))))
     return own.select(F.explode(pair).alias("p")).select("p.a", "p.b")
 
 
-def _mixed(members: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+def _mixed(members: DataFrame, roots: DataFrame, least: int, scratch: C.Scratch) -> DataFrame:
     """(band, class, root) of the buckets that hold several components and at least so many classes."""
     rooted = members.join(roots, members["class"] == roots["node"], "left").select("band", "class", F.coalesce("root", "class").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n >= {least}").select("band")
-    return C.materialize(rooted.join(C.materialize(mixed, "mixed"), "band"), "mixed-buckets")
+    return scratch.keep(rooted.join(scratch.keep(mixed, "mixed"), "band"), "mixed-buckets")
 
 
-def _tiles(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+def _tiles(mixed: DataFrame, classes: DataFrame, scratch: C.Scratch) -> DataFrame:
     """The classes of each two parts that meet. The largest component of a bucket has parts of its own, which don't meet one another."""
-    own = C.materialize(mixed.join(classes.select("class", "n_shingles"), "class"), "mixed-classes")
-    sizes = C.materialize(own.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "mixed-components")
+    own = scratch.keep(mixed.join(classes.select("class", "n_shingles"), "class"), "mixed-classes")
+    sizes = scratch.keep(own.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "mixed-components")
     largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     sizes = sizes.join(largest, "band").groupBy("band", "largest")
     is_largest = F.col("root") == F.col("largest")
     parts = lambda which: F.ceil(F.greatest(F.sum(F.when(which, F.col("n"))) / PART, F.sum(F.when(which, F.col("shingles"))) / PART_SHINGLES)).cast("long")
-    sizes = C.materialize(sizes.agg(parts(is_largest).alias("own_parts"), parts(~is_largest).alias("parts")), "parts")
+    sizes = scratch.keep(sizes.agg(parts(is_largest).alias("own_parts"), parts(~is_largest).alias("parts")), "parts")
     part = F.when(is_largest, F.col("parts") + F.pmod(F.xxhash64("class"), F.col("own_parts"))).otherwise(F.pmod(F.xxhash64("class"), F.col("parts")))
     dealt = own.join(sizes, "band").withColumn("part", part)
     last = F.col("parts") - 1 + F.when(is_largest, F.lit(0)).otherwise(F.col("own_parts"))
@@ -230,10 +248,10 @@ def _tiles(mixed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _likely_in_tile(group: pa.Table) -> pa.Table:
-    """The classes that sizes and bins don't rule out as links with another component's. A pair counts in the first bucket that it shares."""
+    """The classes that may be links with another component's. A pair counts in the first bucket that it shares."""
     band, n, root, part = (np.array(group.column(c), np.int64) for c in ("band", "n_shingles", "root", "part"))
     bands = np.array(group.column("bands").to_pylist(), np.int64)
-    bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint16).reshape(-1, BINS)
+    bins, filled = _sketches(group.column("bins"))
     two = part.min() < part.max()
     likely = np.zeros(len(n), bool)
     for k in range(len(n) - 1):
@@ -243,7 +261,7 @@ def _likely_in_tile(group: pa.Table) -> pa.Table:
             ok &= part[x] != part[k]
         at = k + 1 + np.flatnonzero(ok)
         at = at[bands[k][(bands[at] == bands[k]).argmax(axis=1)] == band[k]]
-        at = at[((bins[at] == bins[k]).mean(axis=1) >= LEAST_AGREED) | (np.minimum(n[at], n[k]) < BINS // 2)]
+        at = at[_may_link(n[at], n[k], (bins[at], filled[at]), (bins[k], filled[k]))]
         likely[at] = True
         likely[k] |= len(at) > 0
     return group.select(_LIKELY.names).filter(pa.array(likely))
@@ -278,57 +296,69 @@ def _linked_in_tile(group: pa.Table) -> pa.Table:
     return C.arrow(_LINKS, links)
 
 
-def _links_in_tiles(docs: DataFrame, classes: DataFrame, mixed: DataFrame) -> DataFrame:
+def _links_in_tiles(rows: DataFrame, classes: DataFrame, mixed: DataFrame, scratch: C.Scratch) -> DataFrame:
     """Links between the components of each bucket, as many as tie what belongs together."""
-    likely = _tiles(mixed, classes).groupBy("tile").applyInArrow(_likely_in_tile, "tile long, class long, root long, part long")
-    likely = C.materialize(likely, "likely")
-    rows = _wanted(docs, classes, likely.select("class", F.struct("tile", "class", "root", "part").alias("to")), False)
-    sets = rows.mapInArrow(partial(_send_sets, _TILES), "tile long, class long, root long, part long, shingles binary")
+    likely = _tiles(mixed, classes, scratch).groupBy("tile").applyInArrow(_likely_in_tile, "tile long, class long, root long, part long")
+    likely = scratch.keep(likely, "likely")
+    found = _wanted(rows, classes, likely.select("class", F.struct("tile", "class", "root", "part").alias("to")), False, scratch)
+    sets = found.mapInArrow(partial(_send_sets, _TILES), "tile long, class long, root long, part long, shingles binary")
     return sets.groupBy("tile").applyInArrow(_linked_in_tile, "a long, b long").distinct()
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_shingles, class) of every row, and (class, component_id, keeper, n_links) of every class."""
+def _numbered(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """n, row (all columns of docs) and a hash of the row, written once: from here on the numbers are fixed.
+
+    A hash can't be taken of maps; rows that differ in maps alone are told apart by their number.
+    """
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return scratch.keep(docs.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("row"), F.xxhash64(*own).alias("row_hash")), "rows")
+
+
+def _grouped(docs: DataFrame, scratch: C.Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The numbered rows, (n, doc_id, n_shingles, class) of each, and (class, keeper, component_id, n_links) of every class."""
     C.bounded_batches(docs.sparkSession)
-    rows = C.documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    features = C.materialize(rows.mapInArrow(_features, "doc_id long, text_hash long, n_shingles long, class long, bands array<long>, bins binary"), "features")
-    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    least = features.where("class IS NOT NULL").groupBy("class").agg(F.min(named).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
-    classes = C.materialize(least.select("class", "least", "least.doc_id", "least.text_hash", "n_shingles", "bands", "bins"), "classes")
+    rows = _numbered(docs, scratch)
+    texts = rows.select("n", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"), "row_hash", F.col("row.text").cast("binary").alias("text"))
+    features = scratch.keep(texts.mapInArrow(_features, "n long, doc_id long, text_hash long, row_hash long, n_shingles long, class long, bands array<long>, bins binary"), "features")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "row_hash", "n")
+    least = features.where("class IS NOT NULL").groupBy("class").agg(F.min(name).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
+    classes = scratch.keep(least, "classes")
 
     buckets = classes.select("class", F.explode("bands").alias("band"))
-    centres = C.materialize(buckets.groupBy("band").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "centres")
-    members = C.materialize(buckets.join(centres, "band"), "members")
-    tested = C.materialize(members.where("class <> a").select("a", F.col("class").alias("b")).distinct(), "candidates")
-    links = C.materialize(_confirmed(rows, classes, tested, True), "links")
-    roots = C.materialize(components(links), "roots")
+    centres = scratch.keep(buckets.groupBy("band").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "centres")
+    members = scratch.keep(buckets.join(centres, "band"), "members")
+    tested = scratch.keep(members.where("class <> a").select("a", F.col("class").alias("b")).distinct(), "candidates")
+    links = scratch.keep(_confirmed(rows, classes, tested, True, scratch), "links")
+    roots = components(links, scratch)
     for round_ in range(1, ROUNDS):
-        mixed = _mixed(members, roots, 3)
-        more = _other_centres(mixed, round_)
+        mixed = _mixed(members, roots, 3, scratch)
+        more = _other_centres(mixed, round_, scratch)
         if round_ == 1:
-            more = more.unionByName(_small_pairs(mixed))
+            more = more.unionByName(_small_pairs(mixed, scratch))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = C.materialize(more.join(done, ["a", "b"], "left_anti"), "candidates")
+        more = scratch.keep(more.join(done, ["a", "b"], "left_anti"), "candidates")
         if more.isEmpty():
             break
         tested = tested.unionByName(more)
-        found = C.materialize(_confirmed(rows, classes, more, False), "links")
+        found = scratch.keep(_confirmed(rows, classes, more, False, scratch), "links")
         if found.isEmpty():
             break
         links = links.unionByName(found)
-        roots = C.materialize(components(links), "roots")
-    mixed = _mixed(members, roots, SMALL_BUCKET + 1)  # of smaller buckets round 1 had all pairs
+        roots = components(links, scratch)
+    mixed = _mixed(members, roots, SMALL_BUCKET + 1, scratch)  # of smaller buckets round 1 had all pairs
     if not mixed.isEmpty():
-        links = links.unionByName(C.materialize(_links_in_tiles(rows, classes, mixed), "links"))
-        roots = C.materialize(components(links), "roots")
+        links = links.unionByName(scratch.keep(_links_in_tiles(rows, classes, mixed, scratch), "links"))
+        roots = components(links, scratch)
 
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("links"))
     own = classes.select("class", "least").join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    own = C.materialize(own, "own-roots")
-    smallest = C.materialize(own.groupBy("root").agg(F.min("least").alias("keeper")), "components")
+    own = scratch.keep(own, "own-roots")
+    smallest = scratch.keep(own.groupBy("root").agg(F.min("least").alias("keeper")), "components")
     grouped = own.join(smallest, "root").join(degree, own["class"] == degree["a"], "left")
-    return features, C.materialize(grouped.select("class", F.col("keeper.doc_id").alias("component_id"), "keeper", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), "grouped-classes")
+    grouped = scratch.keep(grouped.select("class", "keeper", F.col("keeper.doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), "grouped-classes")
+    scratch.drop_but(rows, features, grouped)
+    return rows, features.select("n", "doc_id", "n_shingles", "class"), grouped
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -337,26 +367,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A-Z in lower case, words without white space, sets of distinct shingles of five words; shorter texts
     are one shingle, and a text without words (null ones too) has none and is linked with nothing.
     component_id is the smallest id reachable over links, kept says whether it is the row's own, and
-    n_links counts the confirmed links of the row's class to other classes.
+    n_links counts the confirmed links of the row's class to other classes; pairs that others link aren't all confirmed.
 
     Rows with a null id take part and may be linked; they are kept only if nothing that they reach has
-    an id. Rows that share an id are told apart by their texts. An empty table gives no rows. Columns
+    an id. Rows that share an id are documents of their own. An empty table gives no rows. Columns
     other than doc_id and text are not read. A class is named by a 64-bit hash of its set.
     """
-    features, classes = _grouped(docs)
-    out = features.select("doc_id", "n_shingles", "class").join(classes, "class", "left")
+    scratch = C.Scratch(docs.sparkSession)
+    rows, features, classes = _grouped(docs.select("doc_id", "text"), scratch)
+    scratch.drop(rows)
+    out = features.join(classes, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates, that with the smallest id; texts without words all stay."""
-    features, classes = _grouped(docs)
-    out = features.select("doc_id", "text_hash", "class").join(classes.select("class", "keeper"), "class", "left")
-    kept = out.where((F.col("class").isNull()) | (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))))
-    kept = C.materialize(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), F.col("class").isNull().alias("wordless")).distinct(), "kept")
-    rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.col("row.text").cast("binary")) == F.col("kept_hash")))
-    once = rows.groupBy("kept_id", "kept_hash").agg(F.first("wordless").alias("wordless"), F.count("*").alias("n"), F.first("row").alias("row"))
-    again = F.when(F.col("wordless"), F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array(F.lit(1)))
-    return once.select("row", F.explode(again).alias("copy")).select("row.*").select(docs.columns)
+    """docs with one row of each group of near duplicates, as it is in all its columns; rows without words all stay.
+
+    It is the row with the smallest id, a null id being larger than all; of several with that id the one whose text, then
+    whose row has the smallest hash, and of equal rows any. An empty table gives no rows. Columns may have any names.
+    """
+    rows, features, classes = _grouped(docs, C.Scratch(docs.sparkSession))
+    kept = classes.select(F.col("keeper.n").alias("kept_n")).distinct().unionByName(features.where("class IS NULL").select(F.col("n").alias("kept_n")))
+    return rows.join(kept, F.col("n") == F.col("kept_n"), "left_semi").select("row.*")

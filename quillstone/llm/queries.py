@@ -95,15 +95,16 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.reached)
         SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept
         FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
-    # A window of three lines that begins earlier too takes its lines with it.
+    # A window of three lines, or a line of 150 characters, that begins earlier too takes its lines with it.
     "op10_line_winnowing": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
         l AS (SELECT doc_id, unnest(raw) AS line, unnest(range(1, len(raw) + 1)) AS i FROM d),
         f AS (SELECT doc_id, i, line, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM l),
         n AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f WHERE t <> ''),
         w AS (SELECT doc_id, k, t || chr(10) || lead(t, 1) OVER o || chr(10) || lead(t, 2) OVER o AS w FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-        r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) > 1 AS again FROM w WHERE w IS NOT NULL),
-        g AS (SELECT DISTINCT doc_id, k + j AS k FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE again),
+        v AS (SELECT doc_id, k, w, 3 AS size FROM w WHERE w IS NOT NULL UNION ALL SELECT doc_id, k, t, 1 FROM n WHERE length(t) >= 150),
+        r AS (SELECT doc_id, k, size, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) > 1 AS again FROM v),
+        g AS (SELECT DISTINCT doc_id, k + j AS k FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE again AND j < size),
         x AS (SELECT f.doc_id, f.i, f.line, n.k IS NOT NULL AS full_line, g.k IS NOT NULL AS gone
               FROM f LEFT JOIN n ON n.doc_id = f.doc_id AND n.i = f.i LEFT JOIN g ON g.doc_id = n.doc_id AND g.k = n.k)
         SELECT doc_id, CAST(count(*) FILTER (full_line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,

@@ -1,10 +1,13 @@
 """Secret scans that link the parts of a credential. DataFrame operations only.
 
 Three kinds of spans count by themselves: assignments, access identifiers and long hexadecimal runs. Weak
-candidates (other identifiers, bare keys of mixed characters, endpoints) are reported only if a part
-that completes them lies in their scope, the characters within `reach` of them. The parts of a text are
-sorted by position, and what ends last before a part and begins first after it decides whether one of
-each class lies in its scope: an interval join without pairs, linear in the parts but for the sort.
+candidates (endpoints, other identifiers, bare keys of mixed characters) are reported only if a part
+that completes them lies in their scope, the characters within `reach` of them. The same characters are one part
+only: a weak candidate that overlaps a base span, or a weak one of a kind named before its own, is left to that, and
+an access identifier that is itself assigned as a secret completes nothing. So the parts that complete each other are disjoint.
+
+The parts of a text are sorted by position, and what ends last before a part and begins first after it decides
+whether one of each class overlaps it or lies in its scope: an interval join without pairs, linear in the parts but for the sort.
 
 Offsets come from the lengths of what lies between matches: `split` and `regexp_extract_all` see the
 same matches. Texts aren't moved; one row per document and one per match are, once.
@@ -26,7 +29,7 @@ PATTERNS: tuple[tuple[str, str, str], ...] = (
     ("access", r"AKIA[A-Z0-9]+", "identifier"),
     ("hex", r"[0-9a-f]{32,}", "secret"),
     ("id", r"""(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}|(?:[cC]lient|[aA]ccount|[uU]ser|[lL]ogin|[kK]ey)_?(?:[iI][dD]|[nN]ame)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", "identifier"),
-    ("key", rf"(?<!{_KEY})(?={_KEY}{{20}})(?={_KEY}*[0-9])(?={_KEY}*[A-Z])(?={_KEY}*[a-z]){_KEY}+", "secret"),
+    ("key", rf"{_KEY}{{20,}}", "secret"),
     ("host", r"""(?:https?|s3|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|[a-z0-9.-]+\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)""", "endpoint"),
 )
 KINDS = tuple(k for k, _, _ in PATTERNS)
@@ -44,6 +47,8 @@ def _matches(text: Column, kind: int) -> Column:
     def counts(match: Column) -> Column:
         if name == "assign":
             return F.length(F.regexp_extract(match, pattern, 2)) >= 8
+        if name == "key":
+            return F.rlike(match, F.lit("[0-9]")) & F.rlike(match, F.lit("[A-Z]")) & F.rlike(match, F.lit("[a-z]"))
         return F.length(match) >= 16 if name == "access" else F.lit(True)
 
     part = lambda m, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), F.length(F.get(between, i)).alias("gap"), F.length(m).alias("n"), counts(m).alias("counts"))
@@ -55,15 +60,32 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, text), ",")
 
 
+def _of_kinds(*kinds: str) -> Column:
+    return F.col("kind").isin([KINDS.index(k) for k in kinds])
+
+
+def _extremes(spans: DataFrame, classes: dict[str, Column]) -> DataFrame:
+    """Of each class, what ends last of the parts sorted before a part, and what begins first of those after it: running extremes in both orders."""
+    of = Window.partitionBy("row")
+    before = of.orderBy("start", "kind", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    after = of.orderBy(F.desc("start"), F.desc("kind"), F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumns({f"{c}_before": F.max(F.when(is_c, F.col("stop"))).over(before) for c, is_c in classes.items()})
+    return spans.withColumns({f"{c}_after": F.min(F.when(is_c, F.col("start"))).over(after) for c, is_c in classes.items()})
+
+
+def _overlaps(c: str) -> Column:
+    return F.coalesce(F.col(f"{c}_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col(f"{c}_after") < F.col("stop"), F.lit(False))
+
+
 def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_linked of every row.
 
-    Spans are kind:start:stop in code points, stop exclusive, in the order of start and kind. A weak
-    candidate that overlaps a span of the three base kinds is left to that span. An identifier needs a
+    Spans are kind:start:stop in code points, stop exclusive, in the order of start and kind. An identifier needs a
     secret in its scope, a bare key an identifier or an endpoint, an endpoint both a secret and an identifier.
 
     A null or empty text has no spans; a null id stays null; equal rows and repeated ids are scanned each
-    on their own; an empty table gives no rows. Columns other than doc_id and text are not read.
+    on their own; texts of any length are scanned whole; an empty table gives no rows. Columns other than doc_id and
+    text are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -74,18 +96,15 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     by_kind = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     spans = parts.withColumn("stop", F.sum(F.col("gap") + F.col("n")).over(by_kind)).withColumn("start", F.col("stop") - F.col("n")).where("counts")
 
-    # What ends last before a part, and begins first after it: running extremes in both orders.
-    of = Window.partitionBy("row")
-    before = of.orderBy("start", "kind", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    after = of.orderBy(F.desc("start"), F.desc("kind"), F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
-    classes = {c: F.col("kind").isin([k for k in range(len(KINDS)) if _CLASS[k] == c]) for c in ("secret", "identifier", "endpoint")}
-    classes["base"] = (F.col("kind") >= 0) & (F.col("kind") < BASE)
-    spans = spans.withColumns({f"{c}_before": F.max(F.when(is_c, F.col("stop"))).over(before) for c, is_c in classes.items()})
-    spans = spans.withColumns({f"{c}_after": F.min(F.when(is_c, F.col("start"))).over(after) for c, is_c in classes.items()})
+    spans = _extremes(spans, {"base": _of_kinds(*KINDS[:BASE]), "assigned": _of_kinds("assign", "hex"), "host": _of_kinds("host"), "id": _of_kinds("id")})
+    left_to_others = F.when(_of_kinds("host"), _overlaps("base")).when(_of_kinds("id"), _overlaps("base") | _overlaps("host")).when(_of_kinds("key"), _overlaps("base") | _overlaps("host") | _overlaps("id")).otherwise(False)
+    spans = spans.where(~left_to_others).select("row", "doc_id", "kind", "start", "stop", (_of_kinds("access") & _overlaps("assigned")).alias("idle"))
+
+    classes = {c: F.col("kind").isin([k for k in range(len(KINDS)) if _CLASS[k] == c]) & ~F.col("idle") for c in ("secret", "identifier", "endpoint")}
+    spans = _extremes(spans, classes)
     near = lambda c: F.coalesce(F.col("start") - F.col(f"{c}_before") <= reach, F.lit(False)) | F.coalesce(F.col(f"{c}_after") - F.col("stop") <= reach, F.lit(False))
-    overlaps = F.coalesce(F.col("base_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("base_after") < F.col("stop"), F.lit(False))
-    complete = F.when(F.col("kind") == KINDS.index("id"), near("secret")).when(F.col("kind") == KINDS.index("key"), near("identifier") | near("endpoint")).when(F.col("kind") == KINDS.index("host"), near("secret") & near("identifier"))
-    kept = spans.where(F.coalesce(F.col("kind") < BASE, F.lit(True)) | (complete & ~overlaps))
+    complete = F.when(_of_kinds("id"), near("secret")).when(_of_kinds("key"), near("identifier") | near("endpoint")).when(_of_kinds("host"), near("secret") & near("identifier")).otherwise(True)
+    kept = spans.where(complete)
 
     is_span = F.col("kind") >= 0
     found = kept.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(is_span, F.struct("start", "kind", "stop")))).alias("found"))

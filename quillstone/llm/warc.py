@@ -352,7 +352,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 100, date: str =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     firsts = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    firsts = C.materialize(firsts, "first-pages")  # both sides of the join are then exchanges, and a frequent payload is split
+    scratch = C.Scratch(spark)
+    firsts = scratch.keep(firsts, "first-pages")  # both sides of the join are then exchanges, and a frequent payload is split
     found = rows.join(firsts, "payload_digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -360,7 +361,7 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 100, date: str =
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), name(F.col("page_id")).alias("record_id"), "target_uri", F.lit(date).alias("date"),
         F.when(revisit, name(F.col("first"))).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"),
     ).write.format("warc").mode("append").save(path)
-    C.discard(firsts)
+    scratch.drop(firsts)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -176,33 +176,80 @@ def test_quality_verdicts(spark, docs, empty):
 def test_forest_sets_outliers_apart():
     rng = np.random.default_rng(0)
     points = np.concatenate((rng.normal(0, 1, (500, 3)), [[9, 9, 9]]))
-    scores = quality.Forest(points).scores(points)
+    scores = quality.Forest(points[:500], points.min(axis=0), points.max(axis=0)).scores(points)
     assert scores[-1] == scores.max() > 0.6 > np.median(scores)
 
 
+def brute_score(forest, point):
+    """The mean path down all trees, a node at a time."""
+    paths = []
+    for root in forest.roots:
+        at = root
+        while forest.feature[at] >= 0:
+            at = forest.left[at] if point[forest.feature[at]] <= forest.split[at] else forest.right[at]
+        paths.append(forest.path[at])
+    return 2.0 ** (-np.mean(paths) / forest.usual)
+
+
+def brute_threshold(scores, good, share):
+    """All thresholds that reject no more than the share of the good; of those that reject most of the bad the highest kind."""
+    options = [t for t in [*scores, max(scores)] if sum(s > t for s, g in zip(scores, good, strict=True) if g) <= int(share * sum(good))]
+    most = max(sum(s > t for s, g in zip(scores, good, strict=True) if not g) for t in options)
+    return most, {k for k, (s, g) in enumerate(zip(scores, good, strict=True)) if not g and s > min(options)}
+
+
+def test_quality_verdict_is_that_of_plain_trees(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(200)}" + ("$" * rng.randrange(3) if i % 5 == 0 else "") for _ in range(rng.randint(30, 150))) for i in range(400)]
+    texts += [None, "", "a b c " * 40, "#" * 4000, ("word " * 60 + "\n") * 3]
+    own = spark.createDataFrame([*enumerate(texts), (0, texts[1]), (None, texts[2])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    judge = quality.fit(own, labels, most_good_rejected=0.05)
+    assert judge.forest is not None
+    got = Counter((r.doc_id, r.base_failed, round(r.anomaly, 9), r.kept) for r in quality.judge_documents(own, labels, most_good_rejected=0.05).collect())
+    want = Counter()
+    for i, t in [*enumerate(texts), (0, texts[1]), (None, texts[2])]:
+        n, _, _, _, repeats = brute_statistics(t)
+        failed = n < 50 or 100 * repeats > 50 * n
+        score = brute_score(judge.forest, quality.statistics([t and t.encode()])[1][0])
+        want[i, failed, round(score, 9), not failed and score <= judge.threshold] += 1
+    assert got == want
+    assert sum(n for (i, failed, _, kept), n in got.items() if not failed and not kept) > 20
+
+
+def test_threshold_is_calibrated():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        scores, good = np.round(rng.random(60), 2), rng.random(60) < 0.7
+        good[:2] = True, False
+        at = quality.threshold(scores, good, 0.1)
+        most, _ = brute_threshold(scores, good, 0.1)
+        assert (scores[~good] > at).sum() == most and (scores[good] > at).sum() <= int(0.1 * good.sum())
+
+
 # --- op3
 
 
-def brute_secrets(text, reach=secrets.REACH):
+def brute_secrets(text, reach=200):
+    """Patterns and rules written anew: base spans, then weak ones that stand alone and have a part beside them."""
     text = text or ""
-    found = []
-    for k, (name, pattern, _) in enumerate(secrets.PATTERNS):
-        for m in re.finditer(pattern, text):
-            if (name != "assign" or len(m[2]) >= 8) and (name != "access" or len(m[0]) >= 16):
-                found.append((m.start(), k, m.end()))
-    found.sort()
-    out = []
-    for x in found:
-        a, k, b = x
-        gap = lambda y, x=x, a=a, b=b: a - y[2] if y < x else y[0] - b
-        near = lambda c, x=x, gap=gap: any(secrets.PATTERNS[y[1]][2] == c and gap(y) <= reach for y in found if y != x)
-        clear = not any(y[1] < secrets.BASE and gap(y) < 0 for y in found if y != x)
-        name = secrets.KINDS[k]
-        if k < secrets.BASE or clear and (near("secret") if name == "id" else near("identifier") or near("endpoint") if name == "key" else near("secret") and near("identifier")):
-            out.append(x)
-    joined = lambda xs: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in xs)
-    base = [x for x in out if x[1] < secrets.BASE]
-    return *(sum(k == n for _, k, _ in out) for n in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(out), len(out) - len(base)
+    base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    names = r"(?:[cC]lient|[aA]ccount|[uU]ser|[lL]ogin|[kK]ey)_?(?:[iI][dD]|[nN]ame)"
+    ids = [(m.start(), 3, m.end()) for m in re.finditer(rf"""A(?:SIA|IDA|ROA|GPA|NPA)[A-Z0-9]{{12,}}|{names}["']? *[:=] *["']?[A-Za-z0-9@._-]{{3,}}""", text)]
+    keys = [(m.start(), 4, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= 20 and all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    hosts = [(m.start(), 5, m.end()) for m in re.finditer(r"""(?:https?|s3|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|[a-z0-9.-]+\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)""", text)]
+    cross = lambda x, ys: any(y[0] < x[2] and x[0] < y[2] for y in ys)
+    weak = [x for x in hosts if not cross(x, base)] + [x for x in ids if not cross(x, base + hosts)] + [x for x in keys if not cross(x, base + hosts + ids)]
+    parts = {"secret": [x for x in base if x[1] != 1], "identifier": [x for x in base if x[1] == 1 and not cross(x, [y for y in base if y[1] != 1])], "endpoint": []}
+    for x in weak:
+        parts[{3: "identifier", 4: "secret", 5: "endpoint"}[x[1]]].append(x)
+    near = lambda x, c: any(-1 < (x[0] - y[2] if y[2] <= x[0] else y[0] - x[2]) <= reach for y in parts[c] if not cross(x, [y]))
+    rule = {3: lambda x: near(x, "secret"), 4: lambda x: near(x, "identifier") or near(x, "endpoint"), 5: lambda x: near(x, "secret") and near(x, "identifier")}
+    found = sorted(base + [x for x in weak if rule[x[1]](x)])
+    joined = lambda xs: ",".join(f"{('assign', 'access', 'hex', 'id', 'key', 'host')[k]}:{a}:{b}" for a, k, b in xs)
+    return *(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(joined(sorted(base)).encode()).hexdigest(), joined(found), len(found) - len(base)
 
 
 def test_secrets(spark, docs, rows, empty):
@@ -210,11 +257,14 @@ def test_secrets(spark, docs, rows, empty):
     texts = [
         f"é日 password = 'abcdefgh1' and {access} then {'0a' * 20}", f"{access} near {key} and https://host.example/x", f"{key} alone", "https://alone.example/x", f"client_id: bob42 {'x ' * 150} {key}",
         f"client_id: bob42 {key} db at s3://bucket/key", "token=secret=short password: token: abcdefghijk", "api-key=abcdefghij apikey:abcdefghij API_KEY = 1234567", f"secret={key}", "AKIA123 AKIAAKIAAKIAAKIA", f"user_name=joe {'ab12' * 10} " * 40, "",
+        "user_name=JohnSmith1234567890abcd", f"see https://host.example/{key}/index for more", f"token={access} https://host.example/a", f"https://h.example/?user_id=bob42&x=1 {key} {access}", f"x{key}{key} user_id=ann42", "y" * 30_000 + f" {access} {key} " + "z9Z" * 9000,
     ]
     own = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1])], "doc_id long, text string")
     got = Counter(tuple(r) for r in secrets.find_secrets(own).collect())
     assert got == Counter((i, *brute_secrets(t)) for i, t in [*enumerate(texts), (0, texts[0]), (None, texts[1])])
     assert sum(r[-1] for r in got) > 5
+    linked = {r[0]: r[-1] for r in got if r[0] is not None}
+    assert linked[12] == linked[13] == linked[14] == 0, "what completes a part must not be the part itself"
     assert Counter(tuple(r) for r in secrets.find_secrets(docs).collect()) == Counter((i, *brute_secrets(t)) for i, t in rows)
     assert secrets.find_secrets(empty).collect() == []
 
@@ -300,6 +350,57 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.find_leaks(empty, bench).collect() == [] and decontaminate.find_leaks(docs, bench.limit(0)).collect() == []
 
 
+def brute_leaks(items, texts, passage_words=128, threshold=0.6, least=0.5):
+    """Every item against every passage, over all items' statistics."""
+    items = sorted({(i, t) for i, t in items if i is not None and decontaminate.words_of(t)})
+    words = re.compile(r"\w+")
+    longest = max(len(words.findall(t)) for _, t in items)
+    half = max(passage_words, 2 * longest) // 2
+    keys = [f"{i} {t}" for i, t in items]
+
+    def share(part, passage):
+        n = 3 if len(part) >= 8 else 2 if len(part) >= 5 else 1
+        own = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
+        return len([x for x in own if any(tuple(passage[k : k + n]) == x for k in range(len(passage)))]) / len(own)
+
+    out = Counter()
+    for d, t in texts:
+        w = words.findall((t or "").lower())
+        best = {}
+        for at in range(0, max(1, len(w)), half):
+            passage = w[at : at + 2 * half]
+            for key, score in brute_scores(list(zip(keys, [x for _, x in items], strict=True)), set(passage), threshold - 1e-9).items():
+                item, text = items[keys.index(key)]
+                question, answer = decontaminate.question_and_answer(text)
+                if share(question, passage) >= least and share(answer, passage) >= least and round(score, 9) > best.get(key, (0, 0, 0))[0]:
+                    best[key] = round(score, 9), item, at
+        out.update((d, item, score, at) for score, item, at in best.values())
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 1500, 300])
+def test_leaks_are_the_same_however_items_are_cut(spark, shard_bytes):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(400)]
+    pick = lambda n: [vocabulary[min(399, int(rng.expovariate(0.01)))] for _ in range(n)]
+    items = [(i, " ".join(pick(rng.randint(12, 40)))) for i in range(60)] + [(60, "one two three four five six. seven eight nine ten eleven")]
+    texts = []
+    for i, t in items:  # copies from whole to half, around the threshold
+        w = t.split(" ")
+        for share in (1, 0.85, 0.75, 0.65, 0.55):
+            gone = set(rng.sample(range(len(w)), int((1 - share) * len(w))))
+            texts.append((len(texts), " ".join([*pick(rng.randint(0, 300)), *(f"other{rng.random()}" if k in gone else x for k, x in enumerate(w)), *pick(30)])))
+    texts += [(3, texts[3][1]), (None, items[0][1]), (900, None), (901, ""), (902, "long " * 40_000 + items[5][1])]
+    own = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([*items, items[0], (None, "no id at all in here"), (70, None), (71, "?!")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, round(r.score, 9), r.first_word) for r in decontaminate.find_leaks(own, bench, shard_bytes=shard_bytes).collect())
+    assert got == brute_leaks(items, texts)
+    assert 80 < len(got) < 290
+    left = Counter((r.doc_id, r.text) for r in decontaminate.without_leaks(own, bench, shard_bytes=shard_bytes).collect())
+    leaked = Counter(d for d, *_ in brute_leaks(items, texts))
+    assert left == Counter((d, t) for d, t in texts if d not in leaked)
+
+
 # --- op6
 
 
@@ -319,12 +420,50 @@ def test_viterbi_is_optimal():
     for n in range(1, 6):
         some = ["".join(x) for x in itertools.product("ab z", repeat=n)]
         found = own._solve(some)
-        for word, ids in zip(some, found, strict=True):
-            assert ids == own._solve_long(word)
+        for word, ids, same in zip(some, found, own._solve_long(some), strict=True):
+            assert ids == same
             want = [own.pieces[p][0] if p in own.pieces else p.encode()[0] for p in best(word)[1]]
             assert ids == want, word
 
 
+def plain_search(own, word):
+    """One word, a character at a time."""
+    sums, back, ids = [0], [0], [None]
+    for j in range(1, len(word) + 1):
+        options = [(sums[i] + own.pieces[word[i:j]][1], -i, own.pieces[word[i:j]][0]) for i in range(max(0, j - own.longest), j) if word[i:j] in own.pieces]
+        options.append((sums[-1] + own.unknown, -j, None))
+        best = max(options, key=lambda x: x[:2])
+        sums.append(best[0])
+        back.append(-best[1] if best[2] is not None else j - 1)
+        ids.append(best[2])
+    out, j = [], len(word)
+    while j:
+        out = ([ids[j]] if ids[j] is not None else [own.byte_ids[b] for b in word[back[j] : j].encode()]) + out
+        j = back[j]
+    return out
+
+
+def test_long_words_by_stretches(monkeypatch):
+    """Stretches give what one search from the word's begin gives, whatever they meet."""
+    rng = random.Random(6)
+    monkeypatch.setattr(pieces, "LONGEST_TOGETHER", 7)
+    toy = pieces.Pieces({p: (k + 300, s) for k, (p, s) in enumerate({"a": -1.0, "b": -1.5, "ab": -2.0, "ba": -2.5, "aba": -3.5, "▁": -1.0, "bb": -3.0, "aaaa": -4.0}.items())}, list(range(256)))
+    some = ["".join(rng.choice("ab z") for _ in range(rng.randint(1, 90))) for _ in range(300)] + ["a" * 200, "ab" * 99, "z" * 70]
+    assert toy._solve_long(some) == [plain_search(toy, w) for w in some]
+    monkeypatch.setattr(pieces, "LONGEST_TOGETHER", 96)
+    real = pieces.encoder_at("piece_bpe_32k.model").pieces
+    some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(97, 900))) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdefABCDEF+/=", "the日本é", "-=") for _ in range(5)] + ["-" * 1500, "word" * 300]
+    assert real._solve_long(some) == [plain_search(real, w) for w in some]
+
+
+def test_decode_is_the_inverse(spark, docs, rows):
+    encoded = pieces.encode_documents(docs)
+    got = Counter((r.doc_id, r.text) for r in pieces.decode_documents(encoded).collect())
+    assert got == Counter((i, t or "") for i, t in rows)
+    odd = spark.createDataFrame([(1, None), (2, []), (None, [10**6])], "doc_id long, ids array<int>")
+    assert Counter((r.doc_id, r.text) for r in pieces.decode_documents(odd).collect()) == Counter([(1, None), (2, ""), (None, "")])
+
+
 def test_pieces_round_trip(docs, rows, empty):
     got = pieces.encode_documents(docs).collect()
     assert Counter((r.doc_id, r.n_tokens == len(r.ids), r.round_trip) for r in got) == Counter((i, True, True) for i, _ in rows)
@@ -482,6 +621,51 @@ def test_near_duplicates(docs, rows, empty):
     assert {i for i, _, _, k in brute_near(rows) if k} <= set(kept)
 
 
+def test_kept_rows_stay_as_they_are(spark):
+    """Rows without words all stay with their own columns; of equal rows one stays, of rows with one id and text always the same."""
+    rows = [(None, "", "en", "s1"), (None, "", "fr", "s2"), (None, None, "de", "s3"), (7, " \n", "en", "s4"), (7, " \n", "en", "s4"), (1, "a b c", "x", "y"), (1, "a b c", "x", "y"), (1, "a b c", "v", "w"), (2, "A B C", "x", "y"), (None, "a B c", "n", "n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n string, row string")
+    seen = set()
+    for parts in (1, 3, 4):
+        got = Counter(tuple(r) for r in near_dedup.keep_one_of_each(frame.repartition(parts)).collect())
+        assert sum(got.values()) == 6 and sum((got & Counter(rows[:5])).values()) == 5
+        seen |= set(got - Counter(rows[:5]))
+    assert len(seen) == 1 and next(iter(seen))[0] == 1
+
+
+def test_pairs_within_a_template(spark):
+    """Documents of one template in pairs: only the two of a pair are links, though all share their buckets."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, rows = fresh(150), []
+    for pair in range(150):
+        both = fresh(30)
+        for k in range(2):
+            rows.append((2 * pair + k, " ".join([*template, *both, *fresh(24)])))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows)
+    assert sum(r.kept for r in got) == 150
+
+
+def test_sketches_rule_out_no_link():
+    """What sizes and bins rule out is below the similarity."""
+    rng = np.random.default_rng(2)
+    out = 0
+    for _ in range(600):
+        pool = np.unique(rng.integers(0, 2**64, int(rng.integers(2, 700)), dtype=np.uint64))
+        share = rng.uniform(0.3, 1)
+        a, b = (np.sort(pool[rng.random(len(pool)) < s]) for s in (share, rng.uniform(0.3, 1)))
+        if not len(a) or not len(b):
+            continue
+        bins, filled = near_dedup.bins_of([a, b])
+        low = C.scramble(bins) & np.uint64(0xFFFF)
+        may = near_dedup._may_link(np.array([len(a)]), np.array([len(b)]), (low[:1], filled[:1]), (low[1:], filled[1:]))[0]
+        both = len(np.intersect1d(a, b))
+        out += not may
+        assert may or 100 * both < near_dedup.PERCENT * (len(a) + len(b) - both)
+    assert out > 100
+
+
 def test_many_near_copies(spark):
     """A large group in which many pairs aren't linked by themselves."""
     rng = random.Random(4)
@@ -519,7 +703,7 @@ def test_densified_bins_estimate_similarity():
         for _ in range(60):
             pool = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
             a, b = pool[: int(0.9 * len(pool))], pool[int(0.1 * len(pool)) :]
-            bins = near_dedup.bins_of([a, b])
+            bins, _ = near_dedup.bins_of([a, b])
             errors.append((bins[0] == bins[1]).mean() - len(np.intersect1d(a, b)) / len(pool))
         assert abs(np.mean(errors)) < 0.04
 
@@ -534,19 +718,24 @@ def test_components(spark):
 # --- op10
 
 
-def brute_lines(rows, run):
+def brute_lines(rows, run, long=line_dedup.LONG):
+    """Windows of lines, and long lines by themselves, that were there before."""
     blank = " \t\r\x0b\f"
     ranked = sorted({r for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, out = set(), {}
     for i, t in ranked:
         lines = (t or "").split("\n")
         full = [k for k, x in enumerate(lines) if x.strip(blank)]
+        bare = {k: lines[k].strip(blank) for k in full}
         gone = set()
-        for k in range(len(full) - run + 1):
-            g = tuple(lines[j].strip(blank) for j in full[k : k + run])
-            if g in seen:
-                gone |= set(full[k : k + run])
-            seen.add(g)
+        for at in range(len(full)):
+            for n in {1, run} if len(bare[full[at]]) >= long else {run}:
+                own = full[at : at + n]
+                if len(own) == n:
+                    g = tuple(bare[j] for j in own)
+                    if g in seen:
+                        gone |= set(own)
+                    seen.add(g)
         out[i, t] = (i, len(full), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return Counter(out[r] for r in rows)
 
@@ -554,12 +743,12 @@ def brute_lines(rows, run):
 def test_line_dedup(spark, docs, rows, empty):
     rng = random.Random(9)
     block = "\n".join(f"line {k}" for k in range(5))
-    texts = ["\n".join(rng.choice(["a", "b", "c", " a ", "", "\t"]) for _ in range(rng.randint(0, 25))) for _ in range(30)] + [block, "x\n" + block + "\ny", block + "\n" + block, None, ""]
+    texts = ["\n".join(rng.choice(["a", "b", "c", " a ", "", "\t", "twelve chars", " twelve chars"]) for _ in range(rng.randint(0, 25))) for _ in range(40)] + [block, "x\n" + block + "\ny", block + "\n" + block, None, "", "\n".join(f"{k % 700} of a very long document" for k in range(20_000))]
     own = [*enumerate(texts), (3, texts[3]), (None, block)]
     frame = spark.createDataFrame([(i, t, len(t or ""), "z") for i, t in own], "doc_id long, text string, n_chars long, at string").repartition(3)
-    for run in (2, 3):
-        got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(frame, run).collect())
-        assert got == brute_lines(own, run)
+    for run, long in ((2, 150), (3, 150), (3, 12), (4, 12), (1, 150)):
+        got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(frame, run, long).collect())
+        assert got == brute_lines(own, run, long), (run, long)
     left = line_dedup.without_repeated_lines(frame)
     assert left.columns == frame.columns
     want = Counter((i, t) for i, n, gone, t in brute_lines(own, 3).elements() if not gone or gone < n)
@@ -570,6 +759,15 @@ def test_line_dedup(spark, docs, rows, empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def test_a_line_in_many_surroundings(spark):
+    """Runs around one frequent line: the first place of the line has other neighbours than most."""
+    rng = random.Random(13)
+    rows = [(i, "\n".join(x for _ in range(6) for x in (f"n{rng.randrange(6)}", "AAA", f"m{rng.randrange(6)}", f"own {rng.random()}"))) for i in range(80)]
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_lines(rows, 3)
+    assert sum(r[2] for r in got) > 500
+
+
 # --- shared
 
 
