@@ -8,13 +8,13 @@ their similarity. Documents with equal sets are one class from here on.
 Bands of 4 bins are buckets. In each bucket one class is the centre, and only edges from the centre to
 the others become candidates, so a bucket of n classes gives n-1 of them. Candidates that sizes and bins prove not to be
 links are dropped; the others are confirmed on the full sets. Buckets that still hold several components get
-other centres in further rounds, small ones all their pairs. In the buckets that are mixed even then all
+another centre, small ones all their pairs. In the buckets that are mixed even then all
 pairs between components are compared: a bucket is dealt into parts of a bounded size, and each two parts
 that hold several components meet in a tile. So every two classes that share a bucket are compared or linked
 by others.
 
 Nothing is collected. Rows are numbered once, when they are written; a class is compared by the set of one of its rows,
-so copies are never sent. A centre with many members is confirmed in slices of a bounded number of members and shingles.
+so copies are never sent. The sets of classes that share a bucket are written once, in one pass over the texts. A centre with many members is confirmed in slices of a bounded number of members and shingles.
 """
 
 from __future__ import annotations
@@ -39,19 +39,16 @@ BINS, ROWS = 128, 4
 SMALL_BUCKET = 8
 #: Members, and their shingles, that are confirmed against one copy of a centre, about.
 SLICE, SLICE_SHINGLES = 500, 2 << 20
-#: Rounds of centres; what they leave mixed is compared in tiles.
-ROUNDS = 3
 #: Classes, and shingles, in a part of a large mixed bucket, about.
-PART, PART_SHINGLES = 250, 1 << 20
+PART, PART_SHINGLES = 2000, 1 << 20
 
 _NAMES = [("n", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("row_hash", pa.int64())]
 _FEATURES = pa.schema([*_NAMES, ("n_shingles", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("bins", pa.binary())])
 _SKETCH = np.dtype([("bins", "<u2", BINS), ("filled", "u1", BINS // 8)])
-_SETS = pa.schema([("centre", pa.int64()), ("slice", pa.int64()), ("class", pa.int64()), ("is_centre", pa.bool_()), ("shingles", pa.binary())])
+_SETS = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SIZED = pa.schema([*_LINKS, ("n", pa.int64())])
 _LIKELY = pa.schema([("tile", pa.int64()), ("class", pa.int64()), ("root", pa.int64()), ("part", pa.int64())])
-_TILES = pa.schema([*_LIKELY, ("shingles", pa.binary())])
 
 
 def _borrowed(attempts: int = 64) -> np.ndarray:
@@ -149,22 +146,9 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield C.batch(_SIZED, kept.column("centre"), kept.column("member"), kept.column("n_member"))
 
 
-def _send_sets(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of a class, once for each of the places that it is sent to: the schema without the set."""
+def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for data in batches:
-        sets = shingle_sets(data.column("text").to_pylist())
-        rows = []
-        size = 0
-        for s, to in zip(sets, data.column("to").to_pylist(), strict=True):
-            own, packed = _class(s) if len(s) else None, C.pack_sorted(s)
-            for t in to:
-                if own == t["class"]:
-                    rows.append((*(t[c] for c in schema.names[:-1]), packed))
-                    size += len(packed)
-                if size > 8 << 20:
-                    yield from C.arrow(schema, rows).to_batches()
-                    rows, size = [], 0
-        yield from C.arrow(schema, rows).to_batches()
+        yield C.batch(_SETS, data.column("class"), [C.pack_sorted(s) for s in shingle_sets(data.column("text").to_pylist())])
 
 
 def _confirm(group: pa.Table) -> pa.Table:
@@ -180,36 +164,33 @@ def _confirm(group: pa.Table) -> pa.Table:
     return C.arrow(_LINKS, links)
 
 
-def _wanted(rows: DataFrame, classes: DataFrame, sent: DataFrame, many: bool, scratch: C.Scratch) -> DataFrame:
-    """A text of each class, and all places that its set is sent to.
+def _sets(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(class, shingles) of all classes that share a bucket with another one, each from one of its rows.
 
-    many: their number grows with the input. Then both sides are exchanged by row number, at every size alike: a plan
-    that sends the few of a small input to all tasks would say nothing of a large one.
+    Both sides of the join are exchanged by row number, at every size alike: a plan that sends the few of a small input to all
+    tasks would say nothing of a large one.
     """
-    wanted = sent.join(classes.select("class", F.col("least.n").alias("wanted_n")), "class")
-    wanted = scratch.keep(wanted.groupBy("wanted_n").agg(F.collect_list("to").alias("to")), "wanted")
-    wanted = wanted.hint("merge") if many else wanted
-    return rows.select("n", F.col("row.text").cast("binary").alias("text")).join(wanted, F.col("n") == F.col("wanted_n")).select("text", "to")
+    shared = members.select("class").distinct().join(classes.select("class", F.col("least.n").alias("wanted_n")), "class")
+    texts = rows.select("n", F.col("row.text").cast("binary").alias("text")).join(shared.hint("merge"), F.col("n") == F.col("wanted_n"))
+    return texts.select("class", "text").mapInArrow(_packed_sets, "class long, shingles binary")
 
 
-def _confirmed(rows: DataFrame, classes: DataFrame, candidates: DataFrame, many: bool, scratch: C.Scratch) -> DataFrame:
-    """The candidates (a: centre, b: member) that are links on their full sets. many: their number grows with the input."""
+def _confirmed(sets: DataFrame, classes: DataFrame, candidates: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """The candidates (a: centre, b: member) that are links on their full sets."""
     bins = classes.select("class", "n_shingles", "bins")
     side = lambda name, key: bins.select(F.col("class").alias(key), F.col("n_shingles").alias(f"n_{name}"), F.col("bins").alias(f"bins_{name}"))
     pairs = candidates.select(F.col("a").alias("centre"), F.col("b").alias("member")).join(side("centre", "centre"), "centre").join(side("member", "member"), "member")
     likely = scratch.keep(pairs.mapInArrow(_agree, "a long, b long, n long"), "likely")
     n_slices = F.ceil(F.greatest(F.count("*") / SLICE, F.sum("n") / SLICE_SHINGLES)).cast("long")
     slices = scratch.keep(likely.groupBy("a").agg(n_slices.alias("slices")), "slices")
-    members = likely.join(slices, "a").select(F.col("b").alias("class"), F.struct(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"), F.lit(False).alias("is_centre"), F.col("b").alias("class")).alias("to"))
-    centres = slices.select(F.col("a").alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).select("class", F.struct(F.col("class").alias("centre"), "slice", F.lit(True).alias("is_centre"), F.col("class").alias("class")).alias("to"))
-    found = _wanted(rows, classes, members.unionByName(centres), many, scratch)
-    sets = found.mapInArrow(partial(_send_sets, _SETS), "centre long, slice long, class long, is_centre boolean, shingles binary")
-    return sets.groupBy("centre", "slice").applyInArrow(_confirm, "a long, b long")
+    sent = likely.join(slices, "a").select(F.col("b").alias("class"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"), F.lit(False).alias("is_centre"))
+    sent = sent.unionByName(slices.select(F.col("a").alias("class"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("is_centre")))
+    return sets.join(sent.hint("merge"), "class").groupBy("centre", "slice").applyInArrow(_confirm, "a long, b long")
 
 
-def _other_centres(mixed: DataFrame, round_: int, scratch: C.Scratch) -> DataFrame:
+def _other_centres(mixed: DataFrame, scratch: C.Scratch) -> DataFrame:
     """In each bucket (band, class, root), edges from another centre to the classes of other components."""
-    key = F.xxhash64(F.lit(round_), F.col("class"))
+    key = F.xxhash64(F.lit("other"), F.col("band"), F.col("class"))
     centre = mixed.groupBy("band").agg(F.min(key).alias("key"))
     centre = mixed.select("band", key.alias("key"), F.col("class").alias("a"), F.col("root").alias("centre_root")).join(centre, ["band", "key"]).drop("key")
     return mixed.join(scratch.keep(centre, "centres"), "band").where("root <> centre_root").select("a", F.col("class").alias("b"))
@@ -296,13 +277,11 @@ def _linked_in_tile(group: pa.Table) -> pa.Table:
     return C.arrow(_LINKS, links)
 
 
-def _links_in_tiles(rows: DataFrame, classes: DataFrame, mixed: DataFrame, scratch: C.Scratch) -> DataFrame:
+def _links_in_tiles(sets: DataFrame, classes: DataFrame, mixed: DataFrame, scratch: C.Scratch) -> DataFrame:
     """Links between the components of each bucket, as many as tie what belongs together."""
     likely = _tiles(mixed, classes, scratch).groupBy("tile").applyInArrow(_likely_in_tile, "tile long, class long, root long, part long")
     likely = scratch.keep(likely, "likely")
-    found = _wanted(rows, classes, likely.select("class", F.struct("tile", "class", "root", "part").alias("to")), False, scratch)
-    sets = found.mapInArrow(partial(_send_sets, _TILES), "tile long, class long, root long, part long, shingles binary")
-    return sets.groupBy("tile").applyInArrow(_linked_in_tile, "a long, b long").distinct()
+    return sets.join(likely.hint("merge"), "class").groupBy("tile").applyInArrow(_linked_in_tile, "a long, b long").distinct()
 
 
 def _numbered(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -328,27 +307,20 @@ def _grouped(docs: DataFrame, scratch: C.Scratch) -> tuple[DataFrame, DataFrame,
     centres = scratch.keep(buckets.groupBy("band").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"), "centres")
     members = scratch.keep(buckets.join(centres, "band"), "members")
     tested = scratch.keep(members.where("class <> a").select("a", F.col("class").alias("b")).distinct(), "candidates")
-    links = scratch.keep(_confirmed(rows, classes, tested, True, scratch), "links")
+    sets = scratch.keep(_sets(rows, classes, members), "sets")
+    links = scratch.keep(_confirmed(sets, classes, tested, scratch), "links")
     roots = components(links, scratch)
-    for round_ in range(1, ROUNDS):
-        mixed = _mixed(members, roots, 3, scratch)
-        more = _other_centres(mixed, round_, scratch)
-        if round_ == 1:
-            more = more.unionByName(_small_pairs(mixed, scratch))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = scratch.keep(more.join(done, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        found = scratch.keep(_confirmed(rows, classes, more, False, scratch), "links")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
+    mixed = _mixed(members, roots, 3, scratch)
+    more = _other_centres(mixed, scratch).unionByName(_small_pairs(mixed, scratch))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = scratch.keep(more.join(done, ["a", "b"], "left_anti"), "candidates")
+    if not more.isEmpty():
+        links = links.unionByName(scratch.keep(_confirmed(sets, classes, more, scratch), "links"))
         roots = components(links, scratch)
-    mixed = _mixed(members, roots, SMALL_BUCKET + 1, scratch)  # of smaller buckets round 1 had all pairs
+    mixed = _mixed(members, roots, SMALL_BUCKET + 1, scratch)  # smaller buckets had all their pairs
     if not mixed.isEmpty():
-        links = links.unionByName(scratch.keep(_links_in_tiles(rows, classes, mixed, scratch), "links"))
+        links = links.unionByName(scratch.keep(_links_in_tiles(sets, classes, mixed, scratch), "links"))
         roots = components(links, scratch)
 
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("links"))
