@@ -1,11 +1,14 @@
-"""Pluggable models: embedders, scorers and generators as Arrow batches, with stand-ins that need no download.
+"""Pluggable models: embedders, scorers, entailment and generators as Arrow batches, with stand-ins that need no download.
 
-A model is a function over a whole batch. It is made once in each worker by a factory and kept there.
+A model is a function over a whole batch. A factory makes it once in each worker, where it is kept under the name
+that the caller gives it: one name is one model.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,20 +16,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.functions import vectors as V
 
 Embedder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[str], list[str]], np.ndarray]
 Generator = Callable[[list[str]], list[str]]
 
-_MADE: dict[object, object] = {}
+_MADE: dict[str, object] = {}
 
 
-def made(factory: Callable[[], object]) -> object:
-    """What a factory makes, once a worker."""
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
-    if key not in _MADE:
-        _MADE[key] = factory()
-    return _MADE[key]
+def made(name: str, factory: Callable[[], object]) -> object:
+    """What a factory makes, once a worker for each name."""
+    if name not in _MADE:
+        _MADE[name] = factory()
+    return _MADE[name]
+
+
+def loaded() -> list[str]:
+    """The models that this process has made."""
+    return sorted(_MADE)
+
+
+@dataclass(frozen=True)
+class Models:
+    """Factories by name. A generator's factory takes temperature and most tokens; the first one is what "auto" stands for."""
+
+    embedders: dict[str, Callable[[], Embedder]] = field(default_factory=dict)
+    scorers: dict[str, Callable[[], Scorer]] = field(default_factory=dict)
+    generators: dict[str, Callable[[float, int], Generator]] = field(default_factory=dict)
+    #: The probability that a passage entails a sentence, of each pair.
+    entailment: Callable[[], Scorer] | None = None
+
+    def generator(self, name: str) -> str:
+        return next(iter(self.generators), "extract") if name == "auto" else name
+
+    def refuse_unknown(self, embedder: str, reranker: str, generator: str, nli: bool, judge: bool) -> None:
+        """An error for what has no model: a run must not report a stand-in's numbers as another model's."""
+        if embedder != "hash-64" and embedder not in self.embedders:
+            raise ValueError(f"no embedding model: {embedder!r}")
+        if reranker not in ("none", "terms") and reranker not in self.scorers:
+            raise ValueError(f"no reranking model: {reranker!r}")
+        if self.generator(generator) != "extract" and generator != "auto" and generator not in self.generators:
+            raise ValueError(f"no generating model: {generator!r}")
+        if nli and self.entailment is None:
+            raise ValueError("no entailment model")
+        if judge and self.generator(generator) == "extract":
+            raise ValueError("no model to judge with")
+
+    def embed(self, text: Column, name: str, query: bool = False) -> Column:
+        return V.hashed_vector(text) if name == "hash-64" else embed(embed_text(text, name, query), name, self.embedders[name])
+
+    def dimension(self, name: str) -> int:
+        """Length of a model's vectors, from one call on the driver."""
+        return V.BUCKETS if name == "hash-64" else int(np.asarray(made(f"embedder {name}", self.embedders[name])(["x"])).shape[1])
 
 
 def embed_text(text: Column, model: str, query: bool = False) -> Column:
@@ -36,12 +78,12 @@ def embed_text(text: Column, model: str, query: bool = False) -> Column:
     return F.concat(F.lit(prefix if "e5-" in model.lower() else instruction), text)
 
 
-def embed(text: Column, factory: Callable[[], Embedder]) -> Column:
+def embed(text: Column, name: str, factory: Callable[[], Embedder]) -> Column:
     """Unit vectors of a text column by another model."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = made(factory)
+        model = made(f"embedder {name}", factory)
         for texts in batches:
             vectors = np.asarray(model(texts.fillna("").tolist()), np.float64)
             size = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -50,33 +92,45 @@ def embed(text: Column, factory: Callable[[], Embedder]) -> Column:
     return run(text)
 
 
-def score(question: Column, passage: Column, factory: Callable[[], Scorer]) -> Column:
-    """Scores of pairs by a model such as a cross encoder or an entailment model."""
+def score(left: Column, right: Column, name: str, factory: Callable[[], Scorer]) -> Column:
+    """struct(score, ms) of pairs by a model such as a cross encoder or an entailment model; ms is a pair's share of its batch."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = made(factory)
+    @F.pandas_udf("score double, ms double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = made(f"scorer {name}", factory)
         for q, p in batches:
-            yield pd.Series(np.asarray(model(q.fillna("").tolist(), p.fillna("").tolist()), np.float64))
+            start = time.perf_counter()
+            found = np.asarray(model(q.fillna("").tolist(), p.fillna("").tolist()), np.float64)
+            yield pd.DataFrame({"score": found, "ms": 1000 * (time.perf_counter() - start) / max(1, len(q))})
 
-    return run(question, passage)
+    return run(left, right)
 
 
-def generate(prompt: Column, factory: Callable[[], Generator]) -> Column:
-    """struct(answer, error) of each prompt; a model that fails gives the error, never a failed job."""
+def generate(prompt: Column, name: str, factory: Callable[[], Generator]) -> Column:
+    """struct(answer, error, ms) of each prompt; a model that fails gives the error, never a failed job."""
 
-    @F.pandas_udf("answer string, error string")
+    @F.pandas_udf("answer string, error string, ms double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = made(factory)
+        model = made(f"generator {name}", factory)
         for prompts in batches:
+            start = time.perf_counter()
             try:
-                yield pd.DataFrame({"answer": model(prompts.fillna("").tolist()), "error": None})
+                found: dict[str, object] = {"answer": model(prompts.fillna("").tolist()), "error": None}
             except Exception as e:
-                yield pd.DataFrame({"answer": [None] * len(prompts), "error": str(e)[:300]})
+                found = {"answer": [None] * len(prompts), "error": str(e)[:300]}
+            yield pd.DataFrame(found | {"ms": 1000 * (time.perf_counter() - start) / max(1, len(prompts))})
 
     return run(prompt)
 
 
+#: Characters of a passage that a judge sees.
+JUDGED = 1500
+
+
+def judge_prompt(question: Column, passage: Column) -> Column:
+    return F.concat(F.lit("Does this passage help to answer the question? Say YES or NO.\n\nQuestion: "), question, F.lit("\n\nPassage: "), F.substring(passage, 1, JUDGED))
+
+
 def shared_terms(question: Column, passage: Column) -> Column:
     """A stand-in for a cross encoder: the share of the question's terms that the passage has."""
     asked = F.array_distinct(T.terms(question))

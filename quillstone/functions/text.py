@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,7 +31,7 @@ HEADING = r"^\s*((?:SECTION\s+[A-Z0-9.\-]+(?:\s*[-—]\s*[A-Z][^\n]{0,80})?)|(?:
 HEADING_LENGTH = 90
 TITLE_LENGTH = 60
 
-#: What may open a sentence, by use: ingestion, chunk boundaries, and metrics.
+# What may open a sentence, by use: ingestion, chunk boundaries, and metrics.
 OPENERS = {"ingest": r"A-Z0-9(", "chunk": r"A-Z0-9\"(\[", "metric": r"A-Z0-9(\["}
 
 
@@ -127,3 +128,32 @@ def model_ref(ref: Column, default: str = "hf") -> Column:
 def rounded(x: Column, digits: int) -> Column:
     """Rounding by way of a decimal, so that every engine rounds alike."""
     return F.round(x.cast("decimal(20,10)"), digits).cast("double")
+
+
+def prefixed_id(prefix: str, length: int = 12) -> Column:
+    """A new id: a prefix and so many hexadecimal digits of a random UUID."""
+    return F.concat(F.lit(prefix), F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(length)))
+
+
+def derived_id(prefix: str, *of: Column, length: int = 12) -> Column:
+    """An id that the same values always give."""
+    return F.concat(F.lit(prefix), F.left(F.sha1(F.concat_ws("\x1f", *of)), F.lit(length)))
+
+
+def truncated(text: Column, length: int) -> Column:
+    """At most so many characters, as errors and judged passages are cut."""
+    return F.substring(text, 1, length)
+
+
+def percent(done: Column, total: Column, low: int = 0, high: int = 100) -> Column:
+    """Progress from low to high, within both; low where there is nothing to do."""
+    return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(F.floor(low + (high - low) * F.try_divide(done, total)), F.lit(low)))).cast("int")
+
+
+def resolved_model(ref: Column, chain: Sequence[str], most_tokens: dict[str, int], default: int = 700) -> Column:
+    """struct(model, max_tokens): "auto" is the first of the chain; a model without a bound of its own has the default one."""
+    model = F.when((ref == "auto") | is_blank(ref), F.lit(chain[0])).otherwise(ref)
+    bound = F.lit(default)
+    for name, n in most_tokens.items():
+        bound = F.when(model == name, F.lit(n)).otherwise(bound)
+    return F.struct(model.alias("model"), bound.alias("max_tokens"))

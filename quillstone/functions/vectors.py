@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets of the hashed embedding, and words whose bucket a worker remembers.
+BUCKETS, REMEMBERED = 64, 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,24 +29,26 @@ def normalise(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
-def bucket(word: Column, buckets: int = BUCKETS) -> Column:
-    """md5 of a word modulo the buckets, a power of two up to 256."""
-    return (F.conv(F.right(F.md5(word), F.lit(2)), 16, 10).cast("int") % buckets).cast("int")
-
-
-def hashed_counts(text: Column, buckets: int = BUCKETS) -> Column:
-    """How many words of the text in lower case fall in each bucket."""
-    own = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: bucket(w, buckets))
-    lists = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(own, lambda x: x == b)).cast("double"))
-    return lists
+def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    buckets: dict[bytes, int] = {}
+    for texts in batches:
+        out = []
+        for text in texts.fillna(""):
+            words = text.encode().split()
+            for w in words:
+                if w not in buckets:
+                    buckets[w] = hashlib.md5(w).digest()[-1] % BUCKETS
+            counts = np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=BUCKETS).astype(np.float64)
+            size = np.sqrt(counts @ counts)
+            out.append(counts / size if size else counts)
+        if len(buckets) > REMEMBERED:
+            buckets.clear()
+        yield pd.Series(out)
 
 
-def hash_embed(df: DataFrame, id_column: str, text_column: str, buckets: int = BUCKETS) -> DataFrame:
-    """Unit vectors of all texts, long form summed per bucket: (id, vector array<double>).
+def hashed_vector(text: Column) -> Column:
+    """A stand-in for an embedding model: the unit vector of the counts of the text's words in lower case by a hash.
 
-    The words are exploded and counted with partial sums; the vector of a text without words is zero.
+    One pass over Arrow batches; no row moves. A text without words, or null, has the zero vector.
     """
-    own = df.select(F.col(id_column), F.explode_outer(F.filter(F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), r"\s+"), lambda w: w != "")).alias("w"))
-    counts = own.groupBy(id_column, bucket(F.col("w")).alias("b")).agg(F.count("w").alias("n"))
-    lists = counts.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return lists.select(id_column, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", b), F.lit(0)) / F.col("norm")).otherwise(F.lit(0.0))).alias("vector"))
+    return F.pandas_udf(_hashed, "array<double>")(F.lower(text))

@@ -1,9 +1,8 @@
 """Segmentation of documents into overlapping chunks of a token budget. No row moves.
 
-A document is a row with pages array<struct<number:int,text:string>>. Fixed chunks, the default, are a fold over
-arrays in the JVM. The strategies that work on spans of the whole text need sums over parts of parts; a
-fold would evaluate these again for each element, so they run over Arrow batches instead. Offsets count from 0,
-ends are exclusive.
+A document is a row with pages array<struct<number:int,text:string>>. All strategies need sums over parts of parts, which a
+fold over arrays would copy or evaluate again for each element; so they run over Arrow batches, each linear in
+the text. Offsets count from 0, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -12,11 +11,12 @@ import bisect
 import hashlib
 import math
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -27,6 +27,7 @@ SEPARATORS = ("\n\n", "\n", ". ", " ")
 #: A semantic group is cut further from this many times the target on; groups end below this quantile of likeness.
 OVERSIZE, QUANTILE = 1.6, 0.25
 _SENTENCE_GAP = re.compile(rf"(?<=[.!?])\s+(?=[{T.OPENERS['chunk']}])")
+_INGEST_GAP, _SPACES = re.compile(rf"(?<=[.!?])\s+(?=[{T.OPENERS['ingest']}])"), re.compile(r"[ \t]+")
 _HEADING = re.compile(T.HEADING)
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("text", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("section", pa.string())])
 
@@ -153,6 +154,11 @@ class _Layout:
         return self.headings[k - 1] if k else ""
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _CHUNKS]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHUNKS, strict=True)], schema=_CHUNKS)
+
+
 def _spanned(strategy: str, target: int, overlap: int, least: int):
     find = {"sentence": lambda t: sentence_spans(t), "recursive": lambda t: recursive_spans(t, target), "semantic": lambda t: semantic_spans(t, target)}[strategy]
 
@@ -164,65 +170,64 @@ def _spanned(strategy: str, target: int, overlap: int, least: int):
                 for k, (a, b) in enumerate(pack(own.text, find(own.text), target, overlap, least)):
                     if body := own.text[a:b].strip():
                         rows.append((doc_id, k, body, *own.pages(a, b), own.section(a)))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in _CHUNKS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHUNKS, strict=True)], schema=_CHUNKS)
+            yield _batch(rows)
 
     return run
 
 
-def _tail(units: Column, overlap: int, unit: str) -> Column:
-    """The longest suffix of units within the overlap, and its tokens; it ends before the first unit that is too much."""
-    kind = f"array<{unit}>"
-    start = F.struct(F.array().cast(kind).alias("own"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
-
-    def step(state: Column, u: Column) -> Column:
-        over = state["stop"] | (state["n"] + u["t"] > overlap)
-        return F.when(over, F.struct(state["own"].alias("own"), state["n"].alias("n"), F.lit(True).alias("stop"))).otherwise(F.struct(F.concat(F.array(u), state["own"]).alias("own"), (state["n"] + u["t"]).alias("n"), F.lit(False).alias("stop")))
-
-    return F.aggregate(F.reverse(units), start, step)
-
-
-def _fixed(pages: Column, target: int, overlap: int, least: int) -> Column:
-    """Sentences of lines packed to the target; a heading ends a chunk and names what follows."""
-    unit = "struct<page:int,heading:string,sentence:string,t:int>"
-    none = F.lit(None).cast("string")
-
-    def units(page: Column) -> Column:
-        def of(line: Column) -> Column:
-            head = T.heading(line)
-            own = F.transform(T.sentences(line), lambda s: F.struct(page["number"].alias("page"), none.alias("heading"), s.alias("sentence"), T.token_count(s).alias("t")).cast(unit))
-            return F.when(head.isNotNull(), F.array(F.struct(page["number"].alias("page"), head.alias("heading"), none.alias("sentence"), F.lit(0).alias("t")).cast(unit))).otherwise(own)
-
-        return F.flatten(F.transform(F.split(page["text"], "\n", -1), of))
-
-    all_units = F.flatten(F.transform(pages, units))
-    out_kind = "array<struct<text:string,page_start:int,page_end:int,section:string>>"
-    first = F.coalesce(F.get(pages, F.lit(0))["number"], F.lit(1))
-    fields = ("own", "n", "section", "start", "end", "out")
-    state_of = lambda *values: F.struct(*(v.alias(k) for k, v in zip(fields, values, strict=True)))
-    begin = state_of(F.array().cast(f"array<{unit}>"), F.lit(0), F.lit(""), first, first, F.array().cast(out_kind))
-
-    def emitted(state: Column) -> Column:
-        body = T.strip(F.array_join(F.transform(state["own"], lambda u: u["sentence"]), " "))
-        one = F.struct(body.alias("text"), state["start"].alias("page_start"), state["end"].alias("page_end"), state["section"].alias("section"))
-        return F.when((F.size(state["own"]) > 0) & (T.token_count(body) >= least), F.concat(state["out"], F.array(one))).otherwise(state["out"])
-
-    def step(state: Column, u: Column) -> Column:
-        at_heading = state_of(F.array().cast(f"array<{unit}>"), F.lit(0), u["heading"], u["page"], u["page"], emitted(state))
-        added = state_of(F.concat(state["own"], F.array(u)), state["n"] + u["t"], state["section"], state["start"], u["page"], state["out"])
-        tail = _tail(added["own"], overlap, unit)
-        full = state_of(tail["own"], tail["n"], added["section"], u["page"], u["page"], emitted(added))
-        return F.when(u["heading"].isNotNull(), at_heading).when(added["n"] >= target, full).otherwise(added)
+def _fixed(pages: list[tuple[int, str]], target: int, overlap: int, least: int) -> Iterator[tuple[str, int, int, str]]:
+    """Sentences of lines packed to the target; a heading ends a chunk and names what follows. Each sentence is counted once."""
+    own: deque[tuple[str, int]] = deque()
+    total, section = 0, ""
+    first = last = pages[0][0] if pages else 1
+
+    def whole() -> Iterator[tuple[str, int, int, str]]:
+        body = " ".join(s for s, _ in own).strip()
+        if body and token_count(body) >= least:
+            yield body, first, last, section
+
+    for number, text in pages:
+        for line in text.split("\n"):
+            bare = line.rstrip()
+            if bare and len(bare) <= T.HEADING_LENGTH and _HEADING.match(bare):
+                yield from whole()
+                own.clear()
+                total, section, first, last = 0, bare.strip(), number, number
+                continue
+            for part in _INGEST_GAP.split(_SPACES.sub(" ", line)):
+                if not (sentence := part.strip()):
+                    continue
+                size = token_count(sentence)
+                own.append((sentence, size))
+                total, last = total + size, number
+                if total >= target:
+                    yield from whole()
+                    kept = 0
+                    for k, (_, n) in enumerate(reversed(own)):
+                        if kept + n > overlap:
+                            own = deque(list(own)[len(own) - k :])
+                            break
+                        kept += n
+                    total, first, last = kept, number, number
+    yield from whole()
+
+
+def _packed_lines(target: int, overlap: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            rows = []
+            for doc_id, pages in zip(data.column("doc_id").to_pylist(), data.column("pages").to_pylist(), strict=True):
+                rows += [(doc_id, k, *c) for k, c in enumerate(_fixed([(p["number"], p["text"]) for p in pages], target, overlap, least))]
+            yield _batch(rows)
 
-    return F.aggregate(all_units, begin, step, emitted)
+    return run
 
 
 def chunk(docs: DataFrame, strategy: str = "fixed", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """doc_id, chunk_index, text, page_start, page_end, section of docs (doc_id, pages). Null pages give no chunk."""
     pages = F.coalesce("pages", F.array().cast("array<struct<number:int,text:string>>"))
-    rows = docs.select("doc_id", F.filter(pages, lambda p: ~T.is_blank(p["text"])).alias("pages"))
-    if strategy == "fixed":
-        return rows.select("doc_id", F.posexplode(_fixed(F.col("pages"), target, overlap, least)).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
-    if strategy not in ("sentence", "recursive", "semantic"):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(pages, lambda p: ~T.is_blank(p["text"])).alias("pages"))
+    if strategy not in ("fixed", "sentence", "recursive", "semantic"):
         raise ValueError(f"unknown chunking strategy: {strategy!r}")
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "pages").mapInArrow(_spanned(strategy, target, overlap, least), "doc_id long, chunk_index int, text string, page_start int, page_end int, section string")
+    run = _packed_lines(target, overlap, least) if strategy == "fixed" else _spanned(strategy, target, overlap, least)
+    return rows.mapInArrow(run, "doc_id long, chunk_index int, text string, page_start int, page_end int, section string")

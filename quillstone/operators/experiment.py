@@ -1,29 +1,31 @@
 """Configurations of retrieval, run and swept over shared chunks.
 
 Configurations are a short list on the driver that shapes the plan; documents and questions stay in it. Configurations with
-the same chunking share chunks and vectors, and every row carries its run, so all runs are one plan.
+the same chunking and embedding share chunks and vectors, which are written once, and every row carries its run, so all
+runs are one plan. A configuration that names a model which isn't given is refused: it becomes a row with its error.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, fields, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import models
 from quillstone.functions import text as T
-from quillstone.functions import vectors as V
 from quillstone.operators import chunking as K
 from quillstone.operators import metrics as M
+from quillstone.operators import relational as L
 from quillstone.operators import retrieval as R
 
 # What can be swept.
 AXES = ("chunking_strategy", "chunk_target_tokens", "chunk_overlap_tokens", "embed_model", "retrieval_mode", "reranker_model", "final_k", "dense_weight", "sparse_weight", "llm_model_id", "noise_pct")
-METRICS = ("recall_at_k", "precision_at_k", "ndcg_at_k", "mrr", "context_precision", "context_recall", "diversity", "faithfulness", "supported_frac", "answer_relevance", "keyword_f1", "composite")
+# The measures of a question, and its timings.
+METRICS = ("recall_at_k", "precision_at_k", "ndcg_at_k", "mrr", "context_precision", "context_recall", "diversity", "faithfulness", "faithfulness_supported_frac", "answer_relevance", "keyword_f1", "composite_score")
+TIMINGS = ("retrieval_ms", "rerank_ms", "generation_ms", "total_ms")
 
 
 @dataclass(frozen=True)
@@ -56,22 +58,11 @@ class RunConfig:
     sweep_id: str = ""
     sweep_axis: str = "none"
 
-    @classmethod
-    def parse(cls, text: str) -> RunConfig:
-        """From JSON: unknown keys are ignored, missing ones have their default."""
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in (json.loads(text) or {}).items() if k in known})
-
     def with_axis(self, axis: str, value: object) -> RunConfig:
         if axis not in AXES:
             raise ValueError(f"no axis to sweep: {axis!r}")
         return replace(self, **{axis: value, "sweep_axis": axis, "label": f"{axis}={value}"})
 
-    def fingerprint(self) -> str:
-        """A short hash of what changes the result."""
-        kept = {k: v for k, v in asdict(self).items() if k not in ("label", "sweep_id", "sweep_axis")}
-        return hashlib.sha1(json.dumps(kept, sort_keys=True).encode()).hexdigest()[:10]
-
     def auto_label(self) -> str:
         last = lambda s, sep: s.rpartition(sep)[2]
         parts = (f"{self.chunking_strategy}{self.chunk_target_tokens}", f"emb-{last(self.embed_model, '/')}", self.retrieval_mode, f"rr-{last(self.reranker_model, '/')}", f"k{self.final_k}", f"llm-{last(self.llm_model_id, ':')}", f"noise{int(self.noise_pct * 100)}")
@@ -83,71 +74,181 @@ def sweep(base: RunConfig, axis: str, values: Sequence[object]) -> list[RunConfi
     return [base] if axis == "none" or not values else [base.with_axis(axis, v) for v in values]
 
 
-def chunks_of(docs: DataFrame, config: RunConfig) -> DataFrame:
-    """chunk_id, text, section, vector of docs (doc_id, pages); up to a million chunks a document."""
-    own = K.chunk(docs, config.chunking_strategy, config.chunk_target_tokens, config.chunk_overlap_tokens, config.chunk_min_tokens)
-    own = own.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "text", "section")
-    return own.join(V.hash_embed(own, "chunk_id", "text"), "chunk_id")
+_KINDS = {"str": "string", "int": "int", "float": "double", "bool": "boolean"}
+#: The schema of a configuration as a row.
+CONFIG = ", ".join(f"{f.name} {_KINDS[str(f.type)]}" for f in fields(RunConfig))
+_NAMES = ("label", "sweep_id", "sweep_axis")
+
+
+def configs_from_json(text: Column) -> Column:
+    """A configuration struct of each JSON text: unknown keys are ignored, and what is missing or null has its default."""
+    read = F.from_json(text, CONFIG)
+    return F.struct(*(F.coalesce(read[f.name], F.lit(f.default)).alias(f.name) for f in fields(RunConfig)))
+
+
+def fingerprint(config: Column) -> Column:
+    """A short hash of all that changes a configuration's result."""
+    return F.left(F.sha1(F.to_json(F.struct(*(config[f.name] for f in sorted(fields(RunConfig), key=lambda f: f.name) if f.name not in _NAMES)))), F.lit(10))
+
 
+def as_rows(spark: SparkSession, configs: Sequence[RunConfig]) -> DataFrame:
+    """run_id (label or fingerprint) and config of configurations, in their order."""
+    rows = spark.createDataFrame([(k, asdict(c)) for k, c in enumerate(configs)], f"at int, config struct<{CONFIG.replace(' ', ':').replace(',:', ',')}>")
+    return rows.select("at", F.coalesce(F.nullif("config.label", F.lit("")), fingerprint(F.col("config"))).alias("run_id"), "config")
 
-def answers(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, answer: the stand-in's answer from the best passage."""
-    best = hits.where("rank = 1").join(chunks.select("chunk_id", "text"), "chunk_id")
-    return best.select("qid", models.extract(F.col("text")).alias("answer"))
 
+def from_row(config) -> RunConfig:
+    """The configuration of a row that configs_from_json made."""
+    return RunConfig(**config.asDict())
 
-def run(config: RunConfig, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """qid, relevance_source and METRICS of all questions (qid, question, expected_answer, relevant_sections, vector)."""
+
+def chunks_of(docs: DataFrame, config: RunConfig, known: models.Models | None = None) -> DataFrame:
+    """chunk_id (doc_id::chunk_index), doc_id, text, section, place and vector of docs (doc_id, pages)."""
+    own = K.chunk(docs, config.chunking_strategy, config.chunk_target_tokens, config.chunk_overlap_tokens, config.chunk_min_tokens)
+    key = F.concat_ws("::", "doc_id", "chunk_index").alias("name")
+    return own.select(F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), key, "doc_id", "text", "section", "page_start", "page_end", (known or models.Models()).embed(F.col("text"), config.embed_model).alias("vector"))
+
+
+def corpus_chunks(documents: DataFrame, pages: DataFrame, user_id: str, config: RunConfig, document_ids: Sequence[object] | None = None, known: models.Models | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chunks of what one owns, and (document_id, error) of owned documents that are missing or broken, which are passed over.
+
+    documents: document_id, user_id, stored_path; pages: path, pages, error as sources.files reads them.
+    """
+    mine = L.owned(documents, user_id, document_ids).join(pages.withColumnRenamed("path", "stored_path"), "stored_path", "left")
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("pages").isNull(), "the stored file is missing")
+    good = mine.where(error.isNull()).select(F.col("document_id").alias("doc_id"), "pages")
+    return chunks_of(good, config, known), mine.where(error.isNotNull()).select("document_id", error.alias("error"))
+
+
+def resolve_questions(saved: DataFrame, inline: DataFrame | None, user_id: str, dataset_id: object = None) -> DataFrame:
+    """question, expected_answer, relevant_sections: of the owner's saved set if one is named, else those given inline."""
+    if dataset_id is not None:
+        return L.owned(saved, user_id, [dataset_id], "dataset_id").select("question", "expected_answer", "relevant_sections")
+    if inline is None:
+        raise ValueError("neither a saved set nor questions are given")
+    return inline
+
+
+def answered(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models) -> DataFrame:
+    """qid, answer, generation_error, generation_ms of each question with hits."""
+    rows = hits.select("qid", "rank", "chunk_id").join(chunks.select("chunk_id", "text", "page_start", "page_end", F.col("doc_id").cast("string").alias("filename")), "chunk_id")
+    name = known.generator(config.llm_model_id)
+    if name == "extract":
+        return rows.where("rank = 1").select("qid", models.extract(F.col("text")).alias("answer"), F.lit(None).cast("string").alias("generation_error"), F.lit(0.0).alias("generation_ms"))
+    prompts = L.eval_messages(L.prompt(rows.withColumn("section", F.lit(None).cast("string")), "eval"), questions.select("qid", "question"))
+    make, temperature, most = known.generators[name], config.temperature, config.max_tokens
+    said = prompts.select("qid", models.generate(F.concat("system", F.lit("\n\n"), "user"), f"{name} {temperature} {most}", lambda: make(temperature, most)).alias("g"))
+    return said.select("qid", "g.answer", F.col("g.error").alias("generation_error"), F.col("g.ms").alias("generation_ms"))
+
+
+def judged(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models) -> DataFrame:
+    """qid, chunk_id, verdict of the hits by a generating model; null where it gave none."""
+    name = known.generator(config.llm_model_id)
+    make, most = known.generators[name], config.max_tokens
+    pairs = hits.select("qid", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
+    said = models.generate(models.judge_prompt(F.col("question"), F.col("text")), f"{name} 0.0 {most}", lambda: make(0.0, most))
+    return pairs.select("qid", "chunk_id", T.verdict(said["answer"]).alias("verdict"))
+
+
+def reranked(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models) -> DataFrame:
+    """hits in the order of the reranking model, with rerank_ms of their question."""
+    pairs = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
+    if config.reranker_model == "terms":
+        pairs = pairs.withColumn("s", F.struct(models.shared_terms(F.col("question"), F.col("text")).alias("score"), F.lit(0.0).alias("ms")))
+    else:
+        pairs = pairs.withColumn("s", models.score(F.col("question"), F.col("text"), config.reranker_model, known.scorers[config.reranker_model]))
+    pairs = pairs.withColumns({"model_score": F.col("s.score"), "ms": F.col("s.ms")}).drop("s", "text", "question")
+    return R.rerank(pairs, F.col("model_score"), config.final_k).drop("model_score", "rerank_score")
+
+
+def run(config: RunConfig, chunks: DataFrame, questions: DataFrame, known: models.Models | None = None) -> DataFrame:
+    """qid, answer, relevance_source, generation_error, METRICS and TIMINGS of all questions (qid, question, expected_answer, relevant_sections, vector).
+
+    Questions are ranked together, so no time of retrieval belongs to one of them: retrieval_ms is null, the others are what the
+    models took for a question's rows.
+    """
+    known = known or models.Models()
     pool = max(config.rerank_pool, config.final_k) if config.reranker_model != "none" else config.final_k
     hits = R.search(chunks, questions, config.retrieval_mode, config.dense_k, config.sparse_k, pool, config.rrf_k, config.dense_weight, config.sparse_weight, config.mmr_lambda)
+    reranking = None
     if config.reranker_model != "none":
-        pairs = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(F.broadcast(questions.select("qid", "question")), "qid")
-        hits = R.rerank(pairs, models.shared_terms(F.col("question"), F.col("text")), config.final_k).drop("text", "question", "rerank_score")
+        hits = reranked(config, hits, chunks, questions, known)
+        reranking = hits.groupBy("qid").agg(F.sum("ms").alias("rerank_ms"))
+        hits = hits.drop("ms")
     hits = R.inject_noise(hits, chunks, config.noise_pct)
 
     hinted = questions.select("qid", F.coalesce("relevant_sections", F.array().cast("array<string>")).alias("hints"))
     silver = R.dense_top_k(chunks, questions, config.silver_relevance_k).select("qid", "chunk_id")
-    relevant = M.relevance_source(hinted, M.gold_relevant(hinted, chunks), silver)
+    verdicts = judged(config, hits, chunks, questions, known) if config.use_llm_judge else None
+    relevant = M.relevance_source(hinted, M.gold_relevant(hinted, chunks), silver, verdicts)
     out = M.ranking_metrics(questions, hits, relevant).join(M.diversity(hits, chunks), "qid", "left")
 
-    said = answers(hits, chunks)
-    contexts = hits.join(chunks.select("chunk_id", "vector"), "chunk_id").select("qid", "vector")
-    out = out.join(_support(said, "answer", contexts, M.faithfulness), "qid", "left")
-    out = out.join(_support(questions.select("qid", "expected_answer"), "expected_answer", contexts, M.context_recall).withColumnRenamed("context_recall", "found"), "qid", "left")
-    vectors = V.hash_embed(said, "qid", "answer").withColumnRenamed("vector", "answer_vector")
-    out = out.join(vectors, "qid", "left").join(questions.select("qid", "vector", "expected_answer"), "qid").join(M.keyword_f1(questions.select("qid", F.col("expected_answer").alias("expected")).join(said, "qid", "left")), "qid", "left")
-    has_gold = F.exists(F.coalesce("relevant_sections", F.array().cast("array<string>")), lambda h: ~T.is_blank(h))
-    out = out.join(questions.select("qid", F.when(has_gold, "gold").otherwise("silver").alias("relevance_source")), "qid")
+    said = answered(config, hits, chunks, questions, known)
+    contexts = hits.select("qid", "chunk_id").join(chunks.select("chunk_id", "text", "vector"), "chunk_id")
+    support = _entailed(said, contexts, known) if config.faithfulness_mode == "nli" else _support(said, "answer", contexts, config, known)
+    faithful = M.faithfulness(support, config.faithfulness_mode).withColumnRenamed("supported_frac", "faithfulness_supported_frac")
+    out = out.join(faithful, "qid", "left")
+    expected = _support(questions.select("qid", "expected_answer"), "expected_answer", contexts, config, known)
+    out = out.join(M.context_recall(expected).withColumnRenamed("context_recall", "found"), "qid", "left")
+    out = out.join(said.withColumn("answer_vector", known.embed(F.col("answer"), config.embed_model)), "qid", "left").join(questions.select("qid", "vector", "expected_answer"), "qid")
+    out = out.join(M.keyword_f1(questions.select("qid", F.col("expected_answer").alias("expected")).join(said.select("qid", "answer"), "qid", "left")), "qid", "left")
+    out = out.join(M.source_of(hinted, verdicts), "qid")
+    out = out.join(reranking, "qid", "left") if reranking is not None else out.withColumn("rerank_ms", F.lit(0.0))
     out = out.withColumn("context_recall", F.when(T.is_blank(F.col("expected_answer")), F.col("recall_at_k")).otherwise(F.col("found")))
-    out = out.withColumn("answer_relevance", F.when(F.col("answer_vector").isNotNull(), M.answer_relevance(F.col("vector"), F.col("answer_vector"))))
-    out = out.withColumn("composite", M.composite(*(F.col(c) for c in ("context_precision", "recall_at_k", "faithfulness", "answer_relevance"))))
-    return out.select("qid", "relevance_source", *METRICS)
+    out = out.withColumn("answer_relevance", F.when(F.col("answer").isNotNull(), M.answer_relevance(F.col("vector"), F.col("answer_vector"))))
+    out = out.withColumn("composite_score", M.composite(*(F.col(c) for c in M.COMPOSITE)))
+    out = out.withColumns({"retrieval_ms": F.lit(None).cast("double"), "total_ms": F.coalesce("rerank_ms", F.lit(0.0)) + F.coalesce("generation_ms", F.lit(0.0))})
+    return out.select("qid", "answer", "relevance_source", "generation_error", *METRICS, *TIMINGS)
+
+
+def _sentences(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select("qid", F.posexplode(T.sentences(F.col(column), "metric")).alias("sid", "sentence"))
+
+
+def _support(rows: DataFrame, column: str, contexts: DataFrame, config: RunConfig, known: models.Models) -> DataFrame:
+    """qid, sid, best cosine of the sentences of a text column with the contexts of their question."""
+    parts = _sentences(rows, column).withColumn("vector", known.embed(F.col("sentence"), config.embed_model))
+    return M.best_support(parts.select("qid", "sid", "vector"), contexts)
+
 
+def _entailed(said: DataFrame, contexts: DataFrame, known: models.Models) -> DataFrame:
+    """qid, sid, best probability that a context entails a sentence of the answer."""
+    pairs = _sentences(said, "answer").join(contexts.select("qid", "text"), "qid")
+    return pairs.select("qid", "sid", models.score(F.col("text"), F.col("sentence"), "entailment", known.entailment)["score"].alias("p")).groupBy("qid", "sid").agg(F.max("p").alias("best"))
 
-def _support(rows: DataFrame, column: str, contexts: DataFrame, measure) -> DataFrame:
-    """A measure of the sentences of a text column against the contexts of their question."""
-    parts = rows.select("qid", F.posexplode(T.sentences(F.col(column), "metric")).alias("sid", "sentence")).withColumn("key", F.col("qid") * 100_000 + F.col("sid"))
-    return measure(M.best_support(parts.join(V.hash_embed(parts, "key", "sentence"), "key").select("qid", "sid", "vector"), contexts))
 
+def run_all(configs: Iterable[RunConfig], docs: DataFrame, questions: DataFrame, known: models.Models | None = None, store: str | None = None) -> DataFrame:
+    """run_id (label or fingerprint), qid, error and the columns of `run` of all configurations. One that can't be planned is a row with its error.
 
-def run_all(configs: Iterable[RunConfig], docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """run_id (label or fingerprint), qid, error and metrics of all configurations. One that can't be planned is a row with its error."""
+    store: a shared folder; chunks with their vectors are written there once, else each plan that reads them makes them again.
+    """
+    known, configs = known or models.Models(), list(configs)
     spark = docs.sparkSession
-    asked = questions.join(V.hash_embed(questions, "qid", "question"), "qid")
-    shared: dict[tuple, DataFrame] = {}
-    out, failed = None, []
-    for c in configs:
-        name = c.label or c.fingerprint()
-        key = (c.chunking_strategy, c.chunk_target_tokens, c.chunk_overlap_tokens, c.chunk_min_tokens)
+    names = {r["at"]: r["run_id"] for r in as_rows(spark, configs).collect()} if configs else {}
+    shared: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+    parts, failed = [], []
+    for k, c in enumerate(configs):
+        key = (c.chunking_strategy, c.chunk_target_tokens, c.chunk_overlap_tokens, c.chunk_min_tokens, c.embed_model)
         try:
+            known.refuse_unknown(c.embed_model, c.reranker_model, c.llm_model_id, c.faithfulness_mode == "nli", c.use_llm_judge)
             if key not in shared:
-                shared[key] = chunks_of(docs, c).persist()
-            own = run(c, shared[key], asked).select(F.lit(name).alias("run_id"), "*", F.lit(None).cast("string").alias("error"))
+                chunks = chunks_of(docs, c, known)
+                if store:
+                    path = f"{store.rstrip('/')}/chunks-{len(shared)}"
+                    chunks.write.mode("overwrite").parquet(path)
+                    chunks = spark.read.schema(chunks.schema).parquet(path)
+                shared[key] = chunks, questions.withColumn("vector", known.embed(F.col("question"), c.embed_model, True))
+            parts.append(run(c, *shared[key], known).select(F.lit(names[k]).alias("run_id"), "*", F.lit(None).cast("string").alias("error")))
         except ValueError as e:
-            failed.append((name, str(e)))
-            continue
-        out = own if out is None else out.unionByName(own)
-    errors = spark.createDataFrame(failed, "run_id string, error string") if failed else None
-    if out is None:
-        return errors if errors is not None else spark.createDataFrame([], "run_id string, error string")
-    return out if errors is None else out.unionByName(errors, allowMissingColumns=True)
+            failed.append((names[k], str(e)))
+    errors = spark.createDataFrame(failed, "run_id string, error string")
+    if not parts:
+        return errors
+    out = reduce(DataFrame.unionByName, parts)
+    return out.unionByName(errors, allowMissingColumns=True) if failed else out
+
+
+def aggregate(items: DataFrame) -> DataFrame:
+    """run_id, metric, mean, median, std, n of all measures and timings of run_all's rows, with the run's errors and n_questions."""
+    counts = items.groupBy("run_id").agg(F.count_if(F.coalesce("error", "generation_error").isNotNull()).alias("errors"), F.count("qid").alias("n_questions"))
+    return M.run_summary(items, [*METRICS, *TIMINGS]).join(counts, "run_id")

@@ -6,13 +6,16 @@ chunks are (qid, chunk_id). Nothing but ranks and ids is exchanged.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
+from quillstone.operators.retrieval import in_slices
 
 #: Cosine from which a sentence of the expected answer counts as found.
 FOUND = 0.55
@@ -50,21 +53,59 @@ def ranking_metrics(runs: DataFrame, hits: DataFrame, relevant: DataFrame, keys:
     )
 
 
+def _holding(hints: list[tuple[int, list[str]]]):
+    """Chunks with the questions whose hint they hold. The automaton of all hints passes over a text once."""
+    schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64())])
+    asking: dict[str, list[int]] = {}
+    for qid, own in hints:
+        for h in own:
+            asking.setdefault(h, []).append(qid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            from ahocorasick import Automaton
+
+            automaton = Automaton()
+            for h in asking:
+                automaton.add_word(h, h)
+            automaton.make_automaton()
+            held = lambda text: {h for _, h in automaton.iter(text)}
+        except ImportError:
+            held = lambda text: {h for h in asking if h in text}
+        for data in batches:
+            rows = [(q, i) for i, text in zip(data.column("chunk_id").to_pylist(), data.column("hay").to_pylist(), strict=True) if text for q in sorted({q for h in held(text) for q in asking[h]})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], schema=schema)
+
+    return run
+
+
 def gold_relevant(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, chunk_id where the section or text holds one of the question's hints, whatever the case; blank hints are dropped.
 
-    questions: qid, hints array<string>, a bounded set that is sent to the chunks.
+    questions: qid, hints array<string>, a stated set that is sent to the chunks in slices of a bounded size.
     """
     hints = questions.select("qid", F.filter(F.transform("hints", lambda h: F.lower(T.strip(h))), lambda h: h != "").alias("hints"))
-    hay = F.lower(F.concat(F.coalesce("section", F.lit("")), F.lit(" "), F.col("text")))
-    return chunks.select("chunk_id", hay.alias("hay")).join(F.broadcast(hints), F.exists("hints", lambda h: F.contains(F.col("hay"), h))).select("qid", "chunk_id")
+    hay = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower(F.concat(F.coalesce("section", F.lit("")), F.lit(" "), F.col("text"))).alias("hay"))
+    slices = [[(r["qid"], r["hints"]) for r in own if r["hints"]] for own in in_slices(hints)]
+    parts = [hay.mapInArrow(_holding(own), "qid long, chunk_id long") for own in slices if own]
+    return reduce(DataFrame.unionByName, parts, chunks.sparkSession.createDataFrame([], "qid long, chunk_id long")) if len(parts) != 1 else parts[0]
+
+
+def source_of(questions: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """qid, relevance_source: gold where a question has hints, even if they match nothing; else llm_judge where the judge gave any verdict; else silver."""
+    gold = F.coalesce(F.exists("hints", lambda h: ~T.is_blank(h)), F.lit(False))
+    if verdicts is None:
+        return questions.select("qid", F.when(gold, "gold").otherwise("silver").alias("relevance_source"))
+    said = verdicts.groupBy("qid").agg(F.count("verdict").alias("n"))
+    return questions.join(said, "qid", "left").select("qid", F.when(gold, "gold").when(F.col("n") > 0, "llm_judge").otherwise("silver").alias("relevance_source"))
 
 
-def relevance_source(questions: DataFrame, gold: DataFrame, silver: DataFrame) -> DataFrame:
-    """qid, chunk_id, source: gold where a question has hints, even if they match nothing, else silver."""
-    has = questions.select("qid", F.exists("hints", lambda h: ~T.is_blank(h)).alias("has_gold"))
-    g = gold.join(has.where("has_gold"), "qid").select("qid", "chunk_id", F.lit("gold").alias("source"))
-    return g.unionByName(silver.join(has.where("NOT coalesce(has_gold, false)"), "qid").select("qid", "chunk_id", F.lit("silver").alias("source")))
+def relevance_source(questions: DataFrame, gold: DataFrame, silver: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """qid, chunk_id, source: the relevant chunks of each question by the first of gold, judge and silver that it has."""
+    sources = source_of(questions, verdicts)
+    sets = [(gold, "gold"), (silver, "silver")] + ([(verdicts.where("verdict"), "llm_judge")] if verdicts is not None else [])
+    parts = [found.select("qid", "chunk_id").join(sources.where(F.col("relevance_source") == name), "qid").select("qid", "chunk_id", F.lit(name).alias("source")) for found, name in sets]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def diversity(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -84,9 +125,9 @@ def context_recall(support: DataFrame) -> DataFrame:
     return support.groupBy("qid").agg(F.avg((F.col("best") >= FOUND).cast("int")).alias("context_recall"))
 
 
-def faithfulness(support: DataFrame) -> DataFrame:
-    """qid, faithfulness, supported_frac: mean of cosines scaled to 0..1, and the share from 0.5 on."""
-    scaled = (F.col("best") + 1) / 2
+def faithfulness(support: DataFrame, mode: str = "cosine") -> DataFrame:
+    """qid, faithfulness, supported_frac: mean support of the sentences, and the share from 0.5 on. Cosines are scaled to 0..1, probabilities of entailment ("nli") aren't."""
+    scaled = F.col("best") if mode == "nli" else (F.col("best") + 1) / 2
     return support.groupBy("qid").agg(F.avg(scaled).alias("faithfulness"), F.avg((scaled >= 0.5).cast("int")).alias("supported_frac"))
 
 

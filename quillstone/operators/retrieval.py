@@ -8,15 +8,15 @@ questions are ranked in one plan. Ties go to the smaller chunk id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.functions import vectors as V
+from quillstone.operators.relational import owned
 
 #: Questions that are sent to every task at once.
 QUESTIONS = 10_000
@@ -29,6 +29,16 @@ def _top(scored: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def in_slices(questions: DataFrame, size: int = QUESTIONS) -> Iterator[list[Row]]:
+    """The rows of a stated question set in slices of a bounded size, ordered by qid if there are several."""
+    rows = questions.limit(size + 1).collect()
+    if len(rows) <= size:
+        yield rows
+        return
+    for lo in range(0, questions.count(), size):
+        yield questions.orderBy("qid").offset(lo).limit(size).collect()
+
+
 def _best_in_batch(questions: list[tuple[int, np.ndarray]], k: int):
     ids = np.array([q for q, _ in questions], np.int64)
     matrix = np.array([v for _, v in questions], np.float64)
@@ -60,10 +70,8 @@ def dense_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     chunks: chunk_id, vector; questions: qid, vector, of one length without nulls. A block of chunks is multiplied with all questions at once.
     """
     parts = []
-    n = questions.count()
-    for lo in range(0, max(1, n), QUESTIONS):
-        own = questions if n <= QUESTIONS else questions.orderBy("qid").offset(lo).limit(QUESTIONS)
-        rows = [(r["qid"], np.array(r["vector"], np.float64)) for r in own.select("qid", "vector").collect()]
+    for own in in_slices(questions.select("qid", "vector")):
+        rows = [(r["qid"], np.array(r["vector"], np.float64)) for r in own]
         if rows:
             parts.append(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(_best_in_batch(rows, k), "qid long, chunk_id long, dense_score double"))
     found = parts[0] if parts else chunks.sparkSession.createDataFrame([], "qid long, chunk_id long, dense_score double")
@@ -80,18 +88,22 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, length of chunks (chunk_id, text)."""
-    own = chunks.select("chunk_id", T.terms(F.col("text")).alias("terms"))
-    return own.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+def lengths(chunks: DataFrame) -> DataFrame:
+    """One row: the number of chunks (chunk_id, text), of those that have terms, and the mean number of terms."""
+    size = F.size(T.terms(F.col("text")))
+    return chunks.agg(F.count("*").alias("n"), F.count_if(size > 0).alias("n_full"), F.avg(size).alias("mean_length"))
 
 
-def term_statistics(posted: DataFrame) -> DataFrame:
-    """term, df, idf over all chunks that have terms: negative ones become a share of the mean, as usual."""
-    n = posted.select("chunk_id").distinct().agg(F.count("*").alias("n"))
-    raw = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).withColumn("raw", _idf(F.col("n"), F.col("df")))
+def term_statistics(chunks: DataFrame, n: str = "n_full") -> DataFrame:
+    """term, df, idf, mean_length over chunks (chunk_id, text): idf below 0 becomes a share of the mean, as usual.
+
+    A chunk's terms are made distinct where it lies; what is exchanged is a sum for each term and task. n: which of
+    the counts of `lengths` is the number of chunks.
+    """
+    df = chunks.select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(lengths(chunks))).withColumn("raw", _idf(F.col(n), F.col("df")))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "mean_length")  # one row
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -100,15 +112,16 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def sparse_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """qid, chunk_id, bm25_score, rank over the whole corpus; scores that aren't above 0 are left out."""
-    posted = postings(chunks)
-    lengths = chunks.select(F.size(T.terms(F.col("text"))).alias("length"))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    raw = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).withColumn("raw", _idf(F.col("n"), F.col("df")))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean)).select("term", "mean_length", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    wanted = question_terms(questions).join(idf, "term")
-    scored = posted.join(wanted, "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("times") * _bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"))).alias("bm25_score"))
+    """qid, chunk_id, bm25_score, rank over the whole corpus; scores that aren't above 0 are left out.
+
+    Terms that no question has are dropped as soon as they are cut, before anything is counted or exchanged.
+    """
+    wanted = question_terms(questions)
+    idf = term_statistics(chunks, "n").join(wanted.select("term").distinct(), "term", "left_semi")
+    cut = chunks.select("chunk_id", T.terms(F.col("text")).alias("terms"))
+    found = cut.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    posted = found.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    scored = posted.join(wanted.join(idf, "term"), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("times") * _bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"))).alias("bm25_score"))
     return _top(scored.where("bm25_score > 0"), "bm25_score", k, "chunk_id")
 
 
@@ -141,7 +154,7 @@ def _annotated(ranked: DataFrame, label: Column) -> DataFrame:
 
 
 def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid_rrf", dense_k: int = 25, sparse_k: int = 25, final_k: int = 8, rrf_k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0, mmr_lambda: float = 0.5) -> DataFrame:
-    """Ranked hits of every question: qid, chunk_id, rank, scores, matched_by, injected_noise.
+    """Ranked hits of every question: qid, chunk_id, rank, scores, matched_by, injected_noise. `retrieve` does it for one owner.
 
     chunks: chunk_id, text, vector; questions: qid, question, vector. An unknown mode is hybrid_rrf.
     """
@@ -168,44 +181,60 @@ def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid_rrf", de
     return _annotated(_top(ranked, "fused", final_k, "dense_rank"), label)
 
 
+def retrieve(points: DataFrame, questions: DataFrame, user_id: str, document_ids: Sequence[object] | DataFrame | None = None, **settings: float) -> DataFrame:
+    """search() over what one owner has, of the documents asked for if any are: the filter lies below the ranking.
+
+    points: chunk_id, text, vector, user_id, document_id. Nobody's chunks and those of others take part in nothing, statistics included.
+    """
+    return search(owned(points, user_id, document_ids), questions, **settings)  # type: ignore[arg-type]
+
+
+def _spread(final_k: int, mmr_lambda: float):
+    schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("rank", pa.int32()), ("dense_score", pa.float64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        matrix = np.array(group.column("vector").to_pylist(), np.float64)
+        relevance = group.column("dense_score").to_numpy()
+        like, left, chosen = np.zeros(len(relevance)), np.ones(len(relevance), bool), []
+        while left.any() and len(chosen) < final_k:
+            value = np.where(left, np.round(mmr_lambda * relevance - (1 - mmr_lambda) * like, 12), -np.inf)
+            best = int(value.argmax())  # the first of equal ones
+            own = matrix @ matrix[best]
+            like = np.maximum(like, own) if chosen else own
+            left[best] = False
+            chosen.append(best)
+        picked = group.take(chosen)
+        return pa.table([picked.column("qid"), picked.column("chunk_id"), pa.array(range(1, len(chosen) + 1), pa.int32()), picked.column("dense_score")], schema=schema)
+
+    return run
+
+
 def mmr(candidates: DataFrame, chunks: DataFrame, final_k: int, mmr_lambda: float = 0.5) -> DataFrame:
     """Greedy choice of final_k of each question's candidates, relevance against likeness to those chosen.
 
-    A fold over the candidates of one question, an array of bounded length, in the JVM.
+    A question's candidates are a bounded matrix; each step takes one product with it.
     """
-    rows = candidates.join(chunks.select("chunk_id", "vector"), "chunk_id")
-    pool = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "dense_score", F.lit(0.0).alias("like"), F.transform("vector", lambda x: x.cast("double")).alias("vector")))).alias("left"))
-    item = "struct<rank:int,chunk_id:bigint,dense_score:double,like:double,vector:array<double>>"
-    start = F.struct(F.col("left").cast(f"array<{item}>").alias("left"), F.array().cast(f"array<{item}>").alias("chosen"))
-
-    def step(state: Column, _: Column) -> Column:
-        first = F.size(state["chosen"]) == 0
-        value = lambda x: mmr_lambda * x["dense_score"] - (1 - mmr_lambda) * F.when(first, 0.0).otherwise(x["like"])
-        best = F.array_max(F.transform(state["left"], lambda x: F.struct(F.round(value(x), 12).alias("v"), (-x["rank"]).alias("r"))))
-        one = F.filter(state["left"], lambda x: x["rank"] == -best["r"])
-        rest = F.transform(
-            F.filter(state["left"], lambda x: x["rank"] != -best["r"]),
-            lambda x: F.struct(x["rank"].alias("rank"), x["chunk_id"].alias("chunk_id"), x["dense_score"].alias("dense_score"), F.when(first, V.dot(x["vector"], one[0]["vector"])).otherwise(F.greatest(x["like"], V.dot(x["vector"], one[0]["vector"]))).alias("like"), x["vector"].alias("vector")),
-        )
-        return F.when(F.size(state["left"]) == 0, state).otherwise(F.struct(rest.alias("left"), F.concat(state["chosen"], one).alias("chosen")))
-
-    chosen = pool.select("qid", F.aggregate(F.sequence(F.lit(1), F.lit(final_k)), start, step)["chosen"].alias("chosen"))
-    picked = chosen.select("qid", F.posexplode("chosen").alias("at", "hit")).select("qid", F.col("hit.chunk_id").alias("chunk_id"), (F.col("at") + 1).alias("rank"), F.col("hit.dense_score").alias("dense_score"))
+    rows = candidates.select("qid", "chunk_id", "rank", "dense_score").join(chunks.select("chunk_id", "vector"), "chunk_id")
+    picked = rows.select(F.col("qid").cast("long").alias("qid"), F.col("chunk_id").cast("long").alias("chunk_id"), "rank", "dense_score", "vector").groupBy("qid").applyInArrow(_spread(final_k, mmr_lambda), "qid long, chunk_id long, rank int, dense_score double")
     return _annotated(picked.withColumns({"fused": F.col("dense_score"), "bm25_score": F.lit(0.0)}), F.lit("semantic+mmr"))
 
 
 def inject_noise(hits: DataFrame, chunks: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """The last hits of each question replaced by chunks that it hasn't found, in an order that a hash of seed, question and chunk gives.
+    """The last hits of each question replaced by chunks that it hasn't found, drawn at random as hashes of the seed decide.
 
     Each question swaps max(1, share of its hits) of them, rounded half to even; without more chunks than hits it keeps them.
-    The pool is drawn from chunks by hash: each task keeps the few first of each question.
+    All questions draw from one sample of the chunks: the first ones in the order of md5(seed:chunk), twice as many as the
+    longest list of hits has, so enough are left when a question's own are taken out. The sample is a handful of rows.
     """
     if share <= 0:
         return hits
-    sizes = hits.groupBy("qid").agg(F.count("*").alias("n"), F.collect_list("chunk_id").alias("own"))
+    sizes = hits.groupBy("qid").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("swap", F.least(F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("int")), F.col("n")))
-    pool = chunks.select("chunk_id").join(F.broadcast(sizes), ~F.array_contains("own", F.col("chunk_id")))
-    order = Window.partitionBy("qid").orderBy(F.xxhash64(F.lit(seed), "qid", "chunk_id"), "chunk_id")
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    sample = chunks.select("chunk_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "chunk_id")), "chunk_id").limit(2 * longest)
+    pool = sizes.join(F.broadcast(sample)).join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")  # 2 * longest rows
+    order = Window.partitionBy("qid").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "qid", "chunk_id")), "chunk_id")
     drawn = pool.withColumn("draw", F.row_number().over(order)).where("draw <= swap").select("qid", F.col("chunk_id").alias("noise_id"), (F.col("n") - F.col("draw") + 1).alias("rank"))
     both = hits.join(drawn, ["qid", "rank"], "left")
     is_noise = F.col("noise_id").isNotNull()

@@ -79,6 +79,13 @@ QUERIES = {
 _PLACES = """pg AS (SELECT conv_id, turn, role, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, length(text) AS n FROM conversations),
         sp AS (SELECT conv_id, unnest(range(0, CAST(max(s + n) AS BIGINT), 500)) AS span FROM pg GROUP BY conv_id)"""
 ORACLE_SQL = {
+    # One attempt of every user a step: what was let through in the last minute, in the order of time.
+    "login_throttle": """WITH RECURSIVE a AS (SELECT event_id, user_id % 20 AS user_id, epoch_us(ts) / 1e6 / 3600 AS secs, event_type = 'purchase' AS success FROM events),
+        n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY secs, success, event_id) AS k FROM a),
+        r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS recent, false AS allowed FROM a
+              UNION ALL SELECT user_id, k, CASE WHEN len(kept) >= 8 THEN kept WHEN success THEN CAST([] AS DOUBLE[]) ELSE list_append(kept, secs) END, len(kept) < 8
+              FROM (SELECT n.user_id, n.k, n.success, n.secs, list_filter(r.recent, lambda t: n.secs - t < 60) AS kept FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1))
+        SELECT user_id, count(*) AS attempts, count(*) FILTER (allowed) AS allowed FROM r WHERE k > 0 GROUP BY user_id""",
     "page_range": f"WITH {_PLACES} SELECT conv_id, span, min(turn) AS first, max(turn) AS last FROM sp JOIN pg USING (conv_id) WHERE s + n > span AND s < span + 500 GROUP BY conv_id, span",
     "heading_asof": f"WITH {_PLACES} SELECT conv_id, span, (SELECT max(turn) FROM pg WHERE pg.conv_id = sp.conv_id AND role = 'user' AND s <= span) AS user_turn FROM sp",
     "cooldown_state": """WITH e AS (SELECT event_type AS model, value, epoch_us(ts) / 1e6 AS secs FROM events WHERE epoch_us(ts) / 1e6 <= 1705708800.0)

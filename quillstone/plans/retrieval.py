@@ -14,15 +14,11 @@ from quillstone.plans.tables import table
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks with hashed vectors."""
-    docs = table(spark, sf_dir, "documents")
-    vectors = V.hash_embed(docs, "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    return docs.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("section")).join(vectors, "chunk_id")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("section"), V.hashed_vector(F.col("text")).alias("vector"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark")
-    vectors = V.hash_embed(items, "item_id", "text").withColumnRenamed("item_id", "qid")
-    return items.select(F.col("item_id").alias("qid"), F.col("text").alias("question")).join(vectors, "qid")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), V.hashed_vector(F.col("text")).alias("vector"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +50,7 @@ def metric_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = V.hash_embed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = table(spark, sf_dir, "documents").select("doc_id", V.hashed_vector(F.col("text")).alias("vector"))
     return found.select("doc_id", F.posexplode("vector").alias("bucket", "x")).where("x > 0").select("doc_id", "bucket", T.rounded(F.col("x"), 6).alias("x"))
 
 
@@ -70,9 +66,16 @@ def dense_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "chunk_id", "rank", T.rounded(F.col("dense_score"), 4).alias("dense_score"))
 
 
+def dense_topk_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one owner, here a label, has in the documents asked for, here even ids, ranked by the production path."""
+    points = _vectors(spark, sf_dir).select("chunk_id", "vector", F.lit("").alias("text"), F.concat(F.lit("u"), F.col("label")).alias("user_id"), (F.col("chunk_id") % 2).alias("document_id"))
+    questions = _vector_questions(spark, sf_dir).withColumn("question", F.lit(""))
+    return R.retrieve(points, questions, "u3", [0], mode="dense").select("qid", "chunk_id", "rank", "fused_score")
+
+
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return R.term_statistics(R.postings(docs)).select("term", "df", T.rounded(F.col("idf"), 6).alias("idf"))
+    return R.term_statistics(docs).select("term", "df", T.rounded(F.col("idf"), 6).alias("idf"))
 
 
 def _hits(mode: str, **settings: float):
@@ -95,7 +98,7 @@ def noise_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused hits again by a stand-in for a model: the share of the question's terms that the text has."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    hits = R.search(chunks, questions, final_k=20).join(chunks.select("chunk_id", "text"), "chunk_id").join(F.broadcast(questions.select("qid", "question")), "qid")
+    hits = R.search(chunks, questions, final_k=20).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
     asked = F.array_distinct(T.terms(F.col("question")))
     score = F.try_divide(F.size(F.array_intersect(asked, T.terms(F.col("text")))), F.size(asked))
     return R.rerank(hits, score, 8).select("qid", "chunk_id", F.col("rank").cast("int").alias("rank"), "rerank_score")
@@ -156,7 +159,7 @@ def sweep_final_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold recall of each mode over shared chunks and questions."""
-    chunks, questions = _chunks(spark, sf_dir).persist(), _questions(spark, sf_dir).persist()
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
     modes = ("hybrid_rrf", "hybrid_weighted", "dense", "sparse", "mmr")
     hits = None
     for m in modes:
@@ -179,10 +182,10 @@ def keyword_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _support(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sentences of the questions against the vectors of their five best chunks."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
-    parts = questions.select("qid", F.posexplode(T.sentences(F.col("question"), "metric")).alias("at", "sentence")).select("qid", F.col("at").alias("sid"), (F.col("qid") * 1000 + F.col("at")).alias("key"), "sentence")
-    vectors = V.hash_embed(parts, "key", "sentence")
+    parts = questions.select("qid", F.posexplode(T.sentences(F.col("question"), "metric")).alias("sid", "sentence"))
+    parts = parts.select("qid", "sid", V.hashed_vector(F.col("sentence")).alias("vector"))
     contexts = R.dense_top_k(chunks, questions, 5).join(chunks.select("chunk_id", "vector"), "chunk_id").select("qid", "vector")
-    return M.best_support(parts.join(vectors, "key").select("qid", "sid", "vector"), contexts), questions
+    return M.best_support(parts, contexts), questions
 
 
 def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +280,7 @@ QUERIES = {
     "hash_embed": hash_embed,
     "dense_topk": dense_topk,
     "dense_topk_scoped": dense_topk_scoped,
+    "dense_topk_owner": dense_topk_owner,
     "bm25_idf": bm25_idf,
     "mmr": mmr,
     "noise_injection": noise_injection,
@@ -302,7 +306,30 @@ _SPARSE = f"""{_DOC_TERMS},
         raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw, any_value(mean_length) AS mean_length FROM tf, tot GROUP BY term),
         idf AS (SELECT term, df, mean_length, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
+
+
+def _mmr(k: int, tag: str = "") -> str:
+    """CTEs m1 .. mk: the candidates (dense) chosen so far, one more by each."""
+    first = f"""sim{tag} AS (SELECT a.qid, a.chunk_id AS x, b.chunk_id AS y, coalesce(sum(p.x * r.x), 0) AS c FROM dense a JOIN dense b ON a.qid = b.qid JOIN dv p ON p.id = a.chunk_id JOIN dv r ON r.id = b.chunk_id AND r.b = p.b GROUP BY a.qid, a.chunk_id, b.chunk_id),
+        m{tag}1 AS (SELECT qid, chunk_id, 1 AS nth, dense_score FROM dense QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(0.5 * dense_score, 12) DESC, rank) = 1)"""
+    steps = [
+        f"""m{tag}{n} AS (SELECT * FROM m{tag}{n - 1} UNION ALL SELECT qid, chunk_id, {n}, dense_score FROM (
+            SELECT d.qid, d.chunk_id, d.rank, d.dense_score, max(coalesce(s.c, 0)) AS l FROM dense d JOIN m{tag}{n - 1} o ON o.qid = d.qid LEFT JOIN sim{tag} s ON s.qid = d.qid AND s.x = d.chunk_id AND s.y = o.chunk_id
+            WHERE NOT EXISTS (SELECT 1 FROM m{tag}{n - 1} z WHERE z.qid = d.qid AND z.chunk_id = d.chunk_id) GROUP BY d.qid, d.chunk_id, d.rank, d.dense_score)
+            QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(0.5 * dense_score - 0.5 * l, 12) DESC, rank) = 1)"""
+        for n in range(2, k + 1)
+    ]
+    return ", ".join([first, *steps])
+
+
 ORACLE_SQL = {
+    "mmr": f"WITH {_E}, {_dense(25)}, {_mmr(8)} SELECT qid, chunk_id, CAST(nth AS INT) AS rank, {_R('dense_score', 5)} AS fused_score, {_R('dense_score', 4)} AS dense_score, CAST(0 AS DOUBLE) AS bm25_score, 'semantic+mmr' AS matched_by FROM m8",
+    "noise_injection": f"""WITH {_E}, {_dense(8)}, sz AS (SELECT qid, count(*) AS n, least(greatest(1, CAST(round_even(count(*) * 0.5, 0) AS INT)), count(*)) AS swap FROM dense GROUP BY qid),
+        sa AS (SELECT vec_id AS chunk_id FROM embeddings ORDER BY md5('0:' || vec_id), vec_id LIMIT 16),
+        dr AS (SELECT sz.qid, sa.chunk_id AS noise_id, n - row_number() OVER (PARTITION BY sz.qid ORDER BY md5('0:' || sz.qid || ':' || sa.chunk_id), sa.chunk_id) + 1 AS rank, n - swap AS kept FROM sz, sa WHERE NOT EXISTS (SELECT 1 FROM dense d WHERE d.qid = sz.qid AND d.chunk_id = sa.chunk_id))
+        SELECT d.qid, coalesce(noise_id, d.chunk_id) AS chunk_id, CAST(d.rank AS INT) AS rank, CASE WHEN noise_id IS NULL THEN {_R('dense_score', 5)} ELSE 0 END AS fused_score, CASE WHEN noise_id IS NULL THEN {_R('dense_score', 4)} ELSE 0 END AS dense_score,
+               CAST(0 AS DOUBLE) AS bm25_score, CASE WHEN noise_id IS NULL THEN 'semantic' ELSE 'noise' END AS matched_by, noise_id IS NOT NULL AS injected_noise FROM dense d LEFT JOIN dr ON dr.qid = d.qid AND dr.rank = d.rank AND dr.rank > dr.kept""",
+    "dense_topk_owner": f"WITH {_E}, ow AS (SELECT dv.* FROM dv JOIN embeddings ON vec_id = id WHERE label = 3 AND vec_id % 2 = 0), {_dense(8, 'ow')} SELECT qid, chunk_id, CAST(rank AS INT) AS rank, {_R('dense_score', 5)} AS fused_score FROM dense",
     "hybrid_rrf": _fused(_RRF),
     "hybrid_weighted": _fused(f"{_SCALE.format('dense_score')} + {_SCALE.format('CASE WHEN counted THEN bm ELSE 0 END')}"),
     "dense_documents": f"WITH {_TEXT_VECTORS}, {_dense(8)} SELECT qid, chunk_id, CAST(rank AS INT) AS rank, {_R('dense_score', 5)} AS fused_score, {_R('dense_score', 4)} AS dense_score, CAST(0 AS DOUBLE) AS bm25_score, 'semantic' AS matched_by FROM dense",
@@ -338,8 +365,8 @@ ORACLE_SQL = {
         ac AS (SELECT qid, t, count(*) AS n FROM (SELECT qid, unnest(a) AS t FROM pr) GROUP BY qid, t), ec AS (SELECT qid, t, count(*) AS n FROM (SELECT qid, unnest(e) AS t FROM pr) GROUP BY qid, t),
         cm AS (SELECT qid, sum(least(ac.n, ec.n)) AS c FROM ac JOIN ec USING (qid, t) GROUP BY qid)
         SELECT qid, {_R('CASE WHEN coalesce(c, 0) = 0 THEN 0 ELSE 2 * (c / len(a)) * (c / len(e)) / (c / len(a) + c / len(e)) END', 4)} AS keyword_f1 FROM pr LEFT JOIN cm USING (qid)""",
-    "faithfulness": f"""WITH {_TEXT_VECTORS}, {_dense(5)}, st AS (SELECT item_id * 1000 + unnest(range(0, len(s))) AS key, unnest(s) AS sentence FROM (SELECT item_id, {_SPLIT.format(text='text', open='A-Z0-9(' + chr(92) + '[')} AS s FROM benchmark)),
-        {_embed('sv', 'st', 'key', 'sentence')}, ps AS (SELECT key // 1000 AS qid, key FROM st),
+    "faithfulness": f"""WITH {_TEXT_VECTORS}, {_dense(5)}, st AS (SELECT {{'q': item_id, 's': unnest(range(0, len(s)))}} AS key, unnest(s) AS sentence FROM (SELECT item_id, {_SPLIT.format(text='text', open='A-Z0-9(' + chr(92) + '[')} AS s FROM benchmark)),
+        {_embed('sv', 'st', 'key', 'sentence')}, ps AS (SELECT key.q AS qid, key FROM st),
         pc AS (SELECT ps.qid, ps.key, d.chunk_id, coalesce((SELECT sum(a.x * b.x) FROM sv a JOIN dv b ON a.b = b.b WHERE a.id = ps.key AND b.id = d.chunk_id), 0) AS c FROM ps JOIN dense d ON d.qid = ps.qid),
         bs AS (SELECT qid, key, max(c) AS best FROM pc GROUP BY qid, key)
         SELECT qid, {_R('avg((best + 1) / 2)', 4)} AS faithfulness, {_R('avg(CASE WHEN (best + 1) / 2 >= 0.5 THEN 1 ELSE 0 END)', 4)} AS supported_frac, {_R('avg(CASE WHEN best >= 0.55 THEN 1 ELSE 0 END)', 4)} AS context_recall FROM bs GROUP BY qid""",

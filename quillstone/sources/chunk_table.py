@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillstone.operators import relational as R
 
 
+def connect(spark: SparkSession, kind: str, place: str) -> ChunkTable:
+    """A table by kind: "memory" names a place of this application, "local" and "remote" a path that Spark can write."""
+    if kind not in ("memory", "local", "remote"):
+        raise ValueError(f"unknown kind of table: {kind!r}")
+    root = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = root.get() if root.isDefined() else spark.conf.get("spark.sql.warehouse.dir")
+    return ChunkTable(spark, f"{base}/{spark.sparkContext.applicationId}-{place}" if kind == "memory" else place)
+
+
 class ChunkTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
         self.schema: StructType | None = None
 
     def _rows(self) -> DataFrame:
-        """The table; once its schema is known, it can be read when all rows are gone."""
-        found = (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(self.path)
-        self.schema = found.schema
-        return found
+        """The table; an owner is text whatever it looks like, and once the schema is known the table can be read when all rows are gone."""
+        if self.schema is None:
+            found = self.spark.read.parquet(self.path).schema
+            self.schema = StructType([StructField("user_id", StringType()) if f.name == "user_id" else f for f in found.fields])
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def append(self, chunks: DataFrame, user_id: str, document_id: str, session_id: str | None = None) -> None:
-        """Chunks of a document with their owner; the commit is atomic, so a failed write leaves nothing. Appending twice doubles."""
+        """Chunks of a document with their owner; the commit is atomic, so a failed write leaves nothing. Appending twice doubles.
+
+        The first append makes the table, with the columns of its chunks.
+        """
         if not user_id.strip():
             raise ValueError("an owner is required")
         stamped = chunks.withColumns({"user_id": F.lit(user_id), "document_id": F.lit(document_id), "session_id": F.lit(session_id).cast("string"), "upload_time": F.unix_micros(F.current_timestamp()) / 1e6, "point_id": F.expr("uuid()")})
@@ -36,45 +50,57 @@ class ChunkTable:
     def count(self, user_id: str, document_id: str) -> int:
         return self.read(user_id, [document_id]).count()
 
-    def _rewrite(self, user_id: str, kept: DataFrame) -> None:
-        """Replace one owner's partition. The rows are written aside first: a partition can't be read while it is replaced."""
-        aside = f"{self.path.rstrip('/')}_aside"
-        kept.write.mode("overwrite").parquet(aside)
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def _partition(self, user_id: str) -> str:
+        """An owner's folder, its name escaped as Spark does: no id names another folder."""
+        return f"{self.path}/user_id={self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(user_id)}"
+
+    def _replace(self, owners: Iterable[str], kept: DataFrame) -> None:
+        """Replace the partitions of owners by what is kept of them, in one write; those of which nothing is left go.
+
+        The rows are written aside first, under a name of their own: a partition can't be read while it is replaced.
+        """
+        aside = f"{self.path}_aside-{uuid.uuid4().hex}"
+        kept.write.parquet(aside)
         left = self.spark.read.schema(kept.schema).parquet(aside)
-        mode = "spark.sql.sources.partitionOverwriteMode"
-        before = self.spark.conf.get(mode)
-        self.spark.conf.set(mode, "dynamic")
         try:
-            if left.isEmpty():
-                jvm = self.spark.sparkContext._jvm
-                gone = jvm.org.apache.hadoop.fs.Path(f"{self.path}/user_id={user_id}")
-                gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-            else:
-                left.write.mode("overwrite").partitionBy("user_id").parquet(self.path)
+            still = {r["user_id"] for r in left.select("user_id").distinct().toLocalIterator()}
+            if still:
+                left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id").parquet(self.path)
+            for user_id in owners:
+                if user_id not in still:
+                    self._delete(self._partition(user_id))
         finally:
-            self.spark.conf.set(mode, before)
+            self._delete(aside)
         self.spark.catalog.refreshByPath(self.path)
 
     def delete_document(self, user_id: str, document_id: str) -> int:
         """Delete and count again; an error if any chunk is left. Returns how many went."""
         n = self.count(user_id, document_id)
         if n:
-            self._rewrite(user_id, R.without(self.read(user_id), F.col("document_id") == document_id))
+            self._replace([user_id], R.without(self.read(user_id), F.col("document_id") == document_id))
             if left := self.count(user_id, document_id):
                 raise RuntimeError(f"{left} chunks of the document are left")
         return n
 
     def delete_user(self, user_id: str) -> int:
+        """Delete all that one owns: the whole partition, without reading it but for the count."""
         n = self.read(user_id).count()
         if n:
-            self._rewrite(user_id, self.read(user_id).limit(0))
+            self._delete(self._partition(user_id))
+            self.spark.catalog.refreshByPath(self.path)
         return n
 
     def purge_orphans(self, registry: DataFrame) -> int:
-        """Delete chunks whose document isn't in the registry (document_id), owner by owner that has any; returns how many went."""
+        """Delete chunks whose document isn't in the registry (document_id); one write for all owners that have any. Returns how many went."""
         lost = R.orphans(self._rows(), registry)
-        owners = [r["user_id"] for r in lost.select("user_id").distinct().toLocalIterator()]
         n = lost.count()
-        for user_id in owners:
-            self._rewrite(user_id, self.read(user_id).join(registry.select("document_id").distinct(), "document_id", "left_semi").select(self._rows().columns))
+        if n:
+            owners = lost.select("user_id").distinct()
+            kept = self._rows().join(owners, "user_id", "left_semi").join(registry.select("document_id").distinct(), "document_id", "left_semi").select(self._rows().columns)
+            self._replace([r["user_id"] for r in owners.toLocalIterator()], kept)
         return n

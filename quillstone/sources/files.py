@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators import chunking as K
 
 #: What can be uploaded, and the largest file.
 SUFFIXES = (".pdf", ".docx", ".txt", ".md", ".text")
@@ -71,13 +72,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, pages, error of all files below a path: repaired text, blank pages dropped; a file without text has an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     found = files.where(acceptable(F.col("path"), F.col("length"))).select("path", "content").mapInArrow(_extract, PAGES_SCHEMA)
     repaired = F.filter(F.transform("pages", lambda p: F.struct(p["number"].alias("number"), T.repair(p["text"]).alias("text"))), lambda p: ~T.is_blank(p["text"]))
     empty = F.col("pages").isNotNull() & (F.size(repaired) == 0)
     return found.select("path", repaired.alias("pages"), F.when(empty, "no extractable text").otherwise(F.col("error")).alias("error"))
 
 
+def ingest(spark: SparkSession, path: str, strategy: str = "fixed", target: int = K.TARGET, overlap: int = K.OVERLAP, least: int = K.LEAST) -> tuple[DataFrame, DataFrame]:
+    """The chunks of all files below a path (doc_id is a hash of its path), and (path, error) of those that give none."""
+    pages = read_documents(spark, path)
+    own = pages.where("error IS NULL").select(F.xxhash64("path").alias("doc_id"), "pages")
+    return K.chunk(own, strategy, target, overlap, least), pages.where("error IS NOT NULL").select("path", "error")
+
+
 def questions_from_lines(lines: DataFrame) -> DataFrame:
     """question, expected_answer, relevant_sections of a text file's lines (value); blank ones are dropped."""
     return lines.where(~T.is_blank(F.col("value"))).select(T.strip(F.col("value")).alias("question"), F.lit(None).cast("string").alias("expected_answer"), F.lit(None).cast("array<string>").alias("relevant_sections"))

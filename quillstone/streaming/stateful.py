@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,23 +45,35 @@ def throttle_stream(attempts: DataFrame, late: str = "1 minute") -> DataFrame:
     return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, at double, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _throttled(n: int, seconds: float):
+    schema = pa.schema([("user_id", pa.int64()), ("attempt_id", pa.int64()), ("at", pa.float64()), ("allowed", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, recent = None, deque()
+        for data in batches:
+            users, times = data.column("user_id").to_pylist(), data.column("at").to_pylist()
+            allowed = []
+            for who, at, success in zip(users, times, data.column("success").to_pylist(), strict=True):
+                if who != user:
+                    user, recent = who, deque()
+                while recent and at - recent[0] >= seconds:
+                    recent.popleft()
+                allowed.append(len(recent) < n)
+                if allowed[-1]:
+                    recent.clear() if success else recent.append(at)
+            yield pa.RecordBatch.from_arrays([data.column("user_id"), data.column("attempt_id"), data.column("at"), pa.array(allowed, pa.bool_())], schema=schema)
+
+    return run
+
+
 def throttle_table(attempts: DataFrame, n: int = ATTEMPTS, seconds: float = SECONDS) -> DataFrame:
-    """The same of a table (attempt_id, user_id, at, success). A silence as long as the stretch forgets all, so a
-    user's attempts fall into bursts that are folded each on its own, in the JVM."""
-    by_user = Window.partitionBy("user_id").orderBy("at", "attempt_id")
-    silent = F.coalesce(F.col("at") - F.lag("at").over(by_user) >= seconds, F.lit(True))
-    bursts = attempts.withColumn("burst", F.sum(silent.cast("int")).over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-    own = bursts.groupBy("user_id", "burst").agg(F.array_sort(F.collect_list(F.struct("at", "attempt_id", "success"))).alias("own"))
-    out_kind = "array<struct<attempt_id:bigint,at:double,allowed:boolean>>"
-    start = F.struct(F.array().cast("array<double>").alias("recent"), F.array().cast(out_kind).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        recent = F.filter(state["recent"], lambda t: x["at"] - t < seconds)
-        allowed = F.size(recent) < n
-        after = F.when(~allowed, recent).when(x["success"], F.array().cast("array<double>")).otherwise(F.concat(recent, F.array(x["at"])))
-        return F.struct(after.alias("recent"), F.concat(state["out"], F.array(F.struct(x["attempt_id"].alias("attempt_id"), x["at"].alias("at"), allowed.alias("allowed")))).alias("out"))
-
-    return own.select("user_id", F.explode(F.aggregate("own", start, step)["out"]).alias("r")).select("user_id", "r.attempt_id", "r.at", "r.allowed")
+    """The same of a table (attempt_id, user_id, at, success): user_id, attempt_id, at, allowed.
+
+    Attempts are sorted by user and time within partitions and pass by once; what is kept is one user's last few.
+    """
+    rows = attempts.select(F.col("user_id").cast("long").alias("user_id"), F.col("attempt_id").cast("long").alias("attempt_id"), F.col("at").cast("double").alias("at"), "success")
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "at", "success", "attempt_id")
+    return ordered.mapInArrow(_throttled(n, seconds), "user_id long, attempt_id long, at double, allowed boolean")
 
 
 def cooldown_until(kind: Column, at: Column) -> Column:

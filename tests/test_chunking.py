@@ -1,9 +1,6 @@
-"""The chunkers against a plain model written from their rules."""
+"""The chunkers by cases worked by hand and by what holds of any document."""
 
-import hashlib
-import math
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,190 +8,139 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import chunking as K
 
-HEADING = re.compile(T.HEADING)
-
-
-def tokens(t):
-    return int(len(t.split()) / 0.75) + 1
-
-
-def heading(line):
-    line = line.rstrip()
-    return line.strip() if line and len(line) <= 90 and HEADING.match(line) else None
-
-
-def sentences(t):
-    return [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9(])", re.sub(r"[ \t]+", " ", t)) if s.strip()]
-
-
-def fixed(pages, target, overlap, least):
-    out, own, section = [], [], ""
-    first = last = pages[0][0] if pages else 1
-
-    def emit():
-        body = " ".join(own).strip()
-        if own and tokens(body) >= least:
-            out.append((body, first, last, section))
-
-    for number, text in pages:
-        for line in text.split("\n"):
-            if h := heading(line):
-                emit()
-                own, section, first, last = [], h, number, number
-                continue
-            for s in sentences(line):
-                own.append(s)
-                last = number
-                if sum(map(tokens, own)) >= target:
-                    emit()
-                    tail, n = [], 0
-                    while own and n + tokens(own[-1]) <= overlap:
-                        tail.insert(0, own.pop())
-                        n += tokens(tail[0])
-                    own, first, last = tail, number, number
-    emit()
-    return [(k, *c) for k, c in enumerate(out)]
-
-
-def sentence_spans(t):
-    cuts = list(re.finditer(r'(?<=[.!?])\s+(?=[A-Z0-9"(\[])', t))
-    starts, ends = [0, *(m.end() for m in cuts)], [*(m.start() for m in cuts), len(t)]
-    return [(a, b) for a, b in zip(starts, ends, strict=True) if t[a:b].strip()]
-
-
-def recursive_spans(t, target, seps=("\n\n", "\n", ". ", " "), at=0):
-    if not t.strip():
-        return []
-    if tokens(t) <= target or not seps:
-        return [(at, at + len(t))]
-    out = []
-    for part in t.split(seps[0]):
-        out += recursive_spans(part, target, seps[1:], at)
-        at += len(part) + len(seps[0])
-    return out
-
-
-def vector(t):
-    v = [0.0] * 64
-    for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()):
-        if w:
-            v[int(hashlib.md5(w.encode()).hexdigest(), 16) % 64] += 1
-    n = math.sqrt(sum(x * x for x in v))
-    return [x / n if n else 0.0 for x in v]
-
-
-def semantic_spans(t, target):
-    spans = sentence_spans(t)
-    if len(spans) <= 1:
-        return spans
-    vs = [vector(t[a:b]) for a, b in spans]
-    sims = [sum(x * y for x, y in zip(a, b, strict=True)) for a, b in zip(vs, vs[1:], strict=False)]
-    ordered, at = sorted(sims), 0.25 * (len(sims) - 1)
-    least = ordered[math.floor(at)] + (ordered[math.ceil(at)] - ordered[math.floor(at)]) * (at - math.floor(at))
-    groups, start = [], 0
-    for i, s in enumerate(sims):
-        if s < least:
-            groups.append((spans[start][0], spans[i][1]))
-            start = i + 1
-    groups.append((spans[start][0], spans[-1][1]))
-    out = []
-    for a, b in groups:
-        out += recursive_spans(t[a:b], target, at=a) if tokens(t[a:b]) > target * 1.6 else [(a, b)]
-    return out
-
-
-def packed(t, spans, target, overlap, least):
-    out, own = [], []
-    size = lambda xs: sum(tokens(t[a:b]) for a, b in xs)
-
-    def emit():
-        body = t[own[0][0] : own[-1][1]].strip()
-        if body and (tokens(body) >= least or not out):
-            out.append((own[0][0], own[-1][1]))
-
-    def carried():
-        tail = []
-        for x in reversed(own):
-            if size([x, *tail]) > overlap:
-                break
-            tail.insert(0, x)
-        return tail
-
-    for x in spans:
-        if own and size([*own, x]) > target:
-            emit()
-            own = carried()
-        own.append(x)
-        if size(own) >= target:
-            emit()
-            own = carried()
-    if own:
-        emit()
-    return out
-
-
-def spanned(pages, strategy, target, overlap, least):
-    t = "".join(p + "\n\n" for _, p in pages)
-    if not t.strip():
-        return []
-    spans = {"sentence": lambda: sentence_spans(t), "recursive": lambda: recursive_spans(t, target), "semantic": lambda: semantic_spans(t, target)}[strategy]()
-    where, heads, at = [], [], 0
-    for number, p in pages:
-        offset = at
-        for line in p.splitlines(keepends=True):
-            if h := heading(line.rstrip("\n")):
-                heads.append((offset, h))
-            offset += len(line)
-        where.append((at, at + len(p), number))
-        at += len(p) + 2
-    out = []
-    for k, (a, b) in enumerate(packed(t, spans, target, overlap, least)):
-        touched = [n for s, e, n in where if e > a and s < b]
-        around = [n for s, e, n in where if s <= a < e]
-        pages_of = (min(touched), max(touched)) if touched else (around[0], around[0]) if around else (where[0][2], where[-1][2])
-        if t[a:b].strip():
-            out.append((k, t[a:b].strip(), *pages_of, ([""] + [h for p, h in heads if p <= a])[-1]))
-    return out
+STRATEGIES = ("fixed", "sentence", "recursive", "semantic")
+SCHEMA = "doc_id long, pages array<struct<number:int,text:string>>"
+
+
+def chunks(spark, documents, strategy, *sizes):
+    """Chunks of each document in order: (text, first page, last page, section)."""
+    out = {i: [] for i in range(len(documents))}
+    found = K.chunk(spark.createDataFrame(list(enumerate(documents)), SCHEMA), strategy, *sizes).orderBy("doc_id", "chunk_index").collect()
+    for r in found:
+        assert r.chunk_index >= len(out[r.doc_id])
+        out[r.doc_id].append((r.text, r.page_start, r.page_end, r.section))
+    return [out[i] for i in range(len(documents))]
+
+
+# Sentences of three words count 5 tokens, of six words 9.
+A, B, C, D = "Alpha one two.", "Beta one two.", "Gamma one two.", "Delta one two."
+
+
+def test_fixed_by_hand(spark):
+    documents = [
+        [(1, f"{A} {B} {C} {D}")],
+        [(1, f"{A} {B}"), (2, f"{C}\n{D}")],
+        [(1, f"SECTION A\n{A}\nSECTION B\n{B} {C}")],
+        [(3, "Alone.")],
+        [(1, "  \n"), (2, f"{A}\t {B}")],
+        None,
+    ]
+    got = chunks(spark, documents, "fixed", 10, 0, 1)
+    assert got[0] == [(f"{A} {B}", 1, 1, ""), (f"{C} {D}", 1, 1, "")]
+    assert got[1] == [(f"{A} {B}", 1, 1, ""), (f"{C} {D}", 1, 2, "")]  # what follows a full chunk starts on its page
+    assert got[2] == [(A, 1, 1, "SECTION A"), (f"{B} {C}", 1, 1, "SECTION B")]
+    assert got[3] == [("Alone.", 3, 3, "")] and got[4] == [(f"{A} {B}", 2, 2, "")] and got[5] == []
+    # An overlap of 5 carries one sentence over; the last chunk is the rest.
+    assert [c[0] for c in chunks(spark, documents[:1], "fixed", 10, 5, 1)[0]] == [f"{A} {B}", f"{B} {C}", f"{C} {D}", D]
+    # Chunks below the least are dropped: a lone sentence of five tokens.
+    assert [c[0] for c in chunks(spark, documents[:1], "fixed", 10, 5, 6)[0]] == [f"{A} {B}", f"{B} {C}", f"{C} {D}"]
+
+
+def test_spans_by_hand(spark):
+    text = f"{A} {B} {C} {D}"
+    assert [text[a:b] for a, b in K.sentence_spans(text)] == [A, B, C, D]
+    assert [c[0] for c in chunks(spark, [[(1, text)]], "sentence", 10, 0, 1)[0]] == [f"{A} {B}", f"{C} {D}"]
+    assert [c[0] for c in chunks(spark, [[(1, text)]], "sentence", 10, 5, 1)[0]] == [f"{A} {B}", f"{B} {C}", f"{C} {D}", D]
+    paragraphs = "one two three\n\nfour five six\n\nseven eight nine ten eleven twelve. thirteen"
+    assert [paragraphs[a:b] for a, b in K.recursive_spans(paragraphs, 9)] == ["one two three", "four five six", "seven eight nine ten eleven twelve", "thirteen"]
+    assert [paragraphs[a:b] for a, b in K.recursive_spans(paragraphs, 100)] == [paragraphs]
+    assert K.recursive_spans(" \n", 5) == []
+
+
+def test_semantic_breaks_where_the_subject_changes(spark):
+    river, stars = ["The river runs to the sea.", "The river runs in the valley.", "The river runs by the sea."], ["Stars shine over dark sand.", "Stars shine over dark stone."]
+    text = " ".join(river + stars)
+    assert [text[a:b] for a, b in K.semantic_spans(text, 1000)] == [" ".join(river), " ".join(stars)]
+    assert len(K.semantic_spans(text, 5)) > 2  # groups far over the target are cut further
+
+
+def test_places_by_hand(spark):
+    pages = [(4, f"SECTION ONE\n{A}"), (5, f"{B}\nSECTION TWO\n{C}"), (9, D)]
+    got = chunks(spark, [pages], "recursive", 5, 0, 1)[0]
+    place = {text: (first, last, section) for text, first, last, section in got}
+    assert place[A] == (4, 4, "SECTION ONE") and place[B] == (5, 5, "SECTION ONE") and place[C] == (5, 5, "SECTION TWO") and place[D] == (9, 9, "SECTION TWO")
+    whole = chunks(spark, [pages], "sentence", 1000, 0, 1)[0]
+    assert len(whole) == 1 and whole[0][1:3] == (4, 9)
 
 
 @pytest.fixture(scope="module")
 def documents():
+    """Random documents whose words are all different, so that a chunk shows where it comes from."""
     rng = random.Random(11)
-    out = [[], [(1, "")], [(1, "   \n ")], [(3, "One sentence only.")], [(1, "SECTION L - INSTRUCTIONS TO ALL\nAn offer. Is (here). 3 more!\nC.3.1 Reporting\n" + "Word word. " * 40)]]
+    out = [[(1, "x" * 5000)], [(2, "word " * 3000)]]
     for _ in range(25):
-        pages = []
-        for n in range(rng.randint(1, 4)):
+        n, pages = 0, []
+        for number in range(rng.randint(1, 4)):
             parts = []
             for _ in range(rng.randint(1, 12)):
-                r = rng.random()
-                if r < 0.15:
-                    parts.append(rng.choice(["SECTION A", "3.2 Scope of Work", "ALL CAPS HEADING", "B.1.2 Pricing", ""]))
-                else:
-                    parts.append(" ".join(" ".join(rng.choice(["alpha", "Beta", "gamma", "52.219-14", "delta\t", "épsilon"]) for _ in range(rng.randint(1, 25))) + rng.choice([".", "!", "?", "", ". \"Q"]) for _ in range(rng.randint(1, 5))))
-            pages.append((n + 1, rng.choice(["\n", "\n\n", "\r\n"]).join(parts)))
+                size = rng.randint(1, 25)
+                parts.append("W" + " w".join(str(n + k) for k in range(size)) + rng.choice([".", "!", "?", ""]))
+                n += size
+            pages.append((number + 1, rng.choice(["\n", "\n\n", " ", "\r\n"]).join(parts)))
         out.append(pages)
     return out
 
 
-@pytest.mark.parametrize("strategy", ["fixed", "sentence", "recursive", "semantic"])
-@pytest.mark.parametrize("sizes", [(40, 10, 8), (120, 20, 40)])
-def test_chunks(spark, documents, strategy, sizes):
-    docs = spark.createDataFrame([(i, p) for i, p in enumerate(documents)] + [(999, None)], "doc_id long, pages array<struct<number:int,text:string>>")
-    got = sorted(tuple(r) for r in K.chunk(docs, strategy, *sizes).select("doc_id", "chunk_index", "text", "page_start", "page_end", "section").collect())
-    want = []
-    for i, pages in enumerate(documents):
-        full = [(n, t) for n, t in pages if t.strip()]
-        want += [(i, *c) for c in (fixed(full, *sizes) if strategy == "fixed" else spanned(full, strategy, *sizes))]
-    assert got == sorted(want)
-    assert len(got) > 20
+@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize(("target", "overlap"), [(40, 10), (120, 20), (60, 0)])
+def test_what_holds_of_all_chunks(spark, documents, strategy, target, overlap):
+    for pages, found in zip(documents[2:], chunks(spark, documents[2:], strategy, target, overlap, 1), strict=True):
+        said = [text.split() for text, *_ in found]
+        numbers = [[int(w.lstrip("Ww").rstrip(".!?")) for w in own] for own in said]
+        total = sum(len(t.split()) for _, t in pages)
+        assert {n for own in numbers for n in own} == set(range(total))  # nothing is lost
+        for own in numbers:
+            assert own == list(range(own[0], own[-1] + 1))  # a chunk is one stretch
+        for one, after in zip(numbers, numbers[1:], strict=False):
+            shared = one[-1] - after[0] + 1
+            assert 0 <= shared and (after[-1] > one[-1] or strategy == "fixed")
+            assert K.token_count(" ".join("w" * max(0, shared))) <= overlap + 1 or shared == 0  # no more is carried over
+        where = {}
+        n = 0
+        for number, t in pages:
+            for _ in t.split():
+                where[n] = number
+                n += 1
+        for own, (_, first, last, _) in zip(numbers, found, strict=True):
+            assert first <= last and where[own[-1]] == last and first in where.values()
+            if strategy != "fixed":
+                assert where[own[0]] == first
+        text = "".join(t + "\n\n" for _, t in pages)
+        longest = max(K.token_count(text[a:b]) for a, b in K.sentence_spans(text))
+        for own in said:
+            assert K.token_count(" ".join(own)) <= K.OVERSIZE * target + longest
+    for found in chunks(spark, documents[:2], strategy, target, overlap, 1):
+        assert found and all(text for text, *_ in found)
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_rows_without_text(spark, strategy):
+    assert chunks(spark, [[], [(1, "")], [(1, " \n ")], None], strategy) == [[], [], [], []]
+    assert K.chunk(spark.createDataFrame([], SCHEMA), strategy).collect() == []
+    twice = spark.createDataFrame([(1, [(1, A)]), (1, [(1, A)]), (None, [(1, A)])], SCHEMA)
+    assert sorted((r.doc_id or 0, r.chunk_index) for r in K.chunk(twice, strategy, 10, 0, 1).collect()) == [(0, 0), (1, 0), (1, 0)]
 
 
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
-        K.chunk(spark.createDataFrame([], "doc_id long, pages array<struct<number:int,text:string>>"), "other")
+        K.chunk(spark.createDataFrame([], SCHEMA), "other")
 
 
 def test_heading(spark):
-    lines = ["SECTION L - INSTRUCTIONS", "A.1.2", "C.3.1 Reporting", "3.2 Scope of Work", "ALL CAPS HEADINGS", "ABCD", "Plain text line", "", "  ", "X" * 91, "1.2.3.4 Deep", "3.2 lower"]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(T.heading(F.col("x"))).collect()]
-    assert got == [heading(x) for x in lines]
+    lines = {
+        "SECTION L - INSTRUCTIONS": True, "A.1.2": True, "C.3.1 Reporting": True, "3.2 Scope of Work": True, "ALL CAPS HEADINGS": True, "ABCD": False,
+        "Plain text line": False, "": False, "  ": False, "X" * 91: False, "1.2.3.4 Deep": True, "3.2 lower": False,
+    }
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string")
+    got = {r.x: r.h for r in rows.select("x", T.heading(F.col("x")).alias("h")).collect()}
+    assert {x: h is not None for x, h in got.items()} == lines and got["C.3.1 Reporting"] == "C.3.1 Reporting"

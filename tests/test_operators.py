@@ -144,7 +144,9 @@ def test_answer_metrics(spark):
 def test_tenancy(spark):
     docs = spark.createDataFrame([("d1", "u1"), ("d2", "u1"), ("d3", "u2"), ("d4", None), ("d5", "")], "document_id string, user_id string")
     ids = lambda df: sorted(r.document_id for r in df.collect())
-    assert ids(R.owned(docs, "u1")) == ["d1", "d2"] and ids(R.owned(docs, "u1", ["d2", "d3"])) == ["d2"] and ids(R.owned(docs, "u1", [])) == []
+    assert ids(R.owned(docs, "u1")) == ["d1", "d2"] and ids(R.owned(docs, "u1", ["d2", "d3"])) == ["d2"] and ids(R.owned(docs, "u1", [])) == ["d1", "d2"]
+    assert ids(R.owned(docs, "u1", docs.limit(0))) == ["d1", "d2"] and ids(R.owned(docs, "u1", docs.where("document_id = 'd2'"))) == ["d2"]
+    assert ids(R.owned(docs, "stranger", [])) == []
     assert ids(R.owned(docs, "stranger")) == []
     with pytest.raises(ValueError):
         R.owned(docs, " ")
@@ -170,6 +172,24 @@ def test_chunk_table(spark, tmp_path):
     assert table.delete_user("u2") == 2 and table.read("u2").count() == 0
 
 
+def test_chunk_table_with_odd_owners(spark, tmp_path):
+    """Owners whose names mean something to a file system, or look like numbers."""
+    table = ChunkTable(spark, str(tmp_path / "chunks"))
+    chunks = spark.createDataFrame([(0, "one")], "chunk_index int, text string")
+    owners = ["a/b", "../up", "x=y %", "007", "7"]
+    for user in owners:
+        table.append(chunks, user, "a")
+        table.append(chunks, user, "b")
+    assert [table.read(u).count() for u in owners] == [2] * 5 and {r.user_id for r in table.read("007").collect()} == {"007"}
+    assert table.delete_document("a/b", "a") == 1 and table.read("a/b").count() == 1
+    assert table.delete_user("../up") == 2 and table.delete_user("7") == 2
+    assert [table.read(u).count() for u in owners] == [1, 0, 2, 2, 0]
+    assert table.purge_orphans(spark.createDataFrame([("b",)], "document_id string")) == 2
+    assert [table.read(u).count() for u in owners] == [1, 0, 1, 1, 0]
+    assert table.purge_orphans(spark.createDataFrame([("c",)], "document_id string")) == 3 and table.read("007").count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["chunks"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"SECTION L\nplain \xff text")
     (tmp_path / "b.md").write_bytes(b"  \n ")
@@ -201,13 +221,14 @@ def test_sinks(spark, tmp_path):
     export_csv(items, str(tmp_path / "out"))
     lines = [x.split(",") for x in "".join(p.read_text() for p in (tmp_path / "out").glob("part*")).splitlines()]
     head = list(EXPORT_COLUMNS)
-    assert head in lines and [x[:7] for x in lines if x != head] == [["q", "", "", "", "", "", "0.5"]]
+    assert ",".join(head) == "question,answer,expected_answer,error,recall_at_k,precision_at_k,ndcg_at_k,mrr,context_precision,context_recall,faithfulness,answer_relevance,keyword_f1,composite_score,retrieval_ms,rerank_ms,generation_ms,total_ms"
+    assert head in lines and [x[:8] for x in lines if x != head] == [["q", "", "", "", "", "", "", "0.5"]]
     assert tuple(json_safe(items).first()) == ("q", 0.5, None, "extra")
 
 
 def brute_throttle(rows):
     recent, out = {}, {}
-    for i, user, at, success in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+    for i, user, at, success in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[0])):
         own = [t for t in recent.get(user, []) if at - t < 60]
         out[i] = len(own) < 8
         recent[user] = own if not out[i] else [] if success else [*own, at]
@@ -247,29 +268,140 @@ def test_cooldowns(spark):
     assert sorted(tuple(r) for r in R.model_status(chain, cooldowns, served, 100.0).collect()) == [("m", 1, "exhausted", 10, 0), ("z", 2, "ready", 0, 4)]
 
 
-def test_experiment(spark):
-    from quillstone.operators import experiment as E
+TOPICS = ["river water flows under the old bridge", "stars shine over the dark desert", "bread is baked in a stone oven"]
 
-    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense")
+
+@pytest.fixture(scope="module")
+def lab(spark):
+    """Six documents on three topics, and two questions: one with an answer, one with sections."""
     rng = random.Random(8)
-    topics = ["river water flows under the old bridge", "stars shine over the dark desert", "bread is baked in a stone oven"]
-    pages = lambda k: [(1, "SECTION A\n" + " ".join(f"Here {topics[k % 3]} number{rng.randrange(50)}." for _ in range(12)))]
+    pages = lambda k: [(1, "SECTION A\n" + " ".join(f"Here {TOPICS[k % 3]} number{rng.randrange(50)}." for _ in range(12)))]
     docs = spark.createDataFrame([(k, pages(k)) for k in range(6)], "doc_id long, pages array<struct<number:int,text:string>>")
-    questions = spark.createDataFrame([(1, topics[0], "The " + topics[0] + ".", None), (2, topics[1], None, ["Section A"])], "qid long, question string, expected_answer string, relevant_sections array<string>")
+    questions = spark.createDataFrame([(1, TOPICS[0], "The " + TOPICS[0] + ".", None), (2, TOPICS[1], None, ["Section A"])], "qid long, question string, expected_answer string, relevant_sections array<string>")
+    return docs, questions
+
+
+def test_experiment(spark, lab, tmp_path):
+    from quillstone.operators import experiment as E
+
+    docs, questions = lab
+    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense")
     configs = E.sweep(base, "final_k", [1, 2, 4]) + [base.with_axis("chunking_strategy", "nonsense"), base.with_axis("noise_pct", 0.67), base.with_axis("reranker_model", "terms")]
-    got = {(r.run_id, r.qid): r for r in E.run_all(configs, docs, questions).collect()}
-    assert got["chunking_strategy=nonsense", None].error and len(got) == 11
+    configs += [base.with_axis("embed_model", "org/unknown"), base.with_axis("llm_model_id", "hf:unknown"), base.with_axis("reranker_model", "org/unknown")]
+    found = E.run_all(configs, docs, questions, store=str(tmp_path / "chunks"))
+    got = {(r.run_id, r.qid): r for r in found.collect()}
+    for refused in ("chunking_strategy=nonsense", "embed_model=org/unknown", "llm_model_id=hf:unknown", "reranker_model=org/unknown"):
+        assert got[refused, None].error
+    assert len(got) == 14
     recall = [got[f"final_k={k}", 1].recall_at_k for k in (1, 2, 4)]
     assert recall == sorted(recall) and got["final_k=4", 1].relevance_source == "silver" and got["final_k=4", 2].relevance_source == "gold"
     for r in got.values():
-        assert all(getattr(r, m) is None or -1e-9 <= getattr(r, m) <= 1 + 1e-9 for m in ("recall_at_k", "precision_at_k", "ndcg_at_k", "mrr", "context_precision", "faithfulness", "answer_relevance", "keyword_f1", "composite"))
+        assert all(getattr(r, m) is None or -1e-9 <= getattr(r, m) <= 1 + 1e-9 for m in E.METRICS)
     assert got["final_k=4", 2].keyword_f1 is None and got["final_k=4", 1].keyword_f1 > 0 and got["noise_pct=0.67", 1].diversity > got["final_k=4", 1].diversity
+    summary = {(r.run_id, r.metric): r for r in E.aggregate(found).collect()}
+    assert summary["final_k=2", "recall_at_k"].n == 2 and summary["final_k=2", "recall_at_k"].n_questions == 2 and summary["final_k=2", "total_ms"].errors == 0
+    assert summary["embed_model=org/unknown", "mrr"].errors == 1 and {m for _, m in summary} == {*E.METRICS, *E.TIMINGS}
     with pytest.raises(ValueError):
         base.with_axis("label", "x")
-    assert E.RunConfig.parse('{"final_k": 3, "unknown": 1}') == E.RunConfig(final_k=3) and base.fingerprint() == E.RunConfig.parse('{"chunk_target_tokens": 40, "chunk_overlap_tokens": 10, "chunk_min_tokens": 5, "retrieval_mode": "dense", "label": "x"}').fingerprint()
     assert E.RunConfig(embed_model="org/m", llm_model_id="hf:q").auto_label() == "fixed750_emb-m_hybrid_rrf_rr-none_k8_llm-q_noise0"
 
 
+def test_configs_as_rows(spark):
+    from quillstone.operators import experiment as E
+
+    texts = ['{"final_k": 3, "unknown": 1}', '{"final_k": 3, "label": "x"}', "{}", '{"final_k": null, "noise_pct": 0.5}']
+    rows = spark.createDataFrame([(t,) for t in texts], "value string").select(E.configs_from_json(F.col("value")).alias("c")).select("c", E.fingerprint(F.col("c")).alias("f")).collect()
+    assert [E.from_row(r.c) for r in rows] == [E.RunConfig(final_k=3), E.RunConfig(final_k=3, label="x"), E.RunConfig(), E.RunConfig(noise_pct=0.5)]
+    assert rows[0].f == rows[1].f and len({r.f for r in rows}) == 3 and all(len(r.f) == 10 for r in rows)
+    named = E.as_rows(spark, [E.RunConfig(final_k=3), E.RunConfig(label="mine")]).orderBy("at").collect()
+    assert [r.run_id for r in named] == [rows[0].f, "mine"]
+
+
+def test_runs_with_models(spark, lab):
+    """Every axis that names a model acts: each stub leaves its mark in the results."""
+    from quillstone.functions.models import Models
+    from quillstone.operators import experiment as E
+
+    def embedder():
+        return lambda texts: [[1.0, float("river" in t), float("stars" in t)] for t in texts]
+
+    def scorer():
+        return lambda q, p: [float(len(x) % 7) for x in p]
+
+    def generator(temperature, most):
+        def run(prompts):
+            if temperature > 0.5:
+                raise RuntimeError("too hot")
+            return ["YES" if "Say YES or NO" in p and "river" in p.rpartition("Passage:")[2] else "NO" if "Say YES or NO" in p else f"The river at {temperature}." for p in prompts]
+
+        return run
+
+    def entailment():
+        return lambda context, sentence: [0.9 if "river" in c else 0.1 for c in context]
+
+    known = Models({"stub": embedder}, {"lengths": scorer}, {"echo": generator}, entailment)
+    docs, questions = lab
+    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense", final_k=3, llm_model_id="auto")
+    from dataclasses import replace
+
+    configs = [replace(base, label="base"), replace(base, embed_model="stub", label="embed"), replace(base, reranker_model="lengths", label="rerank"), replace(base, use_llm_judge=True, label="judge"), replace(base, faithfulness_mode="nli", label="nli"), replace(base, temperature=0.9, label="hot")]
+    found = E.run_all(configs, docs, questions, known)
+    got = {(r.run_id, r.qid): r for r in found.collect()}
+    assert got["base", 1].answer == "The river at 0.0." and got["base", 1].generation_ms >= 0 and got["base", 1].total_ms is not None
+    assert got["embed", 1].diversity < 1e-6 < got["base", 1].diversity and got["rerank", 1].rerank_ms >= 0
+    assert got["judge", 1].relevance_source == "llm_judge" and got["judge", 1].precision_at_k == 1.0 and got["judge", 2].relevance_source == "gold"
+    assert got["nli", 1].faithfulness == 0.9 and got["nli", 1].faithfulness_supported_frac == 1.0
+    assert got["hot", 1].generation_error == "too hot" and got["hot", 1].answer is None and got["hot", 1].answer_relevance is None
+    errors = {r.run_id: r.errors for r in E.aggregate(found).collect()}
+    assert errors == {"base": 0, "embed": 0, "rerank": 0, "judge": 0, "nli": 0, "hot": 2}
+    assert known.dimension("stub") == 3 and known.dimension("hash-64") == 64
+
+
+def test_corpus_of_an_owner(spark, tmp_path):
+    from quillstone.operators import experiment as E
+
+    (tmp_path / "a.txt").write_text("One sentence here. " * 30)
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_text("Not mine. " * 30)
+    pages = files.read_documents(spark, str(tmp_path))
+    at = lambda n: f"file:{tmp_path}/{n}"
+    documents = spark.createDataFrame([(1, "u1", at("a.txt")), (2, "u1", at("b.docx")), (3, "u2", at("c.txt")), (4, "u1", at("gone.txt"))], "document_id long, user_id string, stored_path string")
+    chunks, errors = E.corpus_chunks(documents, pages, "u1", E.RunConfig(chunk_min_tokens=5))
+    assert {r.doc_id for r in chunks.collect()} == {1} and {r.document_id for r in errors.collect()} == {2, 4}
+    assert chunks.first()["name"] == "1::0"
+    own, bad = files.ingest(spark, str(tmp_path), least=5)
+    assert own.select("doc_id").distinct().count() == 2 and [r.path.rpartition("/")[2] for r in bad.collect()] == ["b.docx"]
+    saved = spark.createDataFrame([(7, "u1", "saved?", None, None)], "dataset_id long, user_id string, question string, expected_answer string, relevant_sections array<string>")
+    inline = saved.select(F.lit("inline?").alias("question"), "expected_answer", "relevant_sections")
+    asked = lambda *a: [r.question for r in E.resolve_questions(saved, *a).collect()]
+    assert asked(inline, "u1", 7) == ["saved?"] and asked(inline, "u1") == ["inline?"] and asked(inline, "u2", 7) == []
+    with pytest.raises(ValueError):
+        E.resolve_questions(saved, None, "u1")
+
+
+def test_chats(spark):
+    chain = spark.createDataFrame([("m", "Model M", 1), ("n", "Model N", 2)], "model string, label string, priority int")
+    cooldowns = spark.createDataFrame([("m", 110.5, False, "busy")], "model string, until double, credit boolean, reason string")
+    served = spark.createDataFrame([("m", 3), ("n", 4)], "model string, served long")
+    assert sorted(tuple(r) for r in R.model_chain(chain, cooldowns, served, 100.0).collect()) == [("m", "Model M", 1, "cooldown", False, "busy", 10, 3, 7), ("n", "Model N", 2, "ready", True, None, 0, 4, 7)]
+    messages = spark.createDataFrame([("a", 1, 2.0, "user", None), ("a", 2, 1.0, "user", ""), ("a", 3, 1.0, "assistant", "[1]"), ("b", 4, 1.0, "user", None)], "chat_id string, seq long, created_at double, role string, sources string")
+    assert [(r.chat_id, r.seq, r.nth) for r in R.transcript(messages).collect()] == [("a", 2, 1), ("a", 3, 2), ("a", 1, 3), ("b", 4, 1)]
+    shown = R.public_message(messages.select(F.col("seq").alias("message_id"), "chat_id", "role", F.lit("text").alias("content"), "sources", "created_at"))
+    assert sorted((r.message_id, r.sources) for r in shown.collect()) == [(1, "[]"), (2, "[]"), (3, "[1]"), (4, "[]")]
+    chats = spark.createDataFrame([("a",), ("c",)], "chat_id string")
+    got = {r.chat_id: [x.seq for x in r["items"]] for r in R.with_children(chats, messages, "chat_id", F.col("seq")).collect()}
+    assert got == {"a": [1, 2, 3], "c": []}
+    left, left_messages = R.cascade(chats.unionByName(spark.createDataFrame([("b",)], "chat_id string")), messages, "chat_id", F.col("chat_id") == "a")
+    assert sorted(r.chat_id for r in left.collect()) == ["b", "c"] and [r.seq for r in left_messages.collect()] == [4]
+    assert [tuple(r) for r in spark.createDataFrame([("[1,\"a\"]",), ("no",), ("{}",), (None,)], "x string").select(R.scope_from_json(F.col("x"))).collect()] == [(["a"],), (None,), (None,), (None,)]
+    tried = spark.createDataFrame([(1, 1, "m", 503, 0), (1, 2, "n", 200, 5), (1, 3, "o", 200, 9), (2, 1, "m", 200, 0), (2, 2, "n", 500, 3)], "turn_id long, priority int, model string, status int, n_tokens int")
+    assert {r.turn_id: (r.model, r.tried) for r in R.failover(tried).collect()} == {1: ("n", "m, n"), 2: (None, "m, n")}
+    panel = R.source_panel(spark.range(1).selectExpr("id AS qid", "1 AS rank", "'f' AS filename", "1 AS page_start", "1 AS page_end", "'' AS section", "'t' AS text", "0.1 AS fused_score", "0.1 AS dense_score", "0.1 AS bm25_score", "'both' AS matched_by", "'secret' AS user_id"))
+    assert len(panel.columns) == 11 and "user_id" not in panel.columns
+    ids = spark.range(50).select(T.prefixed_id("chat_", 10).alias("i")).collect()
+    assert len({r.i for r in ids}) == 50 and all(len(r.i) == 15 and r.i.startswith("chat_") for r in ids)
+
+
 def test_models(spark):
     from quillstone.functions import models
 
@@ -277,6 +409,9 @@ def test_models(spark):
     def embedder():
         return lambda texts: [[3.0, 4.0] for _ in texts]
 
+    def other():
+        return lambda texts: [[1.0, 0.0] for _ in texts]
+
     def scorer():
         return lambda q, p: [len(a) + len(b) for a, b in zip(q, p, strict=True)]
 
@@ -288,6 +423,7 @@ def test_models(spark):
 
     rows = spark.createDataFrame([("a b", "b c"), (None, "x")], "q string, p string")
     assert [r[0] for r in rows.select(models.shared_terms(F.col("q"), F.col("p"))).collect()] == [0.5, 0.0]
-    got = rows.select(models.embed(F.col("p"), embedder).alias("v"), models.score(F.col("q"), F.col("p"), scorer).alias("s"), models.generate(F.col("p"), failing).alias("g")).collect()
-    assert [list(r.v) for r in got] == [[0.6, 0.8], [0.6, 0.8]] and [r.s for r in got] == [6.0, 1.0] and got[0].g.error == "no model here" and got[0].g.answer is None
+    got = rows.select(models.embed(F.col("p"), "three-four", embedder).alias("v"), models.embed(F.col("p"), "one", other).alias("w"), models.score(F.col("q"), F.col("p"), "sizes", scorer).alias("s"), models.generate(F.col("p"), "failing", failing).alias("g")).collect()
+    assert [list(r.v) for r in got] == [[0.6, 0.8], [0.6, 0.8]] and [list(r.w) for r in got] == [[1.0, 0.0]] * 2 and [r.s.score for r in got] == [6.0, 1.0]
+    assert got[0].g.error == "no model here" and got[0].g.answer is None
     assert rows.select(models.embed_text(F.col("p"), "intfloat/e5-small", True)).first()[0] == "query: b c"
