@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import atexit
 import math
+import os
 import shutil
 import tempfile
 import uuid
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,48 @@ def words_of(text: bytes | None, lower: bool = False) -> list[bytes]:
     return text.lower().split() if lower else text.split()
 
 
+_NULL_ID = -(2**63)
+_BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+BLOCK_SCHEMA = "block long, kind int, doc_ids binary, null_ids binary, sizes binary, texts binary"
+
+
+def to_blocks(block_bytes: int):
+    """Packs rows (doc_id, text, kind) into blocks of one kind, in the order in which they come. No row moves.
+
+    Blocks get random numbers, so they have to be written once and read from there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: defaultdict[int, list[tuple[int | None, bytes]]] = defaultdict(list)
+        sizes: defaultdict[int, int] = defaultdict(int)
+
+        def made(kind: int) -> pa.RecordBatch:
+            rows = open_.pop(kind)
+            sizes.pop(kind)
+            ids = np.array([_NULL_ID if i is None else i for i, _ in rows], np.int64)
+            number = int.from_bytes(os.urandom(8), "little") >> 1
+            return batch(_BLOCKS, [number], [kind], [pack(ids)], [pack(np.array([i is None for i, _ in rows], np.uint8))], [pack(np.array([len(t) for _, t in rows], np.int64))], [pack_bytes(b"".join(t for _, t in rows))])
+
+        for data in batches:
+            for i, t, kind in zip(*(data.column(c).to_pylist() for c in ("doc_id", "text", "kind")), strict=True):
+                open_[kind].append((i, t or b""))
+                sizes[kind] += len(t or b"") + 64
+                if sizes[kind] >= block_bytes:
+                    yield made(kind)
+        for kind in list(open_):
+            yield made(kind)
+
+    return run
+
+
+def block_rows(row: dict) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The ids of a block's documents, which of them are null, and the texts."""
+    sizes = unpack(row["sizes"], np.int64)
+    whole = unpack_bytes(row["texts"])
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    return unpack(row["doc_ids"], np.int64), unpack(row["null_ids"], np.uint8), [whole[edge[k] : edge[k + 1]] for k in range(len(sizes))]
+
+
 class Vocabulary:
     """Words numbered as they come; hashes() has the 64-bit hash of each."""
 

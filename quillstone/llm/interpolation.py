@@ -5,9 +5,9 @@ the bucket of the longest context that was seen: its order and the power of two
 of the training documents is deleted from the counts, and expectation-maximisation fits the weights
 of each bucket to it; the counts of all training documents then go into the scores.
 
-Documents go to blocks by a hash. A block sends its distinct n-grams by ranges of their hash
+Documents are packed into blocks where they lie, once. A block sends its distinct n-grams by ranges of their hash
 (common.py), a range adds the counts of all blocks, and the counts return to the block, where the
-scores are made. Nothing that grows with the corpus is broadcast or collected: the driver sees sums
+scores are made. So texts move once, compressed, and a frequent document or n-gram is nowhere a frequent key. Nothing that grows with the corpus is broadcast or collected: the driver sees sums
 by bucket, a few hundred numbers.
 """
 
@@ -27,8 +27,8 @@ from . import common as C
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 _END, _BEGIN = b"\n", b"\n\n"  # no word holds a line break
 
-_CELLS = pa.schema([("range_id", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_COUNTED = pa.schema([("block", pa.int32()), ("range_id", pa.int32()), ("total", pa.binary()), ("deleted", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n_kept", pa.int64())])
+_CELLS = pa.schema([("range_id", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_COUNTED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("range_id", pa.int32()), ("total", pa.binary()), ("deleted", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n_kept", pa.int64())])
 _ROWS = pa.schema([("buckets", pa.binary()), ("parts", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -37,7 +37,9 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, trai
 class _Block:
     """The n-grams of a block's documents; the same for the same set of documents in any order."""
 
-    def __init__(self, texts: list[bytes | None], order: int) -> None:
+    def __init__(self, row: dict, order: int) -> None:
+        self.doc_ids, self.null_ids, texts = C.block_rows(row)
+        self.kind = row["kind"]
         vocabulary = C.Vocabulary(_END, _BEGIN)
         pad = max(1, order - 1)
         flat: list[np.ndarray] = []
@@ -84,17 +86,15 @@ class _Block:
 
 
 def _send(order: int, ranges: int):
-    def run(group: pa.Table) -> pa.Table:
-        block = _Block(group.column("text").to_pylist(), order)
-        number, kind = group.column("block")[0].as_py(), group.column("kind")[0].as_py()
-        rows = []
-        for n, (distinct, index) in enumerate(zip(block.distinct, block.index, strict=True)):
-            counts = np.bincount(index, minlength=len(distinct)).astype(np.uint32)
-            at = C.cut(distinct, ranges)
-            for r in np.flatnonzero(np.diff(at)):
-                part = slice(at[r], at[r + 1])
-                rows.append((n * ranges + int(r), number, kind, C.pack_sorted(distinct[part]), b"" if kind == HELD_OUT else C.pack(counts[part])))
-        return C.arrow(_CELLS, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            for row in data.to_pylist():
+                block = _Block(row, order)
+                for n, (distinct, index) in enumerate(zip(block.distinct, block.index, strict=True)):
+                    counts = np.bincount(index, minlength=len(distinct)).astype(np.uint64)
+                    at = C.cut(distinct, ranges)
+                    parts = [(int(r), slice(at[r], at[r + 1])) for r in np.flatnonzero(np.diff(at))]
+                    yield from C.arrow(_CELLS, [(n * ranges + r, row["block"], block.kind, C.pack_sorted(distinct[part]), b"" if block.kind == HELD_OUT else C.pack(counts[part])) for r, part in parts]).to_batches()
 
     return run
 
@@ -105,17 +105,17 @@ def _count(ranges: int):
         hashes = [C.unpack_sorted(h) for _, _, h, _ in cells]
         at = np.cumsum([0, *map(len, hashes)])
         distinct, index = np.unique(np.concatenate(hashes), return_inverse=True)
-        total, deleted = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
+        total, deleted = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
         for k, (_, kind, _, counts) in enumerate(cells):
             if kind != HELD_OUT:
-                own, add = index[at[k] : at[k + 1]], C.unpack(counts, np.uint32)
+                own, add = index[at[k] : at[k + 1]], C.unpack(counts, np.uint64)
                 total[own] += add  # a cell's hashes are distinct
                 if kind == DELETED:
                     deleted[own] += add
         range_id = group.column("range_id")[0].as_py()
-        rows = [(block, range_id, C.pack(total[own]), C.pack(deleted[own]) if kind == DELETED else b"", None, None, None) for k, (block, kind, _, _) in enumerate(cells) for own in [index[at[k] : at[k + 1]]]]
+        rows = [(block, kind, range_id, C.pack(total[own]), C.pack(deleted[own]) if kind == DELETED else b"", None, None, None) for k, (block, kind, _, _) in enumerate(cells) for own in [index[at[k] : at[k + 1]]]]
         if range_id < ranges:
-            rows.append((-1, range_id, b"", b"", int(total.sum(dtype=np.int64)), int((total > 0).sum()), int((total - deleted).sum(dtype=np.int64))))
+            rows.append((None, None, range_id, b"", b"", int(total.sum()), int((total > 0).sum()), int((total - deleted).sum())))
         return C.arrow(_COUNTED, rows)
 
     return run
@@ -124,15 +124,18 @@ def _count(ranges: int):
 def _returned(cells: pa.Table, order: int, ranges: int, column: str) -> list[np.ndarray]:
     """The counts by order, as they lie in the block's distinct n-grams."""
     found = sorted(zip(cells.column("range_id").to_pylist(), cells.column(column).to_pylist(), strict=True))
-    return [np.concatenate([np.zeros(0, np.uint32), *(C.unpack(data, np.uint32) for r, data in found if r // ranges == n)]).astype(np.float64) for n in range(order)]
+    return [np.concatenate([np.zeros(0, np.uint64), *(C.unpack(data, np.uint64) for r, data in found if r // ranges == n)]).astype(np.float64) for n in range(order)]
 
 
 def _held_out_rows(order: int, ranges: int, n_tokens: int, n_words: int, n_docs: int):
-    def run(docs: pa.Table, cells: pa.Table) -> pa.Table:
-        block = _Block(docs.column("text").to_pylist(), order)
-        total, deleted = (_returned(cells, order, ranges, c) for c in ("total", "deleted"))
-        buckets, parts = block.parts([t - d for t, d in zip(total, deleted, strict=True)], n_tokens, n_words, n_docs)
-        return C.arrow(_ROWS, [(C.pack(buckets.astype(np.uint16)), C.pack_bytes(parts.astype(np.float32).tobytes()))])
+    def run(blocks: pa.Table, cells: pa.Table) -> pa.Table:
+        rows = []
+        for row in blocks.to_pylist():
+            block = _Block(row, order)
+            total, deleted = (_returned(cells, order, ranges, c) for c in ("total", "deleted"))
+            buckets, parts = block.parts([t - d for t, d in zip(total, deleted, strict=True)], n_tokens, n_words, n_docs)
+            rows.append((C.pack(buckets.astype(np.uint16)), C.pack_bytes(parts.astype(np.float32).tobytes())))
+        return C.arrow(_ROWS, rows)
 
     return run
 
@@ -203,53 +206,61 @@ def fit(rows: DataFrame, order: int, most_steps: int = 15, enough: float = 1e-4)
 
 
 def _score(order: int, ranges: int, n_tokens: int, n_words: int, n_docs: int, weights: Weights):
-    def run(docs: pa.Table, cells: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return C.arrow(_SCORES, [])
-        block = _Block(docs.column("text").to_pylist(), order)
-        counts = _returned(cells, order, ranges, "total")
-        buckets, parts = block.parts(counts, n_tokens, n_words, n_docs)
-        logs = np.log10((weights.rows(buckets) * parts).sum(axis=1))
-        words = counts[0][block.index[0]]
-        base = np.log10((words + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
-        first = np.cumsum(block.lengths) - block.lengths
-        add = lambda x: np.add.reduceat(x, first)  # noqa: E731  each text has its end at least
-        held = np.array(docs.column("kind").to_pylist()) == HELD_OUT
-        return pa.table([docs.column("doc_id"), pa.array(held), pa.array(block.lengths), pa.array(add((words > 0).astype(np.int64))), pa.array(np.full(len(held), n_tokens)), pa.array(add(base)), pa.array(add(logs))], schema=_SCORES)
+    def run(blocks: pa.Table, cells: pa.Table) -> pa.Table:
+        tables = [_SCORES.empty_table()]
+        for row in blocks.to_pylist():
+            block = _Block(row, order)
+            counts = _returned(cells, order, ranges, "total")
+            buckets, parts = block.parts(counts, n_tokens, n_words, n_docs)
+            logs = np.log10((weights.rows(buckets) * parts).sum(axis=1))
+            words = counts[0][block.index[0]]
+            base = np.log10((words + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
+            first = np.cumsum(block.lengths) - block.lengths
+            add = lambda x, first=first: np.add.reduceat(x, first)  # noqa: E731  each text has its end at least
+            n = len(first)
+            ids = pa.array(block.doc_ids, mask=block.null_ids.astype(bool))
+            tables.append(pa.table([ids, pa.array(np.full(n, block.kind == HELD_OUT)), pa.array(block.lengths), pa.array(add((words > 0).astype(np.int64))), pa.array(np.full(n, n_tokens)), pa.array(add(base)), pa.array(add(logs))], schema=_SCORES))
+        return pa.concat_tables(tables)
 
     return run
 
 
-def score_documents(docs: DataFrame, order: int = 2, block_bytes: int = C.BLOCK_BYTES, range_entries: int = C.RANGE_ENTRIES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = C.BLOCK_BYTES, range_entries: int = C.RANGE_ENTRIES) -> DataFrame:
     """Log10 probability of every document under a model of those whose id hash is not 1 in 5.
 
     Tokens are the words of the text with A-Z in lower case, then one end. A null or empty text is the
     end alone; a null id counts as training; equal rows are documents of their own, and so are rows
     that share an id. Without training documents every token has the uniform probability 1. An empty
-    table gives no rows. Columns other than doc_id and text are not read.
+    table gives no rows. Texts of any length are scored whole; one longer than a block is a block. Columns other
+    than doc_id and text are not read. Counts have 64 bits. N-grams are named by 64-bit hashes.
 
     order: the longest n-gram. Disk for the exchange grows with it: about 8 bytes for each distinct n-gram of a block.
     """
+    C.bounded_batches(docs.sparkSession)
+    scratch = C.Scratch(docs.sparkSession)
     crc = C.id_bucket(F.col("doc_id"))
     kind = F.when(crc % 5 == 1, F.lit(HELD_OUT)).when(F.floor(crc / 5) % 10 == 0, F.lit(DELETED)).otherwise(F.lit(KEPT))
     rows = C.documents(docs).withColumn("kind", kind)
+    blocks = scratch.keep(rows.mapInArrow(C.to_blocks(block_bytes), C.BLOCK_SCHEMA), "blocks")
+    n_blocks = max(1, blocks.count())
     sizes = {r["kind"]: r for r in rows.groupBy("kind").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
-    blocks = [C.block_count(sizes[k]["bytes"], sizes[k]["rows"], block_bytes) if k in sizes else 0 for k in range(3)]
     n_docs = {k: sizes[k]["rows"] if k in sizes else 0 for k in range(3)}
     n_bytes = sum((r["bytes"] or 0) + 8 * r["rows"] for r in sizes.values())
     ranges = max(4, math.ceil(n_bytes / 6 / range_entries))
-    number = lambda k: F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, blocks[k]))) + sum(blocks[:k])
-    rows = rows.withColumn("block", F.when(F.col("kind") == KEPT, number(KEPT)).when(F.col("kind") == DELETED, number(DELETED)).otherwise(number(HELD_OUT)).cast("int"))
 
-    cells = rows.groupBy("block").applyInArrow(_send(order, ranges), "range_id int, block int, kind int, hashes binary, counts binary")
-    counted = C.materialize(cells.groupBy("range_id").applyInArrow(_count(ranges), "block int, range_id int, total binary, deleted binary, n long, v long, n_kept long"), "ngrams")
-    sums = counted.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("n_kept").alias("n_kept")).first()
+    cells = blocks.mapInArrow(_send(order, ranges), "range_id int, block long, kind int, hashes binary, counts binary").repartition(order * ranges, "range_id")
+    counted = scratch.keep(cells.groupBy("range_id").applyInArrow(_count(ranges), "block long, kind int, range_id int, total binary, deleted binary, n long, v long, n_kept long"), "ngrams")
+    sums = counted.where("block IS NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("n_kept").alias("n_kept")).first()
     n_tokens, n_words, n_kept = (int(sums[c] or 0) for c in ("n", "v", "n_kept"))
 
-    deleted = (F.col("block") >= blocks[KEPT]) & (F.col("block") < blocks[KEPT] + blocks[DELETED])
-    held_out = rows.where(F.col("kind") == DELETED).groupBy("block").cogroup(counted.where(deleted).groupBy("block")).applyInArrow(_held_out_rows(order, ranges, n_kept, n_words, n_docs[KEPT]), "buckets binary, parts binary")
-    held_out = C.materialize(held_out, "held-out")
+    def with_counts(which: str, run, schema: str) -> DataFrame:
+        """run on each block together with its counts."""
+        own, back = (t.where(f"block IS NOT NULL AND {which}").repartition(n_blocks, "block").groupBy("block") for t in (blocks, counted))
+        return own.cogroup(back).applyInArrow(run, schema)
+
+    held_out = scratch.keep(with_counts(f"kind = {DELETED}", _held_out_rows(order, ranges, n_kept, n_words, n_docs[KEPT]), "buckets binary, parts binary"), "held-out")
     weights = fit(held_out, order)
-    C.discard(held_out)
-    run = _score(order, ranges, n_tokens, n_words, n_docs[KEPT] + n_docs[DELETED], weights)
-    return rows.groupBy("block").cogroup(counted.where("block >= 0").groupBy("block")).applyInArrow(run, SCORE_SCHEMA)
+    scratch.drop(held_out)
+    scores = scratch.keep(with_counts("true", _score(order, ranges, n_tokens, n_words, n_docs[KEPT] + n_docs[DELETED], weights), SCORE_SCHEMA), "scores")
+    scratch.drop_but(scores)
+    return scores

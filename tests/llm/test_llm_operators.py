@@ -117,6 +117,22 @@ def test_interpolation_scores(docs, rows, order, monkeypatch):
     assert got == want
 
 
+def test_interpolation_counts_beyond_32_bits():
+    """Two cells whose counts add up to more than 2**32."""
+    h = np.array([5, 9], np.uint64)
+    cells = [(0, k, interpolation.KEPT, C.pack_sorted(h), C.pack(np.array([3 << 31, 7], np.uint64))) for k in range(2)]
+    out = interpolation._count(4)(C.arrow(interpolation._CELLS, cells)).to_pylist()
+    assert [C.unpack(r["total"], np.uint64).tolist() for r in out if r["block"] is not None] == [[3 << 32, 14]] * 2
+    assert out[-1]["n"] == (3 << 32) + 14 and out[-1]["v"] == 2
+
+
+def test_interpolation_of_many_equal_rows_and_a_long_text(spark):
+    """Rows that are all alike fall into many blocks; a text far beyond a block is scored whole."""
+    rows = [(None, None)] * 400 + [(7, "a b a b")] * 300 + [(8, "c d " * 30_000)]
+    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in interpolation.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=3000, range_entries=100).collect())
+    assert got == Counter(brute_base(rows))
+
+
 def test_interpolation_beats_base_on_held_out(spark):
     rng = random.Random(1)
     chain = {w: [f"w{rng.randrange(40)}" for _ in range(2)] for w in (f"w{k}" for k in range(40))}
