@@ -1,7 +1,9 @@
 """A compressed full-text index over words: suffix order, Burrows-Wheeler transform, wavelet matrix.
 
 Patterns are searched from their end, a word at a time, many of them together. The index orders
-suffixes by their first `depth` words; that is enough for patterns of fewer words.
+suffixes by their first `depth` words; that is enough for patterns of fewer words. Once it is built, neither the text nor
+the suffixes' order is kept: the index is a bit for each level of a word's number, and a byte for what a suffix
+shares with the one before it.
 """
 
 from __future__ import annotations
@@ -14,19 +16,18 @@ END, SEPARATOR, FIRST = 0, 1, 2
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Where the suffixes begin, in the order of their first depth values; equal ones in the order of the text."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int32)
     order = np.argsort(rank, kind="stable") if depth <= 1 else np.zeros(0, np.int64)
     step = 1
     while step < depth:
         behind = np.zeros_like(rank)
         behind[:-step] = rank[step:] + 1
-        key = rank * (int(rank.max(initial=0)) + 2) + behind
+        key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 2) + behind
         order = np.argsort(key, kind="stable")
-        new = np.empty_like(rank)
-        new[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        rank = new
+        key = key[order]
+        rank[order] = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
         step *= 2
-    return order
+    return order.astype(np.int32)
 
 
 class BitVector:
@@ -74,30 +75,30 @@ class WaveletMatrix:
 
 class FMIndex:
     def __init__(self, texts: np.ndarray, depth: int) -> None:
-        """texts: words from FIRST on, with SEPARATOR after each text. Patterns may have less than depth words."""
-        self.text = np.concatenate((texts, [END])).astype(np.int64)
+        """texts: words from FIRST on, with SEPARATOR after each text. Patterns may have less than depth words, which is below 256."""
+        text = np.concatenate((texts, [END])).astype(np.int32)
         self.depth = depth
-        self.order = suffix_order(self.text, depth)
-        self.size = len(self.text)
-        transform = self.text[self.order - 1]
-        self.wavelet = WaveletMatrix(transform)
-        counts = np.bincount(self.text, minlength=len(self.wavelet.start))
+        order = suffix_order(text, depth)
+        self.size = len(text)
+        self.wavelet = WaveletMatrix(text[order - 1])
+        counts = np.bincount(text, minlength=len(self.wavelet.start))
         self.words = len(counts)
         #: From the place after the last level to the place in the suffix order.
         self.shift = (np.cumsum(counts) - counts) - self.wavelet.start[: self.words]
         self.counts = counts
-        self._common = self._common_prefixes(depth)
+        self._common = self._common_prefixes(text, order, depth)
         self._edges: dict[int, np.ndarray] = {}
 
-    def _common_prefixes(self, most: int) -> np.ndarray:
+    @staticmethod
+    def _common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
         """Words that each suffix shares with the one before it in the order, up to most."""
-        out = np.zeros(self.size, np.int64)
-        live = np.arange(1, self.size)
+        out = np.zeros(len(text), np.uint8)
+        live = np.arange(1, len(text), dtype=np.int32)
         for k in range(most):
-            a, b = self.order[live] + k, self.order[live - 1] + k
-            ok = (a < self.size) & (b < self.size)
+            a, b = order[live] + k, order[live - 1] + k
+            ok = (a < len(text)) & (b < len(text))
             live = live[ok]
-            live = live[self.text[a[ok]] == self.text[b[ok]]]
+            live = live[text[a[ok]] == text[b[ok]]]
             if not len(live):
                 break
             out[live] = k + 1

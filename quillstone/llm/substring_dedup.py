@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +40,7 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 5 << 20
 #: Segments from which on a fingerprint's windows are sent one by one.
 FREQUENT = 100_000
-_NULL_ID = -(2**63)
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
 _CELLS = pa.schema([("range_id", pa.int32()), ("block", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
 _SEEN = pa.schema([("block", pa.int64()), ("range_id", pa.int32()), ("seen", pa.binary())])
 _SEGMENTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
@@ -53,31 +50,6 @@ RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, removed array<struct
 _KEY = np.dtype([("doc_id", "<i8"), ("text_hash", "<u8"), ("place", "<i8")])
 
 
-def _to_blocks(block_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int | None] = []
-        texts: list[bytes] = []
-        size = 0
-
-        def made() -> pa.RecordBatch:
-            null = np.array([i is None for i in ids], np.uint8)
-            number = int.from_bytes(os.urandom(8), "little") >> 1  # fixed from here on: the blocks are written once
-            return C.batch(_BLOCKS, [number], [C.pack(np.array([_NULL_ID if i is None else i for i in ids], np.int64))], [C.pack(null)], [C.pack(np.array([len(t) for t in texts], np.int64))], [C.pack_bytes(b"".join(texts))])
-
-        for data in batches:
-            for i, t in zip(data.column("doc_id").to_pylist(), data.column("text").to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t or b"")
-                size += len(texts[-1]) + 64
-                if size >= block_bytes:
-                    yield made()
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield made()
-
-    return run
-
-
 def _least(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest of each span of values and the first place that has it, by spans of doubled length."""
     least, at, size = values, np.arange(len(values), dtype=np.int32), 1
@@ -95,11 +67,7 @@ class _Block:
     """The documents of a block in order, their words on end, and their segments."""
 
     def __init__(self, row: dict, width: int, seed: int) -> None:
-        sizes = C.unpack(row["sizes"], np.int64)
-        ids, null = C.unpack(row["doc_ids"], np.int64), C.unpack(row["null_ids"], np.uint8)
-        whole = C.unpack_bytes(row["texts"])
-        edge = np.concatenate(([0], np.cumsum(sizes)))
-        texts = [whole[edge[k] : edge[k + 1]] for k in range(len(sizes))]
+        ids, null, texts = C.block_rows(row)
         hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
         order = np.lexsort([hashes, ids])
         self.ids, self.null, self.text_hashes = ids[order], null[order], hashes[order]
@@ -225,7 +193,7 @@ def earlier_windows(width: int):
         each = [C.unpack(n, np.uint16).astype(np.int64) for *_, n, _ in cells]
         lengths = np.concatenate(each)
         vocabulary = C.Vocabulary()
-        words = np.concatenate([vocabulary.encode(C.unpack_bytes(w).split(b" ")) for *_, w in cells]).astype(np.int64) + FIRST
+        words = np.concatenate([vocabulary.encode(C.unpack_bytes(w).split(b" ")) for *_, w in cells]) + np.int32(FIRST)
         starts = np.cumsum(lengths) - lengths
         # Equal segments of several blocks are indexed once.
         content = np.zeros(len(lengths), np.uint64)
@@ -242,19 +210,22 @@ def earlier_windows(width: int):
         n = lengths[first]
         own = np.repeat(starts[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         streamed = words[own]
-        with_ends = np.full(len(streamed) + len(n), SEPARATOR, np.int64)
+        del words, content, own
+        with_ends = np.full(len(streamed) + len(n), SEPARATOR, np.int32)
         with_ends[np.arange(len(streamed)) + np.repeat(np.arange(len(n)), n)] = streamed
         index = FMIndex(with_ends, 2 ** math.ceil(math.log2(width + 1)))
+        del with_ends
         found, low = index.matching_statistics(streamed, n, width)
 
+        # Where matching statistics reach the width, the interval of the window names it.
         windows = n - width + 1
         segment = np.repeat(np.arange(len(n)), windows)
         offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         at = (np.cumsum(n) - n)[segment] + offset
-        assert (found[at] >= width).all()  # what is streamed is indexed too
+        reported = found[at] >= width
         name = np.searchsorted(index.edges(width), low[at], "right") - 1
         begins = np.full(len(index.edges(width)), np.iinfo(np.int64).max)
-        np.minimum.at(begins, name, earliest[segment] + offset)
+        np.minimum.at(begins, name[reported], (earliest[segment] + offset)[reported])
         begins = begins[name]
 
         out, done = [], 0
@@ -320,17 +291,24 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, keep_t
 
     Windows are judged on the input. A null or empty text has no words; a document with fewer words than a
     window loses none. Null ids come first; texts that share an id are ordered by a hash, and rows that
-    share both get the same result. An empty table gives no rows. Columns other than doc_id and text are
-    not read. Two sequences of words are taken for one if their 64-bit hashes agree.
+    share both get the same result. An empty table gives no rows. Texts of any length are compared whole; one longer than a
+    block is a block. Columns other than doc_id and text are not read. Two sequences of words are taken for one if their 64-bit hashes agree.
     """
     C.bounded_batches(docs.sparkSession)
-    blocks = C.materialize(C.documents(docs).mapInArrow(_to_blocks(block_bytes), "block long, doc_ids binary, null_ids binary, sizes binary, texts binary"), "blocks")
+    scratch = C.Scratch(docs.sparkSession)
+    rows = C.documents(docs).withColumn("kind", F.lit(0))
+    blocks = scratch.keep(rows.mapInArrow(C.to_blocks(block_bytes), C.BLOCK_SCHEMA), "blocks")
+    n_blocks = max(1, blocks.count())
     n_bytes, n_rows = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary"))), F.count("*")).first()
     ranges = max(4, math.ceil((n_bytes or 0) / 6 / 4 / C.RANGE_ENTRIES))
     shards = max(4, C.block_count(n_bytes, n_rows, shard_bytes))
-    prints = blocks.mapInArrow(_send_prints(width, seed, ranges), "range_id int, block long, prints binary, counts binary")
-    seen = C.materialize(prints.groupBy("range_id").applyInArrow(_merge_prints(frequent), "block long, range_id int, seen binary"), "prints")
-    segments = blocks.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(_send_segments(width, seed, ranges, shards), "shard int, block long, keys binary, lengths binary, words binary")
-    earlier = C.materialize(segments.groupBy("shard").applyInArrow(earlier_windows(width), "block long, shard int, earlier binary"), "earlier")
+    by_block = lambda df: df.repartition(n_blocks, "block").groupBy("block")  # noqa: E731  a partition for each block or so at every size
+    prints = blocks.mapInArrow(_send_prints(width, seed, ranges), "range_id int, block long, prints binary, counts binary").repartition(ranges, "range_id")
+    seen = scratch.keep(prints.groupBy("range_id").applyInArrow(_merge_prints(frequent), "block long, range_id int, seen binary"), "prints")
+    segments = by_block(blocks).cogroup(by_block(seen)).applyInArrow(_send_segments(width, seed, ranges, shards), "shard int, block long, keys binary, lengths binary, words binary")
+    segments = segments.repartition(shards, "shard").groupBy("shard")
+    earlier = scratch.keep(segments.applyInArrow(earlier_windows(width), "block long, shard int, earlier binary"), "earlier")
     cells = seen.select("block", "range_id", "seen", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("earlier")).unionByName(earlier.select("block", F.lit(None).cast("int").alias("range_id"), F.lit(None).cast("binary").alias("seen"), "shard", "earlier"))
-    return blocks.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(_remove(width, seed, ranges, shards, keep_text), RESULT_SCHEMA)
+    result = scratch.keep(by_block(blocks).cogroup(by_block(cells)).applyInArrow(_remove(width, seed, ranges, shards, keep_text), RESULT_SCHEMA), "kept-words")
+    scratch.drop_but(result)
+    return result
