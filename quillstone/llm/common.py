@@ -17,6 +17,8 @@ import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +66,26 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Parquet tables in the shared folder: computed once, lineage cut, safe from lost executors; deleted when no plan reads them."""
 
+    _watched: ClassVar[list[list[Scratch]]] = []
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.tables: list[tuple[DataFrame, str]] = []
+        for made in self._watched:
+            made.append(self)
+
+    @classmethod
+    @contextmanager
+    def watched(cls) -> Iterator[None]:
+        """Tables made within are deleted at the end: for a caller who writes the result of operators within."""
+        made: list[Scratch] = []
+        cls._watched.append(made)
+        try:
+            yield
+        finally:
+            cls._watched.remove(made)
+            for scratch in made:
+                scratch.drop_but()
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex[:12]}"

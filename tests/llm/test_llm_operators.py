@@ -735,8 +735,8 @@ def test_components(spark):
 # --- op10
 
 
-def brute_lines(rows, run, long=line_dedup.LONG):
-    """Windows of lines, and long lines by themselves, that were there before."""
+def line_results(rows, run, long=line_dedup.LONG):
+    """By id and text: windows of lines, and long lines by themselves, that were there before."""
     blank = " \t\r\x0b\f"
     ranked = sorted({r for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, out = set(), {}
@@ -754,6 +754,11 @@ def brute_lines(rows, run, long=line_dedup.LONG):
                         gone |= set(own)
                     seen.add(g)
         out[i, t] = (i, len(full), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def brute_lines(rows, run, long=line_dedup.LONG):
+    out = line_results(rows, run, long)
     return Counter(out[r] for r in rows)
 
 
