@@ -1,7 +1,7 @@
 """Documents to training tokens: quality rules, line dedup, near-dedup, decontamination, SentencePiece pieces.
 
 Each stage takes what its predecessor kept, written as Parquet and read again; all but the last return
-the columns of documents.
+the columns of documents, whatever these are besides doc_id and text. Every stage takes an empty table.
 """
 
 from __future__ import annotations
@@ -13,27 +13,27 @@ from quillstone.llm import decontaminate, line_dedup, near_dedup, pieces, qualit
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the isolation forest reject go."""
+    """Documents that the rules or the isolation forest reject go, null and empty texts among them; equal rows are judged alike."""
     return quality.keep_good(docs, C.table(spark, sf_dir, "labels"))
 
 
 def line_winnowing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that an earlier document has go; so does a document that has no other line."""
+    """Runs of lines that an earlier document has go; so does a document that has no other line. Rows that share id and text go or stay together."""
     return line_dedup.without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id."""
+    """One document of each group of near duplicates stays: that with the smallest id, a null id being larger than all. Rows without words all stay."""
     return near_dedup.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold the question and the answer of a test item go."""
+    """Documents that hold the question and the answer of a test item go; those without words, null ones too, stay."""
     return decontaminate.without_leaks(docs, C.table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, and whether decoding them gives its text."""
+    """The ids of each document, none for a null or empty text, and whether decoding them gives its text."""
     return pieces.encode_documents(docs)
 
 
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written and read again."""
+    """All stages over documents; each but the last is written and read again, and the one before it deleted."""
+    stages = C.Scratch(spark)
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = C.materialize(stage(spark, docs, sf_dir), name)
+        with C.Scratch.watched():
+            docs = stages.keep(stage(spark, docs, sf_dir), name)
+        stages.drop_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
