@@ -58,7 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/quillstone-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark keeps it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -98,7 +99,7 @@ class Scratch:
         """Delete tables that no later plan reads."""
         for df, path in self.tables:
             if any(df is t for t in tables):
-                _delete(self.spark, path)
+                delete(self.spark, path)
         self.tables = [(df, path) for df, path in self.tables if not any(df is t for t in tables)]
 
     def drop_but(self, *tables: DataFrame) -> None:
@@ -108,7 +109,7 @@ class Scratch:
 
 def discard_all(spark: SparkSession) -> None:
     """Delete all tables that this application has written to the shared folder, those of results too."""
-    _delete(spark, shared_dir(spark))
+    delete(spark, shared_dir(spark))
 
 
 def documents(docs: DataFrame) -> DataFrame:

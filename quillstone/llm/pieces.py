@@ -279,7 +279,7 @@ def _encode(name: str, keep_ids: bool):
         encoder = encoder_at(name)
         for data in batches:
             texts = [t or b"" for t in data.column("text").to_pylist()]
-            ids = encoder.encode([t.decode() for t in texts])
+            ids = encoder.encode([t.decode("utf-8", "replace") for t in texts])
             digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
             same = [encoder.pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
             sizes = [len(x) for x in ids]
@@ -295,7 +295,7 @@ def _encode(name: str, keep_ids: bool):
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256 (of the ids as little-endian 32-bit numbers) and round_trip of every row.
 
-    round_trip says that decoding the ids gives the very text, which fails only for texts that hold the space mark itself. A null or empty text has no tokens; a null
+    round_trip says that decoding the ids gives the very text, which fails only for texts that hold the space mark itself or bytes that are no UTF-8. A null or empty text has no tokens; a null
     id stays null; equal rows and repeated ids are encoded each on their own; an empty table gives no
     rows. Texts and words of any length are encoded whole. Columns other than doc_id and text are not read. No row moves between tasks.
     """

@@ -65,7 +65,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_winnowing": op10_line_winnowing,
 }
 
+# Patterns of secrets, and the rule for a match of each: p is the pattern, m the match.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, p, 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+    ("hex", "[0-9a-f]+", "length(m) >= 32"),
+    ("id", r"""(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}|(?:[cC]lient|[aA]ccount|[uU]ser|[lL]ogin|[kK]ey)_?(?:[iI][dD]|[nN]ame)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", "true"),
+    ("key", "[A-Za-z0-9+/_=-]+", "length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')"),
+    ("host", r"""(?:https?|s3|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|[a-z0-9.-]+\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)""", "true"),
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql(reach: int = 200) -> str:
+    """Spans by the lengths of matches and of what lies between; weak ones by all pairs within a text."""
+    parts = " UNION ALL ".join(
+        f"""SELECT r, {k} AS kind, i, length(gap) AS gap, length(m) AS n, {rule.replace("p, 2", f"{_quoted(pattern)}, 2")} AS counts FROM (
+            SELECT r, unnest(range(len(f))) AS i, unnest(f) AS m, unnest(g[1:len(f)]) AS gap FROM (SELECT r, regexp_extract_all(t, {_quoted(pattern)}) AS f, regexp_split_to_array(t, {_quoted(pattern)}) AS g FROM d))"""
+        for k, (_, pattern, rule) in enumerate(_SECRETS)
+    )
+    overlaps = lambda kinds: f"EXISTS (SELECT 1 FROM s q WHERE q.r = p.r AND q.kind IN ({kinds}) AND q.a < p.b AND p.a < q.b)"
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM y q WHERE q.r = p.r AND q.kind IN ({kinds}) AND NOT q.idle AND ((q.b <= p.a AND p.a - q.b <= {reach}) OR (q.a >= p.b AND q.a - p.b <= {reach})))"
+    name = f"[{', '.join(_quoted(k) for k, *_ in _SECRETS)}][kind + 1] || ':' || a || ':' || b"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS ({parts}),
+        s AS MATERIALIZED (SELECT r, kind, b - n AS a, b FROM (SELECT *, CAST(sum(gap + n) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS b FROM w) WHERE counts),
+        y AS MATERIALIZED (SELECT r, kind, a, b, kind = 1 AND {overlaps("0, 2")} AS idle FROM s p
+              WHERE kind < 3 OR (NOT {overlaps("0, 1, 2")} AND (kind = 5 OR NOT {overlaps("5")}) AND (kind <> 4 OR NOT {overlaps("3")}))),
+        z AS (SELECT * FROM y p WHERE kind < 3 OR (kind = 3 AND {near("0, 2, 4")}) OR (kind = 4 AND {near("1, 3, 5")}) OR (kind = 5 AND {near("0, 2, 4")} AND {near("1, 3")}))
+        SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               sha256(coalesce(string_agg({name}, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg({name}, ',' ORDER BY a, kind), '') AS spans, count(*) FILTER (kind > 2) AS n_linked
+        FROM d LEFT JOIN z ON z.r = d.r GROUP BY d.r, doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_links": _secrets_sql(),
     # A record's type follows from the smallest page of its payload; the digest is of the UTF-8 bytes.
     "op7_warc_source": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

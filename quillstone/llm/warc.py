@@ -381,8 +381,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write all pages to archives in the shared folder and read the archives back."""
+    """Write all pages to archives in the shared folder and read the archives back: the rows of read_pages, whose archives are deleted.
+
+    Nulls, repeated rows and ties are as in write_pages; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = f"{C.shared_dir(spark)}/warc-{uuid.uuid4().hex[:12]}"
     write_pages(pages, path)
-    return read_pages(spark, path)
+    found = C.Scratch(spark).keep(read_pages(spark, path), "read-pages")
+    C.delete(spark, path)
+    return found

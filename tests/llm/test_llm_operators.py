@@ -300,11 +300,26 @@ def test_token_counts_splice_anywhere():
     model = token_counts.model_at("piece_bpe_32k.model")
     rng = random.Random(5)
     for _ in range(300):
-        text = "".join(rng.choice(["a", " ", "  ", "the", "\n", "é", "日本", "<s>", "\t", " the quick", "▁", " "]) for _ in range(rng.randint(0, 90))).encode()
+        text = "".join(rng.choice(["a", " ", "  ", "the", "\n", "\n\n", "é", "日本", "<s>", "\t", " the quick", "▁", " "]) for _ in range(rng.randint(0, 90))).encode()
         for chunk, over in ((16, 4), (40, 8)):
             assert token_counts.count_in_chunks(model, text, chunk, over) == model.count(text)
 
 
+def test_token_counts_without_spaces():
+    """Line breaks alone are boundaries enough: no more than a few chunks are encoded at once."""
+    model = token_counts.model_at("piece_bpe_32k.model")
+    text = "\n".join(f"word{k}" for k in range(3000)).encode()
+    seen = []
+    ends = model.ends
+    model.ends = lambda t, a, b: seen.append(b - a) or ends(t, a, b)
+    try:
+        assert token_counts.count_in_chunks(model, text, 500, 20) == model.count(text)
+    finally:
+        del model.ends
+    assert max(seen) < 1500
+    assert token_counts.count_in_chunks(model, b"x" * 9000 + b"\xff", 500, 20) == model.count(b"x" * 9000 + b"\xff")
+
+
 # --- op5
 
 
