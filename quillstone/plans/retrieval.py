@@ -247,6 +247,7 @@ def _fused(expression: str, k: int = 8) -> str:
 
 _RRF = "1.0 / (60 + rank) + CASE WHEN counted THEN 1.0 / (60 + sparse_rank) ELSE 0 END"
 _SCALE = "CASE WHEN max({0}) OVER (PARTITION BY qid) - min({0}) OVER (PARTITION BY qid) < 1e-9 THEN 1.0 ELSE ({0} - min({0}) OVER (PARTITION BY qid)) / (max({0}) OVER (PARTITION BY qid) - min({0}) OVER (PARTITION BY qid)) END"
+_WEIGHTED = f"{_SCALE.format('dense_score')} + {_SCALE.format('CASE WHEN counted THEN bm ELSE 0 END')}"
 _LABELS = f"""{_E}, {_dense(20)},
         rel AS (SELECT q.vec_id AS qid, d.vec_id AS chunk_id FROM embeddings q JOIN embeddings d USING (label) WHERE q.vec_id % 20 = 0)"""
 
@@ -331,7 +332,7 @@ ORACLE_SQL = {
                CAST(0 AS DOUBLE) AS bm25_score, CASE WHEN noise_id IS NULL THEN 'semantic' ELSE 'noise' END AS matched_by, noise_id IS NOT NULL AS injected_noise FROM dense d LEFT JOIN dr ON dr.qid = d.qid AND dr.rank = d.rank AND dr.rank > dr.kept""",
     "dense_topk_owner": f"WITH {_E}, ow AS (SELECT dv.* FROM dv JOIN embeddings ON vec_id = id WHERE label = 3 AND vec_id % 2 = 0), {_dense(8, 'ow')} SELECT qid, chunk_id, CAST(rank AS INT) AS rank, {_R('dense_score', 5)} AS fused_score FROM dense",
     "hybrid_rrf": _fused(_RRF),
-    "hybrid_weighted": _fused(f"{_SCALE.format('dense_score')} + {_SCALE.format('CASE WHEN counted THEN bm ELSE 0 END')}"),
+    "hybrid_weighted": _fused(_WEIGHTED),
     "dense_documents": f"WITH {_TEXT_VECTORS}, {_dense(8)} SELECT qid, chunk_id, CAST(rank AS INT) AS rank, {_R('dense_score', 5)} AS fused_score, {_R('dense_score', 4)} AS dense_score, CAST(0 AS DOUBLE) AS bm25_score, 'semantic' AS matched_by FROM dense",
     "sparse_topk": f"""WITH {_SPARSE}, s AS (SELECT qid, chunk_id, {_BM25} AS bm FROM tf JOIN qt USING (term) JOIN idf USING (term) GROUP BY qid, chunk_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm, 9) DESC, chunk_id) AS rank FROM s WHERE bm > 0)
@@ -361,6 +362,15 @@ ORACLE_SQL = {
     "sweep_final_k": f"""WITH {_LABELS}, ks AS (SELECT unnest([1, 3, 5, 8, 10, 15, 20]) AS final_k), hk AS (SELECT * FROM dense JOIN ks ON rank <= final_k),
         {_ranking('hk', 'final_k, qid', '(SELECT final_k, vec_id AS qid FROM embeddings, ks WHERE vec_id % 20 = 0)')}
         SELECT final_k, {', '.join(f'{_R(f"avg({c})", 4)} AS {c}' for c in _METRICS)} FROM m GROUP BY final_k""",
+    "sweep_mode": f"""WITH {_CANDIDATES}, {_mmr(8)},
+        h1 AS (SELECT 'hybrid_rrf' AS mode, qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(f, 9) DESC, rank) AS rank FROM (SELECT *, {_RRF} AS f FROM fused)),
+        h2 AS (SELECT 'hybrid_weighted' AS mode, qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(f, 9) DESC, rank) AS rank FROM (SELECT *, {_WEIGHTED} AS f FROM fused)),
+        h3 AS (SELECT 'dense' AS mode, qid, chunk_id, rank FROM dense),
+        h4 AS (WITH {_SPARSE} SELECT 'sparse' AS mode, qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(bm, 9) DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, {_BM25} AS bm FROM tf JOIN qt USING (term) JOIN idf USING (term) GROUP BY qid, chunk_id) WHERE bm > 0),
+        h5 AS (SELECT 'mmr' AS mode, qid, chunk_id, nth AS rank FROM m8),
+        hits AS (SELECT * FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM h5) WHERE rank <= 8), rel AS ({_GOLD}),
+        {_ranking('hits', 'mode, qid', "(SELECT mode, item_id AS qid FROM benchmark, (SELECT unnest(['hybrid_rrf', 'hybrid_weighted', 'dense', 'sparse', 'mmr']) AS mode))")}
+        SELECT mode, count(recall_at_k) AS n, {_R('avg(recall_at_k)', 4)} AS recall_at_k, {_R('avg(mrr)', 4)} AS mrr FROM m GROUP BY mode""",
     "keyword_f1": rf"""WITH {_TEXT_VECTORS}, {_dense(1)}, pr AS (SELECT qid, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS a, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS e FROM dense JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = qid),
         ac AS (SELECT qid, t, count(*) AS n FROM (SELECT qid, unnest(a) AS t FROM pr) GROUP BY qid, t), ec AS (SELECT qid, t, count(*) AS n FROM (SELECT qid, unnest(e) AS t FROM pr) GROUP BY qid, t),
         cm AS (SELECT qid, sum(least(ac.n, ec.n)) AS c FROM ac JOIN ec USING (qid, t) GROUP BY qid)
