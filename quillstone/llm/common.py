@@ -32,6 +32,7 @@ BLOCK_BYTES = 8 << 20
 #: Hashes that one range merges, about.
 RANGE_ENTRIES = 3_000_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,8 +90,14 @@ class Scratch:
                 scratch.drop_but()
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a table. What its plan has shuffled is deleted once it is written: no later plan reads it."""
         path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((out, path))
         return out

@@ -25,6 +25,8 @@ from . import common as C
 
 #: Kinds of blocks: training documents that stay in the counts, that are deleted for the weights, and others.
 KEPT, DELETED, HELD_OUT = 0, 1, 2
+#: Tokens whose weights are laid out at once.
+STRETCH = 1 << 17
 _END, _BEGIN = b"\n", b"\n\n"  # no word holds a line break
 
 _CELLS = pa.schema([("range_id", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -58,7 +60,7 @@ class _Block:
         for n in range(1, order + 1):
             distinct, index = np.unique(C.grams(hashes, n)[self.places], return_inverse=True)
             self.distinct.append(distinct)
-            self.index.append(index)
+            self.index.append(index.astype(np.uint32))
         #: Whether the token before belongs to the text: else the context is the text's begin.
         first = np.cumsum(self.lengths) - self.lengths
         self.inner = np.ones(len(self.places), bool)
@@ -212,7 +214,8 @@ def _score(order: int, ranges: int, n_tokens: int, n_words: int, n_docs: int, we
             block = _Block(row, order)
             counts = _returned(cells, order, ranges, "total")
             buckets, parts = block.parts(counts, n_tokens, n_words, n_docs)
-            logs = np.log10((weights.rows(buckets) * parts).sum(axis=1))
+            logs = np.concatenate([np.log10((weights.rows(buckets[k : k + STRETCH]) * parts[k : k + STRETCH]).sum(axis=1)) for k in range(0, len(buckets), STRETCH)])
+            del buckets, parts
             words = counts[0][block.index[0]]
             base = np.log10((words + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
             first = np.cumsum(block.lengths) - block.lengths
