@@ -88,6 +88,15 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, term, tf, length of chunks (chunk_id, text). A chunk's terms are sorted and counted where it lies; no row moves."""
+    cut = chunks.select("chunk_id", F.array_sort(T.terms(F.col("text"))).alias("sorted")).where(F.size("sorted") > 0)
+    begins = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
+    cut = cut.select("chunk_id", "sorted", begins.alias("begins"))
+    runs = F.transform("begins", lambda i, k: F.struct(F.get("sorted", i - 1).alias("term"), (F.coalesce(F.get("begins", k + 1), F.size("sorted") + 1) - i).cast("long").alias("tf")))
+    return cut.select("chunk_id", F.size("sorted").alias("length"), F.explode(runs).alias("p")).select("chunk_id", "p.term", "p.tf", "length")
+
+
 def lengths(chunks: DataFrame) -> DataFrame:
     """One row: the number of chunks (chunk_id, text), of those that have terms, and the mean number of terms."""
     size = F.size(T.terms(F.col("text")))
@@ -118,9 +127,7 @@ def sparse_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """
     wanted = question_terms(questions)
     idf = term_statistics(chunks, "n").join(wanted.select("term").distinct(), "term", "left_semi")
-    cut = chunks.select("chunk_id", T.terms(F.col("text")).alias("terms"))
-    found = cut.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    posted = found.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    posted = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
     scored = posted.join(wanted.join(idf, "term"), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("times") * _bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"))).alias("bm25_score"))
     return _top(scored.where("bm25_score > 0"), "bm25_score", k, "chunk_id")
 

@@ -31,8 +31,8 @@ def _vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return R.postings(docs).select(F.col("chunk_id").alias("doc_id"), "term", "tf")
 
 
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
