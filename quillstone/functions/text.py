@@ -146,8 +146,21 @@ def truncated(text: Column, length: int) -> Column:
 
 
 def percent(done: Column, total: Column, low: int = 0, high: int = 100) -> Column:
-    """Progress from low to high, within both; low where there is nothing to do."""
-    return F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(F.floor(low + (high - low) * F.try_divide(done, total)), F.lit(low)))).cast("int")
+    """Progress from low to high, within both; high where there is nothing to do."""
+    share = F.coalesce(F.try_divide(done, total), F.lit(1.0))
+    return F.least(F.lit(high), F.greatest(F.lit(low), low + F.floor((high - low) * share))).cast("int")
+
+
+# How far an upload is when a stage begins; embedding goes on to 92.
+UPLOAD_STAGES = {"reading": 4, "extracted": 22, "split": 38, "embedding": 38, "writing": 95, "indexed": 100}
+
+
+def upload_percent(stage: Column, done: Column, total: Column) -> Column:
+    """How far an upload is, in percent; null for an unknown stage."""
+    out = F.when(stage == "embedding", percent(done, total, UPLOAD_STAGES["embedding"], 92))
+    for name, at in UPLOAD_STAGES.items():
+        out = out.when(stage == name, F.lit(at))
+    return out
 
 
 def resolved_model(ref: Column, chain: Sequence[str], most_tokens: dict[str, int], default: int = 700) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, fields, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import models
@@ -198,7 +198,8 @@ def run(config: RunConfig, chunks: DataFrame, questions: DataFrame, known: model
     out = out.withColumn("answer_relevance", F.when(F.col("answer").isNotNull(), M.answer_relevance(F.col("vector"), F.col("answer_vector"))))
     out = out.withColumn("composite_score", M.composite(*(F.col(c) for c in M.COMPOSITE)))
     out = out.withColumns({"retrieval_ms": F.lit(None).cast("double"), "total_ms": F.coalesce("rerank_ms", F.lit(0.0)) + F.coalesce("generation_ms", F.lit(0.0))})
-    return out.select("qid", "answer", "relevance_source", "generation_error", *METRICS, *TIMINGS)
+    out = out.join(F.broadcast(chunks.agg(F.count("*").alias("corpus_size"))))  # one row
+    return out.select("qid", "answer", "relevance_source", "generation_error", *METRICS, *TIMINGS, "corpus_size")
 
 
 def _sentences(rows: DataFrame, column: str) -> DataFrame:
@@ -248,7 +249,25 @@ def run_all(configs: Iterable[RunConfig], docs: DataFrame, questions: DataFrame,
     return out.unionByName(errors, allowMissingColumns=True) if failed else out
 
 
+# What can be chosen besides models and documents.
+CHOICES = {
+    "chunking_strategy": ("fixed", "sentence", "recursive", "semantic"),
+    "retrieval_mode": ("hybrid_rrf", "hybrid_weighted", "dense", "sparse", "mmr"),
+    "faithfulness_mode": ("cosine", "nli"),
+    "axis": AXES,
+}
+
+
+def options(documents: DataFrame, user_id: str, known: models.Models | None = None) -> DataFrame:
+    """kind, at, value: all that a run can be made of, and the documents that one owns, the latest upload first."""
+    known = known or models.Models()
+    choices = CHOICES | {"embed_model": ("hash-64", *known.embedders), "reranker_model": ("none", "terms", *known.scorers), "llm_model_id": ("auto", *known.generators)}
+    rows = documents.sparkSession.createDataFrame([(kind, at, v) for kind, values in choices.items() for at, v in enumerate(values)], "kind string, at int, value string")
+    mine = L.owned(documents, user_id).withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("upload_time"), "document_id")) - 1)
+    return rows.unionByName(mine.select(F.lit("document").alias("kind"), "at", F.col("document_id").cast("string").alias("value")))
+
+
 def aggregate(items: DataFrame) -> DataFrame:
-    """run_id, metric, mean, median, std, n of all measures and timings of run_all's rows, with the run's errors and n_questions."""
-    counts = items.groupBy("run_id").agg(F.count_if(F.coalesce("error", "generation_error").isNotNull()).alias("errors"), F.count("qid").alias("n_questions"))
+    """run_id, metric, mean, median, std, n of all measures and timings of run_all's rows, with the run's errors, n_questions and corpus_size."""
+    counts = items.groupBy("run_id").agg(F.count_if(F.coalesce("error", "generation_error").isNotNull()).alias("errors"), F.count("qid").alias("n_questions"), F.max("corpus_size").alias("corpus_size"))
     return M.run_summary(items, [*METRICS, *TIMINGS]).join(counts, "run_id")

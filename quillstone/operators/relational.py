@@ -94,12 +94,13 @@ def model_status(chain: DataFrame, cooldowns: DataFrame, served: DataFrame, now:
 
 
 def model_chain(chain: DataFrame, cooldowns: DataFrame, served: DataFrame, now: float) -> DataFrame:
-    """model_status with the label, the reason of a cooldown, all that was served, and whether a model can be asked."""
-    reasons = cooldowns.select("model", *(["reason"] if "reason" in cooldowns.columns else [F.lit(None).cast("string").alias("reason")]))
-    rows = model_status(chain, cooldowns, served, now).join(chain.drop("priority"), "model").join(reasons, "model", "left")
-    label = F.col("label") if "label" in chain.columns else F.col("model")
-    total = served.agg(F.sum("served").alias("total_served"))
-    return rows.join(F.broadcast(total)).select("model", label.alias("label"), "priority", "state", (F.col("state") == "ready").alias("available"), F.when(F.col("state") != "ready", F.col("reason")).alias("reason"), "remaining", "served", F.coalesce("total_served", F.lit(0)).alias("total_served"))  # one row
+    """model_status with the label, whether a model can be asked, and of one that can't the reason and the whole time of its cooldown.
+
+    chain: model, label, priority; cooldowns: model, until, credit, reason, total.
+    """
+    rows = model_status(chain.select("model", "priority"), cooldowns, served, now).join(chain.select("model", "label"), "model").join(cooldowns.select("model", "reason", "total"), "model", "left")
+    ready = F.col("state") == "ready"
+    return rows.select("model", "label", "priority", "state", ready.alias("available"), F.when(ready, "").otherwise(F.coalesce("reason", F.lit(""))).alias("reason"), "remaining", F.when(ready, 0).otherwise(F.col("total")).cast("int").alias("cooldown_total"), "served")
 
 
 def failover(attempts: DataFrame) -> DataFrame:
@@ -140,6 +141,13 @@ def cascade(parents: DataFrame, children: DataFrame, key: str, doomed: Column) -
     return without(parents, doomed), children.join(gone, key, "left_anti")
 
 
+def erase_owner(tables: dict[str, DataFrame], user_id: str) -> dict[str, DataFrame]:
+    """What is left of each table when all rows of one owner are erased; rows without an owner stay."""
+    if not user_id.strip():
+        raise ValueError("an owner is required")
+    return {name: without(df, F.col("user_id") == user_id) for name, df in tables.items()}
+
+
 def latest_state(updates: DataFrame, key: str, at: str = "at") -> DataFrame:
     """A table's present rows from its inserts and updates: of each column the last value that was set, null being no change.
 
@@ -171,8 +179,8 @@ def listed_documents(documents: DataFrame) -> DataFrame:
 
 
 def source_panel(hits: DataFrame) -> DataFrame:
-    """What is shown of each hit beside an answer."""
-    return hits.select("qid", "rank", "filename", "page_start", "page_end", "section", "text", "fused_score", "dense_score", "bm25_score", "matched_by")
+    """What is shown of each hit beside an answer: nine fields, by question and rank."""
+    return hits.select("qid", "rank", "filename", "page_start", "page_end", "section", "matched_by", "fused_score", "dense_score", "bm25_score", "text")
 
 
 #: The longest question.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.operators import experiment as E
 from quillstone.operators import relational as R
 from quillstone.plans.tables import table
 from quillstone.sources.files import acceptable
@@ -305,11 +306,38 @@ def owned_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), T.rounded(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), 2).alias("total"))
 
 
+def model_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain, cooldowns, served = _cooldowns(spark, sf_dir)
+    rows = cooldowns.select("*", F.when(F.col("credit"), "allowance spent").otherwise("busy").alias("reason"), F.when(F.col("credit"), 3600.0).otherwise(45.0).alias("total"))
+    return R.model_chain(chain.withColumn("label", F.upper("model")), rows, served, NOW)
+
+
+def upload_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as events of an upload: the first reads, the last is indexed, what lies between embeds."""
+    turns = table(spark, sf_dir, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    stage = F.when(F.col("turn") == 0, "reading").when(F.col("turn") == F.col("last"), "indexed").otherwise("embedding")
+    return turns.select("conv_id", "turn", T.upload_percent(stage, F.col("turn"), F.col("last")).alias("percent"))
+
+
+def erased_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left, by table and owner, when one owner is erased from documents and their chunks, here pages of 1000 characters."""
+    docs = _registry(spark, sf_dir)
+    chunks = docs.select("document_id", "user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 1000))).alias("chunk"))
+    left = R.erase_owner({"documents": docs, "chunks": chunks}, "src3")
+    counts = [df.groupBy("user_id").agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "user_id", "rows") for name, df in left.items()]
+    return counts[0].unionByName(counts[1])
+
+
+def options_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.col("n_chars").alias("upload_time"))
+    return E.options(docs, "src3").where("kind IN ('document', 'retrieval_mode')")
+
+
 QUERIES = {f.__name__: f for f in (
     owned_ids, orphan_chunks, delete_survivors, valid_sessions, latest_upsert, chat_list, chat_titles, recent_history, sanitized_history, scope_json, title_fill, model_status, soonest_model, prompt_blocks,
     eval_prompt, email_keys, password_rule, model_refs,
     mojibake_repair, credit_error_flag, judge_verdicts, dataset_counts, stream_frames, stream_concat, csv_export, owned_totals,
-    json_values, owned_all, listed_documents, run_list, run_items, run_cascade, latest_states, transcripts, public_chats, query_validity, failover, chat_messages, eval_messages, uploads, line_headings, resolved_models, derived_ids,
+    json_values, owned_all, listed_documents, run_list, run_items, run_cascade, latest_states, transcripts, public_chats, query_validity, failover, chat_messages, eval_messages, uploads, line_headings, resolved_models, derived_ids, model_chain, upload_progress, erased_owner, options_list,
 )}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -391,6 +419,15 @@ ORACLE_SQL = {
     "uploads": """SELECT p_partkey, p_partkey % 6 NOT IN (3, 5) AND p_partkey % 11 <> 0 AND p_size * 2000000 <= 52428800 AS ok FROM part""",
     "line_headings": """SELECT doc_id, 0 AS at, 'SECTION ' || upper(source) || ' - General' AS heading FROM documents UNION ALL SELECT doc_id, 1, '3.' || doc_id || ' Scope' FROM documents UNION ALL SELECT doc_id, 3, 'ALL CAPS LINE' FROM documents""",
     "resolved_models": "WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'm0' ELSE 'm' || p_partkey % 4 END AS model FROM part) SELECT p_partkey, model, CASE model WHEN 'm0' THEN 900 WHEN 'm2' THEN 300 ELSE 700 END AS max_tokens FROM m",
-    "derived_ids": "SELECT conv_id, turn, 'msg_' || left(sha1(conv_id || chr(31) || turn), 12) AS id, CASE WHEN max(turn) OVER (PARTITION BY conv_id) = 0 THEN 38 ELSE CAST(floor(38 + 54 * (turn / max(turn) OVER (PARTITION BY conv_id))) AS INT) END AS progress FROM conversations",
+    "derived_ids": "SELECT conv_id, turn, 'msg_' || left(sha1(conv_id || chr(31) || turn), 12) AS id, CASE WHEN max(turn) OVER (PARTITION BY conv_id) = 0 THEN 92 ELSE CAST(floor(38 + 54 * (turn / max(turn) OVER (PARTITION BY conv_id))) AS INT) END AS progress FROM conversations",
+    "model_chain": f"""WITH {_MODELS}, j AS (SELECT ch.*, co.credit, co.until, coalesce(until > {NOW}, false) AS waits, coalesce(served, 0) AS served FROM ch LEFT JOIN co USING (model) LEFT JOIN sv USING (model))
+        SELECT model, upper(model) AS label, priority, CASE WHEN waits THEN CASE WHEN credit THEN 'exhausted' ELSE 'cooldown' END ELSE 'ready' END AS state, NOT waits AS available, CASE WHEN waits THEN CASE WHEN credit THEN 'allowance spent' ELSE 'busy' END ELSE '' END AS reason,
+        CAST(CASE WHEN waits THEN greatest(0, floor(until - {NOW})) ELSE 0 END AS INT) AS remaining, CASE WHEN waits THEN CASE WHEN credit THEN 3600 ELSE 45 END ELSE 0 END AS cooldown_total, served FROM j""",
+    "upload_progress": """WITH t AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS l FROM conversations)
+        SELECT conv_id, turn, CASE WHEN turn = 0 THEN 4 WHEN turn = l THEN 100 ELSE CAST(38 + floor(54 * (turn / l)) AS INT) END AS percent FROM t""",
+    "erased_owner": """SELECT 'documents' AS table_name, source AS user_id, count(*) AS rows FROM documents WHERE source <> 'src3' GROUP BY source
+        UNION ALL SELECT 'chunks', source, CAST(sum(n_chars // 1000 + 1) AS BIGINT) FROM documents WHERE source <> 'src3' GROUP BY source""",
+    "options_list": """SELECT 'retrieval_mode' AS kind, CAST(unnest(range(5)) AS INT) AS at, unnest(['hybrid_rrf', 'hybrid_weighted', 'dense', 'sparse', 'mmr']) AS value
+        UNION ALL SELECT 'document', CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS INT), CAST(doc_id AS VARCHAR) FROM documents WHERE source = 'src3'""",
     "owned_totals": "SELECT o_custkey, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY o_custkey",
 }

@@ -202,8 +202,13 @@ def answer_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _label_metrics(spark, sf_dir)
-    return found.select("qid", T.rounded(M.composite(F.col("context_precision"), F.col("recall_at_k"), F.lit(None).cast("double"), F.col("mrr")), 4).alias("composite"))
+    """All four parts: chunks of the own label are relevant, the best other vector is the answer, and the five after it are what supports it."""
+    chunks, questions = _vectors(spark, sf_dir), _vector_questions(spark, sf_dir)
+    hits = R.dense_top_k(chunks, questions, 7).join(chunks.select("chunk_id", "vector"), "chunk_id")
+    answers = hits.where("rank = 2").select("qid", F.lit(0).alias("sid"), "vector")
+    faithful = M.faithfulness(M.best_support(answers, hits.where("rank > 2").select("qid", "vector")))
+    rows = _label_metrics(spark, sf_dir).join(faithful, "qid").join(questions.select("qid", F.col("vector").alias("asked")), "qid").join(answers.select("qid", "vector"), "qid")
+    return rows.select("qid", T.rounded(M.composite(F.col("context_precision"), F.col("recall_at_k"), F.col("faithfulness"), M.answer_relevance(F.col("asked"), F.col("vector"))), 4).alias("composite"))
 
 
 # --- SQL ---------------------------------------------------------------------------------------
@@ -381,5 +386,9 @@ ORACLE_SQL = {
         bs AS (SELECT qid, key, max(c) AS best FROM pc GROUP BY qid, key)
         SELECT qid, {_R('avg((best + 1) / 2)', 4)} AS faithfulness, {_R('avg(CASE WHEN (best + 1) / 2 >= 0.5 THEN 1 ELSE 0 END)', 4)} AS supported_frac, {_R('avg(CASE WHEN best >= 0.55 THEN 1 ELSE 0 END)', 4)} AS context_recall FROM bs GROUP BY qid""",
     "answer_relevance": f"WITH {_E}, {_dense(2)} SELECT qid, {_R('(dense_score + 1) / 2', 4)} AS answer_relevance FROM dense WHERE rank = 2",
-    "composite": f"WITH {_LABELS}, {_ranking('(SELECT * FROM dense WHERE rank <= 10)')} SELECT qid, {_R('(context_precision + recall_at_k + mrr) / 3', 4)} AS composite FROM m",
+    "composite": f"""WITH {_LABELS}, {_ranking('(SELECT * FROM dense WHERE rank <= 10)')},
+        an AS (SELECT qid, chunk_id, dense_score FROM dense WHERE rank = 2),
+        su AS (SELECT an.qid, d.chunk_id, sum(x.x * y.x) AS c FROM an JOIN dense d ON d.qid = an.qid AND d.rank BETWEEN 3 AND 7 JOIN dv x ON x.id = an.chunk_id JOIN dv y ON y.id = d.chunk_id AND y.b = x.b GROUP BY an.qid, d.chunk_id),
+        be AS (SELECT qid, max(c) AS c FROM su GROUP BY qid)
+        SELECT m.qid, {_R('(context_precision + recall_at_k + (be.c + 1) / 2 + (dense_score + 1) / 2) / 4', 4)} AS composite FROM m JOIN be ON be.qid = m.qid JOIN an ON an.qid = m.qid""",
 }
