@@ -124,10 +124,10 @@ def _cleaned(docs: DataFrame, run: int, long: int) -> DataFrame:
     scratch.drop_but(gone)
     text = F.col("text").cast("string")
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    rows = docs.select(rest.alias("rest"), F.split(text, "\n", -1).alias("lines"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_hash"))
+    lines = F.split(text, "\n", -1)
+    full = F.filter(F.transform(lines, lambda x, i: F.when(_trimmed(x) != "", i + 1)), lambda i: i.isNotNull())
+    rows = docs.select(rest.alias("rest"), lines.alias("lines"), full.alias("full"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_hash"))
     rows = rows.join(gone.hint("merge"), F.col("rest.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left")
-    is_full = F.transform("lines", lambda x, i: F.when(_trimmed(x) != "", i + 1))
-    rows = rows.withColumn("full", F.filter(is_full, lambda i: i.isNotNull()))
     kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("lines")), F.transform("removed", lambda k: F.get("full", k - 1))), lambda i: F.get("lines", i - 1))
     left = F.array_join(F.when(F.col("removed").isNull(), F.col("lines")).otherwise(kept), "\n")
     return rows.select("rest", F.coalesce(F.size("full"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), left.alias("kept_text"))

@@ -805,6 +805,28 @@ def test_a_line_in_many_surroundings(spark):
     assert sum(r[2] for r in got) > 500
 
 
+# --- texts beyond a block, a chunk and a batch
+
+
+def test_very_long_text(spark):
+    """One text of more than 4 MiB, another that repeats half of it, with the operators' own settings."""
+    long = "\n".join(" ".join(f"w{(k * 7919 + j) % 100_003}x{k}" for j in range(12)) for k in range(36_000))
+    rows = [(1, long), (2, "head of its own\n" + long[: len(long) // 2]), (3, "short"), (4, None)]
+    assert len(long) > 4 << 20
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in interpolation.score_documents(own).collect()) == Counter((*x[:5], round(x[5], 3)) for x in brute_base(rows))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert Counter(tuple(r)[:6] for r in quality.judge_documents(own, labels).collect()) == Counter((i, *brute_statistics(t)) for i, t in rows)
+    model = token_counts.model_at("piece_bpe_32k.model")
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(own).collect()) == Counter((i, model.count((t or "").encode())) for i, t in rows)
+    assert all(r.round_trip for r in pieces.encode_documents(own, keep_ids=False).collect())
+    got = substring_dedup.remove_repeats(own).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute_repeats(rows, 20)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(own).collect()) == Counter(x[:3] for x in brute_near(rows))
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(own).collect()) == brute_lines(rows, 3)
+    assert {r.doc_id: r.spans for r in secrets.find_secrets(own).collect()}[1] == brute_secrets(long)[4]
+
+
 # --- shared
 
 
