@@ -8,7 +8,11 @@ questions are ranked in one plan. Ties go to the smaller chunk id.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,28 +92,36 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+_TERM = re.compile(T.TERM)
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("chunk_id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("length", pa.int32())])
+    for data in batches:
+        own = [Counter(_TERM.findall(t.lower())) if t else Counter() for t in data.column("text").to_pylist()]
+        sizes, lengths = np.array([len(c) for c in own], np.int64), np.array([c.total() for c in own], np.int32)
+        terms, counts = pa.array(list(chain.from_iterable(own)), pa.string()), pa.array(list(chain.from_iterable(c.values() for c in own)), pa.int64())
+        yield pa.RecordBatch.from_arrays([data.column("chunk_id").take(pa.array(np.repeat(np.arange(len(own)), sizes))), terms, counts, pa.array(np.repeat(lengths, sizes))], schema=schema)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, length of chunks (chunk_id, text). A chunk's terms are sorted and counted where it lies; no row moves."""
-    cut = chunks.select("chunk_id", F.array_sort(T.terms(F.col("text"))).alias("sorted")).where(F.size("sorted") > 0)
-    begins = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
-    cut = cut.select("chunk_id", "sorted", begins.alias("begins"))
-    runs = F.transform("begins", lambda i, k: F.struct(F.get("sorted", i - 1).alias("term"), (F.coalesce(F.get("begins", k + 1), F.size("sorted") + 1) - i).cast("long").alias("tf")))
-    return cut.select("chunk_id", F.size("sorted").alias("length"), F.explode(runs).alias("p")).select("chunk_id", "p.term", "p.tf", "length")
+    """chunk_id, term, tf, length of chunks (chunk_id, text). A chunk's terms are counted where it lies, over Arrow batches; no row moves."""
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text").mapInArrow(_posted, "chunk_id long, term string, tf long, length int")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """One row: the number of chunks (chunk_id, text), of those that have terms, and the mean number of terms."""
-    size = F.size(T.terms(F.col("text")))
+    size = F.coalesce(F.regexp_count("text", F.lit(T.TERM)), F.lit(0))
     return chunks.agg(F.count("*").alias("n"), F.count_if(size > 0).alias("n_full"), F.avg(size).alias("mean_length"))
 
 
 def term_statistics(chunks: DataFrame, n: str = "n_full") -> DataFrame:
     """term, df, idf, mean_length over chunks (chunk_id, text): idf below 0 becomes a share of the mean, as usual.
 
-    A chunk's terms are made distinct where it lies; what is exchanged is a sum for each term and task. n: which of
+    A chunk's terms are counted where it lies; what is exchanged is a sum for each term and task. n: which of
     the counts of `lengths` is the number of chunks.
     """
-    df = chunks.select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = postings(chunks).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(lengths(chunks))).withColumn("raw", _idf(F.col(n), F.col("df")))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "mean_length")  # one row
@@ -132,21 +144,30 @@ def sparse_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return _top(scored.where("bm25_score > 0"), "bm25_score", k, "chunk_id")
 
 
+def _candidate_scores(group: pa.Table) -> pa.Table:
+    """One question's candidates with their BM25 scores; null where no term of the question is held."""
+    own = [Counter(_TERM.findall(t.lower())) if t else Counter() for t in group.column("text").to_pylist()]
+    df = Counter(chain.from_iterable(own))
+    idf = {t: math.log(len(own) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    floor = EPSILON * sum(idf.values()) / max(1, len(idf))
+    mean = sum(c.total() for c in own) / len(own)
+    asked = Counter(_TERM.findall((group.column("question")[0].as_py() or "").lower()))
+    scores = []
+    for c in own:
+        held = [(n, idf[t] if idf[t] >= 0 else floor, c[t]) for t, n in asked.items() if t in c]
+        scores.append(sum(n * x * tf * (K1 + 1) / (tf + K1 * (1 - B + B * c.total() / mean)) for n, x, tf in held) if held else None)
+    return group.select(["qid", "chunk_id", "rank", "dense_score"]).append_column("bm25_score", pa.array(scores, pa.float64()))
+
+
 def bm25_over_candidates(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """candidates (qid, chunk_id, dense_score, rank) with bm25_score and sparse_rank, null beyond the best k above 0.
 
-    Statistics are those of each question's candidates alone. Their number is bounded by k for a question,
-    so their texts are joined once and everything else is a fold over a short array.
+    Statistics are those of each question's candidates alone. Their number is bounded by k for a question, so a
+    question's texts are one bounded group; texts that are nobody's candidates aren't cut into terms.
     """
-    texts = candidates.join(chunks.select("chunk_id", T.terms(F.col("text")).alias("terms")), "chunk_id")
-    own = Window.partitionBy("qid")
-    rows = texts.withColumn("n", F.count("*").over(own)).withColumn("mean_length", F.avg(F.size("terms")).over(own))
-    counts = rows.select("qid", "chunk_id", "n", "mean_length", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("qid", "chunk_id", "n", "mean_length", "length", "term").agg(F.count("*").alias("tf"))
-    stats = counts.groupBy("qid", "term", "n").agg(F.count("*").alias("df")).withColumn("raw", _idf(F.col("n"), F.col("df")))
-    stats = stats.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.avg("raw").over(own)).otherwise(F.col("raw")))
-    wanted = question_terms(questions).join(stats.select("qid", "term", "idf"), ["qid", "term"])
-    scored = counts.join(wanted, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("times") * _bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"))).alias("bm25_score"))
-    joined = candidates.join(scored, ["qid", "chunk_id"], "left")
+    rows = candidates.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
+    rows = rows.select(F.col("qid").cast("long").alias("qid"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), "dense_score", "text", "question")
+    joined = rows.groupBy("qid").applyInArrow(_candidate_scores, "qid long, chunk_id long, rank int, dense_score double, bm25_score double")
     order = Window.partitionBy("qid").orderBy(F.desc(F.round(F.coalesce("bm25_score", F.lit(0.0)), 9)), "rank")
     joined = joined.withColumn("sparse_rank", F.row_number().over(order))
     counted = (F.coalesce("bm25_score", F.lit(0.0)) > 0) & (F.col("sparse_rank") <= k)
