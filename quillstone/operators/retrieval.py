@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -132,16 +133,51 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(T.terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
+def _best_sparse(questions: list[Row], k: int):
+    """The best k chunks of a batch for each question, by the weights of the terms that questions have."""
+    ids = np.array([q["qid"] for q in questions], np.int64)
+    mean = questions[0]["mean_length"]
+    asking: dict[str, list[tuple[int, float]]] = {}
+    for at, q in enumerate(questions):
+        for t in q["terms"]:
+            asking.setdefault(t["term"], []).append((at, t["weight"]))
+    weights = {t: (np.array([a for a, _ in x], np.int64), np.array([w for _, w in x])) for t, x in asking.items()}
+    schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("bm25_score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            found = []
+            for chunk_id, text in zip(data.column("chunk_id").to_pylist(), data.column("text").to_pylist(), strict=True):
+                own = Counter(_TERM.findall(text.lower())) if text else Counter()
+                size = K1 * (1 - B + B * own.total() / mean)
+                hits = [(*weights[t], tf * (K1 + 1) / (tf + size)) for t, tf in own.items() if t in weights]
+                if hits:
+                    sums = np.bincount(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] * h[2] for h in hits]), len(ids))
+                    above = np.flatnonzero(sums > 0)
+                    found.append((above, np.full(len(above), chunk_id), sums[above]))
+            if found:
+                q, chunk, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort([chunk, -np.round(score, 9), q])
+                q = q[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q, "left")
+                best = order[nth < k]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[nth < k]]), pa.array(chunk[best]), pa.array(score[best])], schema=schema)
+
+    return run
+
+
 def sparse_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """qid, chunk_id, bm25_score, rank over the whole corpus; scores that aren't above 0 are left out.
 
-    Terms that no question has are dropped as soon as they are cut, before anything is counted or exchanged.
+    The weights of the questions' terms, a stated set, are sent to the chunks in slices of a bounded size; a chunk is scored
+    where it lies for all questions at once, and each task keeps its best k. No posting is exchanged.
     """
-    wanted = question_terms(questions)
-    idf = term_statistics(chunks, "n").join(wanted.select("term").distinct(), "term", "left_semi")
-    posted = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
-    scored = posted.join(wanted.join(idf, "term"), "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("times") * _bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"))).alias("bm25_score"))
-    return _top(scored.where("bm25_score > 0"), "bm25_score", k, "chunk_id")
+    weighed = question_terms(questions).join(term_statistics(chunks, "n"), "term")
+    asked = weighed.groupBy("qid").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight"))).alias("terms"), F.first("mean_length").alias("mean_length"))
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
+    parts = [rows.mapInArrow(_best_sparse(own, k), "qid long, chunk_id long, bm25_score double") for own in in_slices(asked) if own]
+    found = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], "qid long, chunk_id long, bm25_score double")
+    return _top(found, "bm25_score", k, "chunk_id")
 
 
 def _candidate_scores(group: pa.Table) -> pa.Table:
