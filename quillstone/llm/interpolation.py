@@ -25,6 +25,8 @@ from . import common as C
 
 #: Kinds of blocks: training documents that stay in the counts, that are deleted for the weights, and others.
 KEPT, DELETED, HELD_OUT = 0, 1, 2
+#: Longer n-grams are named by the first 56 bits of their hash: a byte less to send of each.
+_LONGER = ~np.uint64(0xFF)
 #: Tokens whose weights are laid out at once.
 STRETCH = 1 << 17
 _END, _BEGIN = b"\n", b"\n\n"  # no word holds a line break
@@ -58,7 +60,8 @@ class _Block:
         self.distinct: list[np.ndarray] = []
         self.index: list[np.ndarray] = []
         for n in range(1, order + 1):
-            distinct, index = np.unique(C.grams(hashes, n)[self.places], return_inverse=True)
+            own = C.grams(hashes, n)[self.places]
+            distinct, index = np.unique(own if n == 1 else own & _LONGER, return_inverse=True)
             self.distinct.append(distinct)
             self.index.append(index.astype(np.uint32))
         #: Whether the token before belongs to the text: else the context is the text's begin.
@@ -235,7 +238,7 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = C.BLOCK_
     end alone; a null id counts as training; equal rows are documents of their own, and so are rows
     that share an id. Without training documents every token has the uniform probability 1. An empty
     table gives no rows. Texts of any length are scored whole; one longer than a block is a block. Columns other
-    than doc_id and text are not read. Counts have 64 bits. N-grams are named by 64-bit hashes.
+    than doc_id and text are not read. Counts have 64 bits. Words are named by 64-bit hashes, longer n-grams by 56-bit ones.
 
     order: the longest n-gram. Disk for the exchange grows with it: about 8 bytes for each distinct n-gram of a block.
     """
@@ -251,7 +254,7 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = C.BLOCK_
     n_bytes = sum((r["bytes"] or 0) + 8 * r["rows"] for r in sizes.values())
     ranges = max(4, math.ceil(n_bytes / 6 / range_entries))
 
-    cells = blocks.mapInArrow(_send(order, ranges), "range_id int, block long, kind int, hashes binary, counts binary").repartition(order * ranges, "range_id")
+    cells = blocks.mapInArrow(_send(order, ranges), "range_id int, block long, kind int, hashes binary, counts binary").repartition(4 * order * ranges, "range_id")
     counted = scratch.keep(cells.groupBy("range_id").applyInArrow(_count(ranges), "block long, kind int, range_id int, total binary, deleted binary, n long, v long, n_kept long"), "ngrams")
     sums = counted.where("block IS NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("n_kept").alias("n_kept")).first()
     n_tokens, n_words, n_kept = (int(sums[c] or 0) for c in ("n", "v", "n_kept"))
