@@ -303,10 +303,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, keep_t
     ranges = max(4, math.ceil((n_bytes or 0) / 6 / 4 / C.RANGE_ENTRIES))
     shards = max(4, C.block_count(n_bytes, n_rows, shard_bytes))
     by_block = lambda df: df.repartition(n_blocks, "block").groupBy("block")  # noqa: E731  a partition for each block or so at every size
-    prints = blocks.mapInArrow(_send_prints(width, seed, ranges), "range_id int, block long, prints binary, counts binary").repartition(ranges, "range_id")
+    prints = blocks.mapInArrow(_send_prints(width, seed, ranges), "range_id int, block long, prints binary, counts binary").repartition(4 * ranges, "range_id")
     seen = scratch.keep(prints.groupBy("range_id").applyInArrow(_merge_prints(frequent), "block long, range_id int, seen binary"), "prints")
     segments = by_block(blocks).cogroup(by_block(seen)).applyInArrow(_send_segments(width, seed, ranges, shards), "shard int, block long, keys binary, lengths binary, words binary")
-    segments = segments.repartition(shards, "shard").groupBy("shard")
+    segments = segments.repartition(4 * shards, "shard").groupBy("shard")
     earlier = scratch.keep(segments.applyInArrow(earlier_windows(width), "block long, shard int, earlier binary"), "earlier")
     cells = seen.select("block", "range_id", "seen", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("earlier")).unionByName(earlier.select("block", F.lit(None).cast("int").alias("range_id"), F.lit(None).cast("binary").alias("seen"), "shard", "earlier"))
     result = scratch.keep(by_block(blocks).cogroup(by_block(cells)).applyInArrow(_remove(width, seed, ranges, shards, keep_text), RESULT_SCHEMA), "kept-words")
