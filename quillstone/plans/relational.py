@@ -328,7 +328,7 @@ def erased_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1])
 
 
-def options_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.col("n_chars").alias("upload_time"))
     return E.options(docs, "src3").where("kind IN ('document', 'retrieval_mode')")
 
@@ -337,7 +337,7 @@ QUERIES = {f.__name__: f for f in (
     owned_ids, orphan_chunks, delete_survivors, valid_sessions, latest_upsert, chat_list, chat_titles, recent_history, sanitized_history, scope_json, title_fill, model_status, soonest_model, prompt_blocks,
     eval_prompt, email_keys, password_rule, model_refs,
     mojibake_repair, credit_error_flag, judge_verdicts, dataset_counts, stream_frames, stream_concat, csv_export, owned_totals,
-    json_values, owned_all, listed_documents, run_list, run_items, run_cascade, latest_states, transcripts, public_chats, query_validity, failover, chat_messages, eval_messages, uploads, line_headings, resolved_models, derived_ids, model_chain, upload_progress, erased_owner, options_list,
+    json_values, owned_all, listed_documents, run_list, run_items, run_cascade, latest_states, transcripts, public_chats, query_validity, failover, chat_messages, eval_messages, uploads, line_headings, resolved_models, derived_ids, model_chain, upload_progress, erased_owner, run_options,
 )}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -427,7 +427,7 @@ ORACLE_SQL = {
         SELECT conv_id, turn, CASE WHEN turn = 0 THEN 4 WHEN turn = l THEN 100 ELSE CAST(38 + floor(54 * (turn / l)) AS INT) END AS percent FROM t""",
     "erased_owner": """SELECT 'documents' AS table_name, source AS user_id, count(*) AS rows FROM documents WHERE source <> 'src3' GROUP BY source
         UNION ALL SELECT 'chunks', source, CAST(sum(n_chars // 1000 + 1) AS BIGINT) FROM documents WHERE source <> 'src3' GROUP BY source""",
-    "options_list": """SELECT 'retrieval_mode' AS kind, CAST(unnest(range(5)) AS INT) AS at, unnest(['hybrid_rrf', 'hybrid_weighted', 'dense', 'sparse', 'mmr']) AS value
+    "run_options": """SELECT 'retrieval_mode' AS kind, CAST(unnest(range(5)) AS INT) AS at, unnest(['hybrid_rrf', 'hybrid_weighted', 'dense', 'sparse', 'mmr']) AS value
         UNION ALL SELECT 'document', CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS INT), CAST(doc_id AS VARCHAR) FROM documents WHERE source = 'src3'""",
     "owned_totals": "SELECT o_custkey, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY o_custkey",
 }
