@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about; a longer document is a block of its own size.
@@ -119,6 +119,23 @@ def discard_all(spark: SparkSession) -> None:
     delete(spark, shared_dir(spark))
 
 
+#: Ranges into which ordered keys are cut; each is numbered for itself.
+_ORDER_RANGES = 64
+
+
+def numbered(keys: DataFrame, order: Column, scratch: Scratch) -> DataFrame:
+    """keys (distinct in order) with place, from 0: ranges in order are written, and the rows before each, at most 64 sums, are added.
+
+    However many keys there are, no task has more than a range of them.
+    """
+    ranged = scratch.keep(keys.repartitionByRange(_ORDER_RANGES, order).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
+    first = counts.select("part", before.alias("first"))  # of at most _ORDER_RANGES rows
+    place = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.join(F.broadcast(first), "part").withColumn("place", place.cast("long")).drop("part", "first")
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and the text in UTF-8 bytes; other columns, whatever their names, stay out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

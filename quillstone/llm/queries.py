@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, interpolation, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, token_counts, warc
+from . import decontaminate, hard_negatives, interpolation, line_dedup, merkle, mixing, near_dedup, pieces, quality, secrets, substring_dedup, token_counts, warc
 
 
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,23 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = hard_negatives.prepared(rows.select("vec_id", "embedding", label.alias("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0).drop("nth")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    tampered = F.when(even, F.translate("text", "\n", ""))
+    return merkle.manifest(C.table(spark, sf_dir, "documents"), tampered, keep_proofs=False).drop("source")
+
+
+def op13_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(C.table(spark, sf_dir, "documents")).drop("source", "weight")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_quality_forest": op2_quality_forest,
@@ -63,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_index_repeats": op8_fm_index_repeats,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_line_winnowing": op10_line_winnowing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_mix_sources": op13_mix_sources,
 }
 
 # Patterns of secrets, and the rule for a match of each: p is the pattern, m the match.
@@ -147,4 +167,62 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(count(*) FILTER (full_line) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM x GROUP BY doc_id""",
+    # All scores by a join; the first five of each side.
+    "op11_hard_negatives": """
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+              WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c AS (SELECT r, unnest(e) AS x, unnest(range(len(e))) AS i FROM v),
+        s AS MATERIALIZED (SELECT p.r AS a, q.r AS b, CAST(sum(p.x * q.x) AS BIGINT) AS score FROM c p JOIN v w ON w.r = p.r AND w.vec_id % 100 = 0 JOIN c q ON q.i = p.i GROUP BY p.r, q.r),
+        t AS (SELECT s.*, p.vec_id AS anchor_id, q.vec_id, p.label = q.label AS same FROM s JOIN v p ON p.r = a JOIN v q ON q.r = b),
+        g AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS nth FROM t WHERE same AND a <> b),
+        n AS (SELECT g.anchor_id, g.vec_id AS positive_id, g.score AS positive_score, t.vec_id AS negative_id, t.score AS negative_score,
+                     row_number() OVER (PARTITION BY g.a, g.nth ORDER BY t.score DESC, t.vec_id) AS rank
+              FROM g JOIN t ON t.a = g.a AND NOT t.same AND 80 * g.score <= 100 * t.score AND t.score <= g.score WHERE g.nth <= 5)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    # Levels from the leaves up, then each leaf's way to the root. crc32 bit by bit.
+    "op12_merkle_manifest": """
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, * FROM documents),
+        f AS (SELECT r, doc_id, source, text, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                     coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head, replace(text, chr(10), '') AS cut FROM d),
+        e AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS other,
+                     xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                         lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 2 = 0 AS even FROM f),
+        o AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, n FROM (SELECT source, count(*) AS n FROM d GROUP BY source)),
+        l AS MATERIALIZED (SELECT e.*, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM e JOIN o ON e.source IS NOT DISTINCT FROM o.source),
+        up AS (SELECT tree, 0 AS level, i, leaf AS h, n FROM l UNION ALL
+               SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, level, i // 3, n),
+        top AS (SELECT 0 AS level, tree AS i, h, (SELECT count(*) FROM o) AS n FROM up WHERE n = 1 UNION ALL
+               SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, i // 3, n),
+        all_nodes AS MATERIALIZED (SELECT tree, level, i, h, n FROM up UNION ALL SELECT -1, level, i, h, n FROM top),
+        root AS (SELECT h FROM top WHERE n = 1),
+        way AS (SELECT r, tree, i, tree AS own, 0 AS level, 0 AS step, '' AS before, '' AS after, n FROM l UNION ALL
+                SELECT w.r, CASE WHEN w.n = 1 THEN -1 ELSE w.tree END, CASE WHEN w.n = 1 THEN w.own ELSE w.i // 3 END, w.own, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, w.step + (w.n > 1)::INT,
+                       CASE WHEN w.n > 1 THEN coalesce((SELECT string_agg(x.h, '' ORDER BY x.i) FROM all_nodes x WHERE x.tree = w.tree AND x.level = w.level AND x.i // 3 = w.i // 3 AND x.i < w.i), '') END,
+                       CASE WHEN w.n > 1 THEN coalesce((SELECT string_agg(x.h, '' ORDER BY x.i) FROM all_nodes x WHERE x.tree = w.tree AND x.level = w.level AND x.i // 3 = w.i // 3 AND x.i > w.i), '') END,
+                       CASE WHEN w.n = 1 THEN (SELECT count(*) FROM o) ELSE (w.n + 2) // 3 END
+                FROM way w WHERE w.n > 1 OR w.tree >= 0),
+        beside AS (SELECT r, step, before, after FROM way WHERE step > 0 AND before IS NOT NULL),
+        fold AS (SELECT r, 0 AS step, CASE WHEN even AND text IS NOT NULL THEN other ELSE leaf END AS h FROM l JOIN (SELECT r AS q, text FROM d) ON q = r UNION ALL
+                 SELECT f.r, f.step + 1, sha256(b.before || f.h || b.after) FROM fold f JOIN beside b ON b.r = f.r AND b.step = f.step + 1),
+        done AS (SELECT r, arg_max(h, step) AS h FROM fold GROUP BY r),
+        proof AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS p FROM beside GROUP BY r)
+        SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM root) AS root, coalesce(p, sha256('')) AS proof_sha256, done.h AS folded_root, done.h = (SELECT h FROM root) AS verified
+        FROM l JOIN up s ON s.tree = l.tree AND s.n = 1 JOIN done ON done.r = l.r LEFT JOIN proof ON proof.r = l.r""",
+    # Targets from sums over the sources in the order in which they fill up, taken words from running sums.
+    "op13_mix_sources": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                                       CAST('0x' || left(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) AS key FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+        c AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS weights
+              FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        u AS (SELECT rest, weights FROM c WHERE 3 * source_size * weights >= weight * rest ORDER BY weights DESC LIMIT 1),
+        t AS (SELECT w.*, 3 * source_size * u.weights < weight * u.rest AS full_source, u.rest, u.weights FROM w, u),
+        b AS (SELECT *, CASE WHEN full_source THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(rest * weight AS DOUBLE) / CAST(weights AS DOUBLE) END AS target,
+                     CAST(CASE WHEN full_source THEN 3 * source_size ELSE rest * weight // weights END AS BIGINT) AS budget FROM t),
+        x AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs, CASE WHEN source_size > 0 THEN budget % source_size ELSE 0 END AS over,
+                     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+              FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size + greatest(0, least(size, over - start)) AS BIGINT) AS taken FROM x""",
 }
