@@ -66,14 +66,25 @@ class Models:
     def embed(self, text: Column, name: str, query: bool = False) -> Column:
         return V.hashed_vector(text) if name == "hash-64" else embed(embed_text(text, name, query), name, self.embedders[name])
 
+    def embedder(self, name: str) -> tuple[str, Callable[[], Embedder]]:
+        """Name and factory of a model over lists of texts, as passages; the stand-in is one of hashed words."""
+        if name == "hash-64":
+            return name, lambda: V.hashed_vectors
+        make, front = self.embedders[name], passage_prefix(name)
+        return f"{name} passages", lambda: (lambda model: lambda texts: model([front + t for t in texts]))(make())
+
     def dimension(self, name: str) -> int:
         """Length of a model's vectors, from one call on the driver."""
         return V.BUCKETS if name == "hash-64" else int(np.asarray(made(f"embedder {name}", self.embedders[name])(["x"])).shape[1])
 
 
+def passage_prefix(model: str) -> str:
+    return "passage: " if "e5-" in model.lower() else ""
+
+
 def embed_text(text: Column, model: str, query: bool = False) -> Column:
     """The text with what its model wants in front."""
-    prefix = "query: " if query else "passage: "
+    prefix = "query: " if query else passage_prefix(model)
     instruction = "Represent this sentence for searching relevant passages: " if query else ""
     return F.concat(F.lit(prefix if "e5-" in model.lower() else instruction), text)
 
@@ -93,15 +104,21 @@ def embed(text: Column, name: str, factory: Callable[[], Embedder]) -> Column:
 
 
 def score(left: Column, right: Column, name: str, factory: Callable[[], Scorer]) -> Column:
-    """struct(score, ms) of pairs by a model such as a cross encoder or an entailment model; ms is a pair's share of its batch."""
+    """struct(score, error, ms) of pairs by a model such as a cross encoder or an entailment model; ms is a pair's share of its batch.
 
-    @F.pandas_udf("score double, ms double")
+    A model that fails gives the error, never a failed job.
+    """
+
+    @F.pandas_udf("score double, error string, ms double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = made(f"scorer {name}", factory)
         for q, p in batches:
             start = time.perf_counter()
-            found = np.asarray(model(q.fillna("").tolist(), p.fillna("").tolist()), np.float64)
-            yield pd.DataFrame({"score": found, "ms": 1000 * (time.perf_counter() - start) / max(1, len(q))})
+            try:
+                found: dict[str, object] = {"score": np.asarray(model(q.fillna("").tolist(), p.fillna("").tolist()), np.float64), "error": None}
+            except Exception as e:
+                found = {"score": np.full(len(q), np.nan), "error": [str(e)[:300]] * len(q)}
+            yield pd.DataFrame(found | {"ms": 1000 * (time.perf_counter() - start) / max(1, len(q))}, index=range(len(q)))
 
     return run(left, right)
 

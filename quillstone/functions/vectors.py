@@ -46,6 +46,11 @@ def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
+def hashed_vectors(texts: list[str]) -> np.ndarray:
+    """The same for a list of texts."""
+    return np.array(list(next(_hashed(iter([pd.Series([t.lower() for t in texts], dtype=object)])))), np.float64).reshape(len(texts), BUCKETS)
+
+
 def hashed_vector(text: Column) -> Column:
     """A stand-in for an embedding model: the unit vector of the counts of the text's words in lower case by a hash.
 

@@ -8,8 +8,6 @@ the text. Offsets count from 0, ends are exclusive.
 from __future__ import annotations
 
 import bisect
-import hashlib
-import math
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -19,19 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import models
 from quillstone.functions import text as T
+from quillstone.functions import vectors as V
 
 TARGET, OVERLAP, LEAST = 750, 150, 80
+# The next two.
 #: Where a chunk may be cut, coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 #: A semantic group is cut further from this many times the target on; groups end below this quantile of likeness.
 OVERSIZE, QUANTILE = 1.6, 0.25
+#: Sentences that a model gets at once, at most.
+EMBEDDED = 4096
 _SENTENCE_GAP = re.compile(rf"(?<=[.!?])\s+(?=[{T.OPENERS['chunk']}])")
 _INGEST_GAP, _SPACES = re.compile(rf"(?<=[.!?])\s+(?=[{T.OPENERS['ingest']}])"), re.compile(r"[ \t]+")
 _HEADING = re.compile(T.HEADING)
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("text", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("section", pa.string())])
 
 Span = tuple[int, int]
+Embedder = tuple[str, Callable[[], models.Embedder]]
 
 
 def token_count(text: str) -> int:
@@ -67,29 +71,42 @@ def recursive_spans(text: str, target: int) -> list[Span]:
     return spans
 
 
-def hashed_vector(text: str, buckets: int = 64) -> np.ndarray:
-    """The stand-in for an embedding model: unit counts of words by a hash."""
-    out = np.zeros(buckets)
-    for word in re.split(r"[ \t\n\x0b\f\r]+", text.lower()):
-        if word:
-            out[int(hashlib.md5(word.encode()).hexdigest()[-2:], 16) % buckets] += 1
-    size = math.sqrt(out @ out)
-    return out / size if size else out
+def likeness(spans: list[list[Span]], texts: list[str], embed: Callable[[list[str]], np.ndarray]) -> list[np.ndarray]:
+    """For each text the cosine of each sentence with the next one. The sentences of all texts are one list for the model, cut at a bound."""
+    flat = [t[a:b] for own, t in zip(spans, texts, strict=True) if len(own) > 1 for a, b in own]
+    found = [np.asarray(embed(flat[k : k + EMBEDDED]), np.float64) for k in range(0, len(flat), EMBEDDED)]
+    vectors = np.concatenate(found) if found else np.zeros((0, 1))
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+    out, at = [], 0
+    for own in spans:
+        n = len(own) if len(own) > 1 else 0
+        part = vectors[at : at + n]
+        out.append((part[:-1] * part[1:]).sum(1) if n else np.zeros(0))
+        at += n
+    return out
 
 
-def semantic_spans(text: str, target: int, embed: Callable[[str], np.ndarray] = hashed_vector) -> list[Span]:
-    """Sentences grouped until the likeness to the next one falls below the quartile; groups far over the target are cut further."""
-    spans = sentence_spans(text)
+def semantic_breaks(cosines: np.ndarray) -> list[int]:
+    """The sentences after which a group ends: those whose likeness to the next one is below the quartile."""
+    return np.flatnonzero(cosines < np.quantile(cosines, QUANTILE)).tolist() if len(cosines) else []
+
+
+def _grouped(text: str, spans: list[Span], cosines: np.ndarray, target: int) -> list[Span]:
+    """Sentences grouped between the breaks; groups far over the target are cut further."""
     if len(spans) < 2:
         return spans
-    vectors = [embed(text[a:b]) for a, b in spans]
-    likeness = [float((x * y).sum()) for x, y in zip(vectors, vectors[1:], strict=False)]
-    least = float(np.quantile(likeness, QUANTILE))
-    last = [k for k, x in enumerate(likeness) if x < least] + [len(spans) - 1]
+    last = [*semantic_breaks(cosines), len(spans) - 1]
     groups = [(spans[a][0], spans[b][1]) for a, b in zip([0, *(k + 1 for k in last)], last, strict=False)]
     return [(a + s, a + e) for a, b in groups for s, e in (recursive_spans(text[a:b], target) if token_count(text[a:b]) > OVERSIZE * target else [(0, b - a)])]
 
 
+def semantic_spans(text: str, target: int, embed: models.Embedder = V.hashed_vectors) -> list[Span]:
+    """The groups of one text."""
+    spans = sentence_spans(text)
+    return _grouped(text, spans, likeness([spans], [text], embed)[0], target)
+
+
 def pack(text: str, spans: list[Span], target: int, overlap: int, least: int) -> list[Span]:
     """Spans merged up to the target, each chunk beginning with the tail of the one before. The first one may be short."""
     sizes = [token_count(text[a:b]) for a, b in spans]
@@ -159,15 +176,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHUNKS, strict=True)], schema=_CHUNKS)
 
 
-def _spanned(strategy: str, target: int, overlap: int, least: int):
-    find = {"sentence": lambda t: sentence_spans(t), "recursive": lambda t: recursive_spans(t, target), "semantic": lambda t: semantic_spans(t, target)}[strategy]
+def _spanned(strategy: str, target: int, overlap: int, least: int, embedder: Embedder | None):
+    """Chunks of whole batches: sentences of all documents of a batch go to the model together."""
+
+    def spans_of(texts: list[str]) -> list[list[Span]]:
+        if strategy == "recursive":
+            return [recursive_spans(t, target) for t in texts]
+        sentences = [sentence_spans(t) for t in texts]
+        if strategy == "sentence":
+            return sentences
+        cosines = likeness(sentences, texts, models.made(f"embedder {embedder[0]}", embedder[1]))
+        return [_grouped(t, s, c, target) for t, s, c in zip(texts, sentences, cosines, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batches:
+            layouts = [_Layout([(p["number"], p["text"]) for p in pages]) for pages in data.column("pages").to_pylist()]
             rows = []
-            for doc_id, pages in zip(data.column("doc_id").to_pylist(), data.column("pages").to_pylist(), strict=True):
-                own = _Layout([(p["number"], p["text"]) for p in pages])
-                for k, (a, b) in enumerate(pack(own.text, find(own.text), target, overlap, least)):
+            for doc_id, own, spans in zip(data.column("doc_id").to_pylist(), layouts, spans_of([x.text for x in layouts]), strict=True):
+                for k, (a, b) in enumerate(pack(own.text, spans, target, overlap, least)):
                     if body := own.text[a:b].strip():
                         rows.append((doc_id, k, body, *own.pages(a, b), own.section(a)))
             yield _batch(rows)
@@ -223,11 +249,40 @@ def _packed_lines(target: int, overlap: int, least: int):
     return run
 
 
-def chunk(docs: DataFrame, strategy: str = "fixed", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """doc_id, chunk_index, text, page_start, page_end, section of docs (doc_id, pages). Null pages give no chunk."""
+#: The stand-in for a model, to be named by who wants it.
+HASHED: Embedder = ("hash-64", lambda: V.hashed_vectors)
+
+
+def _pages(docs: DataFrame) -> DataFrame:
     pages = F.coalesce("pages", F.array().cast("array<struct<number:int,text:string>>"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(pages, lambda p: ~T.is_blank(p["text"])).alias("pages"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(pages, lambda p: ~T.is_blank(p["text"])).alias("pages"))
+
+
+def chunk(docs: DataFrame, strategy: str = "fixed", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST, embedder: Embedder | None = None) -> DataFrame:
+    """doc_id, chunk_index, text, page_start, page_end, section of docs (doc_id, pages). Null pages give no chunk.
+
+    embedder: the name and the factory of the model whose vectors decide where semantic chunks end; that strategy needs one.
+    """
     if strategy not in ("fixed", "sentence", "recursive", "semantic"):
         raise ValueError(f"unknown chunking strategy: {strategy!r}")
-    run = _packed_lines(target, overlap, least) if strategy == "fixed" else _spanned(strategy, target, overlap, least)
-    return rows.mapInArrow(run, "doc_id long, chunk_index int, text string, page_start int, page_end int, section string")
+    if strategy == "semantic" and embedder is None:
+        raise ValueError("semantic chunking needs an embedding model")
+    run = _packed_lines(target, overlap, least) if strategy == "fixed" else _spanned(strategy, target, overlap, least, embedder)
+    return _pages(docs).mapInArrow(run, "doc_id long, chunk_index int, text string, page_start int, page_end int, section string")
+
+
+_LIKE = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("likeness", pa.float64()), ("ends", pa.bool_())])
+
+
+def sentence_likeness(docs: DataFrame, embedder: Embedder) -> DataFrame:
+    """doc_id, at, likeness, ends of docs (doc_id, pages): how like each sentence is to the next one by a model, and whether a semantic group ends after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            ids, texts = data.column("doc_id").to_pylist(), [_Layout([(p["number"], p["text"]) for p in pages]).text for pages in data.column("pages").to_pylist()]
+            found = likeness([sentence_spans(t) for t in texts], texts, models.made(f"embedder {embedder[0]}", embedder[1]))
+            rows = [(i, k, float(x), k in ends) for i, own in zip(ids, found, strict=True) for ends in [set(semantic_breaks(own))] for k, x in enumerate(own)]
+            columns = list(zip(*rows, strict=True)) or [[] for _ in _LIKE]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LIKE, strict=True)], schema=_LIKE)
+
+    return _pages(docs).mapInArrow(run, "doc_id long, at int, likeness double, ends boolean")

@@ -20,6 +20,7 @@ from quillstone.operators import chunking as K
 from quillstone.operators import metrics as M
 from quillstone.operators import relational as L
 from quillstone.operators import retrieval as R
+from quillstone.sources.store import Store
 
 # What can be swept.
 AXES = ("chunking_strategy", "chunk_target_tokens", "chunk_overlap_tokens", "embed_model", "retrieval_mode", "reranker_model", "final_k", "dense_weight", "sparse_weight", "llm_model_id", "noise_pct")
@@ -102,14 +103,25 @@ def from_row(config) -> RunConfig:
     return RunConfig(**config.asDict())
 
 
-def chunks_of(docs: DataFrame, config: RunConfig, known: models.Models | None = None) -> DataFrame:
-    """chunk_id (doc_id::chunk_index), doc_id, text, section, place and vector of docs (doc_id, pages)."""
-    own = K.chunk(docs, config.chunking_strategy, config.chunk_target_tokens, config.chunk_overlap_tokens, config.chunk_min_tokens)
+def embedded(rows: DataFrame, text: Column, model: str, known: models.Models, store: Store, out: str = "vector", query: bool = False) -> DataFrame:
+    """rows with the vectors of a text column. A model's are kept by the text's hash: what any run has embedded isn't embedded again."""
+    if model == "hash-64":
+        return rows.withColumn(out, known.embed(text, model))
+    return store.ask("vectors", model, rows, [F.coalesce(models.embed_text(text, model, query), F.lit(""))], lambda t: models.embed(t, model, known.embedders[model]), out)
+
+
+def chunks_of(docs: DataFrame, config: RunConfig, known: models.Models | None = None, store: Store | None = None) -> DataFrame:
+    """chunk_id (doc_id::chunk_index), doc_id, text, section, place and vector of docs (doc_id, pages). Semantic chunks are those of the run's own model."""
+    known, store = known or models.Models(), store or Store(docs.sparkSession)
+    own = K.chunk(docs, config.chunking_strategy, config.chunk_target_tokens, config.chunk_overlap_tokens, config.chunk_min_tokens, known.embedder(config.embed_model))
     key = F.concat_ws("::", "doc_id", "chunk_index").alias("name")
-    return own.select(F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), key, "doc_id", "text", "section", "page_start", "page_end", (known or models.Models()).embed(F.col("text"), config.embed_model).alias("vector"))
+    rows = own.select(F.xxhash64("doc_id", "chunk_index").alias("chunk_id"), key, "doc_id", "text", "section", "page_start", "page_end")
+    return embedded(rows, F.col("text"), config.embed_model, known, store)
 
 
-def corpus_chunks(documents: DataFrame, pages: DataFrame, user_id: str, config: RunConfig, document_ids: Sequence[object] | None = None, known: models.Models | None = None) -> tuple[DataFrame, DataFrame]:
+def corpus_chunks(
+    documents: DataFrame, pages: DataFrame, user_id: str, config: RunConfig, document_ids: Sequence[object] | None = None, known: models.Models | None = None, store: Store | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The chunks of what one owns, and (document_id, error) of owned documents that are missing or broken, which are passed over.
 
     documents: document_id, user_id, stored_path; pages: path, pages, error as sources.files reads them.
@@ -117,7 +129,7 @@ def corpus_chunks(documents: DataFrame, pages: DataFrame, user_id: str, config:
     mine = L.owned(documents, user_id, document_ids).join(pages.withColumnRenamed("path", "stored_path"), "stored_path", "left")
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("pages").isNull(), "the stored file is missing")
     good = mine.where(error.isNull()).select(F.col("document_id").alias("doc_id"), "pages")
-    return chunks_of(good, config, known), mine.where(error.isNotNull()).select("document_id", error.alias("error"))
+    return chunks_of(good, config, known, store), mine.where(error.isNotNull()).select("document_id", error.alias("error"))
 
 
 def resolve_questions(saved: DataFrame, inline: DataFrame | None, user_id: str, dataset_id: object = None) -> DataFrame:
@@ -129,75 +141,96 @@ def resolve_questions(saved: DataFrame, inline: DataFrame | None, user_id: str,
     return inline
 
 
-def answered(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models) -> DataFrame:
-    """qid, answer, generation_error, generation_ms of each question with hits."""
+def answered(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models, store: Store) -> DataFrame:
+    """qid, answer, generation_error, generation_ms of each question with hits, asked once and written."""
     rows = hits.select("qid", "rank", "chunk_id").join(chunks.select("chunk_id", "text", "page_start", "page_end", F.col("doc_id").cast("string").alias("filename")), "chunk_id")
     name = known.generator(config.llm_model_id)
     if name == "extract":
         return rows.where("rank = 1").select("qid", models.extract(F.col("text")).alias("answer"), F.lit(None).cast("string").alias("generation_error"), F.lit(0.0).alias("generation_ms"))
-    prompts = L.eval_messages(L.prompt(rows.withColumn("section", F.lit(None).cast("string")), "eval"), questions.select("qid", "question"))
+    contexts = L.prompt(rows.withColumn("section", F.lit(None).cast("string")), "eval")
+    prompts = L.eval_messages(contexts, questions.select("qid", "question")).join(contexts.select("qid"), "qid", "left_semi")
+    prompts = prompts.select("qid", F.concat("system", F.lit("\n\n"), "user").alias("prompt"))
     make, temperature, most = known.generators[name], config.temperature, config.max_tokens
-    said = prompts.select("qid", models.generate(F.concat("system", F.lit("\n\n"), "user"), f"{name} {temperature} {most}", lambda: make(temperature, most)).alias("g"))
-    return said.select("qid", "g.answer", F.col("g.error").alias("generation_error"), F.col("g.ms").alias("generation_ms"))
+    said = _generated("answers", name, temperature, most, prompts, F.col("prompt"), lambda: make(temperature, most), store)
+    return store.once(said.select("qid", "g.answer", F.col("g.error").alias("generation_error"), F.col("g.ms").alias("generation_ms")), "answered")
+
 
+def _generated(kind: str, name: str, temperature: float, most: int, rows: DataFrame, prompt: Column, factory, store: Store) -> DataFrame:
+    model = f"{name} {temperature} {most}"
+    return store.ask(kind, model, rows, [prompt], lambda p: models.generate(p, model, factory), "g")
 
-def judged(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models) -> DataFrame:
-    """qid, chunk_id, verdict of the hits by a generating model; null where it gave none."""
+
+def judged(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models, store: Store) -> DataFrame:
+    """qid, chunk_id, verdict of the hits of questions by a generating model; null where it gave none."""
     name = known.generator(config.llm_model_id)
     make, most = known.generators[name], config.max_tokens
     pairs = hits.select("qid", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
-    said = models.generate(models.judge_prompt(F.col("question"), F.col("text")), f"{name} 0.0 {most}", lambda: make(0.0, most))
-    return pairs.select("qid", "chunk_id", T.verdict(said["answer"]).alias("verdict"))
+    said = _generated("verdicts", name, 0.0, most, pairs, models.judge_prompt(F.col("question"), F.col("text")), lambda: make(0.0, most), store)
+    return store.once(said.select("qid", "chunk_id", T.verdict(F.col("g.answer")).alias("verdict")), "judged")
 
 
-def reranked(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models) -> DataFrame:
-    """hits in the order of the reranking model, with rerank_ms of their question."""
+def reranked(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: DataFrame, known: models.Models, store: Store) -> tuple[DataFrame, DataFrame]:
+    """hits in the order of the reranking model, and per question rerank_ms and rerank_error. A question of which a pair has no score keeps no hits."""
     pairs = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
-    if config.reranker_model == "terms":
-        pairs = pairs.withColumn("s", F.struct(models.shared_terms(F.col("question"), F.col("text")).alias("score"), F.lit(0.0).alias("ms")))
+    name = config.reranker_model
+    if name == "terms":
+        stand_in = F.struct(models.shared_terms(F.col("question"), F.col("text")).alias("score"), F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("ms"))
+        pairs = pairs.withColumn("s", stand_in)
     else:
-        pairs = pairs.withColumn("s", models.score(F.col("question"), F.col("text"), config.reranker_model, known.scorers[config.reranker_model]))
-    pairs = pairs.withColumns({"model_score": F.col("s.score"), "ms": F.col("s.ms")}).drop("s", "text", "question")
-    return R.rerank(pairs, F.col("model_score"), config.final_k).drop("model_score", "rerank_score")
+        pairs = store.ask("scores", name, pairs, [F.col("question"), F.col("text")], lambda q, p: models.score(q, p, name, known.scorers[name]), "s")
+    pairs = store.once(pairs.withColumns({"model_score": F.col("s.score"), "ms": F.col("s.ms"), "error": F.col("s.error")}).drop("s", "text", "question"), "scored")
+    of_question = pairs.groupBy("qid").agg(F.sum("ms").alias("rerank_ms"), F.max(F.concat(F.lit("reranking failed: "), "error")).alias("rerank_error"))
+    good = pairs.join(of_question.where("rerank_error IS NULL").select("qid"), "qid", "left_semi").drop("ms", "error")
+    return R.rerank(good, F.col("model_score"), config.final_k).drop("model_score", "rerank_score"), of_question
 
 
-def run(config: RunConfig, chunks: DataFrame, questions: DataFrame, known: models.Models | None = None) -> DataFrame:
+def run(config: RunConfig, chunks: DataFrame, questions: DataFrame, known: models.Models | None = None, store: Store | None = None) -> DataFrame:
     """qid, answer, relevance_source, generation_error, METRICS and TIMINGS of all questions (qid, question, expected_answer, relevant_sections, vector).
 
-    Questions are ranked together, so no time of retrieval belongs to one of them: retrieval_ms is null, the others are what the
-    models took for a question's rows.
+    Each stage that asks a model is written before it is used, so what branches of the plan read is asked once and the same for all.
+    Questions are ranked together: retrieval_ms is an equal share of what ranking took, the others are what the models took for a question's rows.
+    A question whose reranking failed, or of which nothing was retrieved, has that as its error and no measures.
     """
-    known = known or models.Models()
+    known, store = known or models.Models(), store or Store(chunks.sparkSession)
     pool = max(config.rerank_pool, config.final_k) if config.reranker_model != "none" else config.final_k
-    hits = R.search(chunks, questions, config.retrieval_mode, config.dense_k, config.sparse_k, pool, config.rrf_k, config.dense_weight, config.sparse_weight, config.mmr_lambda)
+    found = R.search(chunks, questions, config.retrieval_mode, config.dense_k, config.sparse_k, pool, config.rrf_k, config.dense_weight, config.sparse_weight, config.mmr_lambda)
+    hits, retrieval_ms = store.timed(found, "found")
     reranking = None
     if config.reranker_model != "none":
-        hits = reranked(config, hits, chunks, questions, known)
-        reranking = hits.groupBy("qid").agg(F.sum("ms").alias("rerank_ms"))
-        hits = hits.drop("ms")
-    hits = R.inject_noise(hits, chunks, config.noise_pct)
+        hits, reranking = reranked(config, hits, chunks, questions, known, store)
+    hits = store.once(R.inject_noise(hits, chunks, config.noise_pct), "hits")
 
+    said = answered(config, hits, chunks, questions, known, store)
     hinted = questions.select("qid", F.coalesce("relevant_sections", F.array().cast("array<string>")).alias("hints"))
     silver = R.dense_top_k(chunks, questions, config.silver_relevance_k).select("qid", "chunk_id")
-    verdicts = judged(config, hits, chunks, questions, known) if config.use_llm_judge else None
+    verdicts = None
+    if config.use_llm_judge:  # where no section decides and an answer was given
+        open_ = questions.join(M.source_of(hinted).where("relevance_source <> 'gold'"), "qid", "left_semi").join(said.where("generation_error IS NULL"), "qid", "left_semi")
+        verdicts = judged(config, hits, chunks, open_, known, store)
     relevant = M.relevance_source(hinted, M.gold_relevant(hinted, chunks), silver, verdicts)
     out = M.ranking_metrics(questions, hits, relevant).join(M.diversity(hits, chunks), "qid", "left")
 
-    said = answered(config, hits, chunks, questions, known)
     contexts = hits.select("qid", "chunk_id").join(chunks.select("chunk_id", "text", "vector"), "chunk_id")
-    support = _entailed(said, contexts, known) if config.faithfulness_mode == "nli" else _support(said, "answer", contexts, config, known)
+    support = _entailed(said, contexts, known, store) if config.faithfulness_mode == "nli" else _support(said, "answer", contexts, config, known, store)
     faithful = M.faithfulness(support, config.faithfulness_mode).withColumnRenamed("supported_frac", "faithfulness_supported_frac")
     out = out.join(faithful, "qid", "left")
-    expected = _support(questions.select("qid", "expected_answer"), "expected_answer", contexts, config, known)
-    out = out.join(M.context_recall(expected).withColumnRenamed("context_recall", "found"), "qid", "left")
-    out = out.join(said.withColumn("answer_vector", known.embed(F.col("answer"), config.embed_model)), "qid", "left").join(questions.select("qid", "vector", "expected_answer"), "qid")
+    expected = _support(questions.select("qid", "expected_answer"), "expected_answer", contexts, config, known, store)
+    out = out.join(M.context_recall(expected).withColumnRenamed("context_recall", "recalled"), "qid", "left")
+    answers = embedded(said.where(~T.is_blank(F.col("answer"))), F.col("answer"), config.embed_model, known, store, "answer_vector", True).select("qid", "answer_vector")
+    out = out.join(said, "qid", "left").join(answers, "qid", "left").join(questions.select("qid", "vector", "expected_answer"), "qid")
     out = out.join(M.keyword_f1(questions.select("qid", F.col("expected_answer").alias("expected")).join(said.select("qid", "answer"), "qid", "left")), "qid", "left")
     out = out.join(M.source_of(hinted, verdicts), "qid")
-    out = out.join(reranking, "qid", "left") if reranking is not None else out.withColumn("rerank_ms", F.lit(0.0))
-    out = out.withColumn("context_recall", F.when(T.is_blank(F.col("expected_answer")), F.col("recall_at_k")).otherwise(F.col("found")))
-    out = out.withColumn("answer_relevance", F.when(F.col("answer").isNotNull(), M.answer_relevance(F.col("vector"), F.col("answer_vector"))))
+    none = {"rerank_ms": F.lit(0.0), "rerank_error": F.lit(None).cast("string")}
+    out = out.join(reranking, "qid", "left") if reranking is not None else out.withColumns(none)
+    out = out.join(hits.groupBy("qid").agg(F.count("*").alias("n_hits")), "qid", "left")
+    failed = F.when(F.col("rerank_error").isNotNull(), F.col("rerank_error")).when(F.col("n_hits").isNull(), "no passages retrieved")
+    out = out.withColumn("generation_error", F.coalesce(failed, "generation_error"))
+    out = out.withColumn("context_recall", F.when(T.is_blank(F.col("expected_answer")), F.col("recall_at_k")).otherwise(F.col("recalled")))
+    out = out.withColumn("answer_relevance", F.when(F.col("answer_vector").isNotNull(), M.answer_relevance(F.col("vector"), F.col("answer_vector"))))
     out = out.withColumn("composite_score", M.composite(*(F.col(c) for c in M.COMPOSITE)))
-    out = out.withColumns({"retrieval_ms": F.lit(None).cast("double"), "total_ms": F.coalesce("rerank_ms", F.lit(0.0)) + F.coalesce("generation_ms", F.lit(0.0))})
+    out = out.withColumns({m: F.when(F.col("n_hits").isNotNull(), F.col(m)) for m in METRICS})
+    out = out.withColumn("retrieval_ms", F.lit(retrieval_ms / max(1, questions.count())))
+    out = out.withColumn("total_ms", F.col("retrieval_ms") + F.coalesce("rerank_ms", F.lit(0.0)) + F.coalesce("generation_ms", F.lit(0.0)))
     out = out.join(F.broadcast(chunks.agg(F.count("*").alias("corpus_size"))))  # one row
     return out.select("qid", "answer", "relevance_source", "generation_error", *METRICS, *TIMINGS, "corpus_size")
 
@@ -206,25 +239,28 @@ def _sentences(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("qid", F.posexplode(T.sentences(F.col(column), "metric")).alias("sid", "sentence"))
 
 
-def _support(rows: DataFrame, column: str, contexts: DataFrame, config: RunConfig, known: models.Models) -> DataFrame:
+def _support(rows: DataFrame, column: str, contexts: DataFrame, config: RunConfig, known: models.Models, store: Store) -> DataFrame:
     """qid, sid, best cosine of the sentences of a text column with the contexts of their question."""
-    parts = _sentences(rows, column).withColumn("vector", known.embed(F.col("sentence"), config.embed_model))
+    parts = embedded(_sentences(rows, column), F.col("sentence"), config.embed_model, known, store)
     return M.best_support(parts.select("qid", "sid", "vector"), contexts)
 
 
-def _entailed(said: DataFrame, contexts: DataFrame, known: models.Models) -> DataFrame:
-    """qid, sid, best probability that a context entails a sentence of the answer."""
+def _entailed(said: DataFrame, contexts: DataFrame, known: models.Models, store: Store) -> DataFrame:
+    """qid, sid, best probability that a context entails a sentence of the answer. Pairs without a score count for nothing."""
     pairs = _sentences(said, "answer").join(contexts.select("qid", "text"), "qid")
-    return pairs.select("qid", "sid", models.score(F.col("text"), F.col("sentence"), "entailment", known.entailment)["score"].alias("p")).groupBy("qid", "sid").agg(F.max("p").alias("best"))
+    scored = store.ask("scores", "entailment", pairs, [F.col("text"), F.col("sentence")], lambda c, s: models.score(c, s, "entailment", known.entailment), "s")
+    return scored.groupBy("qid", "sid").agg(F.max(F.when(F.col("s.error").isNull(), F.col("s.score"))).alias("best"))
 
 
 def run_all(configs: Iterable[RunConfig], docs: DataFrame, questions: DataFrame, known: models.Models | None = None, store: str | None = None) -> DataFrame:
     """run_id (label or fingerprint), qid, error and the columns of `run` of all configurations. One that can't be planned is a row with its error.
 
-    store: a shared folder; chunks with their vectors are written there once, else each plan that reads them makes them again.
+    store: a folder that all tasks can write; runs with the same one share the answers, scores and vectors of models. Chunks with
+    their vectors are written once for all configurations that have them in common.
     """
     known, configs = known or models.Models(), list(configs)
     spark = docs.sparkSession
+    kept = Store(spark, store)
     names = {r["at"]: r["run_id"] for r in as_rows(spark, configs).collect()} if configs else {}
     shared: dict[tuple, tuple[DataFrame, DataFrame]] = {}
     parts, failed = [], []
@@ -233,13 +269,9 @@ def run_all(configs: Iterable[RunConfig], docs: DataFrame, questions: DataFrame,
         try:
             known.refuse_unknown(c.embed_model, c.reranker_model, c.llm_model_id, c.faithfulness_mode == "nli", c.use_llm_judge)
             if key not in shared:
-                chunks = chunks_of(docs, c, known)
-                if store:
-                    path = f"{store.rstrip('/')}/chunks-{len(shared)}"
-                    chunks.write.mode("overwrite").parquet(path)
-                    chunks = spark.read.schema(chunks.schema).parquet(path)
-                shared[key] = chunks, questions.withColumn("vector", known.embed(F.col("question"), c.embed_model, True))
-            parts.append(run(c, *shared[key], known).select(F.lit(names[k]).alias("run_id"), "*", F.lit(None).cast("string").alias("error")))
+                chunks = kept.once(chunks_of(docs, c, known, kept), "chunks")
+                shared[key] = chunks, kept.once(embedded(questions, F.col("question"), c.embed_model, known, kept, query=True), "questions")
+            parts.append(run(c, *shared[key], known, kept).select(F.lit(names[k]).alias("run_id"), "*", F.lit(None).cast("string").alias("error")))
         except ValueError as e:
             failed.append((names[k], str(e)))
     errors = spark.createDataFrame(failed, "run_id string, error string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import text as T
 from quillstone.operators import chunking as K
 from quillstone.plans.tables import table
 from quillstone.streaming import stateful as S
@@ -13,11 +15,22 @@ from quillstone.streaming import stateful as S
 def _chunks(strategy: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit(1).alias("number"), F.col("text").alias("text"))).alias("pages"))
-        return K.chunk(docs, strategy)
+        return K.chunk(docs, strategy, embedder=K.HASHED)
 
     return run
 
 
+def letters() -> object:
+    """A model that any engine can compute: how often each letter occurs."""
+    return lambda texts: np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], np.float64)
+
+
+def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How like each sentence of every document is to the next one by a model, and whether a semantic group ends there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit(1).alias("number"), F.col("text").alias("text"))).alias("pages"))
+    return K.sentence_likeness(docs, ("letters", letters)).select("doc_id", "at", T.rounded(F.col("likeness"), 6).alias("likeness"), "ends")
+
+
 def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Turns of a conversation as its pages with their offsets, and stretches of 500 characters over them."""
     turns = table(spark, sf_dir, "conversations")
@@ -69,6 +82,7 @@ QUERIES = {
     "chunk_sentence": _chunks("sentence"),
     "chunk_recursive": _chunks("recursive"),
     "chunk_semantic": _chunks("semantic"),
+    "semantic_breaks": semantic_breaks,
     "page_range": page_range,
     "heading_asof": heading_asof,
     "login_throttle": login_throttle,
@@ -78,7 +92,14 @@ QUERIES = {
 
 _PLACES = """pg AS (SELECT conv_id, turn, role, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, length(text) AS n FROM conversations),
         sp AS (SELECT conv_id, unnest(range(0, CAST(max(s + n) AS BIGINT), 500)) AS span FROM pg GROUP BY conv_id)"""
+# Sentences without a look-behind: what ends one is marked, then cut.
+_SENTENCES = r"""list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\x0b]+([A-Z0-9"(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\S'))"""
 ORACLE_SQL = {
+    "semantic_breaks": f"""WITH s AS (SELECT doc_id, unnest(range(len(p))) AS k, unnest(p) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS p FROM documents) WHERE len(p) > 1),
+        v AS (SELECT doc_id, k, list_transform(range(26), lambda i: CAST(len(sentence) - len(replace(sentence, chr(CAST(97 + i AS INT)), '')) AS DOUBLE)) AS v FROM s),
+        w AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM v),
+        c AS (SELECT doc_id, k, coalesce(list_inner_product(v, n) / nullif(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(n, n)), 0), 0) AS likeness FROM w WHERE n IS NOT NULL)
+        SELECT doc_id, CAST(k AS INT) AS at, CAST(round(CAST(likeness AS DECIMAL(20,10)), 6) AS DOUBLE) AS likeness, likeness < quantile_cont(likeness, 0.25) OVER (PARTITION BY doc_id) AS ends FROM c""",
     # One attempt of every user a step: what was let through in the last minute, in the order of time.
     "login_throttle": """WITH RECURSIVE a AS (SELECT event_id, user_id % 20 AS user_id, epoch_us(ts) / 1e6 / 3600 AS secs, event_type = 'purchase' AS success FROM events),
         n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY secs, success, event_id) AS k FROM a),

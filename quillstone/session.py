@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application that the driver and all executors share, below spark.checkpoint.dir.
+
+    Only a local session, as in tests, may go without the setting: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or _FOLDERS.get(context.applicationId)
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="quillstone-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return f"{found.rstrip('/')}/quillstone-{context.applicationId}"
+
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, checkpoint_dir: str | None = None, memory: str = "8g") -> SparkSession:
     """A local session: adaptive plans, UTC, no console noise. On a cluster these come from the submitter."""

@@ -12,10 +12,15 @@ STRATEGIES = ("fixed", "sentence", "recursive", "semantic")
 SCHEMA = "doc_id long, pages array<struct<number:int,text:string>>"
 
 
+def cut(rows, strategy, *sizes):
+    """Semantic chunking needs a model to be named: the stand-in."""
+    return K.chunk(rows, strategy, *sizes, embedder=K.HASHED if strategy == "semantic" else None)
+
+
 def chunks(spark, documents, strategy, *sizes):
     """Chunks of each document in order: (text, first page, last page, section)."""
     out = {i: [] for i in range(len(documents))}
-    found = K.chunk(spark.createDataFrame(list(enumerate(documents)), SCHEMA), strategy, *sizes).orderBy("doc_id", "chunk_index").collect()
+    found = cut(spark.createDataFrame(list(enumerate(documents)), SCHEMA), strategy, *sizes).orderBy("doc_id", "chunk_index").collect()
     for r in found:
         assert r.chunk_index >= len(out[r.doc_id])
         out[r.doc_id].append((r.text, r.page_start, r.page_end, r.section))
@@ -126,9 +131,9 @@ def test_what_holds_of_all_chunks(spark, documents, strategy, target, overlap):
 @pytest.mark.parametrize("strategy", STRATEGIES)
 def test_rows_without_text(spark, strategy):
     assert chunks(spark, [[], [(1, "")], [(1, " \n ")], None], strategy) == [[], [], [], []]
-    assert K.chunk(spark.createDataFrame([], SCHEMA), strategy).collect() == []
+    assert cut(spark.createDataFrame([], SCHEMA), strategy).collect() == []
     twice = spark.createDataFrame([(1, [(1, A)]), (1, [(1, A)]), (None, [(1, A)])], SCHEMA)
-    assert sorted((r.doc_id or 0, r.chunk_index) for r in K.chunk(twice, strategy, 10, 0, 1).collect()) == [(0, 0), (1, 0), (1, 0)]
+    assert sorted((r.doc_id or 0, r.chunk_index) for r in cut(twice, strategy, 10, 0, 1).collect()) == [(0, 0), (1, 0), (1, 0)]
 
 
 def test_unknown_strategy(spark):
@@ -144,3 +149,34 @@ def test_heading(spark):
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string")
     got = {r.x: r.h for r in rows.select("x", T.heading(F.col("x")).alias("h")).collect()}
     assert {x: h is not None for x, h in got.items()} == lines and got["C.3.1 Reporting"] == "C.3.1 Reporting"
+
+
+def test_semantic_chunks_are_those_of_the_model(spark):
+    def by_length():
+        return lambda texts: [[1.0, 0.0] if len(t) > 30 else [0.0, 1.0] for t in texts]
+
+    def by_river():
+        return lambda texts: [[1.0, 0.0] if "river" in t else [0.0, 1.0] for t in texts]
+
+    text = "A river runs by. A river that runs on and on through all the land. Stars shine over the sand of a very wide desert. Stars fall. Stars rise."
+    docs = spark.createDataFrame([(k, [(1, text)]) for k in range(3)], SCHEMA)
+    texts = lambda name, make: [r.text for r in K.chunk(docs, "semantic", 12, 0, 1, (name, make)).where("doc_id = 1").orderBy("chunk_index").collect()]
+    first, second = texts("length", by_length), texts("river", by_river)
+    assert first != second and len(second) > 2
+    assert [K.semantic_spans(text, 100, m()) for m in (by_length, by_river)][0] != K.semantic_spans(text, 100, by_river())
+    with pytest.raises(ValueError, match="embedding model"):
+        K.chunk(docs, "semantic")
+    found = K.sentence_likeness(docs, ("river", by_river)).where("doc_id = 2").orderBy("at").collect()
+    assert [(r.at, r.likeness, r.ends) for r in found] == [(0, 1.0, False), (1, 0.0, True), (2, 1.0, False), (3, 1.0, False)]
+
+
+def test_sentences_of_a_batch_go_to_the_model_together():
+    asked = []
+
+    def embed(texts):
+        asked.append(len(texts))
+        return [[1.0, float(len(t))] for t in texts]
+
+    texts = ["One. Two. Three.", "", "Only one.", "A. " * 3000]
+    found = K.likeness([K.sentence_spans(t) for t in texts], texts, embed)
+    assert [len(x) for x in found] == [2, 0, 0, 2999] and asked == [3003] and K.EMBEDDED > 3003

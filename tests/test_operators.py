@@ -357,6 +357,87 @@ def test_runs_with_models(spark, lab):
     assert known.dimension("stub") == 3 and known.dimension("hash-64") == 64
 
 
+def test_models_are_asked_once(spark, lab, tmp_path):
+    """Calls are counted in a file: each distinct text, pair and prompt once, also when a run is repeated or was killed on its way."""
+    from dataclasses import replace
+
+    from quillstone.functions.models import Models
+    from quillstone.operators import experiment as E
+
+    log = str(tmp_path / "calls")
+
+    def note(kind, items):
+        with open(log, "a") as f:
+            f.writelines(f"{kind}\n" for _ in items)
+
+    def embedder():
+        return lambda texts: (note("embed", texts), [[1.0, float("river" in t), float(len(t) % 5)] for t in texts])[1]
+
+    def scorer():
+        return lambda q, p: (note("score", q), [float(len(x) % 7) for x in p])[1]
+
+    def generator(temperature, most):
+        return lambda prompts: (note("judge" if "Say YES or NO" in prompts[0] else "answer", prompts), [f"YES, a river of {len(p)}." for p in prompts])[1]
+
+    def entailment():
+        return lambda c, s: (note("entail", c), [0.5 for _ in c])[1]
+
+    def counts():
+        from collections import Counter
+
+        return Counter(open(log).read().split()) if (tmp_path / "calls").exists() else Counter()
+
+    known = Models({"stub": embedder}, {"lengths": scorer}, {"echo": generator}, entailment)
+    docs, questions = lab
+    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense", final_k=3, rerank_pool=5, reranker_model="lengths", llm_model_id="echo", embed_model="stub", use_llm_judge=True, faithfulness_mode="nli", label="all")
+    rows = E.run_all([base], docs, questions, known, str(tmp_path / "store")).collect()
+    first = counts()
+    assert first["answer"] == 2 and first["score"] == 10 and first["judge"] == 3 and first["entail"] <= 6  # a section decides on the second question
+    assert {r.relevance_source for r in rows} == {"llm_judge", "gold"} and all(r.retrieval_ms > 0 for r in rows)
+    again = E.run_all([replace(base, label="again")], docs.union(docs.selectExpr("doc_id + 100", "pages")).limit(6), questions, known, str(tmp_path / "store")).collect()
+    assert counts() == first and {r.answer for r in again} == {r.answer for r in rows}
+    # A killed run has written half of its answers: the next one asks for the other half.
+    from quillstone.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "killed"), portion=4)
+    prompts = spark.createDataFrame([(k, f"p{k % 10}") for k in range(30)], "qid int, prompt string")
+    half = prompts.where("qid < 5")
+    call = lambda p: F.concat(p, F.lit("!"))
+    assert {r.a for r in store.ask("answers", "m", half, [F.col("prompt")], call, "a").collect()} == {f"p{k}!" for k in range(5)}
+    assert sorted((r.qid, r.a) for r in store.ask("answers", "m", prompts, [F.col("prompt")], call, "a").collect()) == [(k, f"p{k % 10}!") for k in range(30)]
+    assert spark.read.parquet(store.folder("answers", "m")).count() == 10
+    other = store.ask("answers", "other", half, [F.col("prompt")], lambda p: F.struct(p.alias("answer"), F.when(p == "p1", "bad").alias("error")), "a")
+    assert {r.a.answer for r in other.collect() if r.a.error is None} == {"p0", "p2", "p3", "p4"}
+    mended = store.ask("answers", "other", half, [F.col("prompt")], lambda p: F.struct(p.alias("answer"), F.lit(None).cast("string").alias("error")), "a")
+    assert all(r.a.error is None for r in mended.collect()) and spark.read.parquet(store.folder("answers", "other")).count() == 6
+
+
+def test_runs_that_fail_at_a_question(spark, lab):
+    """Blank answers have no relevance, a failing reranker leaves no measures, an empty corpus nothing to retrieve."""
+    from dataclasses import replace
+
+    from quillstone.functions.models import Models
+    from quillstone.operators import experiment as E
+
+    def blank(temperature, most):
+        return lambda prompts: [" " for _ in prompts]
+
+    def broken():
+        def run(q, p):
+            raise RuntimeError("no scores")
+
+        return run
+
+    known = Models({}, {"broken": broken}, {"blank": blank})
+    docs, questions = lab
+    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense", final_k=3, llm_model_id="blank", label="blank")
+    got = {(r.run_id, r.qid): r for r in E.run_all([base, replace(base, reranker_model="broken", label="broken")], docs, questions, known).collect()}
+    assert got["blank", 1].answer_relevance is None and got["blank", 1].faithfulness is None and got["blank", 1].mrr is not None and got["blank", 1].generation_error is None
+    assert got["broken", 1].generation_error == "reranking failed: no scores" and all(getattr(got["broken", 1], m) is None for m in E.METRICS)
+    none = E.run_all([base], docs.limit(0), questions, known).collect()
+    assert {r.generation_error for r in none} == {"no passages retrieved"} and all(r.mrr is None for r in none)
+
+
 def test_corpus_of_an_owner(spark, tmp_path):
     from quillstone.operators import experiment as E
 
