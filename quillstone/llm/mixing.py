@@ -26,7 +26,7 @@ WEIGHTS = (1, 2, 3)
 #: A source gives at most so many times its words.
 MOST = 3
 #: Documents of one range of keys, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 #: Copies of one row that are made again in one go.
 COPIES = 10_000
 
