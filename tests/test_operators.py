@@ -190,6 +190,88 @@ def test_chunk_table_with_odd_owners(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["chunks"]
 
 
+def test_chunk_table_is_idempotent_and_skips_files(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "a b" / "chunks"))
+    rows = spark.createDataFrame([(k % 3, f"d{k // 3:03d}", "u1", f"s{k // 30}", f"t{k}") for k in range(90)], "chunk_index int, document_id string, user_id string, session_id string, text string")
+    table.upsert(rows.where("document_id < 'd020'"))
+    table.upsert(rows)
+    table.upsert(rows)
+    for _ in range(2):
+        table.append(spark.createDataFrame([(0, "x"), (1, "y")], "chunk_index int, text string"), "u2", "d900", "s9")
+    assert table.whole().count() == 92 and table.whole().select("point_id").distinct().count() == 92
+    changed = rows.where("document_id = 'd004'").withColumn("text", F.lit("new"))
+    table.upsert(changed)
+    assert {r.text for r in table.read("u1", ["d004"]).collect()} == {"new"} and table.whole().count() == 92
+    table.compact("u1", 20)
+    whole = len(table.read("u1").inputFiles())
+    one = table.read("u1", ["d004"])
+    assert whole > 3 and len(one.inputFiles()) < whole and one.count() == 3 and len(table.read("u1", ["d004", "d029"]).inputFiles()) < whole
+    assert table.read("u1", session_id="s2").count() == 30 and len(table.read("u1", session_id="s2").inputFiles()) < whole
+    assert table.read("u1", ["nothing"]).count() == 0 and table.read("u2", ["d004"]).inputFiles() == []
+
+
+def test_chunk_table_versions(spark, tmp_path, monkeypatch):
+    """A failure between any two steps leaves the version before; who reads it keeps it; changes at the same time are both there."""
+    table = ChunkTable(spark, str(tmp_path / "chunks"))
+    chunks = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "chunk_index int, text string")
+    table.append(chunks("one", "two"), "u1", "a")
+    for step in ("_write", "_commit", "_files"):
+        broken = ChunkTable(spark, table.path)
+        whole = getattr(broken, step)
+
+        def fails(*args, whole=whole, step=step):
+            if step == "_write":
+                whole(*args)
+            raise OSError(step)
+
+        monkeypatch.setattr(broken, step, fails)
+        for change in (lambda t: t.append(chunks("three"), "u1", "a"), lambda t: t.delete_document("u1", "a"), lambda t: t.delete_user("u1"), lambda t: t.purge_orphans(spark.createDataFrame([], "document_id string"))):
+            if step == "_write" and change.__code__.co_names[0] == "delete_user":
+                continue
+            with pytest.raises(OSError, match=step):
+                change(broken)
+            assert sorted(r.text for r in table.read("u1").collect()) == ["one", "two"]
+    before = table.read("u1")
+    other, wait = ChunkTable(spark, table.path), []
+    commit = other._commit
+
+    def late(state):
+        if not wait:
+            wait.append(table.append(chunks("b"), "u1", "b"))
+        return commit(state)
+
+    monkeypatch.setattr(other, "_commit", late)
+    other.append(chunks("c"), "u1", "c")
+    assert sorted(r.text for r in table.read("u1").collect()) == ["b", "c", "one", "two"]
+    assert table.delete_document("u1", "a") == 2 and sorted(r.text for r in before.collect()) == ["one", "two"]
+    assert table.read("u1", version=1).count() == 2
+    table.vacuum()
+    assert len(table.versions()) == 1 and table.read("u1").count() == 2 and len(list((tmp_path / "chunks" / "data").rglob("*.parquet"))) == 2
+
+
+def test_orphans_without_owner(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "chunks"))
+    rows = [(0, "a", "u1"), (0, "a", None), (1, "a", ""), (0, "gone", "u1"), (0, None, "u1"), (0, None, None)]
+    table.upsert(spark.createDataFrame(rows, "chunk_index int, document_id string, user_id string").withColumn("session_id", F.lit(None).cast("string")))
+    registry = spark.createDataFrame([("a",)], "document_id string")
+    assert table.purge_orphans(registry) == 5 and table.purge_orphans(registry) == 0
+    assert [(r.document_id, r.user_id) for r in table.whole().collect()] == [("a", "u1")]
+
+
+def test_stream_into_chunk_table(spark, tmp_path):
+    """A batch that is delivered twice is there once."""
+    (tmp_path / "in").mkdir()
+    table = ChunkTable(spark, str(tmp_path / "chunks"))
+    schema = "chunk_index int, document_id string, user_id string, session_id string, text string"
+    for k in range(3):
+        spark.createDataFrame([(k, "d", "u", "s", f"t{k}")], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    for _ in range(2):  # the second query has no memory of the first, its batches have the same numbers
+        at = str(tmp_path / f"checkpoint{_}")
+        stream.writeStream.foreachBatch(table.sink("chunks")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.text for r in table.whole().collect()) == ["t0", "t1", "t2"] and len(table.versions()) == 3
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"SECTION L\nplain \xff text")
     (tmp_path / "b.md").write_bytes(b"  \n ")
