@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 index of test items, searched with every passage of the corpus.
 
 A passage is a stretch of words; stretches overlap by half, so an item of up to half a stretch lies in
-one as a whole. The score of an item is its BM25 score for the distinct words of the passage, as a share of its
+one as a whole. Items of up to 64 words meet stretches of 128, longer ones those of a class of their own length, the next power
+of two: what an item matches doesn't depend on how long others are. The score of an item is its BM25 score for the distinct words of the passage, as a share of its
 score for its own words. All items at or above a threshold are retrieved by block-max WAND over many
 passages at once: items lie in blocks; for each word a block has the maximum of what it can add there.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -96,21 +97,20 @@ class Match:
 
 @dataclass(frozen=True)
 class Statistics:
-    """Of all items: how many have words, their mean and longest length, and how many of them hold each word (of a shard)."""
+    """Of all items: how many have words, their mean length, and how many of them hold each word (of a shard)."""
 
     n: int
     mean: float
-    longest: int
     df: dict[str, int]
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Statistics:
         own = [w for _, t in items if (w := words_of(t))]
-        return cls(len(own), sum(map(len, own)) / max(1, len(own)), max(map(len, own), default=0), Counter(w for words in own for w in set(words)))
+        return cls(len(own), sum(map(len, own)) / max(1, len(own)), Counter(w for words in own for w in set(words)))
 
 
 class Index:
-    """A shard of items: block-max postings, and each item's parts. Without statistics its items are all there are."""
+    """Items of one class of length: block-max postings, and each item's parts. Without statistics its items are all there are."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS, statistics: Statistics | None = None) -> None:
         about = statistics or Statistics.of(items)
@@ -119,7 +119,7 @@ class Index:
         self.threshold = threshold
         self.items = [i for i, *_ in found]
         self.parts = [question_and_answer(t) for *_, t in found]
-        self.passage_words = max(passage_words, 2 * about.longest)
+        self.passage_words = passage_words
         self.blocks = math.ceil(len(found) / BLOCK_ITEMS)
         df = {w: about.df[w] for _, tf, _, _ in found for w in tf}
         self.vocabulary = {w: k for k, w in enumerate(sorted(df, key=lambda w: (-df[w], w)))}
@@ -156,30 +156,32 @@ class Index:
         keys, index = np.unique(np.repeat(passages, n) * self.blocks + self.max_block[at], return_inverse=True)
         return keys, np.bincount(index, self.max_impact[at], len(keys))
 
-    def _passages(self, at: np.ndarray) -> np.ndarray:
-        """The two passages that hold each word place; the first one alone holds the first half."""
-        half = at // (self.passage_words // 2)
-        return np.concatenate((half, np.maximum(half - 1, 0)))
+    def retrieve(self, ids: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, item and score of all that reach the threshold. ids: the places' words, -1 if unknown, of texts of these lengths, one after the other.
 
-    def retrieve(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Passage, item and score of all that reach the threshold. ids: the places' words, -1 if unknown; texts lie two stretches apart."""
+        A text has a passage for each half stretch that it begins, numbered over all texts.
+        """
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         at = np.flatnonzero(ids >= self.frequent)
         if not len(at):
             return none
-        size = len(self.vocabulary)
-        pairs = np.unique(self._passages(at) * size + np.tile(ids[at], 2))
+        half, size = self.passage_words // 2, len(self.vocabulary)
+        starts, lengths, bases = self._layout(np.array([len(ids)]) if lengths is None else lengths)
+        # The two passages that hold each place; the first half of a text lies in one alone.
+        text = np.searchsorted(starts, at, "right") - 1
+        nth = (at - starts[text]) // half
+        pairs = np.unique(np.concatenate((bases[text] + nth, bases[text] + np.maximum(nth - 1, 0))) * size + np.tile(ids[at], 2))
         keys, sums = self._spread(pairs // size, pairs % size)
         keys = keys[sums + self.bound[keys % self.blocks] >= self.threshold - 1e-9]
         if not len(keys):
             return none
         # All words of the passages left.
-        half = self.passage_words // 2
         wanted = np.unique(keys // self.blocks)
-        places = (wanted[:, None] * half + np.arange(2 * half)).ravel()
-        owner = np.repeat(wanted, 2 * half)
-        inside = places < len(ids)
-        owner, own = owner[inside], ids[places[inside]]
+        text = np.searchsorted(bases, wanted, "right") - 1
+        first = starts[text] + (wanted - bases[text]) * half
+        n = np.minimum(first + 2 * half, starts[text] + lengths[text]) - first
+        own = ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        owner = np.repeat(wanted, n)
         pairs = np.unique(owner[own >= 0] * size + own[own >= 0])
         passages, words = pairs // size, pairs % size
         full, sums = self._spread(passages, words)
@@ -194,27 +196,30 @@ class Index:
         reached = score >= self.threshold - 1e-9
         return pair[reached] // len(self.items), pair[reached] % len(self.items), np.round(score[reached], 9)
 
+    def _layout(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the texts that have words begin, their lengths, and the number of each one's first passage. Others get no passage."""
+        half = self.passage_words // 2
+        passages = -(-lengths // half)
+        some = lengths > 0
+        return (np.cumsum(lengths) - lengths)[some], lengths[some], (np.cumsum(passages) - passages)[some]
+
     def search(self, texts: list[str | None], least_overlap: float = OVERLAP) -> list[list[Match]]:
         """For each text, the items that it leaks: of each the passage with the highest score."""
+        return self.matches([words_of(t) for t in texts], least_overlap)
+
+    def matches(self, words: list[list[str]], least_overlap: float) -> list[list[Match]]:
         half = self.passage_words // 2
-        words = [words_of(t) for t in texts]
-        get = self.vocabulary.get
-        flat, starts, size = [], [], 0
-        for w in words:
-            starts.append(size)
-            n = (math.ceil(len(w) / half) + 2) * half
-            own = np.full(n, -1, np.int64)
-            own[: len(w)] = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
-            flat.append(own)
-            size += n
-        out: list[list[Match]] = [[] for _ in texts]
-        if not self.items or not size:
+        out: list[list[Match]] = [[] for _ in words]
+        lengths = np.array([len(w) for w in words], np.int64)
+        if not self.items or not lengths.sum():
             return out
-        passages, items, scores = self.retrieve(np.concatenate(flat))
-        owner = np.searchsorted(np.array(starts), passages * half, "right") - 1
+        get = self.vocabulary.get
+        passages, items, scores = self.retrieve(np.concatenate([np.fromiter(map(get, w, repeat(-1)), np.int64, len(w)) for w in words]), lengths)
+        of = np.flatnonzero(lengths)
+        _, _, bases = self._layout(lengths)
+        text = np.searchsorted(bases, passages, "right") - 1
         best: dict[tuple[int, int], Match] = {}
-        for p, i, score, k in zip(passages.tolist(), items.tolist(), scores.tolist(), owner.tolist(), strict=True):
-            first = p * half - starts[k]
+        for i, score, k, first in zip(items.tolist(), scores.tolist(), of[text].tolist(), ((passages - bases[text]) * half).tolist(), strict=True):
             own = words[k][first : first + 2 * half]
             question, answer = (overlap(part, own) for part in self.parts[i])
             if question >= least_overlap and answer >= least_overlap:
@@ -226,6 +231,24 @@ class Index:
         return out
 
 
+class Shard:
+    """Items of any length: an index for each class of lengths."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, passage_words: int = PASSAGE_WORDS, statistics: Statistics | None = None) -> None:
+        about, classes = statistics or Statistics.of(items), defaultdict(list)
+        for i, t in items:
+            size, n = passage_words, len(words_of(t))
+            while size < 2 * n:
+                size *= 2
+            classes[size].append((i, t))
+        self.indexes = [Index(own, threshold, size, about) for size, own in sorted(classes.items())]
+
+    def search(self, texts: list[str | None], least_overlap: float = OVERLAP) -> list[list[Match]]:
+        words = [words_of(t) for t in texts]
+        found = [index.matches(words, least_overlap) for index in self.indexes]
+        return [[m for own in of_text for m in own] for of_text in zip(*found, strict=True)] if found else [[] for _ in texts]
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each item's distinct words with the number of all of its words; items without words give no row."""
     schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.string()))])
@@ -234,25 +257,25 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield C.batch(schema, data.column("shard"), [len(w) for w in own], [sorted(set(w)) for w in own])
 
 
-def shards(items: DataFrame, threshold: float, passage_words: int, shard_bytes: int) -> Iterator[tuple[Index, bool]]:
-    """Indexes over all items, one at a time, of a bounded size each, with the statistics of all items; whether it is the last."""
+def shards(items: DataFrame, threshold: float, passage_words: int, shard_bytes: int) -> Iterator[tuple[Shard, bool]]:
+    """Shards of all items, one at a time, of a bounded size each, with the statistics of all items; whether it is the last."""
     scratch = C.Scratch(items.sparkSession)
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     n = C.block_count(*rows.agg(F.sum(F.octet_length("text")), F.count("*")).first(), shard_bytes)
     rows = scratch.keep(rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
     terms = scratch.keep(rows.mapInArrow(_terms, "shard long, n long, words array<string>").where("n > 0"), "item-terms")
-    whole = terms.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    whole = terms.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
     words = terms.select("shard", F.explode("words").alias("word"))
     df = words.groupBy("shard", "word").agg(F.count("*").alias("own"))
     df = scratch.keep(df.join(df.groupBy("word").agg(F.sum("own").alias("df")), "word").select("shard", "word", "df"), "item-df")
     for k in range(n):
         own = rows.where(F.col("shard") == k).orderBy("item_id", "text").collect()
         counts = {r["word"]: r["df"] for r in df.where(F.col("shard") == k).collect()}
-        yield Index([(r["item_id"], r["text"]) for r in own], threshold, passage_words, Statistics(whole["n"], whole["mean"] or 0.0, whole["longest"] or 0, counts)), k == n - 1
+        yield Shard([(r["item_id"], r["text"]) for r in own], threshold, passage_words, Statistics(whole["n"], whole["mean"] or 0.0, counts)), k == n - 1
     scratch.drop_but()
 
 
-def _passes(spark: SparkSession, found: Iterator[tuple[Index, bool]], search: Callable[[list[Broadcast]], DataFrame], most: int = PASS_SHARDS) -> Iterator[DataFrame]:
+def _passes(spark: SparkSession, found: Iterator[tuple[Shard, bool]], search: Callable[[list[Broadcast]], DataFrame], most: int = PASS_SHARDS) -> Iterator[DataFrame]:
     """search() with a bounded number of shards at a time. What is found by all but the last pass is written, and its shards are released."""
     scratch, sent = C.Scratch(spark), []
     for index, last in found:

@@ -432,6 +432,23 @@ def test_leaks_are_the_same_however_items_are_cut(spark, shard_bytes):
     assert left == Counter((d, t) for d, t in texts if d not in leaked)
 
 
+def test_long_items_change_nothing_for_others(spark):
+    """A long item has passages of its own length: with or without it the others leak from the same documents, and it is found itself."""
+    rng = random.Random(13)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    short, long = pick(40), pick(600)
+    parts = [short[k : k + 5] for k in range(0, 40, 5)]
+    scattered = [w for part in parts for w in [*part, *(f"x{rng.random()}" for _ in range(38))]]
+    texts = [(1, " ".join(scattered)), (2, " ".join([*pick(50), *short, *pick(9)])), (3, " ".join([*pick(700), *long, *pick(2000)])), (4, " ".join(long[:200])), (5, "a"), (6, ""), (7, None), (8, " ".join(pick(30_000) + long))]
+    own = spark.createDataFrame(texts, "doc_id long, text string")
+    items = [(1, " ".join(short)), (2, " ".join(pick(30)))]
+    found = lambda bench, size: {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(own, spark.createDataFrame(bench, "item_id long, text string"), shard_bytes=size).collect()}
+    for size in (1 << 22, 300_000):
+        assert found(items, size) == {(2, 1)}
+        assert found([*items, (3, " ".join(long)), (4, " ".join(pick(100_000)))], size) == {(2, 1), (3, 3), (8, 3)}
+
+
 # --- op6
 
 
