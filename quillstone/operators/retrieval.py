@@ -85,10 +85,6 @@ def dense_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return _top(found, "dense_score", k, "chunk_id")
 
 
-def _bm25(tf: Column, length: Column, mean_length: Column, idf: Column) -> Column:
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
-
-
 def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
@@ -217,15 +213,17 @@ def _annotated(ranked: DataFrame, label: Column) -> DataFrame:
     )
 
 
-def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid_rrf", dense_k: int = 25, sparse_k: int = 25, final_k: int = 8, rrf_k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0, mmr_lambda: float = 0.5) -> DataFrame:
+def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid_rrf", dense_k: int = 25, sparse_k: int = 25, final_k: int = 8, rrf_k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0, mmr_lambda: float = 0.5, index=None) -> DataFrame:
     """Ranked hits of every question: qid, chunk_id, rank, scores, matched_by, injected_noise. `retrieve` does it for one owner.
 
     chunks: chunk_id, text, vector; questions: qid, question, vector. An unknown mode is hybrid_rrf.
+    index: the chunks' stored index (inverted_index); the sparse mode then reads no chunk.
     """
     if mode == "dense":
         return _annotated(dense_top_k(chunks, questions, final_k).withColumns({"fused": F.col("dense_score"), "bm25_score": F.lit(0.0)}), F.lit("semantic"))
     if mode == "sparse":
-        return _annotated(sparse_top_k(chunks, questions, final_k).withColumns({"fused": F.col("bm25_score"), "dense_score": F.lit(0.0)}), F.lit("keyword"))
+        found = index.top_k(questions, final_k) if index is not None else sparse_top_k(chunks, questions, final_k)
+        return _annotated(found.withColumns({"fused": F.col("bm25_score"), "dense_score": F.lit(0.0)}), F.lit("keyword"))
     candidates = dense_top_k(chunks, questions, dense_k)
     if mode == "mmr":
         return mmr(candidates, chunks, final_k, mmr_lambda)

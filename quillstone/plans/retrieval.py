@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import metrics as M
 from quillstone.operators import retrieval as R
+from quillstone.operators.inverted_index import InvertedIndex
 from quillstone.plans.tables import table
+from quillstone.session import shared_dir
+from quillstone.sources.versions import Versions
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +79,23 @@ def dense_topk_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return R.term_statistics(docs).select("term", "df", T.rounded(F.col("idf"), 6).alias("idf"))
+    return _index(spark, sf_dir).statistics().select("term", "df", T.rounded(F.col("idf"), 6).alias("idf"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
+    """The stored index of the documents, built once an application for each state of the table's files."""
+    fs, at = Versions(spark, sf_dir).at(f"{sf_dir}/documents.parquet")
+    files = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(at))
+    index = InvertedIndex(spark, f"{shared_dir(spark)}/index-{hashlib.sha256(' '.join(files).encode()).hexdigest()[:16]}")
+    if not index.state()["segments"]:
+        index.append(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return index
+
+
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over the whole corpus from the stored index: the documents themselves aren't read."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return R.search(None, questions, "sparse", index=_index(spark, sf_dir)).drop("injected_noise")
 
 
 def _hits(mode: str, **settings: float):
@@ -163,7 +183,7 @@ def sweep_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = ("hybrid_rrf", "hybrid_weighted", "dense", "sparse", "mmr")
     hits = None
     for m in modes:
-        own = R.search(chunks, questions, m).select(F.lit(m).alias("mode"), "qid", "chunk_id", "rank")
+        own = R.search(chunks, questions, m, index=_index(spark, sf_dir)).select(F.lit(m).alias("mode"), "qid", "chunk_id", "rank")
         hits = own if hits is None else hits.unionByName(own)
     runs = questions.select("qid").join(F.broadcast(spark.createDataFrame([(m,) for m in modes], "mode string")))
     gold = M.gold_relevant(questions.select("qid", F.array("question").alias("hints")), chunks)
@@ -278,7 +298,7 @@ QUERIES = {
     "hybrid_rrf": _hits("hybrid_rrf"),
     "hybrid_weighted": _hits("hybrid_weighted"),
     "dense_documents": _hits("dense"),
-    "sparse_topk": _hits("sparse"),
+    "sparse_topk": sparse_topk,
     "tokenize_terms": tokenize_terms,
     "token_count": token_count,
     "sentence_split": sentence_split,

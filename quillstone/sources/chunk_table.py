@@ -15,12 +15,12 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillstone.operators import relational as R
+from quillstone.sources.versions import Versions
 
 #: How often a change starts anew when others come in between.
 ATTEMPTS = 10
@@ -41,56 +41,23 @@ def connect(spark: SparkSession, kind: str, place: str) -> ChunkTable:
 class ChunkTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._versions = Versions(spark, self.path)
 
     # --- versions
 
-    def _at(self, path: str):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(conf), target
-
-    def _delete(self, path: str) -> None:
-        fs, target = self._at(path)
-        fs.delete(target, True)
-
     def versions(self) -> list[int]:
         """The numbers of all versions that are still there."""
-        fs, folder = self._at(f"{self.path}/versions")
-        return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()) if fs.exists(folder) else []
+        return self._versions.numbers()
 
     def _state(self, version: int | None = None) -> dict:
-        """What the marker of a version says: its number, its list of files, the schema, and the last batch of each stream."""
-        found = self.versions()
-        if not found:
-            return {"version": 0, "files": None, "schema": None, "streams": {}}
-        number = found[-1] if version is None else version
-        fs, target = self._at(f"{self.path}/versions/{number:012d}")
-        stream = fs.open(target)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        """What a version says: its number, its list of files, the schema, and the last batch of each stream."""
+        return self._versions.state(version) or {"version": 0, "files": None, "schema": None, "streams": {}}
 
     def _files(self, state: dict) -> DataFrame:
         return self.spark.read.schema(_FILES).parquet(f"{self.path}/{state['files']}") if state["files"] else self.spark.createDataFrame([], _FILES)
 
     def _commit(self, state: dict) -> bool:
-        """Make a version the current one, whole or not at all; false if another change was first."""
-        jvm = self.spark.sparkContext._jvm
-        fs, target = self._at(f"{self.path}/versions/{state['version']:012d}")
-        aside = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/_{uuid.uuid4().hex}")
-        out = fs.create(aside)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:  # without leave to overwrite
-            files.rename(files.makeQualified(aside), files.makeQualified(target), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Py4JJavaError:
-            if not fs.exists(target):
-                raise
-            fs.delete(aside, False)
-            return False
-        return True
+        return self._versions.commit(state["version"], state)
 
     def _change(self, change: Callable[[dict], tuple[list[str], DataFrame | None, int]], stream: tuple[str, int] | None = None) -> int:
         """Apply a change to the current version: the files that go, the rows that come, and a number to return.
@@ -121,7 +88,7 @@ class ChunkTable:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         ordered = rows.withColumn("owner", F.sha1(F.coalesce("user_id", F.lit("")))).sortWithinPartitions("owner", "document_id", "session_id")
         ordered.write.option("parquet.bloom.filter.enabled#document_id", "true").option("parquet.bloom.filter.enabled#session_id", "true").partitionBy("owner").parquet(folder)
-        fs, target = self._at(folder)
+        fs, target = self._versions.at(folder)
         if not any(f.isDirectory() for f in fs.listStatus(target)):
             return self.spark.createDataFrame([], _FILES)
         held = self.spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder)
@@ -274,12 +241,12 @@ class ChunkTable:
         states = [self._state(v) for v in versions[-keep:]]
         held = {f for s in states for f in self._chosen(s)}
         for v in versions[:-keep]:
-            self._delete(f"{self.path}/versions/{v:012d}")
-        fs, folder = self._at(f"{self.path}/files")
+            self._versions.drop(v)
+        fs, folder = self._versions.at(f"{self.path}/files")
         for f in fs.listStatus(folder) if fs.exists(folder) else []:
             if f"files/{f.getPath().getName()}" not in {s["files"] for s in states}:
                 fs.delete(f.getPath(), True)
-        fs, folder = self._at(f"{self.path}/data")
+        fs, folder = self._versions.at(f"{self.path}/data")
         found = fs.listFiles(folder, True) if fs.exists(folder) else None
         while found is not None and found.hasNext():
             at = found.next().getPath()

@@ -103,6 +103,30 @@ def test_search(corpus, mode):
         assert all(abs(a[2] - b[1]) < 1e-5 for a, b in zip(sorted(got.get(qid, [])), want, strict=True))
 
 
+@pytest.mark.parametrize("k", [1, 8, 1000])
+def test_stored_index(spark, tmp_path, k):
+    """Segments, merged or not, give what a scan gives, and what is skipped changes nothing."""
+    from quillstone.operators.inverted_index import InvertedIndex
+
+    rng = random.Random(k)
+    words = [f"w{n}" for n in range(120)] + ["a.b", "x-1"]
+    pick = lambda n: " ".join(words[min(121, int(rng.expovariate(0.05)))] for _ in range(n))
+    rows = [(i, pick(rng.randint(0, 60))) for i in range(700)] + [(900, None), (901, ""), (902, pick(20_000)), (903, "only here"), (904, pick(5)), (905, "only here")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(5)
+    questions = spark.createDataFrame([(1, "w1 w2 w90"), (2, pick(30)), (3, "unknown terms"), (4, ""), (5, "only here w3 W3"), (6, None)], "qid long, question string")
+    index = InvertedIndex(spark, str(tmp_path / "index"), 4, 50)
+    assert index.top_k(questions, k).count() == 0
+    for part in range(3):
+        index.append(chunks.where(F.pmod("chunk_id", F.lit(3)) == part))
+    want = sorted((r.qid, r["rank"], r.chunk_id, round(r.bm25_score, 9)) for r in Q.sparse_top_k(chunks, questions, k).collect())
+    found = lambda: sorted((r.qid, r["rank"], r.chunk_id, round(r.bm25_score, 9)) for r in index.top_k(questions, k).collect())
+    assert found() == want and len(want) > 2
+    stats = lambda df: sorted((r.term, r.df, round(r.idf, 9), round(r.mean_length, 6)) for r in df.collect())
+    assert stats(index.statistics()) == stats(Q.term_statistics(chunks)) and stats(index.statistics("n")) == stats(Q.term_statistics(chunks, "n"))
+    index.merge()
+    assert found() == want and len(index.state()["segments"]) == 1
+
+
 def test_noise(corpus):
     _, _, chunks, questions = corpus
     hits = Q.search(chunks, questions, "dense")
