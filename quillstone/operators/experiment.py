@@ -184,17 +184,27 @@ def reranked(config: RunConfig, hits: DataFrame, chunks: DataFrame, questions: D
     return R.rerank(good, F.col("model_score"), config.final_k).drop("model_score", "rerank_score"), of_question
 
 
-def run(config: RunConfig, chunks: DataFrame, questions: DataFrame, known: models.Models | None = None, store: Store | None = None) -> DataFrame:
+def pool_of(config: RunConfig) -> int:
+    """How many hits a question keeps before reranking, if there is any."""
+    return max(config.rerank_pool, config.final_k) if config.reranker_model != "none" else config.final_k
+
+
+def found_by(configs: dict[str, RunConfig], chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The hits of configurations that share chunks, by run_id, as one plan."""
+    return R.search_all(chunks, questions, {name: {s: getattr(c, {"mode": "retrieval_mode"}.get(s, s)) for s in R.SETTINGS} | {"final_k": pool_of(c)} for name, c in configs.items()})
+
+
+def run(
+    config: RunConfig, chunks: DataFrame, questions: DataFrame, known: models.Models | None = None, store: Store | None = None, found: tuple[DataFrame, float] | None = None
+) -> DataFrame:
     """qid, answer, relevance_source, generation_error, METRICS and TIMINGS of all questions (qid, question, expected_answer, relevant_sections, vector).
 
     Each stage that asks a model is written before it is used, so what branches of the plan read is asked once and the same for all.
-    Questions are ranked together: retrieval_ms is an equal share of what ranking took, the others are what the models took for a question's rows.
+    found: the run's hits and the milliseconds that they took, where runs are ranked together. Questions are, too: retrieval_ms is an equal share of what ranking took, the others are what the models took for a question's rows.
     A question whose reranking failed, or of which nothing was retrieved, has that as its error and no measures.
     """
     known, store = known or models.Models(), store or Store(chunks.sparkSession)
-    pool = max(config.rerank_pool, config.final_k) if config.reranker_model != "none" else config.final_k
-    found = R.search(chunks, questions, config.retrieval_mode, config.dense_k, config.sparse_k, pool, config.rrf_k, config.dense_weight, config.sparse_weight, config.mmr_lambda)
-    hits, retrieval_ms = store.timed(found, "found")
+    hits, retrieval_ms = found or store.timed(found_by({"": config}, chunks, questions).drop("run_id"), "found")
     reranking = None
     if config.reranker_model != "none":
         hits, reranking = reranked(config, hits, chunks, questions, known, store)
@@ -262,18 +272,27 @@ def run_all(configs: Iterable[RunConfig], docs: DataFrame, questions: DataFrame,
     spark = docs.sparkSession
     kept = Store(spark, store)
     names = {r["at"]: r["run_id"] for r in as_rows(spark, configs).collect()} if configs else {}
-    shared: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+    shared: dict[tuple, dict[int, RunConfig]] = {}
     parts, failed = [], []
     for k, c in enumerate(configs):
         key = (c.chunking_strategy, c.chunk_target_tokens, c.chunk_overlap_tokens, c.chunk_min_tokens, c.embed_model)
         try:
             known.refuse_unknown(c.embed_model, c.reranker_model, c.llm_model_id, c.faithfulness_mode == "nli", c.use_llm_judge)
-            if key not in shared:
-                chunks = kept.once(chunks_of(docs, c, known, kept), "chunks")
-                shared[key] = chunks, kept.once(embedded(questions, F.col("question"), c.embed_model, known, kept, query=True), "questions")
-            parts.append(run(c, *shared[key], known, kept).select(F.lit(names[k]).alias("run_id"), "*", F.lit(None).cast("string").alias("error")))
+            shared.setdefault(key, {})[k] = c
         except ValueError as e:
             failed.append((names[k], str(e)))
+    for own in shared.values():
+        c = next(iter(own.values()))
+        try:
+            chunks = kept.once(chunks_of(docs, c, known, kept), "chunks")
+        except ValueError as e:
+            failed += [(names[k], str(e)) for k in own]
+            continue
+        asked = kept.once(embedded(questions, F.col("question"), c.embed_model, known, kept, query=True), "questions")
+        hits, took = kept.timed(found_by({str(k): c for k, c in own.items()}, chunks, asked), "found")
+        for k, c in own.items():
+            mine = hits.where(F.col("run_id") == str(k)).drop("run_id")
+            parts.append(run(c, chunks, asked, known, kept, (mine, took / len(own))).select(F.lit(names[k]).alias("run_id"), "*", F.lit(None).cast("string").alias("error")))
     errors = spark.createDataFrame(failed, "run_id string, error string")
     if not parts:
         return errors

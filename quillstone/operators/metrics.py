@@ -36,6 +36,19 @@ def ranking_metrics(runs: DataFrame, hits: DataFrame, relevant: DataFrame, keys:
     of = relevant.select("qid", "chunk_id").distinct()
     sizes = of.groupBy("qid").agg(F.count("*").alias("n_relevant"))
     marked = hits.select(*keys, "rank", "chunk_id").join(of.withColumn("rel", F.lit(1)), ["qid", "chunk_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return _measured(runs, marked, sizes, keys)
+
+
+def label_metrics(runs: DataFrame, hits: DataFrame, questions: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("qid",)) -> DataFrame:
+    """The same where the chunks (chunk_id, label) of the question's (qid, label) own label are relevant: hits are marked by their label and labels are counted, no pair is made."""
+    sizes = questions.select("qid", "label").join(chunks.groupBy("label").agg(F.count("*").alias("n_relevant")), "label").select("qid", "n_relevant")
+    of = chunks.select("chunk_id", F.col("label").alias("own"))
+    marked = hits.select(*keys, "rank", "chunk_id").join(of, "chunk_id").join(questions.select("qid", "label"), "qid")
+    return _measured(runs, marked.withColumn("rel", F.coalesce((F.col("own") == F.col("label")).cast("int"), F.lit(0))), sizes, keys)
+
+
+def _measured(runs: DataFrame, marked: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """marked: keys.., rank, rel (1 or 0); sizes: qid, n_relevant."""
     seen = F.sum("rel").over(Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("seen", seen)
     found = marked.groupBy(*keys).agg(
@@ -62,16 +75,13 @@ def _holding(hints: list[tuple[int, list[str]]]):
             asking.setdefault(h, []).append(qid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            from ahocorasick import Automaton
-
-            automaton = Automaton()
-            for h in asking:
-                automaton.add_word(h, h)
-            automaton.make_automaton()
-            held = lambda text: {h for _, h in automaton.iter(text)}
-        except ImportError:
-            held = lambda text: {h for h in asking if h in text}
+        from ahocorasick import Automaton
+
+        automaton = Automaton()
+        for h in asking:
+            automaton.add_word(h, h)
+        automaton.make_automaton()
+        held = lambda text: {h for _, h in automaton.iter(text)}
         for data in batches:
             rows = [(q, i) for i, text in zip(data.column("chunk_id").to_pylist(), data.column("hay").to_pylist(), strict=True) if text for q in sorted({q for h in held(text) for q in asking[h]})]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], schema=schema)

@@ -188,7 +188,7 @@ def _candidate_scores(group: pa.Table) -> pa.Table:
     for c in own:
         held = [(n, idf[t] if idf[t] >= 0 else floor, c[t]) for t, n in asked.items() if t in c]
         scores.append(sum(n * x * tf * (K1 + 1) / (tf + K1 * (1 - B + B * c.total() / mean)) for n, x, tf in held) if held else None)
-    return group.select(["qid", "chunk_id", "rank", "dense_score"]).append_column("bm25_score", pa.array(scores, pa.float64()))
+    return group.drop_columns(["text", "question"]).append_column("bm25_score", pa.array(scores, pa.float64()))
 
 
 def bm25_over_candidates(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -206,9 +206,9 @@ def bm25_over_candidates(candidates: DataFrame, chunks: DataFrame, questions: Da
     return joined.withColumn("sparse_rank", F.when(counted, F.col("sparse_rank"))).withColumn("bm25_score", F.when(counted, F.col("bm25_score")))
 
 
-def _annotated(ranked: DataFrame, label: Column) -> DataFrame:
+def _annotated(ranked: DataFrame, label: Column, *keys: str) -> DataFrame:
     return ranked.select(
-        "qid", "chunk_id", F.col("rank").cast("int").alias("rank"), T.rounded(F.col("fused"), 5).alias("fused_score"), T.rounded(F.coalesce("dense_score", F.lit(0.0)), 4).alias("dense_score"),
+        *keys, "qid", "chunk_id", F.col("rank").cast("int").alias("rank"), T.rounded(F.col("fused"), 5).alias("fused_score"), T.rounded(F.coalesce("dense_score", F.lit(0.0)), 4).alias("dense_score"),
         T.rounded(F.coalesce("bm25_score", F.lit(0.0)), 4).alias("bm25_score"), label.alias("matched_by"), F.lit(False).alias("injected_noise"),
     )
 
@@ -243,6 +243,66 @@ def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid_rrf", de
     return _annotated(_top(ranked, "fused", final_k, "dense_rank"), label)
 
 
+#: What a run sets of a search, with the defaults of `search`.
+SETTINGS = {"mode": "hybrid_rrf", "dense_k": 25, "sparse_k": 25, "final_k": 8, "rrf_k": 60, "dense_weight": 1.0, "sparse_weight": 1.0, "mmr_lambda": 0.5}
+_RUN = "run_id string, mode string, dense_k int, sparse_k int, final_k int, rrf_k int, dense_weight double, sparse_weight double, mmr_lambda double"
+
+
+def search_all(chunks: DataFrame, questions: DataFrame, runs: dict[str, dict], index=None) -> DataFrame:
+    """search() of many runs (SETTINGS by run_id, a short list) as one plan: the same columns with run_id in front.
+
+    Runs are rows that candidates are joined with. Chunks are ranked once for the largest k; candidates are scored once for each
+    dense_k; weights, constants and k are columns of what follows.
+    """
+    spark = questions.sparkSession
+    rows = [(name, *(type(default)((SETTINGS | own)[c]) for c, default in SETTINGS.items())) for name, own in runs.items()]
+    at = {c: k + 1 for k, c in enumerate(SETTINGS)}
+    of = lambda *modes: [r for r in rows if r[at["mode"]] in modes]
+    fused = [r for r in rows if r[at["mode"]] not in ("sparse", "mmr")]
+    limit = lambda r: r[at["final_k"] if r[at["mode"]] == "dense" else at["dense_k"]]
+    parts = []
+    ranked = [*fused, *of("mmr")]
+    candidates = dense_top_k(chunks, questions, max(map(limit, ranked))) if ranked else None
+    if fused:
+        sizes = F.broadcast(spark.createDataFrame(sorted({(limit(r),) for r in fused}), "size int"))  # a short list
+        own = candidates.join(sizes, F.col("rank") <= F.col("size")).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
+        own = own.select(F.col("qid").cast("long").alias("qid"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), "dense_score", "size", "text", "question")
+        if any(r[at["mode"]] != "dense" for r in fused):
+            own = own.groupBy("qid", "size").applyInArrow(_candidate_scores, "qid long, chunk_id long, rank int, dense_score double, size int, bm25_score double")
+        else:
+            own = own.drop("text", "question").withColumn("bm25_score", F.lit(None).cast("double"))
+        order = Window.partitionBy("qid", "size").orderBy(F.desc(F.round(F.coalesce("bm25_score", F.lit(0.0)), 9)), "rank")
+        own = own.withColumn("sparse_rank", F.row_number().over(order))
+        settings = F.broadcast(spark.createDataFrame([(*r, limit(r)) for r in fused], f"{_RUN}, size int"))  # a short list
+        own = own.join(settings, "size")
+        dense = F.col("mode") == "dense"
+        counted = ~dense & (F.coalesce("bm25_score", F.lit(0.0)) > 0) & (F.col("sparse_rank") <= F.col("sparse_k"))
+        own = own.withColumns({"bm25_score": F.when(counted, F.col("bm25_score")), "sparse_rank": F.when(counted, F.col("sparse_rank"))})
+        of_question = Window.partitionBy("run_id", "qid")
+
+        def scaled(c: Column) -> Column:
+            low, high = F.min(c).over(of_question), F.max(c).over(of_question)
+            return F.when(high - low < 1e-9, 1.0).otherwise((c - low) / (high - low))
+
+        weighted = F.col("dense_weight") * scaled(F.col("dense_score")) + F.col("sparse_weight") * scaled(F.coalesce("bm25_score", F.lit(0.0)))
+        by_rank = F.col("dense_weight") / (F.col("rrf_k") + F.col("rank")) + F.coalesce(F.col("sparse_weight") / (F.col("rrf_k") + F.col("sparse_rank")), F.lit(0.0))
+        own = own.withColumn("fused", F.when(dense, F.col("dense_score")).when(F.col("mode") == "hybrid_weighted", weighted).otherwise(by_rank)).withColumnRenamed("rank", "dense_rank")
+        best = Window.partitionBy("run_id", "qid").orderBy(F.desc(F.round("fused", 9)), "dense_rank")
+        own = own.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("final_k"))
+        label = F.when(F.col("sparse_rank").isNotNull(), "both").otherwise("semantic")
+        parts.append(_annotated(own, label, "run_id"))
+    for settings in sorted({(limit(r), r[at["final_k"]], r[at["mmr_lambda"]]) for r in of("mmr")}):
+        names = spark.createDataFrame([(r[0],) for r in of("mmr") if (limit(r), r[at["final_k"]], r[at["mmr_lambda"]]) == settings], "run_id string")
+        found = mmr(candidates.where(F.col("rank") <= settings[0]), chunks, settings[1], settings[2])
+        parts.append(found.join(F.broadcast(names)).select("run_id", *found.columns))  # a short list
+    if sparse := of("sparse"):
+        most = max(r[at["final_k"]] for r in sparse)
+        names = F.broadcast(spark.createDataFrame([(r[0], r[at["final_k"]]) for r in sparse], "run_id string, final_k int"))  # a short list
+        found = search(chunks, questions, "sparse", final_k=most, index=index)
+        parts.append(found.join(names, F.col("rank") <= F.col("final_k")).select("run_id", *found.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def retrieve(points: DataFrame, questions: DataFrame, user_id: str, document_ids: Sequence[object] | DataFrame | None = None, **settings: float) -> DataFrame:
     """search() over what one owner has, of the documents asked for if any are: the filter lies below the ranking.
 

@@ -145,9 +145,7 @@ def relevance_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the question's own label are relevant."""
     chunks, questions = _vectors(spark, sf_dir), _vector_questions(spark, sf_dir)
-    hits = R.dense_top_k(chunks, questions, 10)
-    relevant = questions.select("qid", "label").join(chunks.select("chunk_id", "label"), "label").select("qid", "chunk_id")
-    return M.ranking_metrics(questions, hits, relevant)
+    return M.label_metrics(questions, R.dense_top_k(chunks, questions, 10), questions, chunks)
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +169,8 @@ def sweep_final_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, questions = _vectors(spark, sf_dir), _vector_questions(spark, sf_dir)
     ks = spark.createDataFrame([(k,) for k in (1, 3, 5, 8, 10, 15, 20)], "final_k int")
     hits = R.dense_top_k(chunks, questions, 20).join(F.broadcast(ks), F.col("rank") <= F.col("final_k"))
-    relevant = questions.select("qid", "label").join(chunks.select("chunk_id", "label"), "label").select("qid", "chunk_id")
     runs = questions.select("qid").join(F.broadcast(ks))
-    found = M.ranking_metrics(runs, hits, relevant, ("final_k", "qid"))
+    found = M.label_metrics(runs, hits, questions, chunks, ("final_k", "qid"))
     return found.groupBy("final_k").agg(*(T.rounded(F.avg(c), 4).alias(c) for c in ("recall_at_k", "precision_at_k", "ndcg_at_k", "mrr", "context_precision")))
 
 
@@ -191,6 +188,17 @@ def sweep_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("mode").agg(F.count("recall_at_k").alias("n"), *(T.rounded(F.avg(c), 4).alias(c) for c in ("recall_at_k", "mrr")))
 
 
+def sweep_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold recall of twenty weights of the dense part in either fusion: chunks are ranked and scored once for all."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    settings = {f"{mode}:{w}": {"mode": mode, "dense_weight": w / 10} for mode in ("hybrid_rrf", "hybrid_weighted") for w in range(1, 21, 2)}
+    hits = R.search_all(chunks, questions, settings)
+    runs = questions.select("qid").join(F.broadcast(spark.createDataFrame([(s,) for s in settings], "run_id string")))
+    gold = M.gold_relevant(questions.select("qid", F.array("question").alias("hints")), chunks)
+    found = M.ranking_metrics(runs, hits, gold, ("run_id", "qid"))
+    return found.groupBy("run_id").agg(F.count("recall_at_k").alias("n"), *(T.rounded(F.avg(c), 4).alias(c) for c in ("recall_at_k", "mrr")))
+
+
 def keyword_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's best dense hit as an answer, the question's own text as what is expected."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
@@ -319,6 +327,7 @@ QUERIES = {
     "run_summary": run_summary,
     "sweep_final_k": sweep_final_k,
     "sweep_mode": sweep_mode,
+    "sweep_weights": sweep_weights,
     "keyword_f1": keyword_f1,
     "faithfulness": faithfulness,
     "answer_relevance": answer_relevance,
@@ -387,6 +396,13 @@ ORACLE_SQL = {
     "sweep_final_k": f"""WITH {_LABELS}, ks AS (SELECT unnest([1, 3, 5, 8, 10, 15, 20]) AS final_k), hk AS (SELECT * FROM dense JOIN ks ON rank <= final_k),
         {_ranking('hk', 'final_k, qid', '(SELECT final_k, vec_id AS qid FROM embeddings, ks WHERE vec_id % 20 = 0)')}
         SELECT final_k, {', '.join(f'{_R(f"avg({c})", 4)} AS {c}' for c in _METRICS)} FROM m GROUP BY final_k""",
+    "sweep_weights": f"""WITH {_CANDIDATES}, ws AS (SELECT unnest(range(1, 21, 2)) AS w),
+        sc AS (SELECT *, {_SCALE.format('dense_score')} AS ds, {_SCALE.format('CASE WHEN counted THEN bm ELSE 0 END')} AS ss FROM fused),
+        rf AS (SELECT 'hybrid_rrf:' || w AS run_id, qid, chunk_id, rank, (w / 10.0) / (60 + rank) + CASE WHEN counted THEN 1.0 / (60 + sparse_rank) ELSE 0 END AS f FROM fused, ws
+               UNION ALL SELECT 'hybrid_weighted:' || w, qid, chunk_id, rank, CAST(w / 10.0 AS DOUBLE) * ds + ss FROM sc, ws),
+        hits AS (SELECT run_id, qid, chunk_id, nth AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, qid ORDER BY round(f, 9) DESC, rank) AS nth FROM rf) WHERE nth <= 8), rel AS ({_GOLD}),
+        {_ranking('hits', 'run_id, qid', "(SELECT DISTINCT run_id, item_id AS qid FROM benchmark, (SELECT DISTINCT run_id FROM rf))")}
+        SELECT run_id, count(recall_at_k) AS n, {_R('avg(recall_at_k)', 4)} AS recall_at_k, {_R('avg(mrr)', 4)} AS mrr FROM m GROUP BY run_id""",
     "sweep_mode": f"""WITH {_CANDIDATES}, {_mmr(8)},
         h1 AS (SELECT 'hybrid_rrf' AS mode, qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(f, 9) DESC, rank) AS rank FROM (SELECT *, {_RRF} AS f FROM fused)),
         h2 AS (SELECT 'hybrid_weighted' AS mode, qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(f, 9) DESC, rank) AS rank FROM (SELECT *, {_WEIGHTED} AS f FROM fused)),

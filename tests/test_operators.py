@@ -127,6 +127,17 @@ def test_stored_index(spark, tmp_path, k):
     assert found() == want and len(index.state()["segments"]) == 1
 
 
+def test_many_searches_as_one_plan(corpus):
+    """Each run of search_all is what search gives by itself."""
+    chunks, questions = corpus[2:]
+    runs = {"a": {}, "b": {"mode": "dense", "final_k": 3}, "c": {"mode": "hybrid_weighted", "dense_k": 4, "sparse_weight": 0.3}, "d": {"mode": "mmr", "mmr_lambda": 0.7, "final_k": 2}, "e": {"mode": "sparse", "final_k": 2}, "f": {"rrf_k": 5, "sparse_k": 1, "dense_weight": 2}, "g": {"mode": "sparse"}, "h": {"mode": "other"}}
+    got = {}
+    for r in Q.search_all(chunks, questions, runs).collect():
+        got.setdefault(r.run_id, set()).add(tuple(r)[1:])
+    for name, settings in runs.items():
+        assert got.get(name, set()) == {tuple(r) for r in Q.search(chunks, questions, **settings).collect()}, name
+
+
 def test_noise(corpus):
     _, _, chunks, questions = corpus
     hits = Q.search(chunks, questions, "dense")
