@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import chunking as K
+from quillstone.operators import intervals as I
 from quillstone.plans.tables import table
 from quillstone.streaming import stateful as S
 
@@ -42,9 +43,10 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last turn that each stretch touches: an interval join within a conversation."""
+    """First and last turn that each stretch touches: an interval join within a conversation, without all of its pairs."""
     pages, spans = _places(spark, sf_dir)
-    touching = spans.join(pages.drop("role"), "conv_id").where("stop > span AND start < span + 500")
+    stretches = spans.select("conv_id", "span", F.col("span").alias("start"), (F.col("span") + 500).alias("stop"))
+    touching = I.overlap_join(stretches, pages.select("conv_id", "turn", F.col("start").alias("from_"), F.col("stop").alias("to_")), ["conv_id"])
     return touching.groupBy("conv_id", "span").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from quillstone.functions import text as T
 from quillstone.operators import experiment as E
 from quillstone.operators import relational as R
 from quillstone.plans.tables import table
+from quillstone.session import shared_dir
+from quillstone.sources.chunk_table import ChunkTable
 from quillstone.sources.files import acceptable
 from quillstone.sources.sinks import export_rows, json_safe
 
@@ -163,6 +167,22 @@ def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("conv_id", F.json_array_length("questions_json").alias("n_questions"))
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk table of all documents: written twice, a part of it changed, documents of one language unregistered, and what is left.
+
+    Each source is an owner, documents without one belong to nobody, as do those whose id ends in 7.
+    """
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit(0).alias("chunk_index"), F.when(F.col("doc_id") % 10 != 7, F.col("source")).alias("user_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("session_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")
+    )
+    stored = ChunkTable(spark, f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex[:12]}")
+    stored.upsert(docs)
+    stored.upsert(docs.where("document_id % 3 = 0"))
+    stored.upsert(docs.where("document_id % 5 = 0").withColumn("digest", F.lit("changed")))
+    stored.purge_orphans(docs.where("session_id <> 'en'").select("document_id"))
+    return stored.whole().select("user_id", "document_id", "session_id", "digest")
+
+
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server-sent events of each turn."""
     turns = table(spark, sf_dir, "conversations")
@@ -336,7 +356,7 @@ def run_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     owned_ids, orphan_chunks, delete_survivors, valid_sessions, latest_upsert, chat_list, chat_titles, recent_history, sanitized_history, scope_json, title_fill, model_status, soonest_model, prompt_blocks,
     eval_prompt, email_keys, password_rule, model_refs,
-    mojibake_repair, credit_error_flag, judge_verdicts, dataset_counts, stream_frames, stream_concat, csv_export, owned_totals,
+    mojibake_repair, credit_error_flag, judge_verdicts, dataset_counts, stored_chunks, stream_frames, stream_concat, csv_export, owned_totals,
     json_values, owned_all, listed_documents, run_list, run_items, run_cascade, latest_states, transcripts, public_chats, query_validity, failover, chat_messages, eval_messages, uploads, line_headings, resolved_models, derived_ids, model_chain, upload_progress, erased_owner, run_options,
 )}
 
@@ -355,6 +375,8 @@ ORACLE_SQL = {
     "owned_ids": "SELECT doc_id AS document_id FROM documents WHERE source = 'src3' AND doc_id IN (SELECT doc_id FROM labels)",
     "orphan_chunks": "SELECT doc_id AS document_id, source AS user_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "delete_survivors": "SELECT source AS user_id, count(*) AS documents FROM documents WHERE source <> 'src3' GROUP BY source",
+    "stored_chunks": """SELECT source AS user_id, CAST(doc_id AS VARCHAR) AS document_id, lang AS session_id, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE md5(coalesce(text, '')) END AS digest
+        FROM documents WHERE doc_id % 10 <> 7 AND coalesce(source, '') <> '' AND lang <> 'en'""",
     "valid_sessions": f"WITH {_SESSIONS} SELECT session_id, user_id FROM se WHERE NOT revoked AND expires_at > {NOW}",
     "latest_upsert": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "chat_list": f"""WITH c AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS f, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id),

@@ -307,6 +307,24 @@ def test_stream_into_chunk_table(spark, tmp_path):
     assert sorted(r.text for r in table.whole().collect()) == ["t0", "t1", "t2"] and len(table.versions()) == 3
 
 
+def test_overlap_join(spark):
+    """Against all pairs, and on one key with 100,000 pages."""
+    from quillstone.operators import intervals as I
+
+    rng = random.Random(6)
+    some = lambda n, most: [(rng.choice(["a", "b", None]), rng.randint(-3000, 3000), rng.choice([0, 1, 7, rng.randint(0, most)])) for _ in range(n)]
+    left, right = [(k, a, a + n) for k, a, n in some(120, 900)], [(k, a, a + n) for k, a, n in some(150, 5000)]
+    left += [left[0], ("a", None, 5)]
+    right += [right[0], ("a", 5, None)]
+    frame = lambda rows, a, b: spark.createDataFrame(rows, f"k string, {a} long, {b} long").withColumn(f"tag_{a}", F.lit(1))
+    got = sorted((r.k, r.start, r.stop, r.from_, r.to_) for r in I.overlap_join(frame(left, "start", "stop"), frame(right, "from_", "to_"), ["k"], 4).collect())
+    whole = lambda rows: [r for r in rows if None not in r]
+    assert got == sorted((k, a, b, c, d) for k, a, b in whole(left) for j, c, d in whole(right) if j == k and c < b and d > a) and got
+    pages = spark.range(100_000).select(F.lit("doc").alias("k"), (F.col("id") * 100).alias("from_"), (F.col("id") * 100 + 100).alias("to_"))
+    spans = spark.range(50_000).select(F.lit("doc").alias("k"), (F.col("id") * 200 + 50).alias("start"), (F.col("id") * 200 + 250).alias("stop"))
+    assert I.overlap_join(spans, pages, ["k"]).count() == 3 * 50_000 - 1
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"SECTION L\nplain \xff text")
     (tmp_path / "b.md").write_bytes(b"  \n ")
