@@ -7,9 +7,11 @@ share one. Consecutive windows with one fingerprint place make a segment.
  1. Blocks of documents send the fingerprints of their segments, by ranges; those seen twice return.
  2. Blocks send the distinct segments with such fingerprints, by ranges of the fingerprint: equal windows
     meet in one shard. A block sends equal segments once, as the earliest of them.
- 3. A shard indexes its distinct segments (fm_index.py) and streams them through backward search. Where
-    matching statistics reach the width, the interval names the window, and the earliest place of
-    each interval is kept. Each block learns which windows of the segments that it sent start earlier.
+ 3. A shard indexes the earliest segment of each fingerprint (fm_index.py) and streams all others through
+    backward search: where matching statistics reach the width, the window starts earlier. What no reference holds is
+    indexed in turn, and the interval of a window names those that equal it, of which the earliest is kept. Each
+    block learns which windows of the segments that it sent start earlier. The fingerprints of step 1 only
+    spare the shards text that can't repeat: with all segments sent the result is the same.
  4. Blocks remove the words that those windows cover.
 
 Segments of a fingerprint that is frequent in many surroundings are sent a window each, by the hash of
@@ -184,7 +186,28 @@ def _send_segments(width: int, seed: int, ranges: int, shards: int):
     return run
 
 
-def earlier_windows(width: int):
+def _parts(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches of words on end."""
+    return words[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
+
+def _indexed(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> FMIndex:
+    """An index of stretches of words, which nothing matches across."""
+    texts = np.full(lengths.sum() + len(lengths), SEPARATOR, np.int32)
+    texts[np.arange(lengths.sum()) + np.repeat(np.arange(len(lengths)), lengths)] = _parts(words, starts, lengths)
+    return FMIndex(texts, 2 ** math.ceil(math.log2(width + 1)))
+
+
+def _fingerprints(hashes: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """The smallest hash of the shorter sequences in the first window of each segment, which is that of all its windows."""
+    seeds = C.grams(hashes, seed)
+    out = seeds[starts + seed - 1]
+    for k in range(seed, width):
+        out = np.minimum(out, seeds[starts + k])
+    return out
+
+
+def earlier_windows(width: int, seed: int = SEED):
     """A shard's work: which windows of the segments it got start earlier than they do there."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -209,24 +232,42 @@ def earlier_windows(width: int):
 
         n = lengths[first]
         own = np.repeat(starts[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        streamed = words[own]
-        del words, content, own
-        with_ends = np.full(len(streamed) + len(n), SEPARATOR, np.int32)
-        with_ends[np.arange(len(streamed)) + np.repeat(np.arange(len(n)), n)] = streamed
-        index = FMIndex(with_ends, 2 ** math.ceil(math.log2(width + 1)))
-        del with_ends
-        found, low = index.matching_statistics(streamed, n, width)
-
-        # Where matching statistics reach the width, the interval of the window names it.
+        words = words[own]  # of the distinct segments
+        del content, own
+        starts = np.cumsum(n) - n
         windows = n - width + 1
         segment = np.repeat(np.arange(len(n)), windows)
         offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = (np.cumsum(n) - n)[segment] + offset
-        reported = found[at] >= width
-        name = np.searchsorted(index.edges(width), low[at], "right") - 1
-        begins = np.full(len(index.edges(width)), np.iinfo(np.int64).max)
-        np.minimum.at(begins, name[reported], (earliest[segment] + offset)[reported])
-        begins = begins[name]
+        begins = earliest[segment] + offset  # where each window begins first, as far as it is known
+        # The earliest segment of each fingerprint is indexed, the others are streamed: equal windows have one fingerprint, so what matches begins earlier.
+        prints = _fingerprints(vocabulary.hashes()[words - FIRST], starts, width, seed)
+        order = np.lexsort((earliest, prints))
+        head = np.append(True, prints[order][1:] != prints[order][:-1]) if len(order) else np.zeros(0, bool)
+        references, others = np.sort(order[head]), np.sort(order[~head])
+        if len(others):
+            index = _indexed(words, starts[references], n[references], width)
+            found, _ = index.matching_statistics(_parts(words, starts[others], n[others]), n[others], width)
+            del index
+            streamed = np.isin(segment, others)
+            at = (np.cumsum(n[others]) - n[others])[np.searchsorted(others, segment[streamed])] + offset[streamed]
+            matched = found[at] >= width
+            begins[np.flatnonzero(streamed)[matched]] = -1
+            # Runs of windows that no reference holds: indexed together, and each one's interval names what equals it.
+            left = np.flatnonzero(streamed)[~matched]
+            if len(left):
+                new = np.append(True, (np.diff(left) > 1) | (np.diff(segment[left]) > 0))
+                run_at = np.flatnonzero(new)
+                size = np.diff(np.append(run_at, len(left)))
+                begin = (starts[segment] + offset)[left[run_at]]
+                index = _indexed(words, begin, size + width - 1, width)
+                found, low = index.matching_statistics(_parts(words, begin, size + width - 1), size + width - 1, width)
+                whole = size + width - 1
+                at = np.repeat(np.cumsum(whole) - whole - (np.cumsum(size) - size), size) + np.arange(len(left))
+                name = np.searchsorted(index.edges(width), low[at], "right") - 1
+                earlier_of = np.full(len(index.edges(width)), np.iinfo(np.int64).max)
+                np.minimum.at(earlier_of, name, begins[left])
+                begins[left] = earlier_of[name]
+                del index
 
         out, done = [], 0
         first_window = np.cumsum(windows) - windows
@@ -307,7 +348,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED, keep_t
     seen = scratch.keep(prints.groupBy("range_id").applyInArrow(_merge_prints(frequent), "block long, range_id int, seen binary"), "prints")
     segments = by_block(blocks).cogroup(by_block(seen)).applyInArrow(_send_segments(width, seed, ranges, shards), "shard int, block long, keys binary, lengths binary, words binary")
     segments = segments.repartition(4 * shards, "shard").groupBy("shard")
-    earlier = scratch.keep(segments.applyInArrow(earlier_windows(width), "block long, shard int, earlier binary"), "earlier")
+    earlier = scratch.keep(segments.applyInArrow(earlier_windows(width, seed), "block long, shard int, earlier binary"), "earlier")
     cells = seen.select("block", "range_id", "seen", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("earlier")).unionByName(earlier.select("block", F.lit(None).cast("int").alias("range_id"), F.lit(None).cast("binary").alias("seen"), "shard", "earlier"))
     result = scratch.keep(by_block(blocks).cogroup(by_block(cells)).applyInArrow(_remove(width, seed, ranges, shards, keep_text), RESULT_SCHEMA), "kept-words")
     scratch.drop_but(result)
