@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators.relational import owned
 
-#: Questions that are sent to every task at once.
-QUESTIONS = 10_000
+#: Questions that are sent to every task at once, and their bytes.
+QUESTIONS, QUESTION_BYTES = 10_000, 32 << 20
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -34,14 +34,22 @@ def _top(scored: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def in_slices(questions: DataFrame, size: int = QUESTIONS) -> Iterator[list[Row]]:
-    """The rows of a stated question set in slices of a bounded size, ordered by qid if there are several."""
-    rows = questions.limit(size + 1).collect()
-    if len(rows) <= size:
+def _bytes_of(value: object) -> int:
+    return len(value) if isinstance(value, (str, bytes)) else 8 if not isinstance(value, (list, tuple)) else 8 * len(value) if value and isinstance(value[0], float) else sum(map(_bytes_of, value))
+
+
+def in_slices(questions: DataFrame, size: int = QUESTIONS, most_bytes: int = QUESTION_BYTES) -> Iterator[list[Row]]:
+    """The rows of a stated question set in slices of a bounded number and size. The set is computed once, and passes by partition by partition."""
+    rows: list[Row] = []
+    held = 0
+    for r in questions.toLocalIterator():
+        rows.append(r)
+        held += sum(map(_bytes_of, r))
+        if len(rows) >= size or held >= most_bytes:
+            yield rows
+            rows, held = [], 0
+    if rows:
         yield rows
-        return
-    for lo in range(0, questions.count(), size):
-        yield questions.orderBy("qid").offset(lo).limit(size).collect()
 
 
 def _best_in_batch(questions: list[tuple[int, np.ndarray]], k: int):

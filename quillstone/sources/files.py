@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import chunking as K
+from quillstone.sources import pdf
 
 #: What can be uploaded, and the largest file.
 SUFFIXES = (".pdf", ".docx", ".txt", ".md", ".text")
@@ -36,10 +37,11 @@ def _docx(data: bytes) -> list[tuple[int, str]]:
 
 
 def _pdf(data: bytes) -> list[tuple[int, str]]:
+    """Pages by PyMuPDF where it is installed, else by the reader of plain files."""
     try:
         import fitz
-    except ImportError as e:
-        raise RuntimeError("reading PDF needs the optional package PyMuPDF") from e
+    except ImportError:
+        return pdf.pages_of(data)
     with fitz.open(stream=data, filetype="pdf") as doc:
         return [(n, page.get_text("text")) for n, page in enumerate(doc, 1)]
 

@@ -307,6 +307,35 @@ def test_stream_into_chunk_table(spark, tmp_path):
     assert sorted(r.text for r in table.whole().collect()) == ["t0", "t1", "t2"] and len(table.versions()) == 3
 
 
+def a_pdf(packed):
+    """Two pages and an empty one: plain and deflated, with a map of codes, inherited fonts, escapes, and objects in a stream."""
+    import zlib
+
+    cmap = b"1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0004> <00E9> endbfrange"
+    first = b"BT /F1 12 Tf 72 700 Td (SECTION \\(A\\)) Tj 0 -14 Td [(Hel) 20 (lo) -300 (wor\\154d.)] TJ T* (Next) ' ET"
+    second = zlib.compress(b"BT /F2 9 Tf 1 0 0 1 72 700 Tm <000100020003> Tj 1 0 0 1 72 650 Tm <0004> Tj ET")
+    small = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R 4 0 R 10 0 R] /Count 3 /Resources << /Font << /F1 7 0 R /F2 8 0 R >> >> >>"), (3, b"<< /Type /Page /Parent 2 0 R /Contents [5 0 R] >>"), (4, b"<< /Type /Page /Parent 2 0 R /Contents 6 0 R >>"), (7, b"<< /Type /Font /BaseFont /Helvetica >>"), (8, b"<< /Type /Font /ToUnicode 9 0 R >>"), (10, b"<< /Type /Page /Parent 2 0 R >>")]
+    streams = [(5, b"<< /Length %d >>" % len(first), first), (6, b"<< /Filter /FlateDecode /Length 11 0 R >>", second), (9, b"<< /Length %d >>" % len(cmap), cmap)]
+    if packed:
+        body = b" ".join(v for _, v in small)
+        at = [sum(len(v) + 1 for _, v in small[:k]) for k in range(len(small))]
+        head = b" ".join(b"%d %d" % (n, a) for (n, _), a in zip(small, at, strict=True)) + b" "
+        streams.append((12, b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode >>" % (len(small), len(head)), zlib.compress(head + body)))
+        small = []
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in small) + b"".join(b"%d 0 obj\n%s\nstream\n%s\nendstream\nendobj\n" % x for x in streams) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages(spark, tmp_path):
+    for packed in (False, True):
+        (tmp_path / f"{packed}.pdf").write_bytes(a_pdf(packed))
+    (tmp_path / "broken.pdf").write_bytes(b"%PDF-1.4 nothing in here")
+    (tmp_path / "locked.pdf").write_bytes(b"%PDF-1.4 trailer << /Encrypt 4 0 R >>")
+    got = {r.path.rpartition("/")[2]: r for r in files.read_documents(spark, str(tmp_path)).collect()}
+    for packed in ("False.pdf", "True.pdf"):
+        assert [(p.number, p.text) for p in got[packed].pages] == [(1, "SECTION (A)\nHello world.\nNext"), (2, "Héê\në")]
+    assert got["broken.pdf"].error == "no extractable text" and got["locked.pdf"].error == "the PDF file is encrypted"
+
+
 def test_overlap_join(spark):
     """Against all pairs, and on one key with 100,000 pages."""
     from quillstone.operators import intervals as I
