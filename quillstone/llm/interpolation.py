@@ -27,6 +27,8 @@ from . import common as C
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 #: Longer n-grams are named by the first 56 bits of their hash: a byte less to send of each.
 _LONGER = ~np.uint64(0xFF)
+#: Bytes of text in a block: a worker holds some twenty times as much while it counts.
+BLOCK_BYTES = 6 << 20
 #: Tokens whose weights are laid out at once.
 STRETCH = 1 << 17
 _END, _BEGIN = b"\n", b"\n\n"  # no word holds a line break
@@ -54,14 +56,19 @@ class _Block:
             self.lengths[k] = len(ids) + 1
             flat += (begin, ids, end)
         ids = np.concatenate(flat)
+        del texts, flat
         hashes = vocabulary.hashes()[ids]
         self.places = np.flatnonzero(ids != 1)
+        del vocabulary, ids
         #: For each order: its distinct hashes, and the index of each place's n-gram in them.
         self.distinct: list[np.ndarray] = []
         self.index: list[np.ndarray] = []
         for n in range(1, order + 1):
             own = C.grams(hashes, n)[self.places]
-            distinct, index = np.unique(own if n == 1 else own & _LONGER, return_inverse=True)
+            if n > 1:
+                own &= _LONGER
+            distinct, index = np.unique(own, return_inverse=True)
+            del own
             self.distinct.append(distinct)
             self.index.append(index.astype(np.uint32))
         #: Whether the token before belongs to the text: else the context is the text's begin.
@@ -215,6 +222,7 @@ def _score(order: int, ranges: int, n_tokens: int, n_words: int, n_docs: int, we
         tables = [_SCORES.empty_table()]
         for row in blocks.to_pylist():
             block = _Block(row, order)
+            del block.distinct
             counts = _returned(cells, order, ranges, "total")
             buckets, parts = block.parts(counts, n_tokens, n_words, n_docs)
             logs = np.concatenate([np.log10((weights.rows(buckets[k : k + STRETCH]) * parts[k : k + STRETCH]).sum(axis=1)) for k in range(0, len(buckets), STRETCH)])
@@ -231,7 +239,7 @@ def _score(order: int, ranges: int, n_tokens: int, n_words: int, n_docs: int, we
     return run
 
 
-def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = C.BLOCK_BYTES, range_entries: int = C.RANGE_ENTRIES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BYTES, range_entries: int = C.RANGE_ENTRIES) -> DataFrame:
     """Log10 probability of every document under a model of those whose id hash is not 1 in 5.
 
     Tokens are the words of the text with A-Z in lower case, then one end. A null or empty text is the
