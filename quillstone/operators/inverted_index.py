@@ -1,7 +1,7 @@
 """A stored inverted index for BM25 over a whole corpus: built once, extended by segments, read by terms.
 
 A segment is made in one pass: each task cuts its chunks into ranges of some hundred, and of each term in a range it makes
-one block: the chunks, how often each has the term, how long each is, and the bounds of the two. Blocks are dealt to buckets by their
+one block: the chunks, how often each has the term, how long each is, and the bounds of the two. A block without a term has all chunks of the range. Blocks are dealt to buckets by their
 term and sorted by it, so a query opens its terms' buckets alone; document frequencies are sums over
 blocks. Statistics of the corpus are kept with the version, so no query reads a chunk.
 
@@ -53,10 +53,10 @@ def _blocks(range_chunks: int):
                 for w in words:
                     own = postings[w]
                     own[at] = own.get(at, 0) + 1
-            ids, size = [i for i, _ in rows], lengths
+            ids = [i for i, _ in rows]
             columns = (
-                [(task << 24) + number] * len(postings), list(postings), [[ids[a] for a in own] for own in postings.values()], [list(own.values()) for own in postings.values()],
-                [[size[a] for a in own] for own in postings.values()], [len(own) for own in postings.values()], [max(own.values()) for own in postings.values()], [min(size[a] for a in own) for own in postings.values()],
+                [(task << 24) + number] * (len(postings) + 1), [None, *postings], [ids, *([ids[a] for a in own] for own in postings.values())], [[0] * len(ids), *(list(own.values()) for own in postings.values())],
+                [lengths, *([lengths[a] for a in own] for own in postings.values())], [len(ids), *map(len, postings.values())], [0, *(max(own.values()) for own in postings.values())], [0, *(min(lengths[a] for a in own) for own in postings.values())],
             )
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS, strict=True)], schema=_BLOCKS)
 
@@ -103,7 +103,7 @@ class InvertedIndex:
 
     def _means(self, segments: list[str], n: int, n_full: int) -> dict[str, float]:
         """The mean over all terms of their idf, from how many terms have each document frequency."""
-        blocks = self.blocks({"segments": segments})
+        blocks = self.blocks({"segments": segments}).where("term IS NOT NULL")
         df = blocks.groupBy("term").agg(F.sum("n").alias("df")).groupBy("df").agg(F.count("*").alias("terms"))
         of = lambda total: F.sum(F.col("terms") * (F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))) / F.sum("terms")
         found = df.agg(of(n).alias("n"), of(n_full).alias("n_full")).first()
@@ -113,8 +113,10 @@ class InvertedIndex:
         """A segment of chunks (chunk_id, text), which must not be in the index yet. A failed append leaves the index as it was."""
         rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").cast("string").alias("text"))
         segment = self._write(rows.mapInArrow(_blocks(self.range_chunks), BLOCK_SCHEMA))
-        size = R.lengths(rows).first()
-        n, n_full, length = size["n"], size["n_full"], round((size["mean_length"] or 0) * size["n"])
+        whole = self.blocks({"segments": [segment]}).where((F.col("bucket") == _bucket(F.lit(None).cast("string"), self.buckets)) & F.col("term").isNull())
+        lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+        size = whole.agg(F.sum("n").alias("n"), F.sum(F.size(F.filter("lengths", lambda x: x > 0))).alias("n_full"), F.sum(lengths).alias("length")).first()
+        n, n_full, length = (size[c] or 0 for c in ("n", "n_full", "length"))
         while True:
             state = self.state()
             new = {"version": state["version"] + 1, "segments": [*state["segments"], segment], "n": state["n"] + n, "n_full": state["n_full"] + n_full, "length": state["length"] + length}
@@ -134,7 +136,7 @@ class InvertedIndex:
         """term, df, idf, mean_length of all terms."""
         state = self.state()
         raw = F.log(F.lit(state[n]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        df = self.blocks(state).groupBy("term").agg(F.sum("n").alias("df"))
+        df = self.blocks(state).where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
         return df.select("term", "df", F.when(raw < 0, R.EPSILON * state[f"mean_{n}"]).otherwise(raw).alias("idf"), F.lit(state["length"] / max(1, state["n"])).alias("mean_length"))
 
     def top_k(self, questions: DataFrame, k: int) -> DataFrame:

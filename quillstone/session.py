@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
 
@@ -26,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/quillstone-{context.applicationId}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that Spark would read in fewer pieces than there are cores is dealt to all of them. Larger ones, which have more pieces, stay as they are.
+
+    For tables of texts: what is done to their rows outweighs moving so few of them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, checkpoint_dir: str | None = None, memory: str = "8g") -> SparkSession:
     """A local session: adaptive plans, UTC, no console noise. On a cluster these come from the submitter."""
     builder = (
