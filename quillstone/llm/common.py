@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import shared_dir
+from quillstone.session import shared_dir, spread
 
 #: Bytes of text in a block, about; a longer document is a block of its own size.
 BLOCK_BYTES = 8 << 20
@@ -36,7 +36,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def bounded_batches(spark: SparkSession) -> None:
