@@ -1,7 +1,8 @@
 """Documents to training tokens: quality rules, line dedup, near-dedup, decontamination, SentencePiece pieces.
 
 Each stage takes what its predecessor kept, written as Parquet and read again; all but the last return
-the columns of documents, whatever these are besides doc_id and text. Every stage takes an empty table.
+the columns of documents, whatever these are besides doc_id and text. Every stage takes an empty table, reads texts of any
+length whole, and judges repeated rows each for itself, alike where they are equal in id and text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from quillstone.llm import decontaminate, line_dedup, near_dedup, pieces, qualit
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the isolation forest reject go, null and empty texts among them; equal rows are judged alike."""
+    """Documents that the rules or the isolation forest reject go, null and empty texts among them. Labels without an id or a document, and repeated ones, are no cases of their own."""
     return quality.keep_good(docs, C.table(spark, sf_dir, "labels"))
 
 
@@ -28,12 +29,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold the question and the answer of a test item go; those without words, null ones too, stay."""
+    """Documents that hold the question and the answer of a test item go, however many items they hold; those without words, null ones too, stay. Items without id or text match nothing."""
     return decontaminate.without_leaks(docs, C.table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, none for a null or empty text, and whether decoding them gives its text."""
+    """The ids of each document, none for a null or empty text, and whether decoding them gives its text. Of segmentations with equal scores one is always taken."""
     return pieces.encode_documents(docs)
 
 
