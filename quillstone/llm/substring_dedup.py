@@ -241,9 +241,10 @@ def earlier_windows(width: int, seed: int = SEED):
         begins = earliest[segment] + offset  # where each window begins first, as far as it is known
         # The earliest segment of each fingerprint is indexed, the others are streamed: equal windows have one fingerprint, so what matches begins earlier.
         prints = _fingerprints(vocabulary.hashes()[words - FIRST], starts, width, seed)
-        order = np.lexsort((earliest, prints))
-        head = np.append(True, prints[order][1:] != prints[order][:-1]) if len(order) else np.zeros(0, bool)
-        references, others = np.sort(order[head]), np.sort(order[~head])
+        _, print_of, sharing = np.unique(prints, return_inverse=True, return_counts=True)
+        order = np.lexsort((earliest, print_of))
+        head = np.diff(print_of[order], prepend=-1) > 0
+        references, others = np.sort(order[head & (sharing[print_of[order]] > 1)]), np.sort(order[~head])
         if len(others):
             index = _indexed(words, starts[references], n[references], width)
             found, _ = index.matching_statistics(_parts(words, starts[others], n[others]), n[others], width)
@@ -252,8 +253,11 @@ def earlier_windows(width: int, seed: int = SEED):
             at = (np.cumsum(n[others]) - n[others])[np.searchsorted(others, segment[streamed])] + offset[streamed]
             matched = found[at] >= width
             begins[np.flatnonzero(streamed)[matched]] = -1
-            # Runs of windows that no reference holds: indexed together, and each one's interval names what equals it.
+            # Runs of windows that no reference holds, where another segment of the fingerprint has such windows too: indexed
+            # together, and each one's interval names what equals it.
             left = np.flatnonzero(streamed)[~matched]
+            with_some = np.bincount(print_of[np.unique(segment[left])], minlength=len(sharing))
+            left = left[with_some[print_of[segment[left]]] > 1]
             if len(left):
                 new = np.append(True, (np.diff(left) > 1) | (np.diff(segment[left]) > 0))
                 run_at = np.flatnonzero(new)
