@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import chunking as K
 from quillstone.operators import intervals as I
+from quillstone.plans.chunk_sql import CHUNKS
 from quillstone.plans.tables import table
 from quillstone.streaming import stateful as S
 
@@ -96,7 +97,7 @@ _PLACES = """pg AS (SELECT conv_id, turn, role, CAST(coalesce(sum(length(text) +
         sp AS (SELECT conv_id, unnest(range(0, CAST(max(s + n) AS BIGINT), 500)) AS span FROM pg GROUP BY conv_id)"""
 # Sentences without a look-behind: what ends one is marked, then cut.
 _SENTENCES = r"""list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\x0b]+([A-Z0-9"(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\S'))"""
-ORACLE_SQL = {
+ORACLE_SQL = CHUNKS | {
     "semantic_breaks": f"""WITH s AS (SELECT doc_id, unnest(range(len(p))) AS k, unnest(p) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS p FROM documents) WHERE len(p) > 1),
         v AS (SELECT doc_id, k, list_transform(range(26), lambda i: CAST(len(sentence) - len(replace(sentence, chr(CAST(97 + i AS INT)), '')) AS DOUBLE)) AS v FROM s),
         w AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM v),
