@@ -30,7 +30,7 @@ def letters() -> object:
 def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How like each sentence of every document is to the next one by a model, and whether a semantic group ends there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit(1).alias("number"), F.col("text").alias("text"))).alias("pages"))
-    return K.sentence_likeness(docs, ("letters", letters)).select("doc_id", "at", T.rounded(F.col("likeness"), 6).alias("likeness"), "ends")
+    return K.sentence_likeness(docs, ("letter-counts", letters)).select("doc_id", "at", T.rounded(F.col("likeness"), 6).alias("likeness"), "ends")
 
 
 def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
