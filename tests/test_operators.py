@@ -551,9 +551,9 @@ def test_models_are_asked_once(spark, lab, tmp_path):
 
         return Counter(open(log).read().split()) if (tmp_path / "calls").exists() else Counter()
 
-    known = Models({"stub": embedder}, {"lengths": scorer}, {"echo": generator}, entailment)
+    known = Models({"counted-vectors": embedder}, {"counted-pairs": scorer}, {"counted-answers": generator}, entailment)  # one name is one model in a worker
     docs, questions = lab
-    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense", final_k=3, rerank_pool=5, reranker_model="lengths", llm_model_id="echo", embed_model="stub", use_llm_judge=True, faithfulness_mode="nli", label="all")
+    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, retrieval_mode="dense", final_k=3, rerank_pool=5, reranker_model="counted-pairs", llm_model_id="counted-answers", embed_model="counted-vectors", use_llm_judge=True, faithfulness_mode="nli", label="all")
     rows = E.run_all([base], docs, questions, known, str(tmp_path / "store")).collect()
     first = counts()
     assert first["answer"] == 2 and first["score"] == 10 and first["judge"] == 3 and first["entail"] <= 6  # a section decides on the second question
