@@ -111,7 +111,7 @@ def test_tables_are_removed(spark, sf_dir, awkward):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     want = db.sql(queries.ORACLE_SQL[name])
