@@ -8,6 +8,7 @@ the text. Offsets count from 0, ends are exclusive.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -76,20 +77,33 @@ def likeness(spans: list[list[Span]], texts: list[str], embed: Callable[[list[st
     flat = [t[a:b] for own, t in zip(spans, texts, strict=True) if len(own) > 1 for a, b in own]
     found = [np.asarray(embed(flat[k : k + EMBEDDED]), np.float64) for k in range(0, len(flat), EMBEDDED)]
     vectors = np.concatenate(found) if found else np.zeros((0, 1))
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+    # One division comes last: of vectors of whole numbers all that is rounded before it is rounded alike everywhere.
+    size = np.sqrt((vectors * vectors).sum(1))
+    products, sizes = (vectors[:-1] * vectors[1:]).sum(1), size[:-1] * size[1:]
+    cosines = np.divide(products, sizes, out=np.zeros_like(sizes), where=sizes > 0)
     out, at = [], 0
     for own in spans:
         n = len(own) if len(own) > 1 else 0
-        part = vectors[at : at + n]
-        out.append((part[:-1] * part[1:]).sum(1) if n else np.zeros(0))
+        out.append(cosines[at : at + n - 1] if n else np.zeros(0))
         at += n
     return out
 
 
+def quantile(values: np.ndarray, share: float) -> float:
+    """The interpolated quantile, rounded as DuckDB's quantile_cont rounds it: numpy's differs by a last digit, which moves what lies at the edge."""
+    at = (len(values) - 1) * share
+    low = int(at)
+    ordered = np.sort(values)
+    if np.isnan(ordered[-1]):
+        return math.nan
+    if at == low:
+        return float(ordered[low])
+    return math.fma(float(ordered[low]), 1 - (at - low), float(ordered[low + 1]) * (at - low))
+
+
 def semantic_breaks(cosines: np.ndarray) -> list[int]:
     """The sentences after which a group ends: those whose likeness to the next one is below the quartile."""
-    return np.flatnonzero(cosines < np.quantile(cosines, QUANTILE)).tolist() if len(cosines) else []
+    return np.flatnonzero(cosines < quantile(cosines, QUANTILE)).tolist() if len(cosines) else []
 
 
 def _grouped(text: str, spans: list[Span], cosines: np.ndarray, target: int) -> list[Span]:

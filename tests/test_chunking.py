@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,17 @@ def test_sentences_of_a_batch_go_to_the_model_together():
     texts = ["One. Two. Three.", "", "Only one.", "A. " * 3000]
     found = K.likeness([K.sentence_spans(t) for t in texts], texts, embed)
     assert [len(x) for x in found] == [2, 0, 0, 2999] and asked == [3003] and K.EMBEDDED > 3003
+
+
+def test_breaks_are_those_of_the_sql_to_the_last_digit():
+    import duckdb
+
+    rng = np.random.default_rng(1)
+    groups = {g: np.round(rng.random(n), 1 + g % 17) for g, n in enumerate(np.repeat((2, 3, 4, 5, 6, 7, 52), 200))}
+    x = pd.DataFrame([(g, float(v)) for g, own in groups.items() for v in own], columns=["g", "x"])
+    want = dict(duckdb.sql("SELECT g, quantile_cont(x, 0.25) FROM x GROUP BY g").fetchall())
+    assert {g: K.quantile(own, 0.25) for g, own in groups.items()} == want
+    vectors = rng.integers(0, 9, (500, 26)).astype(float)
+    v = pd.DataFrame({"k": range(500), "v": vectors.tolist()})
+    sql = "SELECT list_inner_product(v, n) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(n, n))) FROM (SELECT k, v, lead(v) OVER (ORDER BY k) AS n FROM v) WHERE n IS NOT NULL ORDER BY k"
+    assert K.likeness([[(0, 1)] * 500], ["x"], lambda texts: vectors)[0].tolist() == [r[0] for r in duckdb.sql(sql).fetchall()]
