@@ -25,6 +25,8 @@ from quillstone.operators.relational import owned
 
 #: Questions that are sent to every task at once, and their bytes.
 QUESTIONS, QUESTION_BYTES = 10_000, 32 << 20
+#: Hits that a task holds for a slice of questions, scores that it makes at once, and chunks of a block, at most.
+KEPT, TILE, BLOCK = 1 << 20, 1 << 20, 4096
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -52,27 +54,51 @@ def in_slices(questions: DataFrame, size: int = QUESTIONS, most_bytes: int = QUE
         yield rows
 
 
-def _best_in_batch(questions: list[tuple[int, np.ndarray]], k: int):
-    ids = np.array([q for q, _ in questions], np.int64)
-    matrix = np.array([v for _, v in questions], np.float64)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to a block of chunks, so that what is done once a block is done seldom."""
+    held: list[pa.RecordBatch] = []
+    for data in batches:
+        held.append(data)
+        if sum(map(len, held)) >= BLOCK:
+            yield pa.Table.from_batches(held)
+            held = []
+    if any(map(len, held)):
+        yield pa.Table.from_batches(held)
+
+
+def _best_of_task(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """A task's best k chunks for each question. Scores are made in tiles, and only those that reach the k-th one found so far are looked at."""
     schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("dense_score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in batches:
-            chunk = data.column("chunk_id").to_numpy(zero_copy_only=False)
-            vectors = data.column("vector")
-            if not len(chunk):
-                continue
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunk), -1)
-            scores = flat @ matrix.T
-            keys = np.round(scores, 9)
-            for j in range(len(ids)):
-                order = np.lexsort([chunk, -keys[:, j]])[:k] if len(chunk) <= 4 * k else None
-                if order is None:
-                    least = np.partition(keys[:, j], len(chunk) - k)[len(chunk) - k]
-                    near = np.flatnonzero(keys[:, j] >= least)
-                    order = near[np.lexsort([chunk[near], -keys[near, j]])][:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), ids[j])), pa.array(chunk[order]), pa.array(scores[order, j])], schema=schema)
+        keys, found, scores = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k))
+        for data in _gathered(batches):
+            chunks = data.column("chunk_id").to_numpy()
+            vectors = data.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(chunks), -1)
+            for a in range(0, len(chunks), BLOCK):
+                block, chunk = vectors[a : a + BLOCK].astype(np.float64), chunks[a : a + BLOCK]
+                step = max(1, TILE // len(chunk))
+                for b in range(0, len(ids), step):
+                    tile = matrix[b : b + step] @ block.T
+                    floor = keys[b : b + step, -1]
+                    if len(chunk) > k and np.isneginf(floor).any():
+                        floor = np.maximum(floor, np.partition(tile, len(chunk) - k, axis=1)[:, len(chunk) - k])
+                    q, c = np.nonzero(tile >= (floor - 2e-9)[:, None])  # what rounding may lift is kept
+                    if not len(q):
+                        continue
+                    own = b + np.unique(q)
+                    held = np.isfinite(keys[own])
+                    who = np.concatenate((b + q, np.repeat(own, held.sum(1))))
+                    key, at, score = (np.concatenate(x) for x in ((np.round(tile[q, c], 9), keys[own][held]), (chunk[c], found[own][held]), (tile[q, c], scores[own][held])))
+                    order = np.lexsort([at, -key, who])
+                    who = who[order]
+                    nth = np.arange(len(who)) - np.searchsorted(who, who, "left")
+                    best, who, nth = order[nth < k], who[nth < k], nth[nth < k]
+                    keys[who, nth], found[who, nth], scores[who, nth] = key[best], at[best], score[best]
+        for b in range(0, len(ids), max(1, BLOCK // k)):
+            part = slice(b, b + max(1, BLOCK // k))
+            held = np.isfinite(keys[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], held.sum(1))), pa.array(found[part][held]), pa.array(scores[part][held])], schema=schema)
 
     return run
 
@@ -80,16 +106,14 @@ def _best_in_batch(questions: list[tuple[int, np.ndarray]], k: int):
 def dense_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """qid, chunk_id, dense_score, rank: the k chunks with the largest product for each question.
 
-    chunks: chunk_id, vector; questions: qid, vector, of one length without nulls. A block of chunks is multiplied with all questions at once.
+    chunks: chunk_id, vector; questions: qid, vector, of one length, finite and without nulls. A task holds the vectors of a slice of questions,
+    k hits of each and one tile of scores, however many chunks and questions there are.
     """
     parts = []
-    for own in in_slices(questions.select("qid", "vector")):
-        rows = [(r["qid"], np.array(r["vector"], np.float64)) for r in own]
-        if rows:
-            parts.append(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(_best_in_batch(rows, k), "qid long, chunk_id long, dense_score double"))
-    found = parts[0] if parts else chunks.sparkSession.createDataFrame([], "qid long, chunk_id long, dense_score double")
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    for own in in_slices(questions.select("qid", "vector"), max(1, min(QUESTIONS, KEPT // k))):
+        ids, matrix = np.array([r["qid"] for r in own], np.int64), np.array([r["vector"] for r in own], np.float64)
+        parts.append(chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").mapInArrow(_best_of_task(ids, matrix, k), "qid long, chunk_id long, dense_score double"))
+    found = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], "qid long, chunk_id long, dense_score double")
     return _top(found, "dense_score", k, "chunk_id")
 
 

@@ -6,6 +6,8 @@ import math
 import random
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,39 @@ def test_many_searches_as_one_plan(corpus):
         assert got.get(name, set()) == {tuple(r) for r in Q.search(chunks, questions, **settings).collect()}, name
 
 
+@pytest.mark.parametrize("k", [1, 7, 40])
+def test_dense_in_tiles(spark, monkeypatch, k):
+    """Blocks, tiles and slices of any size give the k best, ties to the smaller id, and no tile holds all scores."""
+    rng = np.random.default_rng(k)
+    x = rng.integers(-3, 4, (900, 6)) / 4.0
+    x[300:600] = x[:300]
+    for name, size in (("TILE", 500), ("BLOCK", 60), ("KEPT", 30 * k)):
+        monkeypatch.setattr(Q, name, size)
+    ids = rng.permutation(900)
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(ids[a : a + 37]), pa.array(x[a : a + 37].tolist())], ["chunk_id", "vector"]) for a in range(0, 900, 37)])
+    got = pa.Table.from_batches(Q._best_of_task(ids[:90], x[:90], k)(batches())).to_pylist()
+    assert len(got) == 90 * k
+    for j in range(90):
+        want = sorted(zip(-np.round(x @ x[j], 9), ids.tolist(), strict=True))[:k]
+        assert sorted((-round(r["dense_score"], 9), r["chunk_id"]) for r in got if r["qid"] == ids[j]) == want
+    chunks = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "chunk_id long, vector array<double>").repartition(3)
+    found = Q.dense_top_k(chunks, chunks.where("chunk_id < 70").withColumnRenamed("chunk_id", "qid"), k)
+    assert found.count() == 70 * k and found.selectExpr("sum(chunk_id)").first()[0] == sum(i for j in np.flatnonzero(ids < 70) for _, i in sorted(zip(-np.round(x @ x[j], 9), ids.tolist(), strict=True))[:k])
+
+
+def test_dense_scores_are_bounded():
+    """A batch of 10,000 chunks for 5,000 questions makes 400 MB of scores if they are made at once."""
+    import tracemalloc
+
+    x = np.random.default_rng(0).random((10_000, 4))
+    data = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(x.tolist())], ["chunk_id", "vector"])
+    tracemalloc.start()
+    n = sum(len(b) for b in Q._best_of_task(np.arange(5000), x[:5000], 5)(iter([data])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 25_000 and most < 100 << 20
+
+
 def test_noise(corpus):
     _, _, chunks, questions = corpus
     hits = Q.search(chunks, questions, "dense")
