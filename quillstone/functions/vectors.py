@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Buckets of the hashed embedding, and words whose bucket a worker remembers.
-BUCKETS, REMEMBERED = 64, 1_000_000
+BUCKETS, REMEMBERED = 64, 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,16 +33,16 @@ def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     buckets: dict[bytes, int] = {}
     for texts in batches:
         out = []
-        for text in texts.fillna(""):
-            words = text.encode().split()
+        for text in texts:
+            words = text.encode().split() if text else []
+            if len(buckets) > REMEMBERED:
+                buckets.clear()
             for w in words:
                 if w not in buckets:
                     buckets[w] = hashlib.md5(w).digest()[-1] % BUCKETS
             counts = np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=BUCKETS).astype(np.float64)
             size = np.sqrt(counts @ counts)
             out.append(counts / size if size else counts)
-        if len(buckets) > REMEMBERED:
-            buckets.clear()
         yield pd.Series(out)
 
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.session import shared_dir, spread
+from quillstone.session import bounded_batches, shared_dir, spread  # noqa: F401
 
 #: Bytes of text in a block, about; a longer document is a block of its own size.
 BLOCK_BYTES = 8 << 20
@@ -40,13 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(found) if name in ("documents", "pages") else found
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of a bounded size: a batch of long documents must fit in a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 500:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark keeps it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

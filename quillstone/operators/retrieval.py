@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from quillstone.operators.relational import owned
 QUESTIONS, QUESTION_BYTES = 10_000, 32 << 20
 #: Hits that a task holds for a slice of questions, scores that it makes at once, and chunks of a block, at most.
 KEPT, TILE, BLOCK = 1 << 20, 1 << 20, 4096
+#: Bytes of text that are cut into terms at once, about.
+PIECE_BYTES = 1 << 20
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -124,9 +127,20 @@ def _idf(n: Column, df: Column) -> Column:
 _TERM = re.compile(T.TERM)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut where their texts reach a bound: what Python makes of a batch is many times its size. A longer text is a piece of its own."""
+    for data in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(data.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_BYTES, "right")))
+            yield data.slice(start, stop - start)
+            start = stop
+
+
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("chunk_id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("length", pa.int32())])
-    for data in batches:
+    for data in pieces(batches):
         own = [Counter(_TERM.findall(t.lower())) if t else Counter() for t in data.column("text").to_pylist()]
         sizes, lengths = np.array([len(c) for c in own], np.int64), np.array([c.total() for c in own], np.int32)
         terms, counts = pa.array(list(chain.from_iterable(own)), pa.string()), pa.array(list(chain.from_iterable(c.values() for c in own)), pa.int64())
@@ -173,7 +187,7 @@ def _best_sparse(questions: list[Row], k: int):
     schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("bm25_score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in batches:
+        for data in pieces(batches):
             found = []
             for chunk_id, text in zip(data.column("chunk_id").to_pylist(), data.column("text").to_pylist(), strict=True):
                 own = Counter(_TERM.findall(text.lower())) if text else Counter()

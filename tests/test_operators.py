@@ -173,6 +173,15 @@ def test_dense_scores_are_bounded():
     assert n == 25_000 and most < 100 << 20
 
 
+def test_terms_are_counted_in_pieces():
+    texts = ["a b " * 200_000, None, "", *["c d c " * 1000] * 600]
+    data = pa.RecordBatch.from_arrays([pa.array(range(603)), pa.array(texts)], ["chunk_id", "text"])
+    cut = list(Q.pieces(iter([data])))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([data])) and len(cut) > 4 and max(map(len, cut)) < 200
+    found = list(Q._posted(iter([data])))
+    assert len(found) == len(cut) and [tuple(r.values()) for r in pa.Table.from_batches(found).slice(0, 4).to_pylist()] == [(0, "a", 200_000, 400_000), (0, "b", 200_000, 400_000), (3, "c", 2000, 3000), (3, "d", 1000, 3000)]
+
+
 def test_noise(corpus):
     _, _, chunks, questions = corpus
     hits = Q.search(chunks, questions, "dense")
