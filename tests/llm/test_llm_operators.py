@@ -233,6 +233,21 @@ def test_quality_verdict_is_that_of_plain_trees(spark):
     assert sum(n for (i, failed, _, kept), n in got.items() if not failed and not kept) > 20
 
 
+def test_all_labels_are_used(spark):
+    """Thresholds and ranks of tables are those of lists, and a label beyond the first 20,000 by hash counts, too."""
+    rng = np.random.default_rng(5)
+    for k in range(3):
+        scores, good = np.round(rng.random(400), 2 + 6 * (k % 2)), rng.random(400) < 0.7
+        rows = spark.createDataFrame(list(zip(good.tolist(), scores.tolist(), strict=True)), "good boolean, score double")
+        assert quality.threshold_of(rows, 0.1, 8, 5) == quality.threshold(scores, good, 0.1)
+        assert [quality.nth_largest(rows, n, 4, 3) for n in (0, 17, 399)] == [np.sort(scores)[::-1][n] for n in (0, 17, 399)]
+    n = 24_000
+    own = spark.range(n).selectExpr("id AS doc_id", "repeat(concat('word', id % 97, ' '), 1) || array_join(transform(sequence(1, 60), x -> concat('w', (id * x) % 1009)), ' ') AS text")
+    first = spark.range(n).selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").limit(20_000).selectExpr("id AS doc_id", "1 AS first")
+    labels = spark.range(n).selectExpr("id AS doc_id").join(first, "doc_id", "left").selectExpr("doc_id", "coalesce(first, 0) AS quality", "0 AS toxic")
+    assert quality.fit(own, labels).forest is not None  # all documents labelled bad lie beyond the first 20,000
+
+
 def test_threshold_is_calibrated():
     rng = np.random.default_rng(4)
     for _ in range(50):
