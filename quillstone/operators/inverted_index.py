@@ -30,6 +30,8 @@ from quillstone.sources.versions import Versions
 
 #: Chunks of a range, buckets of terms, and ranges that one task scores, about.
 RANGE_CHUNKS, BUCKETS, TASK_RANGES = 256, 32, 16
+#: Tasks that write an index, for each piece that its chunks are read in, at least.
+TASKS_A_PART = 4
 
 _TERM = re.compile(T.TERM)
 _BLOCKS = pa.schema([("range", pa.int64()), ("term", pa.string()), ("chunk_ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("n", pa.int32()), ("max_tf", pa.int32()), ("min_length", pa.int32())])
@@ -95,9 +97,12 @@ class InvertedIndex:
         parts = [self.spark.read.schema(schema).option("basePath", f"{self.path}/blocks/{s}").parquet(f"{self.path}/blocks/{s}").withColumn("segment", F.lit(s)) for s in segments]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, segment string")
 
-    def _write(self, blocks: DataFrame) -> str:
+    def _write(self, blocks: DataFrame, parts: int) -> str:
+        """A new segment. parts: the pieces that the blocks come from; a bucket is cut by ranges into more files as they grow, so no task or frequent term has more than so many pieces' share."""
         segment = uuid.uuid4().hex
-        placed = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term")
+        cuts = max(1, -(-TASKS_A_PART * parts // self.buckets))
+        cut = F.pmod(F.xxhash64("range"), F.lit(cuts))
+        placed = blocks.withColumn("bucket", _bucket(F.col("term"), self.buckets)).repartition(self.buckets * cuts, "bucket", cut).sortWithinPartitions("bucket", "term")
         placed.write.option("parquet.block.size", str(8 << 20)).partitionBy("bucket").parquet(f"{self.path}/blocks/{segment}")
         return segment
 
@@ -112,7 +117,7 @@ class InvertedIndex:
     def append(self, chunks: DataFrame) -> None:
         """A segment of chunks (chunk_id, text), which must not be in the index yet. A failed append leaves the index as it was."""
         rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("text").cast("string").alias("text"))
-        segment = self._write(rows.mapInArrow(_blocks(self.range_chunks), BLOCK_SCHEMA))
+        segment = self._write(rows.mapInArrow(_blocks(self.range_chunks), BLOCK_SCHEMA), rows.rdd.getNumPartitions())
         whole = self.blocks({"segments": [segment]}).where((F.col("bucket") == _bucket(F.lit(None).cast("string"), self.buckets)) & F.col("term").isNull())
         lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
         size = whole.agg(F.sum("n").alias("n"), F.sum(F.size(F.filter("lengths", lambda x: x > 0))).alias("n_full"), F.sum(lengths).alias("length")).first()
@@ -128,7 +133,7 @@ class InvertedIndex:
         state = self.state()
         if len(state["segments"]) > 1:
             blocks = self.blocks(state).withColumn("range", F.xxhash64("segment", "range")).drop("segment", "bucket")
-            segment = self._write(blocks)
+            segment = self._write(blocks, blocks.rdd.getNumPartitions())
             if not self._versions.commit(state["version"] + 1, state | {"version": state["version"] + 1, "segments": [segment]}):
                 self.merge()
 

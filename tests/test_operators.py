@@ -129,6 +129,16 @@ def test_stored_index(spark, tmp_path, k):
     assert found() == want and len(index.state()["segments"]) == 1
 
 
+def test_buckets_are_cut_as_chunks_grow(spark, tmp_path):
+    """A term that all chunks have lies in several files, so that the task of its bucket doesn't grow with the table."""
+    from quillstone.operators.inverted_index import InvertedIndex
+
+    index = InvertedIndex(spark, str(tmp_path / "index"), 4, 10)
+    index.append(spark.range(0, 1000, 1, 8).selectExpr("id AS chunk_id", "concat('all w', id % 7) AS text"))
+    files = index.blocks().where("term = 'all'").select(F.input_file_name()).distinct().count()
+    assert files > 4 and index.statistics().where("term = 'all'").first().df == 1000
+
+
 def test_many_searches_as_one_plan(corpus):
     """Each run of search_all is what search gives by itself."""
     chunks, questions = corpus[2:]
