@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators.relational import owned
+from quillstone.sources.store import Store
 
 #: Questions that are sent to every task at once, and their bytes.
 QUESTIONS, QUESTION_BYTES = 10_000, 32 << 20
@@ -69,12 +70,46 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+class _Best:
+    """The best k chunks of each question that a task has found so far."""
+
+    schema = {name: pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), (name, pa.float64())]) for name in ("dense_score", "bm25_score")}
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.keys, self.found, self.scores = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k))
+
+    def add(self, b: int, tile: np.ndarray, chunk: np.ndarray, above: float = -np.inf) -> None:
+        """Scores of the questions from b on and of some chunks. Only those above a bound that reach the k-th one found so far are looked at."""
+        keys, found, scores, k = self.keys, self.found, self.scores, self.k
+        floor = keys[b : b + len(tile), -1]
+        if len(chunk) > k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(tile, len(chunk) - k, axis=1)[:, len(chunk) - k])
+        q, c = np.nonzero((tile > above) & (tile >= (floor - 2e-9)[:, None]))  # what rounding may lift is kept
+        if not len(q):
+            return
+        own = b + np.unique(q)
+        held = np.isfinite(keys[own])
+        who = np.concatenate((b + q, np.repeat(own, held.sum(1))))
+        key, at, score = (np.concatenate(x) for x in ((np.round(tile[q, c], 9), keys[own][held]), (chunk[c], found[own][held]), (tile[q, c], scores[own][held])))
+        order = np.lexsort([at, -key, who])
+        who = who[order]
+        nth = np.arange(len(who)) - np.searchsorted(who, who, "left")
+        best, who, nth = order[nth < k], who[nth < k], nth[nth < k]
+        keys[who, nth], found[who, nth], scores[who, nth] = key[best], at[best], score[best]
+
+    def rows(self, name: str) -> Iterator[pa.RecordBatch]:
+        for b in range(0, len(self.ids), max(1, BLOCK // self.k)):
+            part = slice(b, b + max(1, BLOCK // self.k))
+            held = np.isfinite(self.keys[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids[part], held.sum(1))), pa.array(self.found[part][held]), pa.array(self.scores[part][held])], schema=self.schema[name])
+
+
 def _best_of_task(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """A task's best k chunks for each question. Scores are made in tiles, and only those that reach the k-th one found so far are looked at."""
-    schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("dense_score", pa.float64())])
+    """A task's best k chunks for each question. Scores are made in tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, found, scores = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k))
+        best = _Best(ids, k)
         for data in _gathered(batches):
             chunks = data.column("chunk_id").to_numpy()
             vectors = data.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(chunks), -1)
@@ -82,26 +117,8 @@ def _best_of_task(ids: np.ndarray, matrix: np.ndarray, k: int):
                 block, chunk = vectors[a : a + BLOCK].astype(np.float64), chunks[a : a + BLOCK]
                 step = max(1, TILE // len(chunk))
                 for b in range(0, len(ids), step):
-                    tile = matrix[b : b + step] @ block.T
-                    floor = keys[b : b + step, -1]
-                    if len(chunk) > k and np.isneginf(floor).any():
-                        floor = np.maximum(floor, np.partition(tile, len(chunk) - k, axis=1)[:, len(chunk) - k])
-                    q, c = np.nonzero(tile >= (floor - 2e-9)[:, None])  # what rounding may lift is kept
-                    if not len(q):
-                        continue
-                    own = b + np.unique(q)
-                    held = np.isfinite(keys[own])
-                    who = np.concatenate((b + q, np.repeat(own, held.sum(1))))
-                    key, at, score = (np.concatenate(x) for x in ((np.round(tile[q, c], 9), keys[own][held]), (chunk[c], found[own][held]), (tile[q, c], scores[own][held])))
-                    order = np.lexsort([at, -key, who])
-                    who = who[order]
-                    nth = np.arange(len(who)) - np.searchsorted(who, who, "left")
-                    best, who, nth = order[nth < k], who[nth < k], nth[nth < k]
-                    keys[who, nth], found[who, nth], scores[who, nth] = key[best], at[best], score[best]
-        for b in range(0, len(ids), max(1, BLOCK // k)):
-            part = slice(b, b + max(1, BLOCK // k))
-            held = np.isfinite(keys[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], held.sum(1))), pa.array(found[part][held]), pa.array(scores[part][held])], schema=schema)
+                    best.add(b, matrix[b : b + step] @ block.T, chunk)
+        yield from best.rows("dense_score")
 
     return run
 
@@ -125,6 +142,13 @@ def _idf(n: Column, df: Column) -> Column:
 
 
 _TERM = re.compile(T.TERM)
+#: What has a letter of a term in lower case without being one.
+_FOREIGN = re.compile("[\u0130\u212a]")
+
+
+def terms_of(text: str | None) -> list[str]:
+    """The terms of a text as T.terms has them: first cut, then in lower case."""
+    return _TERM.findall((_FOREIGN.sub("\n", text) if _FOREIGN.search(text) else text).lower()) if text else []
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -170,40 +194,67 @@ def term_statistics(chunks: DataFrame, n: str = "n_full") -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "mean_length")  # one row
 
 
+def _piece_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each piece, how many chunks hold each term; in a row without a term how many chunks and terms there are."""
+    schema = pa.schema([("term", pa.string()), ("df", pa.int64()), ("length", pa.int64())])
+    for data in pieces(batches):
+        df: Counter[str] = Counter()
+        length = 0
+        for text in data.column("text").to_pylist():
+            own = terms_of(text)
+            length += len(own)
+            df.update(set(own))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.string()), pa.array([len(data), *df.values()], pa.int64()), pa.array([length] + [0] * len(df), pa.int64())], schema=schema)
+
+
+def _frequencies(chunks: DataFrame, terms: set[str]) -> tuple[int, int, dict[str, int], list[tuple[int, int]]]:
+    """Chunks (chunk_id, text) and their terms, the document frequencies of some terms, a stated set, and how many terms have each frequency: no longer than the root of all."""
+    wanted = F.broadcast(chunks.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term string").withColumn("asked", F.col("term")))  # the terms of one slice of questions
+    df = chunks.select("text").mapInArrow(_piece_frequencies, "term string, df long, length long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+    found = df.join(wanted, "term", "left").groupBy(F.col("term").isNull().alias("whole"), "asked", "df", "length").agg(F.count("*").alias("terms")).collect()
+    n, length = next(((r["df"], r["length"]) for r in found if r["whole"]), (0, 0))
+    return n, length, {r["asked"]: r["df"] for r in found if r["asked"] is not None}, [(r["df"], r["terms"]) for r in found if not r["whole"]]
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """qid, term, times: a repeated term counts as often."""
     return questions.select("qid", F.explode(T.terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def _best_sparse(questions: list[Row], k: int):
-    """The best k chunks of a batch for each question, by the weights of the terms that questions have."""
+def _best_sparse(questions: list[Row], idf: dict[str, float], mean: float, k: int):
+    """A task's best k chunks for each question, by the weights of the terms that questions have. Scores are made in tiles."""
     ids = np.array([q["qid"] for q in questions], np.int64)
-    mean = questions[0]["mean_length"]
     asking: dict[str, list[tuple[int, float]]] = {}
     for at, q in enumerate(questions):
         for t in q["terms"]:
-            asking.setdefault(t["term"], []).append((at, t["weight"]))
-    weights = {t: (np.array([a for a, _ in x], np.int64), np.array([w for _, w in x])) for t, x in asking.items()}
-    schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("bm25_score", pa.float64())])
+            if t["term"] in idf:
+                asking.setdefault(t["term"], []).append((at, t["times"] * idf[t["term"]]))
+    place = {t: i for i, t in enumerate(asking)}
+    asked = np.array([a for x in asking.values() for a, _ in x], np.int64)
+    weight = np.array([w for x in asking.values() for _, w in x])
+    sizes = np.array([len(x) for x in asking.values()], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    step = max(1, TILE // len(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(ids, k)
         for data in pieces(batches):
-            found = []
-            for chunk_id, text in zip(data.column("chunk_id").to_pylist(), data.column("text").to_pylist(), strict=True):
-                own = Counter(_TERM.findall(text.lower())) if text else Counter()
-                size = K1 * (1 - B + B * own.total() / mean)
-                hits = [(*weights[t], tf * (K1 + 1) / (tf + size)) for t, tf in own.items() if t in weights]
-                if hits:
-                    sums = np.bincount(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] * h[2] for h in hits]), len(ids))
-                    above = np.flatnonzero(sums > 0)
-                    found.append((above, np.full(len(above), chunk_id), sums[above]))
-            if found:
-                q, chunk, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort([chunk, -np.round(score, 9), q])
-                q = q[order]
-                nth = np.arange(len(q)) - np.searchsorted(q, q, "left")
-                best = order[nth < k]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[nth < k]]), pa.array(chunk[best]), pa.array(score[best])], schema=schema)
+            chunks = data.column("chunk_id").to_numpy()
+            hits, totals = [], []
+            for at, text in enumerate(data.column("text").to_pylist()):
+                own = Counter(terms_of(text))
+                totals.append(own.total())
+                hits += [(at, place[t], tf) for t, tf in own.items() if t in place]
+            chunk, term, tf = np.array(hits, np.int64).reshape(-1, 3).T
+            impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.array(totals)[chunk] / mean))
+            for a in range(0, len(chunks), step):
+                own = slice(*np.searchsorted(chunk, (a, a + step)))
+                n = sizes[term[own]]
+                each = np.repeat(starts[term[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                width = len(chunks[a : a + step])
+                sums = np.bincount(asked[each] * width + np.repeat(chunk[own] - a, n), weight[each] * np.repeat(impact[own], n), len(ids) * width)
+                best.add(0, sums.reshape(len(ids), width), chunks[a : a + step], 0.0)
+        yield from best.rows("bm25_score")
 
     return run
 
@@ -211,25 +262,31 @@ def _best_sparse(questions: list[Row], k: int):
 def sparse_top_k(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """qid, chunk_id, bm25_score, rank over the whole corpus; scores that aren't above 0 are left out.
 
-    The weights of the questions' terms, a stated set, are sent to the chunks in slices of a bounded size; a chunk is scored
-    where it lies for all questions at once, and each task keeps its best k. No posting is exchanged.
+    The questions' terms, a stated set, are sent to the chunks in slices of a bounded size: after a pass for their statistics, a chunk is
+    scored where it lies for all questions at once, and each task keeps its best k. No posting is exchanged, only the frequencies of pieces.
     """
-    weighed = question_terms(questions).join(term_statistics(chunks, "n"), "term")
-    asked = weighed.groupBy("qid").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight"))).alias("terms"), F.first("mean_length").alias("mean_length"))
+    asked = question_terms(questions).groupBy("qid").agg(F.collect_list(F.struct("term", "times")).alias("terms"))
     rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
-    parts = [rows.mapInArrow(_best_sparse(own, k), "qid long, chunk_id long, bm25_score double") for own in in_slices(asked) if own]
+    parts = []
+    for own in in_slices(asked, max(1, min(QUESTIONS, KEPT // k))):
+        n, length, df, histogram = _frequencies(rows, {t["term"] for q in own for t in q["terms"]})
+        raw = lambda x: math.log(n - x + 0.5) - math.log(x + 0.5)  # noqa: B023, E731
+        floor = EPSILON * math.fsum(raw(x) * terms for x, terms in histogram) / max(1, sum(terms for _, terms in histogram))
+        idf = {t: raw(x) if raw(x) >= 0 else floor for t, x in df.items()}
+        if idf:
+            parts.append(rows.mapInArrow(_best_sparse(own, idf, length / n, k), "qid long, chunk_id long, bm25_score double"))
     found = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], "qid long, chunk_id long, bm25_score double")
     return _top(found, "bm25_score", k, "chunk_id")
 
 
 def _candidate_scores(group: pa.Table) -> pa.Table:
     """One question's candidates with their BM25 scores; null where no term of the question is held."""
-    own = [Counter(_TERM.findall(t.lower())) if t else Counter() for t in group.column("text").to_pylist()]
+    own = [Counter(terms_of(t)) for t in group.column("text").to_pylist()]
     df = Counter(chain.from_iterable(own))
     idf = {t: math.log(len(own) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
     floor = EPSILON * sum(idf.values()) / max(1, len(idf))
     mean = sum(c.total() for c in own) / len(own)
-    asked = Counter(_TERM.findall((group.column("question")[0].as_py() or "").lower()))
+    asked = Counter(terms_of(group.column("question")[0].as_py()))
     scores = []
     for c in own:
         held = [(n, idf[t] if idf[t] >= 0 else floor, c[t]) for t, n in asked.items() if t in c]
@@ -259,21 +316,33 @@ def _annotated(ranked: DataFrame, label: Column, *keys: str) -> DataFrame:
     )
 
 
-def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid_rrf", dense_k: int = 25, sparse_k: int = 25, final_k: int = 8, rrf_k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0, mmr_lambda: float = 0.5, index=None) -> DataFrame:
+def _candidates(chunks: DataFrame, questions: DataFrame, k: int, columns: Sequence[str], vector: Column | None) -> tuple[DataFrame, DataFrame]:
+    """dense_top_k, and chunk_id and some columns of the chunks that are anyone's candidates, each written once.
+
+    Both are bounded by the questions: the corpus is passed over once for either, and by its size the list of candidates is
+    broadcast to the texts, which don't move. vector: what makes the vectors, if chunks have none; it is made anew for candidates only.
+    """
+    store = Store(questions.sparkSession)
+    embed = lambda rows: rows if vector is None else rows.withColumn("vector", vector)
+    found = store.once(dense_top_k(embed(chunks), questions, k), "candidates")
+    return found, store.once(embed(chunks.join(found.select("chunk_id"), "chunk_id", "left_semi")).select("chunk_id", *columns), "candidate-chunks") if columns else chunks
+
+
+def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid_rrf", dense_k: int = 25, sparse_k: int = 25, final_k: int = 8, rrf_k: int = 60, dense_weight: float = 1.0, sparse_weight: float = 1.0, mmr_lambda: float = 0.5, index=None, vector: Column | None = None) -> DataFrame:
     """Ranked hits of every question: qid, chunk_id, rank, scores, matched_by, injected_noise. `retrieve` does it for one owner.
 
-    chunks: chunk_id, text, vector; questions: qid, question, vector. An unknown mode is hybrid_rrf.
+    chunks: chunk_id, text, vector (or a column that makes it of them); questions: qid, question, vector. An unknown mode is hybrid_rrf.
     index: the chunks' stored index (inverted_index); the sparse mode then reads no chunk.
     """
     if mode == "dense":
-        return _annotated(dense_top_k(chunks, questions, final_k).withColumns({"fused": F.col("dense_score"), "bm25_score": F.lit(0.0)}), F.lit("semantic"))
+        return _annotated(dense_top_k(chunks if vector is None else chunks.withColumn("vector", vector), questions, final_k).withColumns({"fused": F.col("dense_score"), "bm25_score": F.lit(0.0)}), F.lit("semantic"))
     if mode == "sparse":
         found = index.top_k(questions, final_k) if index is not None else sparse_top_k(chunks, questions, final_k)
         return _annotated(found.withColumns({"fused": F.col("bm25_score"), "dense_score": F.lit(0.0)}), F.lit("keyword"))
-    candidates = dense_top_k(chunks, questions, dense_k)
+    candidates, held = _candidates(chunks, questions, dense_k, ["vector" if mode == "mmr" else "text"], vector)
     if mode == "mmr":
-        return mmr(candidates, chunks, final_k, mmr_lambda)
-    both = bm25_over_candidates(candidates, chunks, questions, sparse_k)
+        return mmr(candidates, held, final_k, mmr_lambda)
+    both = bm25_over_candidates(candidates, held, questions, sparse_k)
     if mode == "hybrid_weighted":
         own = Window.partitionBy("qid")
 
@@ -294,10 +363,10 @@ SETTINGS = {"mode": "hybrid_rrf", "dense_k": 25, "sparse_k": 25, "final_k": 8, "
 _RUN = "run_id string, mode string, dense_k int, sparse_k int, final_k int, rrf_k int, dense_weight double, sparse_weight double, mmr_lambda double"
 
 
-def search_all(chunks: DataFrame, questions: DataFrame, runs: dict[str, dict], index=None) -> DataFrame:
+def search_all(chunks: DataFrame, questions: DataFrame, runs: dict[str, dict], index=None, vector: Column | None = None) -> DataFrame:
     """search() of many runs (SETTINGS by run_id, a short list) as one plan: the same columns with run_id in front.
 
-    Runs are rows that candidates are joined with. Chunks are ranked once for the largest k; candidates are scored once for each
+    Runs are rows that candidates are joined with. Chunks are ranked once for the largest k, and written; candidates are scored once for each
     dense_k; weights, constants and k are columns of what follows.
     """
     spark = questions.sparkSession
@@ -308,15 +377,18 @@ def search_all(chunks: DataFrame, questions: DataFrame, runs: dict[str, dict], i
     limit = lambda r: r[at["final_k"] if r[at["mode"]] == "dense" else at["dense_k"]]
     parts = []
     ranked = [*fused, *of("mmr")]
-    candidates = dense_top_k(chunks, questions, max(map(limit, ranked))) if ranked else None
+    scored = any(r[at["mode"]] != "dense" for r in fused)
+    if ranked:
+        candidates, held = _candidates(chunks, questions, max(map(limit, ranked)), [*(["text"] if scored else []), *(["vector"] if of("mmr") else [])], vector)
     if fused:
         sizes = F.broadcast(spark.createDataFrame(sorted({(limit(r),) for r in fused}), "size int"))  # a short list
-        own = candidates.join(sizes, F.col("rank") <= F.col("size")).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
-        own = own.select(F.col("qid").cast("long").alias("qid"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), "dense_score", "size", "text", "question")
-        if any(r[at["mode"]] != "dense" for r in fused):
+        own = candidates.join(sizes, F.col("rank") <= F.col("size"))
+        kept = [F.col("qid").cast("long").alias("qid"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("rank").cast("int").alias("rank"), "dense_score", "size"]
+        if scored:
+            own = own.join(held.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid").select(*kept, "text", "question")
             own = own.groupBy("qid", "size").applyInArrow(_candidate_scores, "qid long, chunk_id long, rank int, dense_score double, size int, bm25_score double")
         else:
-            own = own.drop("text", "question").withColumn("bm25_score", F.lit(None).cast("double"))
+            own = own.select(*kept, F.lit(None).cast("double").alias("bm25_score"))
         order = Window.partitionBy("qid", "size").orderBy(F.desc(F.round(F.coalesce("bm25_score", F.lit(0.0)), 9)), "rank")
         own = own.withColumn("sparse_rank", F.row_number().over(order))
         settings = F.broadcast(spark.createDataFrame([(*r, limit(r)) for r in fused], f"{_RUN}, size int"))  # a short list
@@ -339,7 +411,7 @@ def search_all(chunks: DataFrame, questions: DataFrame, runs: dict[str, dict], i
         parts.append(_annotated(own, label, "run_id"))
     for settings in sorted({(limit(r), r[at["final_k"]], r[at["mmr_lambda"]]) for r in of("mmr")}):
         names = spark.createDataFrame([(r[0],) for r in of("mmr") if (limit(r), r[at["final_k"]], r[at["mmr_lambda"]]) == settings], "run_id string")
-        found = mmr(candidates.where(F.col("rank") <= settings[0]), chunks, settings[1], settings[2])
+        found = mmr(candidates.where(F.col("rank") <= settings[0]), held, settings[1], settings[2])
         parts.append(found.join(F.broadcast(names)).select("run_id", *found.columns))  # a short list
     if sparse := of("sparse"):
         most = max(r[at["final_k"]] for r in sparse)

@@ -14,6 +14,7 @@ from quillstone.operators import retrieval as R
 from quillstone.operators.inverted_index import InvertedIndex
 from quillstone.plans.tables import table
 from quillstone.session import shared_dir
+from quillstone.sources.store import Store
 from quillstone.sources.versions import Versions
 
 
@@ -174,16 +175,18 @@ def sweep_final_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("final_k").agg(*(T.rounded(F.avg(c), 4).alias(c) for c in ("recall_at_k", "precision_at_k", "ndcg_at_k", "mrr", "context_precision")))
 
 
+def _gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks that hold a question's text, written once: metrics read them for hits and for their number."""
+    return Store(chunks.sparkSession).once(M.gold_relevant(questions.select("qid", F.array("question").alias("hints")), chunks), "gold")
+
+
 def sweep_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold recall of each mode over shared chunks and questions."""
+    """Gold recall of each mode over shared chunks and questions: chunks are ranked once for all. One set of questions doesn't pay for a stored index."""
     chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
     modes = ("hybrid_rrf", "hybrid_weighted", "dense", "sparse", "mmr")
-    hits = None
-    for m in modes:
-        own = R.search(chunks, questions, m, index=_index(spark, sf_dir)).select(F.lit(m).alias("mode"), "qid", "chunk_id", "rank")
-        hits = own if hits is None else hits.unionByName(own)
+    hits = R.search_all(chunks.drop("vector"), questions, {m: {"mode": m} for m in modes}, vector=V.hashed_vector(F.col("text"))).withColumnRenamed("run_id", "mode")
     runs = questions.select("qid").join(F.broadcast(spark.createDataFrame([(m,) for m in modes], "mode string")))
-    gold = M.gold_relevant(questions.select("qid", F.array("question").alias("hints")), chunks)
+    gold = _gold(questions, chunks)
     found = M.ranking_metrics(runs, hits, gold, ("mode", "qid"))
     return found.groupBy("mode").agg(F.count("recall_at_k").alias("n"), *(T.rounded(F.avg(c), 4).alias(c) for c in ("recall_at_k", "mrr")))
 
@@ -194,7 +197,7 @@ def sweep_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = {f"{mode}:{w}": {"mode": mode, "dense_weight": w / 10} for mode in ("hybrid_rrf", "hybrid_weighted") for w in range(1, 21, 2)}
     hits = R.search_all(chunks, questions, settings)
     runs = questions.select("qid").join(F.broadcast(spark.createDataFrame([(s,) for s in settings], "run_id string")))
-    gold = M.gold_relevant(questions.select("qid", F.array("question").alias("hints")), chunks)
+    gold = _gold(questions, chunks)
     found = M.ranking_metrics(runs, hits, gold, ("run_id", "qid"))
     return found.groupBy("run_id").agg(F.count("recall_at_k").alias("n"), *(T.rounded(F.avg(c), 4).alias(c) for c in ("recall_at_k", "mrr")))
 

@@ -7,6 +7,7 @@ import random
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,43 @@ def test_many_searches_as_one_plan(corpus):
         assert got.get(name, set()) == {tuple(r) for r in Q.search(chunks, questions, **settings).collect()}, name
 
 
+def test_modes_are_swept_with_one_ranking(corpus, monkeypatch):
+    """All modes together rank the chunks once, and a vector that is made of a text is made for all chunks once and for candidates once more."""
+    spark, chunks, questions = corpus[2].sparkSession, corpus[2].select("chunk_id", "text", F.col("vector").alias("own")), corpus[3]
+    made, ranked = spark.sparkContext.accumulator(0), []
+
+    @F.pandas_udf("array<double>")
+    def vector(own: pd.Series) -> pd.Series:
+        made.add(len(own))
+        return own
+
+    real = Q.dense_top_k
+    monkeypatch.setattr(Q, "dense_top_k", lambda *a: ranked.append(a[2]) or real(*a))
+    runs = {m: {"mode": m, "dense_k": 5, "final_k": 3} for m in ("hybrid_rrf", "hybrid_weighted", "dense", "sparse", "mmr")}
+    got = {tuple(r) for r in Q.search_all(chunks, questions, runs, vector=vector("own")).collect()}
+    n, asked = chunks.count(), questions.count()
+    assert ranked == [5] and n < made.value <= n + 5 * asked
+    want = {(m, *r) for m, own in runs.items() for r in Q.search(corpus[2], questions, **own).collect()}
+    assert got == want and {r[0] for r in got} == set(runs)
+
+
+def test_sweep_mode_builds_no_index(spark, sf_dir, monkeypatch):
+    from quillstone.plans import retrieval as P
+
+    ranked, real = [], Q.dense_top_k
+    monkeypatch.setattr(Q, "dense_top_k", lambda *a: ranked.append(a[2]) or real(*a))
+    monkeypatch.setattr(P, "_index", lambda *a: pytest.fail("one set of questions doesn't pay for an index"))
+    assert P.sweep_mode(spark, sf_dir).count() == 5 and ranked == [25]
+
+
+def test_sparse_terms_are_cut_before_lower_case(spark):
+    """A Kelvin sign or a dotted capital I is no letter of a term, though its lower case is or holds one; as in SQL."""
+    chunks = spark.createDataFrame([(1, "unit \u212a"), (2, "unit k"), (3, "\u0130x i"), (4, None), (5, "other"), (6, "other words"), (7, "")], "chunk_id long, text string")
+    questions = spark.createDataFrame([(1, "k"), (2, "i"), (3, "x")], "qid long, question string")
+    assert sorted((r.qid, r.chunk_id) for r in Q.sparse_top_k(chunks, questions, 5).collect()) == [(1, 2), (2, 3), (3, 3)]
+    assert Q.terms_of("\u212aB \u0130C") == ["b", "c"]
+
+
 @pytest.mark.parametrize("k", [1, 7, 40])
 def test_dense_in_tiles(spark, monkeypatch, k):
     """Blocks, tiles and slices of any size give the k best, ties to the smaller id, and no tile holds all scores."""
