@@ -12,6 +12,7 @@ import hashlib
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from pyspark.sql.types import StructType
 
 from quillstone.session import shared_dir
 
-#: Calls that are committed together.
-PORTION = 20_000
+#: Calls that are committed together, about; of very many, at most so many portions are made. A portion's inputs lie in so many files, at least.
+PORTION, PORTIONS, PORTION_FILES = 20_000, 100, 16
 
 
 def content_key(*inputs: Column) -> Column:
@@ -40,10 +41,10 @@ class Store:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
-    def once(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a table of its own: what several plans read is computed once."""
+    def once(self, df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+        """df as a table of its own: what several plans read is computed once. rows_a_file: at most, if it isn't 0."""
         path = f"{self.path}/tables/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def timed(self, df: DataFrame, name: str) -> tuple[DataFrame, float]:
@@ -58,6 +59,13 @@ class Store:
         path = self.folder(kind, model)
         return self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
 
+    def portions(self, df: DataFrame) -> list[DataFrame]:
+        """df in portions that each read files of their own, so that all together read it once."""
+        held = self.once(df, "portions", max(1, self.portion // PORTION_FILES))
+        n, files = held.count(), sorted(map(unquote, held.inputFiles()))
+        k = min(-(-n // self.portion), PORTIONS, len(files))
+        return [self.spark.read.schema(held.schema).parquet(*files[i::k]) for i in range(k)]
+
     def ask(self, kind: str, model: str, rows: DataFrame, inputs: Sequence[Column], call: Callable[..., Column], out: str) -> DataFrame:
         """rows with `out`, what the model's call (columns to a column) gives for their inputs. Each distinct input is asked once.
 
@@ -69,11 +77,7 @@ class Store:
         result = asked.select("_key", call(*map(F.col, names)).alias("result"), F.unix_micros(F.current_timestamp()).alias("asked_at"))
         kinds = result.schema["result"].dataType
         failed = F.col("result.error").isNotNull() if isinstance(kinds, StructType) and "error" in kinds.names else F.lit(False)
-        missing = self.once(asked.join(self._held(kind, model, result.schema).where(~failed).select("_key"), "_key", "left_anti"), f"{kind}-missing")
-        n = missing.count()
-        portions = -(-n // self.portion)
-        for k in range(portions):
-            part = missing if portions == 1 else missing.where(F.pmod(F.xxhash64("_key"), F.lit(portions)) == k)
+        for part in self.portions(asked.join(self._held(kind, model, result.schema).where(~failed).select("_key"), "_key", "left_anti")):
             part.select("_key", call(*map(F.col, names)).alias("result"), F.unix_micros(F.current_timestamp()).alias("asked_at")).write.mode("append").parquet(self.folder(kind, model))
         held = self._held(kind, model, result.schema).groupBy("_key").agg(F.max_by("result", F.struct(~failed, F.col("asked_at"))).alias(out))
         return keyed.join(held, "_key").drop("_key", *names)

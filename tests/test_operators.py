@@ -668,6 +668,43 @@ def test_models_are_asked_once(spark, lab, tmp_path):
     assert all(r.a.error is None for r in mended.collect()) and spark.read.parquet(store.folder("answers", "other")).count() == 6
 
 
+def test_portions_read_what_is_theirs(spark, tmp_path, monkeypatch):
+    """Portions together read their table once, however many there are, and of very many rows no more portions are made."""
+    from quillstone.sources import store as S_
+
+    rows = spark.range(0, 1000, 1, 3).selectExpr("id", "concat('t ', id) AS text")
+    for portion, most, want in ((100, 100, 10), (100, 4, 4), (5000, 100, 1), (1, 7, 7)):
+        monkeypatch.setattr(S_, "PORTIONS", most)
+        parts = S_.Store(spark, str(tmp_path / "a b"), portion).portions(rows)
+        files = [set(p.inputFiles()) for p in parts]
+        assert len(parts) == want and len(set.union(*files)) == sum(map(len, files))
+        assert sorted(r.id for p in parts for r in p.collect()) == list(range(1000))
+        assert max(p.count() for p in parts) <= max(-(-1000 // want) + 100, 1000 // want * 2)
+    assert S_.Store(spark, str(tmp_path / "none")).portions(rows.where("id < 0")) == []
+
+
+def test_runs_share_passes_over_the_corpus(spark, lab, monkeypatch):
+    """Configurations that share chunks rank them twice in all (hits and silver), look for hints once, and models that don't cut chunks share their texts."""
+    from dataclasses import replace
+
+    from quillstone.functions.models import Models
+    from quillstone.operators import experiment as E
+
+    calls = []
+    for where, name in ((Q, "dense_top_k"), (E.M, "gold_relevant"), (E.K, "chunk")):
+        monkeypatch.setattr(where, name, lambda *a, real=getattr(where, name), name=name: calls.append(name) or real(*a))
+    docs, questions = lab
+    known = Models({"marks": lambda: lambda texts: [[1.0, float("river" in t), float("stars" in t)] for t in texts]})
+    base = E.RunConfig(chunk_target_tokens=40, chunk_overlap_tokens=10, chunk_min_tokens=5, final_k=3, label="a")
+    configs = [base, replace(base, silver_relevance_k=2, label="b"), replace(base, reranker_model="terms", label="c"), replace(base, noise_pct=0.5, label="d"), replace(base, embed_model="marks", label="e")]
+    got = {(r.run_id, r.qid): r for r in E.run_all(configs, docs, questions, known).collect()}
+    assert len(got) == 10 and calls.count("dense_top_k") == 4 and calls.count("gold_relevant") == 2 and calls.count("chunk") == 1
+    measures = lambda r: [None if getattr(r, m) is None else round(getattr(r, m), 9) for m in E.METRICS]
+    for c in configs[3:4]:  # it is what it is alone
+        alone = {r.qid: measures(r) for r in E.run_all([c], docs, questions, known).collect()}
+        assert alone == {q: measures(got[c.label, q]) for q in (1, 2)}
+
+
 def test_runs_that_fail_at_a_question(spark, lab):
     """Blank answers have no relevance, a failing reranker leaves no measures, an empty corpus nothing to retrieve."""
     from dataclasses import replace
